@@ -1,0 +1,18 @@
+"""Broadcast only what is measured to be small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when the table has at most `max_rows` rows.
+
+    The count stops right after `max_rows`. A larger table is returned as it is and Spark joins by
+    shuffle, with adaptive skew handling for keys that hold too many rows.
+    """
+    counted = df.select(F.lit(1)).limit(max_rows + 1).count()
+    return F.broadcast(df) if counted <= max_rows else df
