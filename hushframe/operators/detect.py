@@ -26,6 +26,7 @@ from hushframe.plans.policy import (
 
 SPAN = "struct<entity_type:string,start:int,end:int,score:double,text:string>"
 SPANS = f"array<{SPAN}>"
+HITS = "array<struct<no:int,matches:array<string>,gaps:array<string>>>"
 
 # Repeats are bounded so that one long run of letters costs linear time.
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}"
@@ -91,36 +92,54 @@ def _offsets(lengths: Column) -> Column:
     )
 
 
-def _recognize(text: Column, r: Recognizer) -> Column:
-    """Spans of one recognizer in one text."""
-    none = F.array().cast(SPANS)
+def _hits(text: Column, r: Recognizer, no: int) -> Column:
+    """Matches of one recognizer and the text between them; null when there is none."""
+    matches = F.regexp_extract_all(text, F.lit(r.regex), F.lit(0))
 
-    def spans(matches: Column) -> Column:
-        gaps = F.split(text, r.regex, -1)
-        # start of match k: every gap up to and including k, and every match before it
-        steps = F.transform(
-            matches,
-            lambda m, k: F.char_length(F.get(gaps, k))
-            + F.when(k > 0, F.char_length(F.get(matches, k - 1))).otherwise(0),
-        )
-        starts = let(steps, lambda s: F.zip_with(_offsets(s), s, lambda a, b: a + b))
-        found = F.zip_with(
-            matches,
-            starts,
-            lambda m, at: F.struct(
-                F.lit(r.entity).alias("entity_type"),
-                at.alias("start"),
-                (at + F.char_length(m)).alias("end"),
-                F.lit(float(r.score)).alias("score"),
-                m.alias("text"),
-            ),
-        )
-        return found if r.check is None else F.filter(found, lambda s: r.check(s["text"]))
+    def keep(m: Column) -> Column:
+        hit = F.struct(F.lit(no).alias("no"), m.alias("matches"), F.split(text, r.regex, -1).alias("gaps"))
+        return F.when(F.size(m) > 0, hit)
 
-    matches = F.regexp_extract_all(text, F.lit(r.regex), F.lit(0))
-    out = let(matches, lambda m: F.when(F.size(m) > 0, spans(m)).otherwise(none))
     gate = F.lit(True) if r.gate is None else r.gate(text)
-    return F.when(gate, out).otherwise(none)
+    return F.when(gate, let(matches, keep))
+
+
+def _spans_of(hit: Column, recognizers: Sequence[Recognizer]) -> Column:
+    """Turn the matches of one recognizer into spans."""
+    entities = F.array(*[F.lit(r.entity) for r in recognizers])
+    scores = F.array(*[F.lit(float(r.score)) for r in recognizers])
+    # start of match k: every gap up to and including k, and every match before it
+    steps = F.transform(
+        hit["matches"],
+        lambda m, k: F.char_length(F.get(hit["gaps"], k))
+        + F.when(k > 0, F.char_length(F.get(hit["matches"], k - 1))).otherwise(0),
+    )
+    starts = let(steps, lambda s: F.zip_with(_offsets(s), s, lambda a, b: a + b))
+
+    def span(m: Column, at: Column) -> Column:
+        return F.struct(
+            F.get(entities, hit["no"]).alias("entity_type"),
+            at.alias("start"),
+            (at + F.char_length(m)).alias("end"),
+            F.get(scores, hit["no"]).alias("score"),
+            m.alias("text"),
+        )
+
+    spans = F.zip_with(hit["matches"], starts, span)
+    by_check: dict[Callable, list[int]] = {}
+    for no, r in enumerate(recognizers):
+        if r.check is not None:
+            by_check.setdefault(r.check, []).append(no)
+    if not by_check:
+        return spans
+
+    def holds(s: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(True))
+        for check, numbers in by_check.items():
+            out = out.when(hit["no"].isin(*numbers), check(s["text"]))
+        return out.otherwise(F.lit(True))
+
+    return F.filter(spans, holds)
 
 
 def active_recognizers(d: Detection) -> list[Recognizer]:
@@ -159,11 +178,19 @@ def span_array(text: Column, d: Detection | None = None) -> Column:
     d = d or Detection()
     none = F.array().cast(SPANS)
     active = active_recognizers(d)
-    numeric = [_recognize(text, r) for r in active if r.numeric]
-    parts = [_recognize(text, r) for r in active if not r.numeric]
+    if not active:
+        return F.when(text.isNotNull(), none).otherwise(none)
+    numeric = [_hits(text, r, no) for no, r in enumerate(active) if r.numeric]
+    hits = F.array(*[_hits(text, r, no) for no, r in enumerate(active) if not r.numeric])
     if numeric:
-        parts.append(F.when(text.rlike(NUMERIC_GATE), F.concat(*numeric)).otherwise(none))
-    found = F.concat(*parts) if parts else none
+        gated = F.when(text.rlike(NUMERIC_GATE), F.array(*numeric)).otherwise(F.array().cast(HITS))
+        hits = F.concat(hits, gated) if len(numeric) < len(active) else gated
+    found = let(
+        F.filter(hits, lambda h: h.isNotNull()),
+        lambda hs: F.when(
+            F.size(hs) > 0, F.flatten(F.transform(hs, lambda h: _spans_of(h, active)))
+        ).otherwise(none),
+    )
     if d.allow_list:
         found = let(
             found,
