@@ -76,8 +76,8 @@ def outcome_rows(df: DataFrame, policy: Policy, connection: Column) -> DataFrame
     return df.select(connection.alias("connection_key"), F.inline(all_parts))
 
 
-def masking_metrics(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Sums per connection, entity and source (and the columns in `by`)."""
+def masking_metrics(outcomes: DataFrame, by: Sequence[Column | str] = ()) -> DataFrame:
+    """Sums per connection, entity and source (and what `by` names)."""
     entity = F.trim(F.coalesce("entity_type", F.lit("")))
     clean = outcomes.withColumns(
         {
