@@ -1,0 +1,2 @@
+from queries import masking  # noqa: F401
+from queries.base import QUERIES, SQL  # noqa: F401
