@@ -19,6 +19,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def inline_rows(df: DataFrame, keep: list, rows: Column) -> DataFrame:
+    """One row per struct of an array, beside the kept columns.
+
+    The array is a column of its own first: a generator over nested fields can lose columns to the
+    optimizer.
+    """
+    return df.select(*keep, rows.alias("rows_")).select(
+        *[F.col(f"`{c}`") for c in df.select(*keep).columns], F.inline("rows_")
+    )
+
+
 def strip(col: Column) -> Column:
     """Trim every kind of ASCII white space, not only blanks."""
     return F.regexp_replace(col, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")

@@ -279,8 +279,8 @@ def detect_spans(
 
     `allow_list` is a table with a column `text`, for lists too long to write into a plan.
     """
-    out = df.select(id_col, F.posexplode(span_array(F.col(text_col), detection)).alias("span_no", "_s"))
-    out = out.select(id_col, "span_no", "_s.*")
+    found = df.select(id_col, span_array(F.col(text_col), detection).alias("_spans"))
+    out = found.select(id_col, F.posexplode("_spans").alias("span_no", "_s")).select(id_col, "span_no", "_s.*")
     if allow_list is not None:
         entries = allow_list.select("text").distinct()
         out = out.join(small_side(entries), "text", "left_anti")
@@ -395,7 +395,12 @@ def detection_layer(df: DataFrame, d: Detection) -> DataFrame:
     if not names:
         return df
     if d.detector is None:
-        return replace_columns(df, {n: mask_text(F.col(f"`{n}`"), d) for n in names})
+        if len(names) <= 2:
+            return replace_columns(df, {n: mask_text(F.col(f"`{n}`"), d) for n in names})
+        # one expression for all columns: the plan does not grow with the width of the table
+        texts = F.array(*[F.col(f"`{n}`") for n in names])
+        done = df.withColumn("_masked", F.transform(texts, lambda v: mask_text(v, d)))
+        return replace_columns(done, {n: F.get("_masked", F.lit(i)) for i, n in enumerate(names)}).drop("_masked")
     called = df.withColumn("_found", detector_call(d.detector, [F.col(f"`{n}`") for n in names], d.min_len))
     masked = {}
     for i, n in enumerate(names):

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushframe.functions.text import let, partial_mask
+from hushframe.functions.text import inline_rows, let, partial_mask
 from hushframe.operators import columns as cols
 from hushframe.operators.detect import mask_text
 from hushframe.plans.policy import (
@@ -178,7 +178,7 @@ def doc_walk(df: DataFrame, id_col: str, doc_col: str, depth: int | None = None)
     else:
         leaves = _typed_leaves(F.col(doc_col), kind, F.lit(""))
         leaves = _no_leaves() if leaves is None else leaves
-    return df.select(id_col, F.inline(leaves))
+    return inline_rows(df, [id_col], leaves)
 
 
 # --- masking -------------------------------------------------------------------------------------
@@ -480,7 +480,7 @@ def _mask_secret(node: Column, depth: int) -> Column:
     return let(state, rebuild)
 
 
-def secret_manifest_mask(df: DataFrame, json_col: str, max_depth: int = 6) -> DataFrame:
+def secret_manifest_mask(df: DataFrame, json_col: str, max_depth: int = 4) -> DataFrame:
     """Hide `data` and `stringData` of Secret manifests; other text is left as it is.
 
     Lists nested deeper than `max_depth` stop the job instead of passing through.

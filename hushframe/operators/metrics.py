@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.functions.text import eligible
+from hushframe.functions.text import eligible, inline_rows
 from hushframe.operators import columns as cols
 from hushframe.operators.detect import mask_text, span_array
 from hushframe.plans.policy import Policy, classify_columns, overlay_rules, resolve_labels
@@ -42,38 +42,44 @@ def outcome_rows(df: DataFrame, policy: Policy, connection: Column) -> DataFrame
     overlay = overlay_rules(policy.overlay)
     none = F.array().cast(OUTCOMES)
     parts: list[Column] = []
+    texts: list[Column] = []
+    d = policy.detection
     for c in classify_columns(df.schema):
         if not c.text or (not c.free_text and c.kind is None):
             continue
+        label = cols.find_label(labels, c.name, c.name, policy.strict_match_mode)
+        acts = label is not None and label.profile != "do_not_mask" and (
+            c.free_text or cols.typed_placeholder(c.data_type, c.kind) is not None
+        )
         value = F.col(f"`{c.name}`")
         for layer in policy.order:
-            if layer == "detection" and policy.detection is not None and c.free_text:
-                d = policy.detection
-                spans = span_array(value, d)
-                looked = F.array(_outcome(F.lit(UNSPECIFIED), "recognizer", 1, 0, F.lit(0)))
-                found = F.transform(
-                    spans,
-                    lambda s: _outcome(s["entity_type"], "recognizer", 0, 1, s["end"] - s["start"]),
-                )
-                parts.append(F.when(eligible(value, d.min_len), F.concat(looked, found)).otherwise(none))
-                if labels:
-                    # only a later label layer needs the masked text
+            if layer == "detection" and d is not None and c.free_text:
+                texts.append(value)
+                if acts:
+                    # the label layer measures the masked text
                     value = mask_text(value, d)
             elif layer == "overlay" and c.free_text and c.name.lower() in overlay:
                 value = cols.overlay_value(value, overlay[c.name.lower()])
             elif layer == "labels" and policy.object_id:
                 looked = F.array(_outcome(F.lit(UNSPECIFIED), "field_rule", 1, 0, F.lit(0)))
-                label = cols.find_label(labels, c.name, c.name, policy.strict_match_mode)
-                acts = label is not None and label.profile != "do_not_mask" and (
-                    c.free_text or cols.typed_placeholder(c.data_type, c.kind) is not None
-                )
                 if acts:
                     size = F.octet_length(value.cast("string"))
                     hit = F.array(_outcome(F.lit(label.category), "field_rule", 0, 1, size))
                     looked = F.concat(looked, hit)
                 parts.append(F.when(value.isNotNull(), looked).otherwise(none))
-    all_parts = F.concat(*parts) if parts else none
-    return df.select(connection.alias("connection_key"), F.inline(all_parts))
+
+    def detected(value: Column) -> Column:
+        looked = F.array(_outcome(F.lit(UNSPECIFIED), "recognizer", 1, 0, F.lit(0)))
+        found = F.transform(
+            span_array(value, d),
+            lambda s: _outcome(s["entity_type"], "recognizer", 0, 1, s["end"] - s["start"]),
+        )
+        return F.when(eligible(value, d.min_len), F.concat(looked, found)).otherwise(none)
+
+    if texts:
+        # one expression for all columns keeps the plan small
+        parts.append(F.flatten(F.transform(F.array(*texts), detected)))
+    return inline_rows(df, [connection.alias("connection_key")], F.concat(*parts) if parts else none)
 
 
 def masking_metrics(outcomes: DataFrame, by: Sequence[Column | str] = ()) -> DataFrame:

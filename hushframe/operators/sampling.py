@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hushframe.functions.text import inline_rows
 from hushframe.plans.policy import classify_columns
 
 MAX_SAMPLES = 20
@@ -33,7 +34,7 @@ def field_values(df: DataFrame, object_id: str, order_by: Sequence[str] = ()) ->
         *[F.struct(F.lit(n).alias("field_path"), F.col(f"`{n}`").cast("string").alias("value")) for n in names]
     )
     present = F.filter(pairs, lambda p: p["value"].isNotNull())
-    return df.select(F.lit(object_id).alias("object_id"), *order_by, F.inline(present))
+    return inline_rows(df, [F.lit(object_id).alias("object_id"), *order_by], present)
 
 
 def first_values(

@@ -145,3 +145,14 @@ def test_secret_manifests(spark):
     out = [r["j"] for r in docs.secret_manifest_mask(df, "j").orderBy("id").collect()]
     assert [json.loads(o) for o in out[:5]] == want
     assert out[5:] == texts[5:]
+
+
+def test_walk_of_stored_documents(spark, tmp_path):
+    # read from files the optimizer prunes nested fields; every leaf must still be there
+    schema = T.StructType.fromDDL("id int, s struct<a:string,b:struct<c:string>>, l array<struct<x:string,y:int>>")
+    rows = [(i, (f"a{i}", (f"c{i}",)), [(f"x{i}", i)]) for i in range(20)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d")).select("id", F.struct("s", "l").alias("doc"))
+    leaves = docs.doc_walk(df, "id", "doc")
+    assert len(leaves.collect()) == leaves.count() == 20 * (2 + 2 + 1 + 2 + 3)
+    assert len(leaves.filter("path = 's.b.c'").collect()) == 20
