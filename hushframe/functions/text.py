@@ -19,15 +19,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def inline_rows(df: DataFrame, keep: list, rows: Column) -> DataFrame:
-    """One row per struct of an array, beside the kept columns.
+def inline_rows(df: DataFrame, keep: list, rows: Column, never_null: str) -> DataFrame:
+    """One row per struct of an array, beside the kept columns. `never_null` names a field of the struct.
 
     The array is a column of its own first: a generator over nested fields can lose columns to the
-    optimizer.
+    optimizer. The outer form with a filter behind it keeps the optimizer from testing the size of the
+    array below, which would compute the array once more per test.
     """
-    return df.select(*keep, rows.alias("rows_")).select(
-        *[F.col(f"`{c}`") for c in df.select(*keep).columns], F.inline("rows_")
-    )
+    staged = df.select(*keep, rows.alias("rows_"))
+    kept = [F.col(f"`{c}`") for c in staged.columns[:-1]]
+    return staged.select(*kept, F.inline_outer("rows_")).filter(F.col(never_null).isNotNull())
 
 
 def strip(col: Column) -> Column:

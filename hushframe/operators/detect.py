@@ -280,7 +280,9 @@ def detect_spans(
     `allow_list` is a table with a column `text`, for lists too long to write into a plan.
     """
     found = df.select(id_col, span_array(F.col(text_col), detection).alias("_spans"))
-    out = found.select(id_col, F.posexplode("_spans").alias("span_no", "_s")).select(id_col, "span_no", "_s.*")
+    # the outer form: see inline_rows
+    each = found.select(id_col, F.posexplode_outer("_spans").alias("span_no", "_s"))
+    out = each.filter(F.col("span_no").isNotNull()).select(id_col, "span_no", "_s.*")
     if allow_list is not None:
         entries = allow_list.select("text").distinct()
         out = out.join(small_side(entries), "text", "left_anti")

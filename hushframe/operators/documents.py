@@ -178,7 +178,7 @@ def doc_walk(df: DataFrame, id_col: str, doc_col: str, depth: int | None = None)
     else:
         leaves = _typed_leaves(F.col(doc_col), kind, F.lit(""))
         leaves = _no_leaves() if leaves is None else leaves
-    return inline_rows(df, [id_col], leaves)
+    return inline_rows(df, [id_col], leaves, "is_key")
 
 
 # --- masking -------------------------------------------------------------------------------------

@@ -79,7 +79,7 @@ def outcome_rows(df: DataFrame, policy: Policy, connection: Column) -> DataFrame
     if texts:
         # one expression for all columns keeps the plan small
         parts.append(F.flatten(F.transform(F.array(*texts), detected)))
-    return inline_rows(df, [connection.alias("connection_key")], F.concat(*parts) if parts else none)
+    return inline_rows(df, [connection.alias("connection_key")], F.concat(*parts) if parts else none, "detection_source")
 
 
 def masking_metrics(outcomes: DataFrame, by: Sequence[Column | str] = ()) -> DataFrame:

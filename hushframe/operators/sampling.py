@@ -34,7 +34,7 @@ def field_values(df: DataFrame, object_id: str, order_by: Sequence[str] = ()) ->
         *[F.struct(F.lit(n).alias("field_path"), F.col(f"`{n}`").cast("string").alias("value")) for n in names]
     )
     present = F.filter(pairs, lambda p: p["value"].isNotNull())
-    return inline_rows(df, [F.lit(object_id).alias("object_id"), *order_by], present)
+    return inline_rows(df, [F.lit(object_id).alias("object_id"), *order_by], present, "field_path")
 
 
 def first_values(

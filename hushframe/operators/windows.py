@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushframe.functions.text import request_hash
+from hushframe.functions.text import inline_rows, request_hash
 
 SECOND = 1_000_000
 
@@ -146,6 +146,18 @@ def _starts_from(ts: np.ndarray, carried: int | None, width: int) -> list[int]:
     return starts
 
 
+def _follow(blocks, width: int) -> list[dict]:
+    """For the blocks of one key in order: the start of the window carried into each, if any."""
+    carried, out = None, []
+    for b in blocks:
+        out.append({"block": int(b["_block"]), "carried": carried})
+        upto, ends = np.asarray(b["upto"]), b["ends"]
+        i = 0 if carried is None else int(np.searchsorted(upto, carried + width, side="left"))
+        if i < len(upto):
+            carried = int(ends[i])
+    return out
+
+
 def anchored_windows(
     df: DataFrame, keys: Sequence[str], ts: str, width: int, block_widths: int = 64
 ) -> DataFrame:
@@ -158,53 +170,38 @@ def anchored_windows(
     length = width * block_widths
     keys = list(keys)
     with_block = df.withColumn("_block", F.floor(F.col(ts) / length))
-    times = with_block.select(*keys, "_block", F.col(ts).alias("_t")).distinct()
-    key_fields = [df.schema[k] for k in keys]
-    block_field = T.StructField("_block", T.LongType())
-
-    def table(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_t"].to_numpy(dtype=np.int64))
-        upto, ends = _chain_table(t, int(pdf["_block"].iloc[0]) * length, width)
-        row = {k: [pdf[k].iloc[0]] for k in [*keys, "_block"]}
-        return pd.DataFrame({**row, "upto": [upto], "ends": [ends]})
-
-    longs = T.ArrayType(T.LongType())
-    tables = times.groupBy(*keys, "_block").applyInPandas(
-        table,
-        T.StructType([*key_fields, block_field, T.StructField("upto", longs), T.StructField("ends", longs)]),
+    # at most one block of distinct times per array
+    times = with_block.groupBy(*keys, "_block").agg(F.sort_array(F.collect_set(ts)).alias("_times"))
+
+    @F.pandas_udf("upto array<bigint>, ends array<bigint>")
+    def tables(block: pd.Series, at: pd.Series) -> pd.DataFrame:
+        made = [_chain_table(np.asarray(t, dtype=np.int64), int(b) * length, width) for b, t in zip(block, at)]
+        return pd.DataFrame({"upto": [m[0] for m in made], "ends": [m[1] for m in made]})
+
+    @F.pandas_udf("array<struct<block:bigint,carried:bigint>>")
+    def follow(blocks: pd.Series) -> pd.Series:
+        return pd.Series([_follow(b, width) for b in blocks])
+
+    @F.pandas_udf("array<bigint>")
+    def starts(carried: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series(
+            [
+                _starts_from(np.asarray(t, dtype=np.int64), None if pd.isna(c) else int(c), width)
+                for c, t in zip(carried, at)
+            ]
+        )
+
+    per_block = times.withColumn("_t", tables("_block", "_times")).select(
+        *keys, F.struct("_block", "_t.upto", "_t.ends").alias("_row")
     )
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        carried, entries = None, []
-        for upto, ends in zip(pdf["upto"], pdf["ends"]):
-            entries.append(carried)
-            i = 0 if carried is None else int(np.searchsorted(upto, carried + width, side="left"))
-            if i < len(upto):
-                carried = int(ends[i])
-        out = pdf[[*keys, "_block"]].copy()
-        out["carried"] = pd.array(entries, dtype="Int64")
-        return out
-
-    entries = tables.groupBy(*keys).applyInPandas(
-        follow, T.StructType([*key_fields, block_field, T.StructField("carried", T.LongType())])
-    )
-
-    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_t"].to_numpy(dtype=np.int64))
-        first = pdf["carried"].iloc[0]
-        row = {k: [pdf[k].iloc[0]] for k in [*keys, "_block"]}
-        carried = None if pd.isna(first) else int(first)
-        return pd.DataFrame({**row, "starts": [_starts_from(t, carried, width)]})
-
-    known = (
-        join_on(times, entries, [*keys, "_block"])
-        .groupBy(*keys, "_block")
-        .applyInPandas(starts, T.StructType([*key_fields, block_field, T.StructField("starts", longs)]))
+    per_key = per_block.groupBy(*keys).agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+    entries = inline_rows(per_key, keys, follow("_rows"), "block").withColumnRenamed("block", "_block")
+    known = join_on(times, entries, [*keys, "_block"]).select(
+        *keys, "_block", starts("carried", "_times").alias("_starts")
     )
-    start = F.array_max(F.filter("starts", lambda s: s <= F.col(ts)))
+    start = F.array_max(F.filter("_starts", lambda s: s <= F.col(ts)))
     joined = join_on(with_block, known, [*keys, "_block"])
-    return joined.withColumn("window_start", start).drop("_block", "starts")
+    return joined.withColumn("window_start", start).drop("_block", "_starts")
 
 
 def rate_flags(
