@@ -38,13 +38,19 @@ def _ntz_micros(ts: Column) -> Column:
     return (days * 86400 + seconds) * SECOND + fraction.cast("bigint")
 
 
+def bucket(col: Column, size: int) -> Column:
+    """Whole-number bucket of a bigint, exact for negative and very large values too."""
+    return ((col - F.pmod(col, F.lit(size))) / size).cast("bigint")
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on keys that may be null, keeping the left side's copy of them."""
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
+    """Join on keys that may be null, keeping the left side's copy of them.
+
+    Fields of equal structs may be null, so one struct of the keys joins by plain equality.
+    """
+    a = left.withColumn("_key", F.struct(*keys))
+    b = right.select(F.struct(*keys).alias("_key"), *[c for c in right.columns if c not in keys])
+    return a.join(b, "_key", how).drop("_key")
 
 
 def running_total(
@@ -58,26 +64,25 @@ def running_total(
     """Add one running sum per entry of `values`, in `order_by` order within `keys`.
 
     `block` cuts each key into consecutive ranges of the order and must grow with it. With `totals`
-    the sum over the whole key is added as `{name}_total`.
+    the sum over the whole key is added as `{name}_total`. Rows are shuffled once, by key and block: the
+    join with the block totals and the window use the same struct.
     """
-    with_block = df.withColumn("_block", block)
-    parts = with_block.groupBy(*keys, "_block").agg(*[F.sum(v).alias(f"_p_{n}") for n, v in values.items()])
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    cut = df.withColumn("_at", F.struct(*keys, block.alias("_block")))
+    parts = cut.groupBy("_at").agg(*[F.sum(v).alias(f"_p_{n}") for n, v in values.items()])
+    key = [F.col(f"_at.{k}") for k in keys]
+    earlier = Window.partitionBy(*key).orderBy("_at._block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*key)
     before = parts.select(
-        *keys,
-        "_block",
+        "_at",
         *[F.coalesce(F.sum(f"_p_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in values],
         *([F.sum(f"_p_{n}").over(whole).alias(f"{n}_total") for n in values] if totals else []),
     )
     within = (
-        Window.partitionBy(*keys, "_block")
-        .orderBy(*order_by)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy("_at").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = join_on(with_block, before, [*keys, "_block"])
+    joined = cut.join(before, "_at")
     out = joined.withColumns({n: F.col(f"_b_{n}") + F.sum(v).over(within) for n, v in values.items()})
-    return out.drop("_block", *[f"_b_{n}" for n in values])
+    return out.drop("_at", *[f"_b_{n}" for n in values])
 
 
 def transcript_cap(
@@ -99,7 +104,7 @@ def transcript_cap(
         [session],
         [F.col(order_by)],
         {"_bytes": size, "_chunks": (size > 0).cast("bigint")},
-        F.floor(F.col(order_by) / block_rows),
+        bucket(F.col(order_by).cast("bigint"), block_rows),
         totals=True,
     )
     kept = (size > 0) & (F.col("_bytes") <= max_bytes)
@@ -146,57 +151,91 @@ def _starts_from(ts: np.ndarray, carried: int | None, width: int) -> list[int]:
     return starts
 
 
-def _follow(blocks, width: int) -> list[dict]:
-    """For the blocks of one key in order: the start of the window carried into each, if any."""
-    carried, out = None, []
+def _then(starts: np.ndarray, block, width: int) -> np.ndarray:
+    """Carry windows that start at `starts` through one block; without a later event they stay."""
+    upto, ends = np.asarray(block["upto"], dtype=np.int64), np.asarray(block["ends"], dtype=np.int64)
+    at = np.searchsorted(upto, starts + width, side="left")
+    return np.where(at < len(upto), ends[np.minimum(at, len(upto) - 1)], starts)
+
+
+def _compose(blocks, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tables of consecutive blocks as one table."""
+    upto, ends = np.asarray(blocks[0]["upto"], dtype=np.int64), np.asarray(blocks[0]["ends"], dtype=np.int64)
+    if len(blocks) > 1:
+        # a window that outlasts the events of the first block ends before the second one
+        upto = np.append(upto, np.iinfo(np.int64).max)
+        ends = np.append(ends, np.asarray(blocks[1]["ends"])[0])
+    for i, block in enumerate(blocks[1:]):
+        moved = _then(ends, block, width)
+        ends = np.append(moved[:-1], ends[-1]) if i == 0 else moved
+    keep = np.append(ends[1:] != ends[:-1], True)
+    return upto[keep], ends[keep]
+
+
+def _follow(blocks, width: int, carried: int | None) -> list[dict]:
+    """The start of the window carried into each block, in order; None while no window has opened."""
+    out = []
     for b in blocks:
-        out.append({"block": int(b["_block"]), "carried": carried})
-        upto, ends = np.asarray(b["upto"]), b["ends"]
-        i = 0 if carried is None else int(np.searchsorted(upto, carried + width, side="left"))
-        if i < len(upto):
-            carried = int(ends[i])
+        out.append({"no": int(b["no"]), "carried": carried})
+        carried = int(b["ends"][0]) if carried is None else int(_then(np.array([carried]), b, width)[0])
     return out
 
 
+def _int_or_none(v) -> int | None:
+    return None if pd.isna(v) else int(v)
+
+
 def anchored_windows(
-    df: DataFrame, keys: Sequence[str], ts: str, width: int, block_widths: int = 64
+    df: DataFrame, keys: Sequence[str], ts: str, width: int, block_widths: int = 4, group_blocks: int = 128
 ) -> DataFrame:
     """Add `window_start`: a window opens at the first event of a key, lasts `width`, and the next event
     at or after its end opens the next one. `ts` and `width` are whole numbers of one unit.
 
     Each key is cut into blocks of `block_widths` windows. Per block a short table says where the last
-    window starts for every time a carried window may end; only these tables are followed in order.
+    window starts for every time a carried window may end; windows soon fall into step, so the table of
+    `group_blocks` blocks put together is shorter still. Only those are followed in order per key, then
+    the blocks inside each group, then the events inside each block.
     """
     length = width * block_widths
     keys = list(keys)
-    with_block = df.withColumn("_block", F.floor(F.col(ts) / length))
-    # at most one block of distinct times per array
-    times = with_block.groupBy(*keys, "_block").agg(F.sort_array(F.collect_set(ts)).alias("_times"))
+    with_block = df.withColumn("_block", bucket(F.col(ts), length))
+    group = bucket(F.col("_block"), group_blocks).alias("_group")
 
     @F.pandas_udf("upto array<bigint>, ends array<bigint>")
     def tables(block: pd.Series, at: pd.Series) -> pd.DataFrame:
         made = [_chain_table(np.asarray(t, dtype=np.int64), int(b) * length, width) for b, t in zip(block, at)]
         return pd.DataFrame({"upto": [m[0] for m in made], "ends": [m[1] for m in made]})
 
-    @F.pandas_udf("array<struct<block:bigint,carried:bigint>>")
-    def follow(blocks: pd.Series) -> pd.Series:
-        return pd.Series([_follow(b, width) for b in blocks])
+    @F.pandas_udf("upto array<bigint>, ends array<bigint>")
+    def compose(blocks: pd.Series) -> pd.DataFrame:
+        made = [_compose(b, width) for b in blocks]
+        return pd.DataFrame({"upto": [m[0] for m in made], "ends": [m[1] for m in made]})
+
+    @F.pandas_udf("array<struct<no:bigint,carried:bigint>>")
+    def follow(blocks: pd.Series, carried: pd.Series) -> pd.Series:
+        return pd.Series([_follow(b, width, _int_or_none(c)) for b, c in zip(blocks, carried)])
 
     @F.pandas_udf("array<bigint>")
     def starts(carried: pd.Series, at: pd.Series) -> pd.Series:
         return pd.Series(
-            [
-                _starts_from(np.asarray(t, dtype=np.int64), None if pd.isna(c) else int(c), width)
-                for c, t in zip(carried, at)
-            ]
+            [_starts_from(np.asarray(t, dtype=np.int64), _int_or_none(c), width) for c, t in zip(carried, at)]
         )
 
-    per_block = times.withColumn("_t", tables("_block", "_times")).select(
-        *keys, F.struct("_block", "_t.upto", "_t.ends").alias("_row")
-    )
-    per_key = per_block.groupBy(*keys).agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
-    entries = inline_rows(per_key, keys, follow("_rows"), "block").withColumnRenamed("block", "_block")
-    known = join_on(times, entries, [*keys, "_block"]).select(
+    def in_order(rows: DataFrame, by: Sequence[str], no: str, table: str) -> DataFrame:
+        row = F.struct(F.col(no).alias("no"), F.col(f"{table}.upto"), F.col(f"{table}.ends"))
+        return rows.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+
+    # at most one block of distinct times per array, one group of tables per array
+    times = with_block.groupBy(*keys, "_block").agg(F.sort_array(F.collect_set(ts)).alias("_times"))
+    per_block = times.select(*keys, "_block", group, tables("_block", "_times").alias("_t"))
+    per_group = in_order(per_block, [*keys, "_group"], "_block", "_t")
+    short = per_group.select(*keys, "_group", compose("_rows").alias("_t"))
+    into_group = inline_rows(
+        in_order(short, keys, "_group", "_t"), keys, follow("_rows", F.lit(None).cast("bigint")), "no"
+    ).withColumnRenamed("no", "_group")
+    with_entry = join_on(per_group, into_group, [*keys, "_group"])
+    into_block = inline_rows(with_entry, keys, follow("_rows", "carried"), "no").withColumnRenamed("no", "_block")
+    known = join_on(times, into_block, [*keys, "_block"]).select(
         *keys, "_block", starts("carried", "_times").alias("_starts")
     )
     start = F.array_max(F.filter("_starts", lambda s: s <= F.col(ts)))
@@ -287,7 +326,7 @@ def peak_concurrency(
     )
     # one row per key and instant before anything is ordered
     steps = marks.filter(F.col("us").isNotNull()).groupBy(key, "us").agg(F.sum("step").alias("step"))
-    block = F.floor(F.col("us") / (block_seconds * SECOND))
+    block = bucket(F.col("us"), block_seconds * SECOND)
     open_now = running_total(steps, [key], [F.col("us")], {"open": F.col("step")}, block)
     out = open_now.groupBy(key).agg(
         F.max("open").alias("peak"),

@@ -116,7 +116,13 @@ def stream_sampler(values: DataFrame, n: int = 20, ttl_seconds: int | None = Non
         & (F.coalesce("object_id", F.lit("")) != "")
         & (F.coalesce("field_path", F.lit("")) != "")
     ).select("object_id", "field_path", "value")
-    return live.groupBy("object_id", "field_path").transformWithStateInPandas(
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # more than `n` values of a field are never needed, so a hot field sends few rows to its state
+        for pdf in batches:
+            yield pdf.groupby(["object_id", "field_path"], sort=False).head(n)
+
+    return live.mapInPandas(cut, live.schema).groupBy("object_id", "field_path").transformWithStateInPandas(
         statefulProcessor=_Sampler(n, None if ttl_seconds is None else ttl_seconds * 1000),
         outputStructType="object_id string, field_path string, sample_no int, value string",
         outputMode="append",

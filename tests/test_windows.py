@@ -84,15 +84,16 @@ def test_rate_flags_small_cases(spark):
 
 def test_windows_cross_blocks(spark):
     rng = random.Random(3)
-    times = sorted(rng.sample(range(0, 20_000), 1500))
-    df = spark.createDataFrame([("k", t) for t in times], "k string, t bigint")
-    got = {r["t"]: r["window_start"] for r in win.anchored_windows(df, ["k"], "t", 100, block_widths=2).collect()}
-    want, start = {}, None
-    for t in times:
-        if start is None or t - start >= 100:
-            start = t
-        want[t] = start
-    assert got == want
+    for n, widths, group in ((1500, 2, 3), (60, 1, 4), (300, 4, 1), (300, 1, 1), (25, 2, 128)):
+        times = sorted(rng.sample(range(-5_000, 20_000), n))
+        df = spark.createDataFrame([("k", t) for t in times], "k string, t bigint")
+        out = win.anchored_windows(df, ["k"], "t", 100, widths, group)
+        want, start = {}, None
+        for t in times:
+            if start is None or t - start >= 100:
+                start = t
+            want[t] = start
+        assert {r["t"]: r["window_start"] for r in out.collect()} == want
 
 
 def test_idempotent_dedup(spark):
@@ -128,3 +129,19 @@ def test_peak_concurrency(spark):
             open_now += step
             peak = max(peak, open_now)
         assert out[org]["peak"] == peak and out[org]["over_cap"] == (peak > 10)
+
+
+def test_running_total_shuffles_rows_once(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS k", "id", "id AS v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = win.running_total(df, ["k"], [F.col("id")], {"s": F.col("v")}, F.floor(F.col("id") / 100))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        # the rows once; the block totals for their sum, per key, and for the join
+        assert plan.count("Exchange hashpartitioning") == 4
+        rows = {r["id"]: r["s"] for r in out.collect()}
+        assert rows[999] == sum(range(0, 1000, 3)) and rows[4] == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
