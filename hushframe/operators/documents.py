@@ -67,7 +67,7 @@ def json_depth(text: Column) -> Column:
 
 def _text_of(df: DataFrame, doc_col: str) -> Column:
     col = F.col(doc_col)
-    return F.to_json(col) if isinstance(df.schema[doc_col].dataType, T.VariantType) else col
+    return col if isinstance(df.schema[doc_col].dataType, T.StringType) else F.to_json(col)
 
 
 def depth_guard(df: DataFrame, doc_col: str, max_depth: int = MAX_DEPTH, strict: bool = False) -> DataFrame:
@@ -96,24 +96,42 @@ def _no_leaves() -> Column:
     return F.array().cast(LEAVES)
 
 
-def _typed_leaves(node: Column, kind: T.DataType, path: Column) -> Column | None:
+def _has_variant(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_variant(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _has_variant(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _has_variant(kind.valueType)
+    return isinstance(kind, T.VariantType)
+
+
+def _levels(df: DataFrame, doc_col: str, depth: int | None) -> int:
+    """Depth to unroll: as given, as measured where there is a part without a schema, else 0."""
+    kind = df.schema[doc_col].dataType
+    if depth is not None:
+        return depth
+    return measured_depth(df, doc_col) if isinstance(kind, T.StringType) or _has_variant(kind) else 0
+
+
+def _typed_leaves(node: Column, kind: T.DataType, path: Column, depth: int = 0) -> Column | None:
     """Leaves of a typed node; None for a type that holds none."""
     if isinstance(kind, T.StringType):
         own = F.array(_leaf(path, _last_segment(path), node, False))
         return F.when(node.isNull(), _no_leaves()).otherwise(own)
     if isinstance(kind, T.VariantType):
-        raise TypeError("a VARIANT inside a typed document: pass the whole document as VARIANT or JSON")
+        return F.when(node.isNull(), _no_leaves()).otherwise(_variant_leaves(node, path, depth))
     if isinstance(kind, T.ArrayType):
         inner = F.concat(path, F.lit("[]"))
-        if _typed_leaves(F.lit(None), kind.elementType, inner) is None:
+        if _typed_leaves(F.lit(None), kind.elementType, inner, depth) is None:
             return None
-        parts = F.transform(node, lambda x: _typed_leaves(x, kind.elementType, inner))
+        parts = F.transform(node, lambda x: _typed_leaves(x, kind.elementType, inner, depth))
         return F.coalesce(F.flatten(parts), _no_leaves())
     if isinstance(kind, T.MapType):
 
         def entry(e: Column) -> Column:
             own = F.array(_leaf(path, e["key"], e["key"], True))
-            below = _typed_leaves(e["value"], kind.valueType, _join(path, e["key"]))
+            below = _typed_leaves(e["value"], kind.valueType, _join(path, e["key"]), depth)
             return own if below is None else F.concat(own, below)
 
         return F.coalesce(F.flatten(F.transform(F.map_entries(node), entry)), _no_leaves())
@@ -122,7 +140,7 @@ def _typed_leaves(node: Column, kind: T.DataType, path: Column) -> Column | None
         for f in sorted(kind.fields, key=lambda f: f.name):
             key = F.lit(f.name)
             parts.append(F.array(_leaf(path, key, key, True)))
-            below = _typed_leaves(node.getField(f.name), f.dataType, _join(path, key))
+            below = _typed_leaves(node.getField(f.name), f.dataType, _join(path, key), depth)
             if below is not None:
                 parts.append(below)
         return F.when(node.isNull(), _no_leaves()).otherwise(F.concat(*parts) if parts else _no_leaves())
@@ -171,12 +189,12 @@ def doc_walk(df: DataFrame, id_col: str, doc_col: str, depth: int | None = None)
     the measuring pass when the depth of the documents is known.
     """
     kind = df.schema[doc_col].dataType
+    levels = _levels(df, doc_col, depth)
     if isinstance(kind, (T.StringType, T.VariantType)):
-        levels = measured_depth(df, doc_col) if depth is None else depth
         node = _variant_of(df, doc_col)
         leaves = F.when(node.isNull(), _no_leaves()).otherwise(_variant_leaves(node, F.lit(""), levels))
     else:
-        leaves = _typed_leaves(F.col(doc_col), kind, F.lit(""))
+        leaves = _typed_leaves(F.col(doc_col), kind, F.lit(""), levels)
         leaves = _no_leaves() if leaves is None else leaves
     return inline_rows(df, [id_col], leaves, "is_key")
 
@@ -267,39 +285,44 @@ class _LeafRules:
         return F.when(value.isNotNull() & asked, zero).otherwise(value)
 
 
-def _mask_typed(node: Column, kind: T.DataType, path: str, rules: _LeafRules) -> Column:
+def _mask_typed(node: Column, kind: T.DataType, path: str, rules: _LeafRules, depth: int) -> Column:
     key = path.rsplit(".", 1)[-1].removesuffix("[]")
     if isinstance(kind, T.StructType):
         fields = [
-            _mask_typed(node.getField(f.name), f.dataType, f"{path}.{f.name}" if path else f.name, rules).alias(
-                f.name, metadata=f.metadata
-            )
+            _mask_typed(
+                node.getField(f.name), f.dataType, f"{path}.{f.name}" if path else f.name, rules, depth
+            ).alias(f.name, metadata=f.metadata)
             for f in kind.fields
         ]
         return F.when(node.isNull(), node).otherwise(F.struct(*fields)) if fields else node
     if isinstance(kind, T.ArrayType):
-        return F.transform(node, lambda x: _mask_typed(x, kind.elementType, f"{path}[]", rules))
+        return F.transform(node, lambda x: _mask_typed(x, kind.elementType, f"{path}[]", rules, depth))
     if isinstance(kind, T.MapType):
         return F.transform_values(
-            node, lambda k, v: _mask_dynamic(v, kind.valueType, _join(F.lit(path), k), rules)
+            node, lambda k, v: _mask_dynamic(v, kind.valueType, _join(F.lit(path), k), rules, depth)
         )
-    if isinstance(kind, (T.BinaryType, T.VariantType)):
+    if isinstance(kind, T.VariantType):
+        return F.when(node.isNull(), node).otherwise(_mask_variant(node, F.lit(path), depth, rules))
+    if isinstance(kind, T.BinaryType):
         return node
     return rules.at(node, path, key, kind)
 
 
-def _mask_dynamic(node: Column, kind: T.DataType, path: Column, rules: _LeafRules) -> Column:
+def _mask_dynamic(node: Column, kind: T.DataType, path: Column, rules: _LeafRules, depth: int) -> Column:
     """Below a map the path depends on the row."""
     if isinstance(kind, T.StructType):
         fields = [
-            _mask_dynamic(node.getField(f.name), f.dataType, _join(path, F.lit(f.name)), rules).alias(f.name)
+            _mask_dynamic(node.getField(f.name), f.dataType, _join(path, F.lit(f.name)), rules, depth).alias(f.name)
             for f in kind.fields
         ]
         return F.when(node.isNull(), node).otherwise(F.struct(*fields)) if fields else node
     if isinstance(kind, T.ArrayType):
-        return F.transform(node, lambda x: _mask_dynamic(x, kind.elementType, F.concat(path, F.lit("[]")), rules))
+        inner = F.concat(path, F.lit("[]"))
+        return F.transform(node, lambda x: _mask_dynamic(x, kind.elementType, inner, rules, depth))
     if isinstance(kind, T.MapType):
-        return F.transform_values(node, lambda k, v: _mask_dynamic(v, kind.valueType, _join(path, k), rules))
+        return F.transform_values(node, lambda k, v: _mask_dynamic(v, kind.valueType, _join(path, k), rules, depth))
+    if isinstance(kind, T.VariantType):
+        return F.when(node.isNull(), node).otherwise(_mask_variant(node, path, depth, rules))
     if isinstance(kind, T.StringType):
         return rules.text(node, path, _last_segment(path))
     zero = cols.typed_placeholder(kind)
@@ -343,13 +366,13 @@ def doc_mask(df: DataFrame, doc_col: str, policy: Policy, depth: int | None = No
     """
     kind = df.schema[doc_col].dataType
     rules = _LeafRules(policy)
+    levels = _levels(df, doc_col, depth)
     if isinstance(kind, (T.StringType, T.VariantType)):
-        levels = measured_depth(df, doc_col) if depth is None else depth
         masked = let(_variant_of(df, doc_col), lambda v: _mask_variant(v, F.lit(""), levels, rules))
         if isinstance(kind, T.StringType):
             masked = let(masked, lambda m: F.when(m.isNull(), F.col(doc_col)).otherwise(F.to_json(m)))
     else:
-        masked = _mask_typed(F.col(doc_col), kind, "", rules)
+        masked = _mask_typed(F.col(doc_col), kind, "", rules, levels)
     return cols.replace_columns(df, {doc_col: masked})
 
 

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hushframe.functions.text import partial_mask
 from hushframe.operators.sizes import small_side
-from hushframe.plans.policy import CONFIRMED
+from hushframe.plans.policy import CONFIRMED, REDACTED
 
 LABEL_SCHEMA = (
     "object_id string, field_path string, match_mode string, category string, profile string, "
@@ -74,6 +75,26 @@ def label_lookup(
     )
 
 
+def mask_by_lookup(
+    df: DataFrame,
+    path_labels: DataFrame,
+    value_col: str = "value",
+    object_col: str = "object_id",
+    path_col: str = "path",
+    key_col: str = "key",
+    strict_match_mode: bool = False,
+) -> DataFrame:
+    """Mask the text values of rows that name their object and path, such as a table of leaves."""
+    found = label_lookup(df.withColumn("_value", F.col(value_col)), path_labels, object_col, path_col, key_col, strict_match_mode)
+    value, profile = F.col("_value"), F.col("profile")
+    masked = (
+        F.when(F.col("matched_by").isNull() | value.isNull() | (profile == "do_not_mask"), value)
+        .when(profile == "partial_mask", partial_mask(value))
+        .otherwise(F.lit(REDACTED))
+    )
+    return found.withColumn(value_col, masked).select(*df.columns)
+
+
 def column_lineage_lookup(columns_df: DataFrame, column_map: DataFrame, org: str, driver: str, database: str) -> DataFrame:
     """Resolve result columns (table_id, column_no, name) to the real table column behind them.
 

@@ -224,6 +224,21 @@ def depth(spark, sf):
     return docs.depth_guard(df, "body").select("doc_id", "too_deep")
 
 
+def _order_labels(t):
+    """Labels of the order documents, written from the statuses that occur."""
+    rows = (
+        ("customer.name", "name_fields", "manual", "full_redact"),
+        ("flag", "flag_fields", "platform", "partial_mask"),
+        ("priority", "priority_fields", "manual", "do_not_mask"),
+        ("segment", "segment_fields", "proposed", ""),
+        ("lines[].status", "status_fields", "dismissed", ""),
+    )
+    names = ("field_path", "category", "source", "profile")
+    each = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows])
+    found = t.orders.select("o_orderstatus").distinct().select(F.inline(each)).distinct()
+    return found.withColumns({"object_id": F.lit(OBJ), "match_mode": F.lit("")})
+
+
 @query(
     "J1_label_lookup",
     f"""WITH {ORDER_LEAVES} SELECT path, CASE path WHEN 'customer.name' THEN 'name_fields' WHEN 'lines[].flag' THEN 'flag_fields'
@@ -234,25 +249,18 @@ def depth(spark, sf):
 def lookup(spark, sf):
     t = Tables(spark, sf)
     leaves = docs.doc_walk(order_documents(spark, sf), "doc_id", "doc").filter(~F.col("is_key"))
-    # labels written from the statuses that occur in the orders
-    found = t.orders.select("o_orderstatus").distinct().select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(p).alias("field_path"), F.lit(c).alias("category"), F.lit(s).alias("source"))
-                    for p, c, s in (
-                        ("customer.name", "name_fields", "manual"),
-                        ("flag", "flag_fields", "platform"),
-                        ("priority", "priority_fields", "manual"),
-                        ("segment", "segment_fields", "proposed"),
-                        ("lines[].status", "status_fields", "dismissed"),
-                    )
-                ]
-            )
-        )
-    ).distinct()
-    table = found.select(
-        F.lit(OBJ).alias("object_id"), "field_path", "category", "source", F.lit("").alias("profile"), F.lit("").alias("match_mode")
-    )
+    table = _order_labels(t)
     hit = labelling.label_lookup(leaves.withColumn("object_id", F.lit(OBJ)), table)
     return hit.groupBy("path", "category", "matched_by").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "P6_mask_by_lookup",
+    f"""WITH {ORDER_LEAVES} SELECT path, CASE path WHEN 'customer.name' THEN '[redacted]' WHEN 'lines[].flag' THEN '*' ELSE value END
+      AS value, count(*) AS n FROM leaves WHERE NOT is_key GROUP BY ALL""",
+)
+def mask_rows(spark, sf):
+    t = Tables(spark, sf)
+    leaves = docs.doc_walk(order_documents(spark, sf), "doc_id", "doc").filter(~F.col("is_key"))
+    masked = labelling.mask_by_lookup(leaves.withColumn("object_id", F.lit(OBJ)), _order_labels(t))
+    return masked.groupBy("path", "value").agg(F.count(F.lit(1)).alias("n"))

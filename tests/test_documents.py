@@ -156,3 +156,14 @@ def test_walk_of_stored_documents(spark, tmp_path):
     leaves = docs.doc_walk(df, "id", "doc")
     assert len(leaves.collect()) == leaves.count() == 20 * (2 + 2 + 1 + 2 + 3)
     assert len(leaves.filter("path = 's.b.c'").collect()) == 20
+
+
+def test_variant_inside_typed_document(spark):
+    schema = "id int, s struct<name:string,raw:string>"
+    df = spark.createDataFrame([(1, ("n", '{"email": "a@x.io", "l": [{"k": "v"}]}')), (2, ("n", None))], schema)
+    df = df.select("id", F.struct(F.col("s.name"), F.try_parse_json("s.raw").alias("raw")).alias("d"))
+    leaves = {(r["path"], r["value"]) for r in docs.doc_walk(df, "id", "d").filter("id = 1 and not is_key").collect()}
+    assert leaves == {("name", "n"), ("raw.email", "a@x.io"), ("raw.l[].k", "v")}
+    out = docs.doc_mask(df, "d", policy(labels=[PathLabel("raw.l[].k")], detection=Detection()))
+    shown = [r[0] for r in out.orderBy("id").select(F.to_json("d.raw")).collect()]
+    assert json.loads(shown[0]) == {"email": "[redacted]", "l": [{"k": "[redacted]"}]} and shown[1] is None

@@ -88,6 +88,21 @@ def test_lookup(spark):
     assert {r["match_mode"] for r in labels.confirmed_labels(lab, OBJ).collect()} == {"path"}
 
 
+def test_mask_rows_by_lookup(spark):
+    lab = table(
+        spark,
+        dict(field_path="a", source="manual", profile="partial_mask"),
+        dict(field_path="b", source="manual", profile="do_not_mask"),
+        dict(field_path="c", source="platform", profile=None),
+        dict(field_path="d", source="proposed"),
+        seq=False,
+    )
+    rows = [(OBJ, p, p, "secret") for p in "abcd"] + [("x:y:z:w", "a", "a", "secret"), (OBJ, "q.a", "A", None)]
+    df = spark.createDataFrame(rows, "object_id string, path string, key string, value string")
+    got = [r["value"] for r in labels.mask_by_lookup(df, lab).collect()]
+    assert sorted(got, key=str) == sorted(["**cret", "secret", "[redacted]", "secret", "secret", None], key=str)
+
+
 def test_lineage(spark):
     cols = spark.createDataFrame([(7, 1, "mail"), (0, 0, "n")], "table_id int, column_no int, name string")
     known = spark.createDataFrame([(7, 1, "users", "email")], "table_id int, column_no int, table_name string, real_name string")
