@@ -140,10 +140,10 @@ def _chain_table(ts: np.ndarray, low: int, width: int) -> tuple[np.ndarray, np.n
     return upto[keep], ends[keep]
 
 
-def _starts_from(ts: np.ndarray, carried: int | None, width: int) -> list[int]:
+def _starts_from(ts: np.ndarray, carried: int, width: int) -> list[int]:
     """Starts of the windows in force in a block, the carried one first."""
-    starts = [] if carried is None else [carried]
-    at = 0 if carried is None else int(np.searchsorted(ts, carried + width, side="left"))
+    starts = [] if carried == NONE else [carried]
+    at = 0 if carried == NONE else int(np.searchsorted(ts, carried + width, side="left"))
     while at < len(ts):
         start = int(ts[at])
         starts.append(start)
@@ -151,42 +151,51 @@ def _starts_from(ts: np.ndarray, carried: int | None, width: int) -> list[int]:
     return starts
 
 
-def _then(starts: np.ndarray, block, width: int) -> np.ndarray:
+# No window has opened yet.
+NONE = np.iinfo(np.int64).min
+
+
+def _cut(sizes, upto, ends) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Split the tables of consecutive blocks, stored end to end."""
+    stops = np.cumsum(sizes)
+    upto, ends = np.asarray(upto, dtype=np.int64), np.asarray(ends, dtype=np.int64)
+    return [(upto[stop - n : stop], ends[stop - n : stop]) for n, stop in zip(sizes, stops)]
+
+
+def _then(starts: np.ndarray, table: tuple[np.ndarray, np.ndarray], width: int) -> np.ndarray:
     """Carry windows that start at `starts` through one block; without a later event they stay."""
-    upto, ends = np.asarray(block["upto"], dtype=np.int64), np.asarray(block["ends"], dtype=np.int64)
+    upto, ends = table
     at = np.searchsorted(upto, starts + width, side="left")
     return np.where(at < len(upto), ends[np.minimum(at, len(upto) - 1)], starts)
 
 
-def _compose(blocks, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _compose(tables: list[tuple[np.ndarray, np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray]:
     """The tables of consecutive blocks as one table."""
-    upto, ends = np.asarray(blocks[0]["upto"], dtype=np.int64), np.asarray(blocks[0]["ends"], dtype=np.int64)
-    if len(blocks) > 1:
+    upto, ends = tables[0]
+    if len(tables) > 1:
         # a window that outlasts the events of the first block ends before the second one
         upto = np.append(upto, np.iinfo(np.int64).max)
-        ends = np.append(ends, np.asarray(blocks[1]["ends"])[0])
-    for i, block in enumerate(blocks[1:]):
-        moved = _then(ends, block, width)
+        ends = np.append(ends, tables[1][1][0])
+    for i, table in enumerate(tables[1:]):
+        moved = _then(ends, table, width)
         ends = np.append(moved[:-1], ends[-1]) if i == 0 else moved
     keep = np.append(ends[1:] != ends[:-1], True)
     return upto[keep], ends[keep]
 
 
-def _follow(blocks, width: int, carried: int | None) -> list[dict]:
-    """The start of the window carried into each block, in order; None while no window has opened."""
-    out = []
-    for b in blocks:
-        out.append({"no": int(b["no"]), "carried": carried})
-        carried = int(b["ends"][0]) if carried is None else int(_then(np.array([carried]), b, width)[0])
+def _follow(tables: list[tuple[np.ndarray, np.ndarray]], width: int, carried: int) -> np.ndarray:
+    """The start of the window carried into each block, in order."""
+    out = np.empty(len(tables), dtype=np.int64)
+    for i, (upto, ends) in enumerate(tables):
+        out[i] = carried
+        at = 0 if carried == NONE else int(np.searchsorted(upto, carried + width, side="left"))
+        if at < len(upto):
+            carried = int(ends[at])
     return out
 
 
-def _int_or_none(v) -> int | None:
-    return None if pd.isna(v) else int(v)
-
-
 def anchored_windows(
-    df: DataFrame, keys: Sequence[str], ts: str, width: int, block_widths: int = 4, group_blocks: int = 128
+    df: DataFrame, keys: Sequence[str], ts: str, width: int, block_widths: int = 8, group_blocks: int = 128
 ) -> DataFrame:
     """Add `window_start`: a window opens at the first event of a key, lasts `width`, and the next event
     at or after its end opens the next one. `ts` and `width` are whole numbers of one unit.
@@ -207,34 +216,42 @@ def anchored_windows(
         return pd.DataFrame({"upto": [m[0] for m in made], "ends": [m[1] for m in made]})
 
     @F.pandas_udf("upto array<bigint>, ends array<bigint>")
-    def compose(blocks: pd.Series) -> pd.DataFrame:
-        made = [_compose(b, width) for b in blocks]
+    def compose(sizes: pd.Series, upto: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        made = [_compose(_cut(*row), width) for row in zip(sizes, upto, ends)]
         return pd.DataFrame({"upto": [m[0] for m in made], "ends": [m[1] for m in made]})
 
-    @F.pandas_udf("array<struct<no:bigint,carried:bigint>>")
-    def follow(blocks: pd.Series, carried: pd.Series) -> pd.Series:
-        return pd.Series([_follow(b, width, _int_or_none(c)) for b, c in zip(blocks, carried)])
+    @F.pandas_udf("array<bigint>")
+    def follow(sizes: pd.Series, upto: pd.Series, ends: pd.Series, carried: pd.Series) -> pd.Series:
+        return pd.Series([_follow(_cut(*row), width, c) for *row, c in zip(sizes, upto, ends, carried)])
 
     @F.pandas_udf("array<bigint>")
     def starts(carried: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series(
-            [_starts_from(np.asarray(t, dtype=np.int64), _int_or_none(c), width) for c, t in zip(carried, at)]
+        return pd.Series([_starts_from(np.asarray(t, dtype=np.int64), c, width) for c, t in zip(carried, at)])
+
+    def in_order(rows: DataFrame, by: Sequence[str], no: str) -> DataFrame:
+        """The tables of consecutive blocks of each `by`, stored end to end."""
+        row = F.struct(F.col(no).alias("no"), F.col("_t.upto"), F.col("_t.ends"))
+        listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+        return listed.select(
+            *by,
+            F.col("_rows.no").alias("_nos"),
+            F.transform("_rows", lambda r: F.size(r["upto"])).alias("_sizes"),
+            F.flatten("_rows.upto").alias("_upto"),
+            F.flatten("_rows.ends").alias("_ends"),
         )
 
-    def in_order(rows: DataFrame, by: Sequence[str], no: str, table: str) -> DataFrame:
-        row = F.struct(F.col(no).alias("no"), F.col(f"{table}.upto"), F.col(f"{table}.ends"))
-        return rows.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    def entries(rows: DataFrame, carried: Column, no: str) -> DataFrame:
+        staged = rows.withColumn("_into", follow("_sizes", "_upto", "_ends", carried))
+        pair = F.zip_with("_nos", "_into", lambda n, c: F.struct(n.alias("no"), c.alias("carried")))
+        return inline_rows(staged, keys, pair, "no").withColumnRenamed("no", no)
 
     # at most one block of distinct times per array, one group of tables per array
     times = with_block.groupBy(*keys, "_block").agg(F.sort_array(F.collect_set(ts)).alias("_times"))
     per_block = times.select(*keys, "_block", group, tables("_block", "_times").alias("_t"))
-    per_group = in_order(per_block, [*keys, "_group"], "_block", "_t")
-    short = per_group.select(*keys, "_group", compose("_rows").alias("_t"))
-    into_group = inline_rows(
-        in_order(short, keys, "_group", "_t"), keys, follow("_rows", F.lit(None).cast("bigint")), "no"
-    ).withColumnRenamed("no", "_group")
-    with_entry = join_on(per_group, into_group, [*keys, "_group"])
-    into_block = inline_rows(with_entry, keys, follow("_rows", "carried"), "no").withColumnRenamed("no", "_block")
+    per_group = in_order(per_block, [*keys, "_group"], "_block")
+    short = per_group.select(*keys, "_group", compose("_sizes", "_upto", "_ends").alias("_t"))
+    into_group = entries(in_order(short, keys, "_group"), F.lit(int(NONE)).cast("bigint"), "_group")
+    into_block = entries(join_on(per_group, into_group, [*keys, "_group"]), F.col("carried"), "_block")
     known = join_on(times, into_block, [*keys, "_block"]).select(
         *keys, "_block", starts("carried", "_times").alias("_starts")
     )

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import hushframe
+
+# Python workers get the library's functions by value: the queries also run where the package is not
+# installed on the machines of the cluster.
+for _package in (hushframe, sys.modules["queries"]):
+    cloudpickle.register_pickle_by_value(_package)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
