@@ -7,7 +7,7 @@ handled in one projection. Paths join keys by `.` and add `[]` per array level.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -426,9 +426,8 @@ def doc_replace(
     """
     test = where or (lambda _: F.lit(True))
     kind = df.schema[doc_col].dataType
-    hits: list[Column] = []
 
-    def change(node: Column, k: T.DataType, at: str, found: Callable[[Column], None] | None) -> tuple[Column, Column]:
+    def change(node: Column, k: T.DataType, at: str) -> tuple[Column, Column]:
         """(new node, number of changes below it)."""
         zero = F.lit(0)
         if isinstance(k, T.StringType):
@@ -439,7 +438,7 @@ def doc_replace(
         if isinstance(k, T.StructType):
             fields, counts = [], []
             for f in k.fields:
-                value, n = change(node.getField(f.name), f.dataType, f"{at}.{f.name}" if at else f.name, found)
+                value, n = change(node.getField(f.name), f.dataType, f"{at}.{f.name}" if at else f.name)
                 fields.append(value.alias(f.name))
                 counts.append(n)
             total = sum(counts[1:], counts[0]) if counts else zero
@@ -448,8 +447,8 @@ def doc_replace(
             inner = f"{at}[]"
             if not (path == inner or path.startswith((inner + ".", inner + "[]"))):
                 return node, zero
-            value = F.transform(node, lambda x: change(x, k.elementType, inner, found)[0])
-            counts = F.transform(node, lambda x: change(x, k.elementType, inner, found)[1])
+            value = F.transform(node, lambda x: change(x, k.elementType, inner)[0])
+            counts = F.transform(node, lambda x: change(x, k.elementType, inner)[1])
             return value, F.coalesce(F.aggregate(counts, F.lit(0), lambda a, n: a + n), zero)
         if isinstance(k, T.MapType):
             if keys and at == path:
@@ -463,7 +462,7 @@ def doc_replace(
             return value, F.when(node.isNull(), 0).otherwise(n)
         return node, zero
 
-    value, count = change(F.col(doc_col), kind, "", None)
+    value, count = change(F.col(doc_col), kind, "")
     return df.withColumns({"replaced": count.cast("bigint"), doc_col: value})
 
 

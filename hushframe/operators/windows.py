@@ -200,7 +200,7 @@ def anchored_windows(
     """Add `window_start`: a window opens at the first event of a key, lasts `width`, and the next event
     at or after its end opens the next one. `ts` and `width` are whole numbers of one unit.
 
-    Each key is cut into blocks of `block_widths` windows. Per block a short table says where the last
+    Each key is cut into blocks of `block_widths` windows; the distinct times of one block fit a task. Per block a short table says where the last
     window starts for every time a carried window may end; windows soon fall into step, so the table of
     `group_blocks` blocks put together is shorter still. Only those are followed in order per key, then
     the blocks inside each group, then the events inside each block.

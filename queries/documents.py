@@ -8,7 +8,7 @@ from hushframe.functions.text import query_path
 from hushframe.operators import documents as docs
 from hushframe.operators import labels as labelling
 from hushframe.plans import jobs
-from hushframe.plans.policy import Detection, OverlayRule, PathLabel, Policy
+from hushframe.plans.policy import OverlayRule, PathLabel, Policy
 from queries.base import Tables, partial_sql, query
 from queries.derived import ORDER_LEAVES, ORDERS_JOINED, order_documents
 

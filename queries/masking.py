@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hushframe.functions import text
 from hushframe.operators import columns as cols
 from hushframe.operators import labels as labelling
 from hushframe.plans import jobs
-from hushframe.plans.policy import Detection, OverlayRule, PathLabel, Policy, classify_columns
+from hushframe.plans.policy import OverlayRule, PathLabel, Policy, classify_columns
 from hushframe.sources import rules, sinks, tables
 from hushframe.operators.documents import doc_walk
 from hushframe.session import shared_folder

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from hushframe.operators import detect
 from hushframe.plans.policy import Anonymizer, Detection, Recognizer

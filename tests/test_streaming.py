@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hushframe.operators import labels, sampling, windows
+from hushframe.operators import labels, windows
 from hushframe.operators.metrics import masking_metrics
 from hushframe.operators.sessions import session_join
 from hushframe.plans.policy import Policy
