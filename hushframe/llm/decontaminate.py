@@ -12,6 +12,7 @@ documents each count as they stand; an empty benchmark hits nothing; all columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -169,7 +170,7 @@ def verbatim_matches(
     for k in range(parts):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).distinct().orderBy("i", "t").collect()
         part = TestPart([(r["i"], r["t"].encode()) for r in rows], window)
-        sent = docs.sparkSession.sparkContext.broadcast(part)
+        sent = docs.sparkSession.sparkContext.broadcast(SimpleNamespace(**vars(part)))
         docs = docs.withColumn(result, _search(sent)(F.col(text), spans))
         spans = F.col(f"{result}.spans")
     return docs
