@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hushframe.llm.common import Lexicon, numbered, texts_of, written
 
 BLOCK_IDS = 1 << 18
-BLOCKS = "part long, block long, doc_ids array<long>, queues array<string>, sizes array<long>, ids binary"
+BLOCKS = "part long, block long, at long, doc_ids array<long>, queues array<string>, sizes array<long>, ids binary"
 
 
 def chunk_encoder(spec: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
@@ -73,19 +73,19 @@ def unpacked(data: bytes) -> np.ndarray:
 def token_blocks(docs: DataFrame, doc_id: Column, queue: Column, text: Column, path: str, end: int, name: str) -> DataFrame:
     """Blocks of whole documents in the order of the rows, written to the shared folder.
 
-    A block has at least `BLOCK_IDS` ids or is the last of its partition; a longer document is a block by itself.
+    `at` counts the partition's ids before the block. A block has at least `BLOCK_IDS` ids or is the last of its partition; a longer document is a block by itself.
     """
     with open(path, encoding="utf-8") as file:
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = chunk_encoder(spec.value), TaskContext.get().partitionId()
-        block, held = 0, []
+        block, at, held = 0, 0, []
 
         def out() -> pa.RecordBatch:
             ids, queues, sizes, parts = (sum((h[k] for h in held), []) for k in range(4))
-            row = [[part], [block], [ids], [queues], [sizes], [packed(np.concatenate(parts))]]
-            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
+            row = [[part], [block], [at], [ids], [queues], [sizes], [packed(np.concatenate(parts))]]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], [c.split()[0] for c in BLOCKS.split(", ")])
 
         count = 0
@@ -101,7 +101,7 @@ def token_blocks(docs: DataFrame, doc_id: Column, queue: Column, text: Column, p
                 count += int(ends[last - 1] - before)
                 if count >= BLOCK_IDS:
                     yield out()
-                    block, count, held = block + 1, 0, []
+                    block, at, count, held = block + 1, at + count, 0, []
                 first = last
         if held:
             yield out()
