@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,17 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def slices(column: pa.Array, most: int = 8 << 20) -> Iterator[pa.Array]:
+    """The texts in runs of at most `most` bytes (a longer text alone), to bound what a worker holds at a time."""
+    ends = np.cumsum(np.array(pc.fill_null(pc.binary_length(column), 0), np.int64))
+    first = 0
+    while first < len(column):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield column.slice(first, last - first)
+        first = last
+
+
 def fmix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

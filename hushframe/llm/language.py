@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import Lexicon, fmix, numbered, sums, texts_of, written
+from hushframe.llm.common import Lexicon, fmix, numbered, slices, sums, texts_of, written
 
 ORDERS = (3, 4, 5)
 PROBES = 3
@@ -60,20 +60,26 @@ def grams(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, langs = texts_of(batch.column(0)), batch.column(1).to_pylist()
-        lexicon = Lexicon()
-        ids, sizes = numbered([t.split() for t in texts], lexicon)
-        hashes, owner, _ = grams(list(lexicon))
-        names = sorted(set(langs))
-        of = np.repeat(np.array([names.index(x) for x in langs], np.int64), sizes)
-        for k, name in enumerate(names):
-            times = np.bincount(ids[of == k], minlength=len(lexicon))[owner]
-            some = times > 0
-            gram, inverse = np.unique(hashes[some], return_inverse=True)
-            n = np.bincount(inverse, weights=times[some], minlength=len(gram)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.view(np.int64)), pa.array([name] * len(gram), pa.string()), pa.array(n)], ["gram", "lang", "n"]
-            )
+        first = 0
+        for some in slices(batch.column(0)):
+            yield from _counts(texts_of(some), batch.column(1).slice(first, len(some)).to_pylist())
+            first += len(some)
+
+
+def _counts(texts: list[bytes], langs: list[str]) -> Iterator[pa.RecordBatch]:
+    lexicon = Lexicon()
+    ids, sizes = numbered([t.split() for t in texts], lexicon)
+    hashes, owner, _ = grams(list(lexicon))
+    names = sorted(set(langs))
+    of = np.repeat(np.array([names.index(x) for x in langs], np.int64), sizes)
+    for k, name in enumerate(names):
+        times = np.bincount(ids[of == k], minlength=len(lexicon))[owner]
+        some = times > 0
+        gram, inverse = np.unique(hashes[some], return_inverse=True)
+        n = np.bincount(inverse, weights=times[some], minlength=len(gram)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(gram.view(np.int64)), pa.array([name] * len(gram), pa.string()), pa.array(n)], ["gram", "lang", "n"]
+        )
 
 
 class Filter:
@@ -164,7 +170,11 @@ def identify(spark, f: Filter, text: Column) -> Column:
     @F.arrow_udf(RESULT)
     def identified(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            names, scores = decide(texts_of(column), sent.value)
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+            names, scores = [], [np.zeros(0)]
+            for some in slices(column):
+                found, score = decide(texts_of(some), sent.value)
+                names += found
+                scores.append(score)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang", "score"])
 
     return identified(text)

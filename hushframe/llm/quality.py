@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import Lexicon, fmix, numbered, settled_labels, sums, texts_of, word_hashes
+from hushframe.llm.common import Lexicon, fmix, numbered, settled_labels, slices, sums, texts_of, word_hashes
 from hushframe.llm.ftrl import SPARSE, fitted, labelled_sample
 
 WIDTH = 1 << 18
@@ -60,11 +60,12 @@ def features(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 @F.arrow_udf(SPARSE)
 def sparse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in batches:
-        at, sizes = features(texts_of(column), WIDTH)
         rows = []
-        for part in np.split(at, np.cumsum(sizes)[:-1]) if len(sizes) else []:
-            number, count = np.unique(part, return_counts=True)
-            rows.append({"at": number.tolist(), "by": (count * (SCALE / max(1, len(part)))).tolist()})
+        for some in slices(column):
+            at, sizes = features(texts_of(some), WIDTH)
+            for part in np.split(at, np.cumsum(sizes)[:-1]):
+                number, count = np.unique(part, return_counts=True)
+                rows.append({"at": number.tolist(), "by": (count * (SCALE / max(1, len(part)))).tolist()})
         yield pa.array(rows, pa.struct([("at", pa.list_(pa.int32())), ("by", pa.list_(pa.float32()))]))
 
 
@@ -82,8 +83,11 @@ def score(spark, weights: np.ndarray, text: Column) -> Column:
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = sent.value.astype(np.float64)
         for column in batches:
-            at, sizes = features(texts_of(column), WIDTH)
-            total = sums(w[at].sum(axis=1), sizes) * SCALE / np.maximum(sizes, 1) + w[-1]
-            yield pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))
+            made = [np.zeros(0)]
+            for some in slices(column):
+                at, sizes = features(texts_of(some), WIDTH)
+                total = sums(w[at].sum(axis=1), sizes) * SCALE / np.maximum(sizes, 1) + w[-1]
+                made.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
+            yield pa.array(np.concatenate(made))
 
     return scored(text)

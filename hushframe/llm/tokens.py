@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import Lexicon, numbered, texts_of, written
+from hushframe.llm.common import Lexicon, numbered, slices, texts_of, written
 
 BLOCK_IDS = 1 << 18
 BLOCKS = "part long, block long, at long, doc_ids array<long>, queues array<string>, sizes array<long>, ids binary"
@@ -52,6 +52,16 @@ def chunk_encoder(spec: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.nda
     return encode
 
 
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, pa.Array]]:
+    """Ids, queues and texts of the rows, a bounded part at a time."""
+    for batch in batches:
+        first = 0
+        for some in slices(batch.column(2)):
+            ids, queues = (batch.column(c).slice(first, len(some)).to_pylist() for c in (0, 1))
+            yield ids, queues, some
+            first += len(some)
+
+
 def with_end(flat: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The end id after each text's ids."""
     return np.insert(flat, np.cumsum(sizes), np.uint32(end)), sizes + 1
@@ -89,15 +99,14 @@ def token_blocks(docs: DataFrame, doc_id: Column, queue: Column, text: Column, p
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], [c.split()[0] for c in BLOCKS.split(", ")])
 
         count = 0
-        for batch in batches:
-            flat, sizes = with_end(*encode(texts_of(batch.column(2))), end)
+        for doc_ids, queues, some in parts_of(batches):
+            flat, sizes = with_end(*encode(texts_of(some)), end)
             ends = np.cumsum(sizes)
-            ids, queues = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             first = 0
             while first < len(sizes):
                 before = ends[first] - sizes[first]
                 last = min(len(sizes), int(np.searchsorted(ends, before + BLOCK_IDS - count)) + 1)
-                held.append((ids[first:last], queues[first:last], sizes[first:last].tolist(), [flat[before : ends[last - 1]]]))
+                held.append((doc_ids[first:last], queues[first:last], sizes[first:last].tolist(), [flat[before : ends[last - 1]]]))
                 count += int(ends[last - 1] - before)
                 if count >= BLOCK_IDS:
                     yield out()
