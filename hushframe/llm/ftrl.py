@@ -42,9 +42,13 @@ def fitted(sample: DataFrame, width: int, **options) -> np.ndarray:
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for batch in batches:
-            for i, y, x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "x"))):
-                at = np.append(np.array(x["at"], np.int64), width)
-                rows.append((str(i), y, at, np.append(np.array(x["by"], np.float64), 1.0)))
+            x = batch.column("x")
+            at, by = x.field("at"), x.field("by")
+            ends = at.offsets.to_numpy()
+            at, by = at.values.to_numpy(), by.values.to_numpy()
+            for k, (i, y) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist())):
+                own = slice(ends[k], ends[k + 1])
+                rows.append((str(i), y, np.append(at[own], np.int32(width)), np.append(by[own], np.float32(1))))
         rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
         weights = fit([r[1:] for r in rows], width, **options)
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()])], ["weights"])
