@@ -30,9 +30,10 @@ def numbered(lists: list[list[bytes]], lexicon: Lexicon) -> tuple[np.ndarray, np
 
 def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sum of each consecutive run of `sizes` values; 0 for empty runs."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)])
-    ends = np.cumsum(sizes)
-    return total[ends] - total[ends - sizes]
+    out, some = np.zeros((len(sizes), *values.shape[1:]), values.dtype), sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some], axis=0)
+    return out
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -74,12 +75,12 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """The rows, written to the shared folder and read back: a cut that survives lost executors."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*[by] if by else []).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def settled_labels(labels: DataFrame, doc_id: str, label: str) -> DataFrame:

@@ -224,10 +224,10 @@ def similar_classes(docs: DataFrame, doc_id: str, text: str, threshold: float, t
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
-    """Per row: doc_id, n_links (other rows linked to it), component_id (least id of its component), kept.
+    """Per row: doc_id, n_links (other rows linked to it), component_id (least id of its component), kept, fp.
 
     Links are between rows with a similarity of `threshold` or more, copies included. `kept` holds for the rows
-    whose id names their component.
+    whose id names their component. `fp` tells texts of the same words, null without words.
     """
     rows, classes, found = similar_classes(docs, doc_id, text, threshold, trees, recall)
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
@@ -239,7 +239,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     by_class = by_class.select(
         "fp", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("name", "least").alias("component_id")
     )
-    alone: Column = F.col("fp").isNull()
-    out = rows.where(~alone).select("doc_id", "fp").join(by_class, "fp").select("doc_id", "n_links", "component_id")
-    out = out.union(rows.where(alone).select("doc_id", F.lit(0).cast("long"), "doc_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = rows.where("fp is not null").select("doc_id", "fp").join(by_class, "fp").select("doc_id", "n_links", "component_id", "fp")
+    out = out.union(rows.where("fp is null").select("doc_id", F.lit(0).cast("long"), "doc_id", "fp"))
+    return out.select("doc_id", "n_links", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "fp")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One document of each component, with the columns it came with; texts without words all stay.
+
+    Rows without an id stay only in components without any id, one for each of their texts.
+    """
+    kept = near_duplicates(docs, doc_id, text, **options).where("kept and fp is not null")
+    kept = kept.groupBy(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).agg(F.count("*").alias("_n"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.select(F.struct(*columns).alias("_row"), F.col(doc_id).cast("long").alias("_of"), _signed(1, 1)(F.col(text)).alias("_s"))
+    named = written(named.select("_row", "_of", F.col("_s.fp").alias("_print")), "neardup")
+    met = named.where("_print is not null").join(kept, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_fp")))
+    repeated = met.where("_n > 1").groupBy("_id", "_fp").agg(F.first("_row").alias("_row"))
+    return named.where("_print is null").select("_row.*").union(met.where("_n = 1").select("_row.*")).union(repeated.select("_row.*"))
