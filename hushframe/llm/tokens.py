@@ -3,50 +3,85 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import Lexicon, numbered, slices, texts_of, written
+from hushframe.llm.common import slices, written
 
 BLOCK_IDS = 1 << 18
 BLOCKS = "part long, block long, at long, doc_ids array<long>, queues array<string>, sizes array<long>, ids binary"
 
 
-def chunk_encoder(spec: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
-    """Ids of all texts, one after another, and their number per text.
+#: A word of letters whose small forms and compositions are plain, with the punctuation behind it.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Distinct parts that a task keeps the ids of.
+KEPT_PARTS = 1_500_000
 
-    The tokenizer drops white space and never joins what it parts, so each distinct run of other characters is
-    encoded once per task. Special tokens' strings in a text are ordinary text.
+
+def chunk_encoder(spec: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Ids of all texts of a column, one after another, and their number per text.
+
+    The tokenizer drops white space and never joins what it parts, so the distinct runs of other characters are
+    encoded once, and of plain words the letters and the punctuation apart, as the tokenizer parts them too.
+    Special tokens' strings in a text are ordinary text.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(spec)
     tokenizer.encode_special_tokens = True
-    lexicon, store = Lexicon(), [np.zeros(0, np.uint32)]
-    lengths = [np.zeros(0, np.int64)]
-
-    def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(lexicon) > 2_000_000:  # the memory of a task stays bounded
-            lexicon.clear()
-            store[:], lengths[:] = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        known = len(lexicon)
-        words, sizes = numbered([t.split() for t in texts], lexicon)
-        new = [w.decode("utf-8", "replace") for w in list(lexicon)[known:]]
-        for i in range(0, len(new), 10_000):
-            made = [e.ids for e in tokenizer.encode_batch_fast(new[i : i + 10_000], add_special_tokens=False)]
-            lengths.append(np.fromiter(map(len, made), np.int64, len(made)))
-            store.append(np.fromiter((x for ids in made for x in ids), np.uint32, int(lengths[-1].sum())))
-        store[:], lengths[:] = [np.concatenate(store)], [np.concatenate(lengths)]
-        starts, each = (np.cumsum(lengths[0]) - lengths[0])[words], lengths[0][words]
-        total = np.cumsum(each)
-        flat = store[0][np.repeat(starts - (total - each), each) + np.arange(total[-1] if len(total) else 0)]
-        ends = np.concatenate([[0], total])[np.cumsum(sizes)]
+    known: dict[str, bytes] = {"": b""}
+
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for w, i in tokenizer.get_vocab().items() if suffix and w.endswith(suffix)]] = True
+
+    def learn(parts: list[str]) -> None:
+        for part, e in zip(parts, tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
+            known[part] = array("I", e.ids).tobytes()
+
+    def learn_words(words: list[str]) -> None:
+        """Words of letters: many in one text cost less, and each ends at an id with the end-of-word suffix."""
+        lines = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+        ids = [array("I", e.ids) for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in ids)])
+        cuts = np.flatnonzero(ends[flat]) + 1
+        if len(cuts) != len(words):
+            return learn(words)
+        data = flat.astype(np.uint32).tobytes()
+        for word, first, last in zip(words, [0, *cuts[:-1].tolist()], cuts.tolist()):
+            known[word] = data[4 * first : 4 * last]
+
+    def encode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(known) > KEPT_PARTS:  # the memory of a task stays bounded
+            known.clear()
+            known[""] = b""
+        texts = pc.fill_null(column, "").cast(pa.large_string())
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        parts = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(c)) else (c, "") for c in chunks]
+        new = {x for both in parts for x in both if x not in known}
+        words = [x for x in new if (m := PLAIN.fullmatch(x)) and not m[2]]
+        learn_words(words)
+        learn(list(new.difference(words)))
+        each = [known[w] + known[p] for w, p in parts]
+        store = np.frombuffer(b"".join(each), np.uint32)
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        words = coded.indices.to_numpy()
+        starts, lengths = (np.cumsum(size) - size)[words], size[words]
+        total = np.cumsum(lengths)
+        flat = store[np.repeat(starts - (total - lengths), lengths) + np.arange(total[-1] if len(total) else 0)]
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], total])[np.cumsum(counts)]
         return flat, np.diff(ends, prepend=0)
 
     return encode
@@ -100,7 +135,7 @@ def token_blocks(docs: DataFrame, doc_id: Column, queue: Column, text: Column, p
 
         count = 0
         for doc_ids, queues, some in parts_of(batches):
-            flat, sizes = with_end(*encode(texts_of(some)), end)
+            flat, sizes = with_end(*encode(some), end)
             ends = np.cumsum(sizes)
             first = 0
             while first < len(sizes):
