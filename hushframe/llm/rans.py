@@ -31,8 +31,8 @@ from hushframe.llm.tokens import token_blocks, unpacked
 from hushframe.session import shared_folder
 
 SCALE = 20
-LANES = 1024
-CHECK = 64
+LANES = 4096
+CHECK = 32
 LOW = np.uint64(1 << 31)
 HEAD = "<4sIQIIIQI"
 FILE = "part long, block long, first long, doc_ids array<long>, sizes array<long>, data binary"

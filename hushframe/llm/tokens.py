@@ -103,16 +103,20 @@ def with_end(flat: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray,
 
 
 def packed(ids: np.ndarray) -> bytes:
+    """Compressed ids, byte by byte of their places; two bytes each if they fit."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
+    planes = ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+    width = data[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(-1)
 
 
 def token_blocks(docs: DataFrame, doc_id: Column, queue: Column, text: Column, path: str, end: int, name: str) -> DataFrame:
