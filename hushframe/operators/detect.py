@@ -170,7 +170,7 @@ def _order_spans(spans: Column) -> Column:
             s.alias("span"),
         ),
     )
-    return F.transform(F.array_sort(keyed), lambda k: k["span"])
+    return F.transform(F.sort_array(keyed), lambda k: k["span"])
 
 
 def span_array(text: Column, d: Detection | None = None) -> Column:
@@ -376,6 +376,46 @@ def detector_call(detector: Detector, columns: Sequence[Column], min_len: int =
     return udf(*[F.when(eligible(c, min_len), c) for c in columns])
 
 
+def detector_over(detector: Detector, texts: Column, min_len: int = 4) -> Column:
+    """Run a plugged-in detector on arrays of texts, one call per Arrow batch; one entry per text."""
+
+    def run(arrays: pd.Series) -> pd.Series:
+        flat = [t for a in arrays for t in (a if a is not None else ())]
+        try:
+            found = list(detector(flat)) if flat else []
+            failed = len(found) != len(flat)
+        except Exception:
+            found, failed = [], True
+        out, at = [], 0
+        for a in arrays:
+            entries = []
+            for text in a if a is not None else ():
+                spans = [] if failed else [
+                    {"entity_type": s["entity_type"], "start": int(s["start"]), "end": int(s["end"]), "score": float(s["score"]), "text": text[int(s["start"]) : int(s["end"])]}
+                    for s in found[at]
+                ]
+                entries.append({"spans": spans, "failed": failed})
+                at += 1
+            out.append(entries)
+        return pd.Series(out)
+
+    run.__annotations__ = {"arrays": pd.Series, "return": pd.Series}
+    udf = F.pandas_udf(run, f"array<struct<spans:{SPANS},failed:boolean>>")
+    return udf(F.transform(texts, lambda t: F.when(eligible(t, min_len), t).otherwise(F.lit(""))))
+
+
+def masked_texts(texts: Column, d: Detection) -> Column:
+    """Every text of an array, masked by its content; by the plugged-in detector where there is one."""
+    if d.detector is None:
+        return F.transform(texts, lambda t: mask_text(t, d))
+
+    def spliced(text: Column, entry: Column) -> Column:
+        on_failure = F.raise_error(F.lit("detector unavailable")).cast("string") if d.strict else text
+        return F.when(entry["failed"] & eligible(text, d.min_len), on_failure).otherwise(_splice_found(text, filter_spans(entry["spans"], d), d))
+
+    return F.zip_with(texts, detector_over(d.detector, texts, d.min_len), spliced)
+
+
 def filter_spans(spans: Column, d: Detection) -> Column:
     """Entity list, threshold and allow list on spans a plugged-in detector gave."""
     wanted = tuple(d.entities or DEFAULT_ENTITIES)

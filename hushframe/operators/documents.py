@@ -1,8 +1,12 @@
 """Nested documents: list their leaves, mask them by path, rewrite them.
 
-Typed columns (struct, array, map) are walked by their schema. Documents without a schema are JSON text
-or VARIANT; they are walked to the depth that one pass over the data measured. Either way a document is
-handled in one projection. Paths join keys by `.` and add `[]` per array level.
+Typed columns (struct, array, map) are walked by their schema. Documents without a schema are JSON text or
+VARIANT: one function turns each into a flat list of leaves, the rules run over that list, and the values are put
+back, so the plan is the same for any depth. Paths join keys by `.` and add `[]` per array level.
+
+Nothing that should be masked passes unread: a text that begins like a document but cannot be read (broken, or more
+than `MAX_DEPTH` levels) goes through content detection as plain text, or is replaced as a whole if there is none;
+`doc_state` flags it, and strict mode stops the job.
 """
 
 from __future__ import annotations
@@ -15,7 +19,8 @@ from pyspark.sql import types as T
 
 from hushframe.functions.text import inline_rows, let, partial_mask
 from hushframe.operators import columns as cols
-from hushframe.operators.detect import mask_text
+from hushframe.operators.detect import mask_text, masked_texts
+from hushframe.operators.json_docs import MAX_DEPTH, SECRET, filled, rebuilt, secrets_hidden, walked
 from hushframe.plans.policy import (
     REDACTED,
     ColumnPolicy,
@@ -26,25 +31,13 @@ from hushframe.plans.policy import (
     resolve_labels,
 )
 
-MAX_DEPTH = 100
+__all__ = ["MAX_DEPTH", "SECRET", "depth_guard", "doc_mask", "doc_replace", "doc_state", "doc_walk", "json_depth", "secret_manifest_mask"]
+
 LEAVES = "array<struct<path:string,key:string,value:string,is_key:boolean>>"
-SECRET = "***redacted***"
 
 _STRINGS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 
 
-def _as_map(node: Column) -> Column:
-    return F.try_variant_get(node, "$", "map<string,variant>")
-
-
-def _as_array(node: Column) -> Column:
-    return F.try_variant_get(node, "$", "array<variant>")
-
-
-def _is_string(node: Column) -> Column:
-    return F.schema_of_variant(node) == "STRING"
-
-
 def _join(path: Column, key: Column) -> Column:
     return F.when(path == "", key).otherwise(F.concat(path, F.lit("."), key))
 
@@ -78,12 +71,9 @@ def depth_guard(df: DataFrame, doc_col: str, max_depth: int = MAX_DEPTH, strict:
     return df.withColumn("too_deep", deep)
 
 
-def measured_depth(df: DataFrame, doc_col: str, max_depth: int = MAX_DEPTH) -> int:
-    """Deepest document of a column, one aggregation over it; deeper than allowed is an error."""
-    top = df.agg(F.max(json_depth(_text_of(df, doc_col)))).first()[0] or 0
-    if top - 1 > max_depth:
-        raise ValueError(f"document nesting exceeds {max_depth} levels")
-    return top
+def doc_state(df: DataFrame, doc_col: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Add `doc_state`: json, text (plain text), broken (begins like a document), deep, or null."""
+    return df.withColumn("doc_state", walked(_text_of(df, doc_col), max_depth)["state"])
 
 
 def _leaf(path: Column, key: Column, value: Column, is_key: bool) -> Column:
@@ -106,32 +96,38 @@ def _has_variant(kind: T.DataType) -> bool:
     return isinstance(kind, T.VariantType)
 
 
-def _levels(df: DataFrame, doc_col: str, depth: int | None) -> int:
-    """Depth to unroll: as given, as measured where there is a part without a schema, else 0."""
-    kind = df.schema[doc_col].dataType
-    if depth is not None:
-        return depth
-    return measured_depth(df, doc_col) if isinstance(kind, T.StringType) or _has_variant(kind) else 0
+def _through_json(kind: T.DataType) -> bool:
+    """A part of a typed document that is walked as JSON: a VARIANT, or a collection with one inside."""
+    return isinstance(kind, T.VariantType) or isinstance(kind, (T.ArrayType, T.MapType)) and _has_variant(kind)
 
 
-def _typed_leaves(node: Column, kind: T.DataType, path: Column, depth: int = 0) -> Column | None:
+def _plain_leaves(found: Column) -> Column:
+    """The string values and keys of a walk, in the shape of LEAVES."""
+    some = F.filter(found["leaves"], lambda x: x["kind"].isin("key", "string"))
+    return F.transform(
+        some,
+        lambda x: F.struct(x["path"].alias("path"), x["key"].alias("key"), x["value"].alias("value"), (x["kind"] == "key").alias("is_key")),
+    )
+
+
+def _typed_leaves(node: Column, kind: T.DataType, path: Column, at: str = "") -> Column | None:
     """Leaves of a typed node; None for a type that holds none."""
     if isinstance(kind, T.StringType):
         own = F.array(_leaf(path, _last_segment(path), node, False))
         return F.when(node.isNull(), _no_leaves()).otherwise(own)
-    if isinstance(kind, T.VariantType):
-        return F.when(node.isNull(), _no_leaves()).otherwise(_variant_leaves(node, path, depth))
+    if _through_json(kind):
+        return F.coalesce(_plain_leaves(walked(F.to_json(node), prefix=at)), _no_leaves())
     if isinstance(kind, T.ArrayType):
         inner = F.concat(path, F.lit("[]"))
-        if _typed_leaves(F.lit(None), kind.elementType, inner, depth) is None:
+        if _typed_leaves(F.lit(None), kind.elementType, inner) is None:
             return None
-        parts = F.transform(node, lambda x: _typed_leaves(x, kind.elementType, inner, depth))
+        parts = F.transform(node, lambda x: _typed_leaves(x, kind.elementType, inner))
         return F.coalesce(F.flatten(parts), _no_leaves())
     if isinstance(kind, T.MapType):
 
         def entry(e: Column) -> Column:
             own = F.array(_leaf(path, e["key"], e["key"], True))
-            below = _typed_leaves(e["value"], kind.valueType, _join(path, e["key"]), depth)
+            below = _typed_leaves(e["value"], kind.valueType, _join(path, e["key"]))
             return own if below is None else F.concat(own, below)
 
         return F.coalesce(F.flatten(F.transform(F.map_entries(node), entry)), _no_leaves())
@@ -140,61 +136,33 @@ def _typed_leaves(node: Column, kind: T.DataType, path: Column, depth: int = 0)
         for f in sorted(kind.fields, key=lambda f: f.name):
             key = F.lit(f.name)
             parts.append(F.array(_leaf(path, key, key, True)))
-            below = _typed_leaves(node.getField(f.name), f.dataType, _join(path, key), depth)
+            below = _typed_leaves(node.getField(f.name), f.dataType, _join(path, key), f"{at}.{f.name}" if at else f.name)
             if below is not None:
                 parts.append(below)
         return F.when(node.isNull(), _no_leaves()).otherwise(F.concat(*parts) if parts else _no_leaves())
     return None
 
 
-def _children(node: Column, path: Column) -> Column:
-    """Entries of a VARIANT object or array with the path of each; null for a scalar."""
-
-    def entry(key: Column, value: Column, at: Column) -> Column:
-        return F.struct(key.alias("key"), value.alias("value"), at.alias("path"))
-
-    of_map = F.transform(F.map_entries(_as_map(node)), lambda e: entry(e["key"], e["value"], _join(path, e["key"])))
-    inner = F.concat(path, F.lit("[]"))
-    of_array = F.transform(_as_array(node), lambda x: entry(F.lit(None).cast("string"), x, inner))
-    return F.coalesce(of_map, of_array)
+def _raise_unread(state: Column) -> Column:
+    """Stops the job for a text that begins like a document and cannot be read."""
+    why = F.when(state == "deep", F.lit("document nesting exceeds limit")).otherwise(F.lit("document cannot be read"))
+    return F.when(state.isin("deep", "broken"), F.raise_error(why).cast("boolean")).otherwise(F.lit(True))
 
 
-def _variant_leaves(node: Column, path: Column, depth: int) -> Column:
-    string = F.when(
-        _is_string(node),
-        F.array(_leaf(path, _last_segment(path), node.cast("string"), False)),
-    ).otherwise(_no_leaves())
-    if depth == 0:
-        return string
-
-    def below(e: Column) -> Column:
-        own = F.when(e["key"].isNotNull(), F.array(_leaf(path, e["key"], e["key"], True))).otherwise(_no_leaves())
-        return F.concat(own, _variant_leaves(e["value"], e["path"], depth - 1))
-
-    return let(
-        _children(node, path),
-        lambda c: F.when(c.isNull(), string).otherwise(F.flatten(F.transform(c, below))),
-    )
-
-
-def _variant_of(df: DataFrame, doc_col: str) -> Column:
-    col = F.col(doc_col)
-    return col if isinstance(df.schema[doc_col].dataType, T.VariantType) else F.try_parse_json(col)
-
-
-def doc_walk(df: DataFrame, id_col: str, doc_col: str, depth: int | None = None) -> DataFrame:
+def doc_walk(df: DataFrame, id_col: str, doc_col: str, max_depth: int = MAX_DEPTH, strict: bool = False) -> DataFrame:
     """Every string value and every key of each document: id, path, key, value, is_key.
 
-    A struct names all its fields as keys. JSON text that does not parse has no leaves. `depth` saves
-    the measuring pass when the depth of the documents is known.
+    A struct names all its fields as keys. Text that cannot be read has no leaves (`doc_state` tells it), or stops
+    the job when strict.
     """
     kind = df.schema[doc_col].dataType
-    levels = _levels(df, doc_col, depth)
     if isinstance(kind, (T.StringType, T.VariantType)):
-        node = _variant_of(df, doc_col)
-        leaves = F.when(node.isNull(), _no_leaves()).otherwise(_variant_leaves(node, F.lit(""), levels))
+        df = df.select(id_col, walked(_text_of(df, doc_col), max_depth).alias("_walked"))
+        if strict:
+            df = df.filter(_raise_unread(F.col("_walked.state")))
+        leaves = _plain_leaves(F.col("_walked"))
     else:
-        leaves = _typed_leaves(F.col(doc_col), kind, F.lit(""), levels)
+        leaves = _typed_leaves(F.col(doc_col), kind, F.lit(""))
         leaves = _no_leaves() if leaves is None else leaves
     return inline_rows(df, [id_col], leaves, "is_key")
 
@@ -203,12 +171,31 @@ def doc_walk(df: DataFrame, id_col: str, doc_col: str, depth: int | None = None)
 
 
 class _LeafRules:
-    """The layers of a policy for leaves whose path is only known per row or per schema."""
+    """The layers of a policy for leaves whose path is only known per row or per schema.
 
-    def __init__(self, policy: Policy):
+    `detected` is a map from the texts of a document to what content detection makes of them; without it every
+    leaf carries the patterns itself.
+    """
+
+    def __init__(self, policy: Policy, detected: Column | None = None):
         self.policy = policy
         self.overlay = overlay_rules(policy.overlay)
+        self.roles = {r: overlay_rules(rules) for r, rules in (policy.role_rules or {}).items() if r} if policy.role_col else {}
         self.labels = resolve_labels(policy.labels, policy.object_id)
+        self.detected = detected
+
+    def _detect(self, value: Column) -> Column:
+        if self.policy.detection is None:
+            return value
+        if self.detected is None:
+            return mask_text(value, self.policy.detection)
+        return F.coalesce(F.try_element_at(self.detected, value), value)
+
+    def by_name(self, value: Column, name: str) -> Column:
+        """Overlay rules of a name that is known while planning."""
+        if self.roles:
+            return cols.role_value(value, name, F.col(self.policy.role_col), self.overlay, self.roles)
+        return cols.overlay_value(value, self.overlay[name.lower()]) if name.lower() in self.overlay else value
 
     def _label_for(self, path: str, key: str) -> PathLabel | None:
         return cols.find_label(self.labels, path, key, self.policy.strict_match_mode)
@@ -223,10 +210,10 @@ class _LeafRules:
             return cols.profile_value(value, c, label.profile)
         out = value
         for layer in self.policy.order:
-            if layer == "detection" and self.policy.detection is not None:
-                out = mask_text(out, self.policy.detection)
-            elif layer == "overlay" and key.lower() in self.overlay:
-                out = cols.overlay_value(out, self.overlay[key.lower()])
+            if layer == "detection":
+                out = self._detect(out)
+            elif layer == "overlay":
+                out = self.by_name(out, key)
             elif layer == "labels":
                 label = self._label_for(path, key)
                 if label is not None:
@@ -235,10 +222,19 @@ class _LeafRules:
         return out
 
     def _by_overlay(self, value: Column, key: Column) -> Column:
+        def chosen(rules, partial: bool) -> Column:
+            out = F.when(F.lit(False), value)
+            for name, rule in rules.items():
+                token = F.when(value.isNotNull(), F.lit(rule.token))
+                out = out.when(F.lower(key) == name, cols.overlay_value(value, rule) if partial else token)
+            return out.otherwise(value)
+
+        if not self.roles:
+            return chosen(self.overlay, True)
         out = F.when(F.lit(False), value)
-        for name, rule in self.overlay.items():
-            out = out.when(F.lower(key) == name, cols.overlay_value(value, rule))
-        return out.otherwise(value)
+        for role, rules in self.roles.items():
+            out = out.when(F.col(self.policy.role_col) == role, chosen(rules, False))
+        return out.otherwise(chosen(self.overlay, True))
 
     def _profile(self, path: Column, key: Column) -> Column:
         """Profile of the label in force, null when there is none."""
@@ -268,9 +264,9 @@ class _LeafRules:
         """A string leaf with a path that is data."""
         out = value
         for layer in self.policy.order:
-            if layer == "detection" and self.policy.detection is not None:
-                out = mask_text(out, self.policy.detection)
-            elif layer == "overlay" and self.overlay:
+            if layer == "detection":
+                out = self._detect(out)
+            elif layer == "overlay" and (self.overlay or self.roles):
                 out = self._by_overlay(out, key)
             elif layer == "labels" and self.labels:
                 out = self._by_label(out, path, key)
@@ -285,97 +281,140 @@ class _LeafRules:
         return F.when(value.isNotNull() & asked, zero).otherwise(value)
 
 
-def _mask_typed(node: Column, kind: T.DataType, path: str, rules: _LeafRules, depth: int) -> Column:
+def _mask_typed(node: Column, kind: T.DataType, path: str, rules: _LeafRules) -> Column:
     key = path.rsplit(".", 1)[-1].removesuffix("[]")
+    if _through_json(kind):
+        return _mask_as_json(node, kind, path, rules)
     if isinstance(kind, T.StructType):
         fields = [
             _mask_typed(
-                node.getField(f.name), f.dataType, f"{path}.{f.name}" if path else f.name, rules, depth
+                node.getField(f.name), f.dataType, f"{path}.{f.name}" if path else f.name, rules
             ).alias(f.name, metadata=f.metadata)
             for f in kind.fields
         ]
         return F.when(node.isNull(), node).otherwise(F.struct(*fields)) if fields else node
     if isinstance(kind, T.ArrayType):
-        return F.transform(node, lambda x: _mask_typed(x, kind.elementType, f"{path}[]", rules, depth))
+        return F.transform(node, lambda x: _mask_typed(x, kind.elementType, f"{path}[]", rules))
     if isinstance(kind, T.MapType):
-        return F.transform_values(
-            node, lambda k, v: _mask_dynamic(v, kind.valueType, _join(F.lit(path), k), rules, depth)
-        )
-    if isinstance(kind, T.VariantType):
-        return F.when(node.isNull(), node).otherwise(_mask_variant(node, F.lit(path), depth, rules))
+        return F.transform_values(node, lambda k, v: _mask_dynamic(v, kind.valueType, _join(F.lit(path), k), rules))
     if isinstance(kind, T.BinaryType):
         return node
     return rules.at(node, path, key, kind)
 
 
-def _mask_dynamic(node: Column, kind: T.DataType, path: Column, rules: _LeafRules, depth: int) -> Column:
+def _mask_dynamic(node: Column, kind: T.DataType, path: Column, rules: _LeafRules) -> Column:
     """Below a map the path depends on the row."""
     if isinstance(kind, T.StructType):
         fields = [
-            _mask_dynamic(node.getField(f.name), f.dataType, _join(path, F.lit(f.name)), rules, depth).alias(f.name)
+            _mask_dynamic(node.getField(f.name), f.dataType, _join(path, F.lit(f.name)), rules).alias(f.name)
             for f in kind.fields
         ]
         return F.when(node.isNull(), node).otherwise(F.struct(*fields)) if fields else node
     if isinstance(kind, T.ArrayType):
         inner = F.concat(path, F.lit("[]"))
-        return F.transform(node, lambda x: _mask_dynamic(x, kind.elementType, inner, rules, depth))
+        return F.transform(node, lambda x: _mask_dynamic(x, kind.elementType, inner, rules))
     if isinstance(kind, T.MapType):
-        return F.transform_values(node, lambda k, v: _mask_dynamic(v, kind.valueType, _join(path, k), rules, depth))
-    if isinstance(kind, T.VariantType):
-        return F.when(node.isNull(), node).otherwise(_mask_variant(node, path, depth, rules))
+        return F.transform_values(node, lambda k, v: _mask_dynamic(v, kind.valueType, _join(path, k), rules))
     if isinstance(kind, T.StringType):
         return rules.text(node, path, _last_segment(path))
     zero = cols.typed_placeholder(kind)
     return node if zero is None else rules.typed(node, path, _last_segment(path), zero)
 
 
-def _mask_variant(node: Column, path: Column, depth: int, rules: _LeafRules) -> Column:
-    key = _last_segment(path)
-    schema = F.schema_of_variant(node)
-    scalar = (
-        F.when(schema == "STRING", rules.text(node.cast("string"), path, key).cast("variant"))
-        .when(schema == "BOOLEAN", rules.typed(node, path, key, F.lit(False).cast("variant")))
-        .when(schema.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), rules.typed(node, path, key, F.lit(0).cast("variant")))
-        .otherwise(node)
-    )
-    if depth == 0:
-        return scalar
+def _new_values(leaves: Column, rules: _LeafRules) -> Column:
+    """The leaves' values under the rules, in their order."""
 
-    def rebuilt(children: Column) -> Column:
-        new = F.transform(
-            children,
-            lambda e: F.struct(
-                e["key"].alias("key"), _mask_variant(e["value"], e["path"], depth - 1, rules).alias("value")
-            ),
-        )
-        return let(
-            new,
-            lambda n: F.when(_as_map(node).isNotNull(), F.to_variant_object(F.map_from_entries(n))).otherwise(
-                F.to_variant_object(F.transform(n, lambda e: e["value"]))
-            ),
+    def new(x: Column) -> Column:
+        value, path, key, kind = x["value"], x["path"], x["key"], x["kind"]
+        return (
+            F.when(kind == "string", rules.text(value, path, key))
+            .when(kind == "number", rules.typed(value, path, key, F.lit("0")))
+            .when(kind == "bool", rules.typed(value, path, key, F.lit("false")))
+            .otherwise(value)
         )
 
-    return let(_children(node, path), lambda c: F.when(c.isNull(), scalar).otherwise(rebuilt(c)))
+    return F.transform(leaves, new)
+
+
+def _mask_as_json(node: Column, kind: T.DataType, path: str, rules: _LeafRules) -> Column:
+    text = F.to_json(node)
+    found = walked(text, prefix=path)
+    masked = rebuilt(found, _masked_leaves(found["leaves"], _strings(found["leaves"]), rules.policy))
+    back = F.parse_json(masked) if isinstance(kind, T.VariantType) else F.from_json(masked, kind)
+    return F.when(node.isNull(), node).otherwise(back)
+
+
+def _strings(leaves: Column) -> Column:
+    return F.transform(F.filter(leaves, lambda x: x["kind"] == "string"), lambda x: x["value"])
+
+
+def _detected(texts: Column, policy: Policy) -> Column:
+    """A map from distinct texts to what content detection makes of them: one copy of the patterns per document."""
+    distinct = F.array_distinct(F.filter(texts, lambda x: x.isNotNull()))
+    if policy.detection.detector is not None:
+        return F.map_from_arrays(distinct, masked_texts(distinct, policy.detection))
+    return let(distinct, lambda d: F.map_from_arrays(d, masked_texts(d, policy.detection)))
+
+
+def _detects(policy: Policy) -> bool:
+    return policy.detection is not None and "detection" in policy.order
 
 
-def doc_mask(df: DataFrame, doc_col: str, policy: Policy, depth: int | None = None) -> DataFrame:
+def _masked_leaves(leaves: Column, texts: Column, policy: Policy) -> Column:
+    """New values of a walk's leaves. What a function in Python made is an argument, never inside a lambda."""
+    if not _detects(policy):
+        return _new_values(leaves, _LeafRules(policy))
+    both = F.struct(_detected(texts, policy).alias("detected"), leaves.alias("leaves"))
+    return let(both, lambda b: _new_values(b["leaves"], _LeafRules(policy, b["detected"])))
+
+
+def doc_mask(df: DataFrame, doc_col: str, policy: Policy, max_depth: int = MAX_DEPTH, strict: bool | None = None) -> DataFrame:
     """Mask the leaves of a document column in place, each by its own path.
 
-    JSON text comes back as JSON text and VARIANT as VARIANT; text that is not JSON is left as it is.
-    Typed leaves (numbers, flags, times) change only when a confirmed label asks for it.
+    JSON text comes back as JSON text and VARIANT as VARIANT; plain text only goes through content detection.
+    Typed leaves (numbers, flags, times) change only when a confirmed label asks for it. A text that begins like a
+    document and cannot be read is masked as plain text, or replaced without content detection; when `strict`
+    (default: that of the detection) it stops the job.
     """
-    kind = df.schema[doc_col].dataType
-    rules = _LeafRules(policy)
-    levels = _levels(df, doc_col, depth)
-    if isinstance(kind, (T.StringType, T.VariantType)):
-        masked = let(_variant_of(df, doc_col), lambda v: _mask_variant(v, F.lit(""), levels, rules))
-        if isinstance(kind, T.StringType):
-            masked = let(masked, lambda m: F.when(m.isNull(), F.col(doc_col)).otherwise(F.to_json(m)))
+    kind, col = df.schema[doc_col].dataType, F.col(doc_col)
+    if not isinstance(kind, (T.StringType, T.VariantType)):
+        return cols.replace_columns(df, {doc_col: _mask_schema(col, kind, policy)})
+    if strict is None:
+        strict = policy.detection is not None and policy.detection.strict
+    text = _text_of(df, doc_col)
+    found = walked(text, max_depth)
+    state, leaves = found["state"], found["leaves"]
+    new = rebuilt(found, _masked_leaves(leaves, _strings(leaves), policy))
+    if strict:
+        unread = F.when(_raise_unread(state), text)
+        unread = mask_text(unread, policy.detection) if _detects(policy) and policy.detection.detector is None else unread
+    elif not _detects(policy):
+        unread = F.when(state == "text", text).otherwise(F.lit(REDACTED))
     else:
-        masked = _mask_typed(F.col(doc_col), kind, "", rules, levels)
+        unread = F.get(masked_texts(F.array(F.when(state.isin("text", "broken", "deep"), text)), policy.detection), F.lit(0))
+    if isinstance(kind, T.VariantType):
+        masked = F.parse_json(F.when(state == "json", new).otherwise(F.lit(f'"{REDACTED}"')))
+        masked = F.when(col.isNull(), col).when(_raise_unread(state), masked) if strict else F.when(col.isNull(), col).otherwise(masked)
+    else:
+        masked = F.when(state == "json", new).when(state == "null", text).otherwise(unread)
     return cols.replace_columns(df, {doc_col: masked})
 
 
+def _mask_schema(col: Column, kind: T.DataType, policy: Policy) -> Column:
+    """A document with a schema: its texts are gathered and detected once, then every leaf looks its own up."""
+    leaves = _typed_leaves(col, kind, F.lit(""))
+    if leaves is None or not _detects(policy):
+        return _mask_typed(col, kind, "", _LeafRules(policy))
+    if _has_variant(kind):
+        if policy.detection.detector is not None:
+            raise ValueError("a plugged-in detector cannot look into VARIANT parts of typed documents; give them a column of their own")
+        return _mask_typed(col, kind, "", _LeafRules(policy))
+    texts = F.transform(F.filter(leaves, lambda x: ~x["is_key"]), lambda x: x["value"])
+    # The document is an argument too: optimized plans may put what computes it in its place.
+    both = F.struct(_detected(texts, policy).alias("detected"), col.alias("doc"))
+    return let(both, lambda b: _mask_typed(b["doc"], kind, "", _LeafRules(policy, b["detected"])))
+
+
 # --- rewriting -----------------------------------------------------------------------------------
 
 
@@ -422,10 +461,51 @@ def doc_replace(
 ) -> DataFrame:
     """Replace the string values found at `path`, or rename the keys of the maps found there.
 
-    Adds `replaced`, the number of leaves changed per document. Typed documents only.
+    Adds `replaced`, the number of leaves changed per document. Text that cannot be read is left as it is.
     """
     test = where or (lambda _: F.lit(True))
     kind = df.schema[doc_col].dataType
+    if isinstance(kind, (T.StringType, T.VariantType)):
+        names = df.columns
+        df = df.withColumn("_text", _text_of(df, doc_col)).withColumn("_walked", walked(F.col("_text")))
+        wanted = "key" if keys else "string"
+
+        def hit(x: Column) -> Column:
+            return (x["kind"] == wanted) & (x["path"] == path) & F.coalesce(test(x["value"]), F.lit(False))
+
+        leaves = F.col("_walked.leaves")
+        new = F.transform(leaves, lambda x: F.when(hit(x), replace(x["value"])).otherwise(x["value"]))
+        put = filled(F.col("_text"), F.col("_new"))
+        back = put if isinstance(kind, T.StringType) else F.parse_json(put)
+        count = F.when(F.col("_walked.state") == "json", F.size(F.filter(leaves, hit))).otherwise(0)
+        df = df.withColumns({"replaced": count.cast("bigint"), "_new": new})
+        out = F.when(F.col("_walked.state") == "json", back).otherwise(F.col(doc_col))
+        return df.withColumn(doc_col, out).select(*[F.col(f"`{n}`") for n in names], "replaced")
+
+    def below_map(node: Column, k: T.DataType, at: Column) -> tuple[Column, Column]:
+        """The same where the path depends on the row."""
+        zero = F.lit(0)
+        if isinstance(k, T.StringType):
+            match = F.coalesce((at == path) & test(node), F.lit(False)) & node.isNotNull() & F.lit(not keys)
+            return F.when(match, replace(node)).otherwise(node), match.cast("int")
+        if isinstance(k, T.StructType):
+            made = [(f.name, *below_map(node.getField(f.name), f.dataType, _join(at, F.lit(f.name)))) for f in k.fields]
+            value = F.struct(*[v.alias(name) for name, v, _ in made])
+            return F.when(node.isNull(), node).otherwise(value), F.coalesce(sum((n for _, _, n in made), zero), zero)
+        if isinstance(k, T.ArrayType):
+            inner = F.concat(at, F.lit("[]"))
+            counts = F.transform(node, lambda x: below_map(x, k.elementType, inner)[1])
+            return F.transform(node, lambda x: below_map(x, k.elementType, inner)[0]), F.coalesce(F.aggregate(counts, zero, lambda a, n: a + n), zero)
+        if isinstance(k, T.MapType):
+            step = lambda name, v: below_map(v, k.valueType, _join(at, name))
+            value = F.transform_values(node, lambda name, v: step(name, v)[0])
+            counts = F.transform(F.map_entries(node), lambda e: step(e["key"], e["value"])[1])
+            n = F.coalesce(F.aggregate(counts, zero, lambda a, n: a + n), zero)
+            if not keys:
+                return value, n
+            own = F.when(at == path, F.size(F.filter(F.map_keys(node), lambda x: F.coalesce(test(x), F.lit(False))))).otherwise(0)
+            return F.when(at == path, _rename_keys(value, test, replace)).otherwise(value), F.when(node.isNull(), 0).otherwise(n + own)
+        return node, zero
 
     def change(node: Column, k: T.DataType, at: str) -> tuple[Column, Column]:
         """(new node, number of changes below it)."""
@@ -454,7 +534,12 @@ def doc_replace(
             if keys and at == path:
                 n = F.size(F.filter(F.map_keys(node), lambda x: F.coalesce(test(x), F.lit(False))))
                 return _rename_keys(node, test, replace), F.when(node.isNull(), 0).otherwise(n)
-            if keys or not isinstance(k.valueType, T.StringType):
+            if not isinstance(k.valueType, T.StringType):
+                below = lambda name, v: below_map(v, k.valueType, _join(F.lit(at), name))
+                value = F.transform_values(node, lambda name, v: below(name, v)[0])
+                counts = F.transform(F.map_entries(node), lambda e: below(e["key"], e["value"])[1])
+                return value, F.coalesce(F.aggregate(counts, zero, lambda a, n: a + n), zero)
+            if keys:
                 return node, zero
             here = lambda name, v: (_join(F.lit(at), name) == path) & F.coalesce(test(v), F.lit(False))
             value = F.transform_values(node, lambda name, v: F.when(here(name, v), replace(v)).otherwise(v))
@@ -466,51 +551,9 @@ def doc_replace(
     return df.withColumns({"replaced": count.cast("bigint"), doc_col: value})
 
 
-def _mask_secret(node: Column, depth: int) -> Column:
-    """Hide the values of Secret manifests in an object, a list, or the items of a list object."""
-    fold = F.lower(F.try_variant_get(node, "$.kind", "string"))
-    is_secret = F.coalesce((fold == "secret") & (F.schema_of_variant(F.try_variant_get(node, "$.kind", "variant")) == "STRING"), F.lit(False))
-    too_deep = F.raise_error(F.lit("manifest lists nested too deep")).cast("variant")
-
-    def entry(s: Column, e: Column) -> Column:
-        go_down = s["is_array"] | ((e["key"] == "items") & _as_array(e["value"]).isNotNull())
-        below = too_deep if depth == 0 else _mask_secret(e["value"], depth - 1)
-        hide = s["secret"] & F.coalesce(e["key"].isin("data", "stringData"), F.lit(False))
-        hidden = F.to_variant_object(F.transform_values(_as_map(e["value"]), lambda k, v: F.lit(SECRET)))
-        return F.struct(
-            e["key"].alias("key"),
-            F.when(F.coalesce(go_down, F.lit(False)), below)
-            .when(hide & _as_map(e["value"]).isNotNull(), hidden)
-            .otherwise(e["value"])
-            .alias("value"),
-        )
-
-    state = F.struct(
-        _children(node, F.lit("")).alias("c"),
-        _as_array(node).isNotNull().alias("is_array"),
-        is_secret.alias("secret"),
-    )
-
-    def rebuild(s: Column) -> Column:
-        new = F.transform(s["c"], lambda e: entry(s, e))
-        return (
-            F.when(s["c"].isNull(), node)
-            .when(s["is_array"], F.to_variant_object(F.transform(new, lambda e: e["value"])))
-            .otherwise(F.to_variant_object(F.map_from_entries(new)))
-        )
+def secret_manifest_mask(df: DataFrame, json_col: str) -> DataFrame:
+    """Hide `data` and `stringData` of Secret manifests in JSON or YAML, at any depth of lists.
 
-    return let(state, rebuild)
-
-
-def secret_manifest_mask(df: DataFrame, json_col: str, max_depth: int = 4) -> DataFrame:
-    """Hide `data` and `stringData` of Secret manifests; other text is left as it is.
-
-    Lists nested deeper than `max_depth` stop the job instead of passing through.
+    Other text is left as it is. A manifest that cannot be read and may hold a secret is hidden as a whole.
     """
-    col = F.col(json_col)
-    looks_json = col.rlike(r"^[ \t\n\r]*[{\[]")
-    parsed = F.when(looks_json, F.try_parse_json(col))
-    masked = let(
-        parsed, lambda v: F.when(v.isNull(), col).otherwise(F.to_json(_mask_secret(v, max_depth)))
-    )
-    return cols.replace_columns(df, {json_col: masked})
+    return cols.replace_columns(df, {json_col: secrets_hidden(F.col(json_col))})

@@ -40,10 +40,10 @@ def mask_table(df: DataFrame, policy: Policy, extra: Sequence[Masker] = ()) -> D
     return cols.mask_chain(df, *policy_layers(policy), *plugged)
 
 
-def mask_documents(df: DataFrame, doc_cols: Sequence[str], policy: Policy, depth: int | None = None) -> DataFrame:
+def mask_documents(df: DataFrame, doc_cols: Sequence[str], policy: Policy, strict: bool | None = None) -> DataFrame:
     """Mask document columns by path; the flat columns beside them are not touched."""
     for name in doc_cols:
-        df = documents.doc_mask(df, name, policy, depth)
+        df = documents.doc_mask(df, name, policy, strict=strict)
     return df
 
 

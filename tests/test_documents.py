@@ -67,10 +67,94 @@ def test_depth(spark):
     flags = {r["id"]: r["too_deep"] for r in docs.depth_guard(df, "j").collect()}
     assert flags == {1: False, 2: False, 3: True}
     with pytest.raises(Exception, match="nesting exceeds"):
-        docs.depth_guard(df, "j", strict=True).collect()
-    with pytest.raises(ValueError):
-        docs.doc_walk(df, "id", "j")
-    assert docs.measured_depth(df.filter("id = 1"), "j") == 3
+        docs.depth_guard(df.coalesce(1), "j", strict=True).collect()
+    # one deep document does not stop the others; it is flagged, and stops the job only when strict
+    states = {r["id"]: r["doc_state"] for r in docs.doc_state(df, "j").collect()}
+    assert states == {1: "json", 2: "json", 3: "deep"}
+    assert {r["id"] for r in docs.doc_walk(df, "id", "j").collect()} == {1, 2}
+    with pytest.raises(Exception, match="nesting exceeds"):
+        docs.doc_walk(df.coalesce(1), "id", "j", strict=True).collect()
+
+
+def test_every_depth_to_the_limit(spark):
+    rows = [(n, '{"k":' * n + '["x@y.org", 1.50]' + "}" * n) for n in (*range(1, 100, 7), 99)]
+    df = spark.createDataFrame(rows, "id int, j string")
+    leaves = {r["id"]: r["path"] for r in docs.doc_walk(df, "id", "j").filter("not is_key").collect()}
+    assert leaves == {n: ".".join("k" * n) + "[]" for n, _ in rows}
+    out = {r["id"]: r["j"] for r in docs.doc_mask(df, "j", policy(detection=Detection())).collect()}
+    assert out == {n: '{"k":' * n + '["[redacted]",1.50]' + "}" * n for n, _ in rows}
+
+
+def test_nothing_unread_passes(spark):
+    texts = [
+        '{"email":"first person","email":"second person"}',
+        '{"email":"ann@example.org", "note": ',
+        "[" * 150 + '"ann@example.org"' + "]" * 150,
+        '{"a": NaN, "email": "ann@example.org"}',
+        '{"a": "\\ud800", "email": "ann@example.org"}',
+        "[[[[[1]]]]]",
+        "",
+        None,
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, j string")
+    shown = lambda p: [r["j"] for r in docs.doc_mask(df, "j", p).orderBy("id").collect()]
+    out = shown(policy(overlay={"email": "[mail]"}, detection=Detection()))
+    assert json.loads(out[0]) == {"email": "[mail]"}
+    assert not any("ann@example.org" in o for o in out[:5]) and "note" in out[1]
+    assert out[5:] == texts[5:]
+    out = shown(policy(overlay={"email": "[mail]"}))
+    assert out[1:5] == ["[redacted]"] * 4 and out[5:] == texts[5:]
+    flags = [r["doc_state"] for r in docs.doc_state(df, "j").orderBy("id").collect()]
+    assert flags == ["json", "broken", "deep", "broken", "broken", "json", "text", "null"]
+    with pytest.raises(Exception, match="cannot be read|nesting exceeds"):
+        docs.doc_mask(df.coalesce(1), "j", policy(detection=Detection(strict=True))).collect()
+
+
+def test_detector_and_roles_on_documents(spark):
+    def names(texts):
+        return [[{"entity_type": "PERSON", "start": t.index("Ann"), "end": t.index("Ann") + 3, "score": 0.9}] if "Ann" in t else [] for t in texts]
+
+    df = spark.createDataFrame([(1, '{"n":["with Ann here","none"],"email":"e1"}', "auditor"), (2, '{"n":"Ann","email":"e2"}', "guest")], "id int, j string, role string")
+    rules = policy(detection=Detection(detector=names, min_len=1), overlay={"email": "[mail]"}, role_col="role", role_rules={"auditor": {"n": "[n]"}})
+    out = [json.loads(r["j"]) for r in docs.doc_mask(df, "j", rules).orderBy("id").collect()]
+    assert out == [{"n": ["[n]", "[n]"], "email": "e1"}, {"n": "[redacted]", "email": "[mail]"}]
+    typed = df.select("id", F.struct(F.lit("with Ann here").alias("a"), F.array(F.lit("Ann")).alias("b")).alias("d"))
+    found = docs.doc_mask(typed, "d", policy(detection=Detection(detector=names, min_len=1))).first()["d"]
+    assert found == ("with [redacted] here", ["[redacted]"])
+
+    def broken(texts):
+        raise RuntimeError("down")
+
+    assert json.loads(docs.doc_mask(df, "j", policy(detection=Detection(detector=broken))).orderBy("id").first()["j"])["email"] == "e1"
+    with pytest.raises(Exception, match="detector unavailable"):
+        docs.doc_mask(df.coalesce(1), "j", policy(detection=Detection(detector=broken, strict=True))).collect()
+
+
+def test_wide_documents_plan_fast(spark):
+    import time
+
+    wide = F.struct(*[F.concat(F.lit("mail a"), F.col("id").cast("string"), F.lit("@example.org")).alias(f"f{i}") for i in range(60)])
+    df = spark.range(3).select("id", wide.alias("d"))
+    start = time.time()
+    out = docs.doc_mask(df, "d", policy(detection=Detection())).collect()
+    assert all(v == "mail [redacted]" for r in out for v in r["d"])
+    assert time.time() - start < 30
+
+
+def test_replace_without_schema(spark):
+    df = spark.createDataFrame([(1, '{"a":[{"k":"x"},{"k":"y"}],"m":{"u@x":1,"w":"x"}}'), (2, "no json"), (3, None)], "id int, j string")
+    out = docs.doc_replace(df, "j", "a[].k", lambda c: F.upper(c), where=lambda c: c == "x").orderBy("id").collect()
+    assert json.loads(out[0]["j"])["a"] == [{"k": "X"}, {"k": "y"}] and [r["replaced"] for r in out] == [1, 0, 0]
+    assert out[1]["j"] == "no json" and out[2]["j"] is None
+    out = docs.doc_replace(df, "j", "m", lambda c: F.lit("w"), where=lambda c: F.contains(c, F.lit("@")), keys=True).orderBy("id").first()
+    assert json.loads(out["j"])["m"] == {"w": 1} and out["replaced"] == 1
+    variant = df.filter("id = 1").select("id", F.parse_json("j").alias("v"))
+    out = docs.doc_replace(variant, "v", "m.w", lambda c: F.lit("z")).select(F.to_json("v").alias("v"), "replaced").first()
+    assert json.loads(out["v"])["m"] == {"u@x": 1, "w": "z"} and out["replaced"] == 1
+    schema = T.StructType.fromDDL("id int, d map<string,struct<n:string,l:array<string>>>")
+    typed = spark.createDataFrame([(1, {"a": ("x", ["x", "y"]), "b": ("x", None)})], schema)
+    out = docs.doc_replace(typed, "d", "a.l[]", lambda c: F.lit("*"), where=lambda c: c == "x").first()
+    assert out["d"]["a"] == ("x", ["*", "y"]) and out["d"]["b"] == ("x", None) and out["replaced"] == 1
 
 
 def policy(**kw):
@@ -144,7 +228,21 @@ def test_secret_manifests(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, j string")
     out = [r["j"] for r in docs.secret_manifest_mask(df, "j").orderBy("id").collect()]
     assert [json.loads(o) for o in out[:5]] == want
-    assert out[5:] == texts[5:]
+    assert out[5] == texts[5] and out[6] == docs.SECRET and out[7:] == texts[7:]
+
+
+def test_secrets_in_any_form(spark):
+    texts = [
+        '{"kind":"Secret","kind":"Secret","data":{"a":"hunter2"}}',
+        "[" * 9 + '{"kind":"secret","stringData":{"a":"hunter2"}}' + "]" * 9,
+        "apiVersion: v1\nkind: Secret\ndata:\n  a: hunter2\n---\nkind: ConfigMap\ndata:\n  b: open\n",
+        "kind: List\nitems:\n- kind: Secret\n  stringData:\n    a: hunter2\n",
+        "kind: Secret\ndata:\n  a: [hunter2\n",
+        '{"k\\u0069nd":"Secret","data":{"a":"hunter2"}}',
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, j string")
+    out = [r["j"] for r in docs.secret_manifest_mask(df, "j").orderBy("id").collect()]
+    assert not any("hunter2" in o for o in out) and "open" in out[2]
 
 
 def test_walk_of_stored_documents(spark, tmp_path):
