@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from hushframe.functions import checks
 from hushframe.functions.text import eligible, let
 from hushframe.operators.columns import replace_columns
-from hushframe.operators.sizes import small_side
 from hushframe.plans.policy import (
     DEFAULT_ENTITIES,
     Anonymizer,
@@ -285,7 +284,7 @@ def detect_spans(
     out = each.filter(F.col("span_no").isNotNull()).select(id_col, "span_no", "_s.*")
     if allow_list is not None:
         entries = allow_list.select("text").distinct()
-        out = out.join(small_side(entries), "text", "left_anti")
+        out = out.join(entries, "text", "left_anti")
     return out.select(id_col, "span_no", "entity_type", "start", "end", "score", "text")
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions.text import partial_mask
-from hushframe.operators.sizes import small_side
 from hushframe.plans.policy import CONFIRMED, REDACTED
 
 LABEL_SCHEMA = (
@@ -17,8 +16,6 @@ LABEL_SCHEMA = (
     "updated_at timestamp, updated_by string"
 )
 HUMAN = (*CONFIRMED, "dismissed")
-MAX_PENDING = 500
-MAX_FIELDS = 10_000
 
 _FIELDS = [part.split()[0] for part in LABEL_SCHEMA.split(", ")]
 
@@ -31,6 +28,21 @@ def confirmed_labels(path_labels: DataFrame, object_id: str | None = None) -> Da
     return out.withColumn("match_mode", F.coalesce(F.nullif("match_mode", F.lit("")), F.lit("path")))
 
 
+def one_label(path_labels: DataFrame) -> DataFrame:
+    """One label per object and path: a person's before the platform's, then the latest; the rest of the row breaks
+    ties, so the choice is the same in every run. An aggregation with partial results."""
+    rest = [c for c in path_labels.columns if c not in ("object_id", "field_path")]
+    none = F.lit(None)
+    times = [F.coalesce(F.col("updated_at").cast("double"), F.lit(float("-inf"))) if "updated_at" in rest else none.cast("double")]
+    order = F.struct((F.col("source") == "manual").alias("human"), times[0].alias("at"), F.to_json(F.struct(*rest)).alias("row"))
+    return (
+        path_labels.groupBy("object_id", "field_path")
+        .agg(F.max_by(F.struct(*rest), order).alias("_row"))
+        .select("object_id", "field_path", *[F.col(f"_row.{c}").alias(c) for c in rest])
+        .select(*path_labels.columns)
+    )
+
+
 def label_lookup(
     df: DataFrame,
     path_labels: DataFrame,
@@ -41,17 +53,16 @@ def label_lookup(
 ) -> DataFrame:
     """Add category, profile and matched_by (path, key or null) to rows that name a field.
 
-    A confirmed label of the path decides; without one the lower-cased bare key is looked up.
+    A confirmed label of the path decides; without one the lower-cased bare key is looked up. Of several labels of
+    one path one is settled before, so the rows stay as many as they are (see `one_label`).
     """
     labels = confirmed_labels(path_labels).filter(F.col("object_id") != "")
 
     def side(prefix: str, table: DataFrame) -> DataFrame:
-        return small_side(
-            table.select(
-                F.col("object_id").alias(f"_{prefix}_object"),
-                F.col("field_path").alias(f"_{prefix}_path"),
-                F.struct("category", "profile").alias(f"_{prefix}"),
-            )
+        return one_label(table).select(
+            F.col("object_id").alias(f"_{prefix}_object"),
+            F.col("field_path").alias(f"_{prefix}_path"),
+            F.struct("category", "profile").alias(f"_{prefix}"),
         )
 
     by_key = labels.filter(F.col("match_mode") == "key_any_depth") if strict_match_mode else labels
@@ -99,16 +110,12 @@ def column_lineage_lookup(columns_df: DataFrame, column_map: DataFrame, org: str
     """Resolve result columns (table_id, column_no, name) to the real table column behind them.
 
     `column_map` has table_id, column_no, table_name, real_name. Without a match the object id is
-    empty and the displayed name stands in for the path.
+    empty and the displayed name stands in for the path. A column that the map names twice counts with its least
+    entry, so no row is multiplied.
     """
-    known = small_side(
-        column_map.select(
-            F.col("table_id").alias("_t"),
-            F.col("column_no").alias("_n"),
-            F.col("table_name").alias("_table"),
-            F.col("real_name").alias("_real"),
-        )
-    )
+    real = F.min(F.struct("table_name", "real_name"))
+    known = column_map.groupBy(F.col("table_id").alias("_t"), F.col("column_no").alias("_n")).agg(real.alias("_r"))
+    known = known.select("_t", "_n", F.col("_r.table_name").alias("_table"), F.col("_r.real_name").alias("_real"))
     joined = columns_df.join(
         known, (F.col("table_id") == F.col("_t")) & (F.col("column_no") == F.col("_n")), "left"
     )
@@ -132,7 +139,9 @@ def _valid(df: DataFrame) -> DataFrame:
 def merge_proposed(props: DataFrame, order_by: str = "seq") -> DataFrame:
     """One row per field: counts add up, the highest confidence and latest times stay, and the newest
     proposal gives category, profile and match mode."""
-    newest = F.max_by(F.struct("category", "profile", "match_mode", "updated_by"), F.col(order_by))
+    given = F.struct("category", "profile", "match_mode", "updated_by")
+    # equal orders are settled by time, confidence and the proposal itself
+    newest = F.max_by(given, F.struct(F.col(order_by), F.col("updated_at"), F.col("confidence"), given))
     return (
         _valid(props)
         .groupBy("object_id", "field_path")
@@ -211,9 +220,7 @@ def union_proposals(*dfs: DataFrame) -> DataFrame:
 def suppress_dismissed(props: DataFrame, path_labels: DataFrame) -> DataFrame:
     """Leave out proposals that a person has already turned down."""
     gone = path_labels.filter(F.col("source") == "dismissed").select("object_id", "field_path", "category")
-    return props.join(small_side(gone.distinct()), ["object_id", "field_path", "category"], "left_anti").select(
-        *props.columns
-    )
+    return props.join(gone.distinct(), ["object_id", "field_path", "category"], "left_anti").select(*props.columns)
 
 
 def latest_label(df: DataFrame, order_by: Sequence[str] = ("updated_at", "seq")) -> DataFrame:
@@ -232,7 +239,7 @@ def rescan_selection(
     objects: DataFrame,
     history: DataFrame,
     now: Column,
-    max_objects: int = 50,
+    max_objects: int = 0,
     rescan_seconds: int = 86_400,
 ) -> DataFrame:
     """Objects to scan next: never scanned ones, then the oldest. Limits of 0 or less are off."""
@@ -245,12 +252,12 @@ def rescan_selection(
     return ordered.limit(max_objects) if max_objects > 0 else ordered
 
 
-def pending_cap(df: DataFrame, max_pending: int = MAX_PENDING) -> DataFrame:
+def pending_cap(df: DataFrame, max_pending: int) -> DataFrame:
     """The pending proposals that fit; the least sure are dropped."""
     return df.orderBy(F.col("confidence").desc_nulls_last(), "object_id", "field_path").limit(max_pending)
 
 
-def field_cap(df: DataFrame, max_fields: int = MAX_FIELDS, seen: str = "last_seen") -> DataFrame:
+def field_cap(df: DataFrame, max_fields: int, seen: str = "last_seen") -> DataFrame:
     """Fields kept in view, the least recently seen leave first."""
     fields = df.groupBy("object_id", "field_path").agg(F.max(seen).alias("last_seen"))
     return fields.orderBy(F.col("last_seen").desc_nulls_last(), "object_id", "field_path").limit(max_fields)
@@ -262,11 +269,16 @@ def review_queue(df: DataFrame) -> DataFrame:
     return open_ones.orderBy(F.col("confidence").asc_nulls_first(), "object_id", "field_path")
 
 
-def proposal_batches(path_labels: DataFrame, max_pending: int = MAX_PENDING) -> DataFrame:
-    """Pending proposals as one batch per object: object_id, items.
+def proposal_batches(path_labels: DataFrame, max_pending: int | None = None, max_items: int = 1000) -> DataFrame:
+    """Pending proposals in batches per object: object_id, batch, items.
 
-    At most `max_pending` proposals are pending at a time, which bounds a batch.
+    All proposals come out, at most about `max_items` to a batch; `max_pending` caps them when it is given.
     """
-    pending = pending_cap(path_labels.filter(F.col("source") == "proposed"), max_pending)
+    pending = path_labels.filter(F.col("source") == "proposed")
+    if max_pending is not None:
+        pending = pending_cap(pending, max_pending)
     item = F.struct("field_path", "match_mode", "category", "confidence", "sample_count", "last_observed_at")
-    return pending.groupBy("object_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    # batches are dealt by a hash of the path, as many as the object's proposals ask for
+    counts = pending.groupBy("object_id").agg(F.ceil(F.count(F.lit(1)) / max_items).alias("_batches"))
+    dealt = pending.join(counts, "object_id").withColumn("batch", F.pmod(F.xxhash64("field_path"), F.col("_batches")))
+    return dealt.groupBy("object_id", "batch").agg(F.sort_array(F.collect_list(item)).alias("items"))

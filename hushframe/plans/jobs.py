@@ -144,20 +144,22 @@ def propose_labels(
     classifier: sampling.Classifier | None = None,
     sampler: Callable[[DataFrame, int], DataFrame] | None = None,
     extra_proposals: Sequence[DataFrame] = (),
-    max_objects: int = 50,
+    max_objects: int = 0,
     rescan_seconds: int = 86_400,
     max_samples: int = sampling.MAX_SAMPLES,
     min_confidence: float = 0.5,
     taxonomy: Sequence[str] = sampling.TAXONOMY,
+    max_pending: int | None = None,
 ) -> DataFrame:
     """One scan over the tables that are due: sample fields, classify them and merge the proposals into
     the label table. Returns the new label table.
 
-    `sampler(df, n)` may replace the default sampling; it gives field_path and samples.
+    `sampler(df, n)` may replace the default sampling; it gives field_path and samples. `max_objects` and
+    `max_pending` limit a scan when they are given.
     """
     session = current.sparkSession
     objects = session.createDataFrame([(name,) for name in tables], "object string")
-    # the names of the tables to scan, at most `max_objects` of them
+    # the names of the tables to scan: at most as many as the caller named
     due = labels.rescan_selection(objects, history, now, max_objects, rescan_seconds)
     chosen = [r["object"] for r in due.select("object").collect()]
     sampled = []
@@ -176,7 +178,8 @@ def propose_labels(
     found = sampling.classify_fields(fields, classifier, taxonomy, 1, min_confidence)
     props = labels.union_proposals(_as_proposals(found, now, "classifier"), *extra_proposals)
     merged = labels.merge_proposed(labels.suppress_dismissed(props, current))
-    capped = labels.pending_cap(merged).withColumn("seq", F.lit(1).cast("bigint"))
+    capped = merged if max_pending is None else labels.pending_cap(merged, max_pending)
+    capped = capped.withColumn("seq", F.lit(1).cast("bigint"))
     return labels.upsert_labels(current, capped)
 
 

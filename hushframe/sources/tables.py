@@ -13,30 +13,28 @@ from hushframe.operators.labels import confirmed_labels
 
 __all__ = ["capped_read", "catalog_inventory", "confirmed_labels", "document_read", "field_inventory", "spark_catalog"]
 
-MAX_ROWS = 1000
-SCHEMA_SAMPLE = 20
-
 # Schemas that belong to the database itself.
 SYSTEM_SCHEMAS = ("pg_catalog", "information_schema", "mysql", "performance_schema", "sys")
 
 
-def capped_read(df: DataFrame, max_rows: int = MAX_ROWS, order_by: Sequence[Column | str] | None = None) -> DataFrame:
-    """At most `max_rows` rows (the default when 0 or less); give an order for a fixed result."""
-    n = max_rows if max_rows > 0 else MAX_ROWS
-    return (df.orderBy(*order_by) if order_by else df).limit(n)
+def capped_read(df: DataFrame, max_rows: int | None, order_by: Sequence[Column | str] | None = None) -> DataFrame:
+    """At most `max_rows` rows, all for None; give an order for a fixed result."""
+    if max_rows is not None and max_rows <= 0:
+        raise ValueError("max_rows must be positive, or None for no cap")
+    ordered = df.orderBy(*order_by) if order_by else df
+    return ordered if max_rows is None else ordered.limit(max_rows)
 
 
 def document_read(
     df: DataFrame,
     predicate: Column | None = None,
     limit: int | None = None,
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = None,
     order_by: Sequence[Column | str] | None = None,
 ) -> DataFrame:
-    """Documents that match, up to the smaller of the statement's limit and the row cap."""
-    cap = max_rows if max_rows > 0 else MAX_ROWS
-    n = min(limit, cap) if limit and limit > 0 else cap
-    return capped_read(df if predicate is None else df.filter(predicate), n, order_by)
+    """Documents that match, up to the smaller of the statement's limit and the row cap; None is no limit."""
+    given = [n for n in (limit, max_rows) if n is not None]
+    return capped_read(df if predicate is None else df.filter(predicate), min(given, default=None), order_by)
 
 
 def catalog_inventory(info_schema: DataFrame, system_schemas: Sequence[str] = SYSTEM_SCHEMAS) -> DataFrame:
@@ -70,11 +68,16 @@ def spark_catalog(spark: SparkSession, database: str | None = None) -> DataFrame
     return spark.createDataFrame(rows, "table_schema string, table_name string, table_type string")
 
 
-def field_inventory(df: DataFrame, object_id: str, sample_docs: int = SCHEMA_SAMPLE, order_by: Sequence[str] = ()) -> DataFrame:
-    """object_id, field_path of every column; a document column gives the string paths seen in a sample."""
+def field_inventory(
+    df: DataFrame, object_id: str, sample_docs: int | None = None, order_by: Sequence[str] = (), json_cols: Sequence[str] = ()
+) -> DataFrame:
+    """object_id, field_path of every column; a document column gives the string paths that occur in it.
+
+    All documents are looked at unless `sample_docs` asks for a sample. `json_cols` names columns of JSON text.
+    """
     flat, docs = [], []
     for f in df.schema.fields:
-        nested = isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType))
+        nested = isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType)) or f.name in json_cols
         (docs if nested else flat).append(f.name)
     out = df.sparkSession.createDataFrame(
         [(object_id, n) for n in flat], "object_id string, field_path string"

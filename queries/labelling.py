@@ -85,15 +85,16 @@ def latest(spark, sf):
 
 @query(
     "S9_proposal_batches",
-    f"""WITH {EVENT_PROPOSALS}, {_MERGED}, top AS (SELECT * FROM merged ORDER BY confidence DESC, object_id, field_path LIMIT 500)
-    SELECT object_id, count(*) AS n_items, string_agg(field_path, ',' ORDER BY field_path) AS fields FROM top GROUP BY object_id""",
+    f"""WITH {EVENT_PROPOSALS}, {_MERGED}
+    SELECT object_id, count(*) AS n_items, string_agg(field_path, ',' ORDER BY field_path) AS fields FROM merged GROUP BY object_id""",
 )
 def batches(spark, sf):
     out = lab.proposal_batches(lab.merge_proposed(_proposed(spark, sf)))
-    return out.select(
+    whole = out.groupBy("object_id").agg(F.sort_array(F.flatten(F.collect_list("items.field_path"))).alias("paths"))
+    return whole.select(
         "object_id",
-        F.size("items").cast("bigint").alias("n_items"),
-        F.array_join("items.field_path", ",").alias("fields"),
+        F.size("paths").cast("bigint").alias("n_items"),
+        F.array_join("paths", ",").alias("fields"),
     )
 
 
@@ -103,7 +104,7 @@ def batches(spark, sf):
     ORDER BY confidence DESC, object_id, field_path LIMIT 500""",
 )
 def pending(spark, sf):
-    return lab.pending_cap(lab.merge_proposed(_proposed(spark, sf))).select("object_id", "field_path", "confidence")
+    return lab.pending_cap(lab.merge_proposed(_proposed(spark, sf)), 500).select("object_id", "field_path", "confidence")
 
 
 @query(

@@ -112,7 +112,7 @@ def test_lineage(spark):
 
 def test_caps_and_queue(spark):
     many = table(spark, *[dict(field_path=f"f{i:04d}", confidence=i / 1000, seq=1) for i in range(501)])
-    kept = by_path(labels.pending_cap(many))
+    kept = by_path(labels.pending_cap(many, 500))
     assert len(kept) == 500 and "f0000" not in kept
     queue = [r["field_path"] for r in labels.review_queue(many).limit(2).collect()]
     assert queue == ["f0000", "f0001"]
@@ -120,6 +120,34 @@ def test_caps_and_queue(spark):
     assert [r["field_path"] for r in labels.field_cap(seen, 2).collect()] == ["b", "c"]
     batches = labels.proposal_batches(many, 3).collect()
     assert [len(b["items"]) for b in batches] == [3] and batches[0]["items"][0]["field_path"] == "f0498"
+    # without a cap nothing is lost, however the batches are cut
+    dealt = labels.proposal_batches(many, max_items=100).collect()
+    assert len(dealt) > 3 and sorted(i["field_path"] for b in dealt for i in b["items"]) == [f"f{i:04d}" for i in range(501)]
+
+
+def test_labels_of_one_path_do_not_multiply_rows(spark):
+    lab = table(
+        spark,
+        dict(field_path="a", source="platform", profile="full_redact", category="late", updated_at=T0 + dt.timedelta(9), seq=1),
+        dict(field_path="a", source="manual", profile="partial_mask", category="old", updated_at=T0, seq=2),
+        dict(field_path="a", source="manual", profile="do_not_mask", category="new", updated_at=T0 + dt.timedelta(1), seq=3),
+        dict(field_path="a", source="manual", profile="do_not_mask", category="new", updated_at=T0 + dt.timedelta(1), seq=3),
+    )
+    df = spark.createDataFrame([(OBJ, "a", "a", "secret"), (OBJ, "z.a", "A", "secret")], "object_id string, path string, key string, value string")
+    found = labels.label_lookup(df, lab).collect()
+    assert [(r["category"], r["matched_by"]) for r in sorted(found, key=lambda r: r["path"])] == [("new", "path"), ("new", "key")]
+    assert [r["value"] for r in labels.mask_by_lookup(df, lab).collect()] == ["secret"] * 2
+    cols = spark.createDataFrame([(7, 1, "mail")], "table_id int, column_no int, name string")
+    known = spark.createDataFrame([(7, 1, "users", "email"), (7, 1, "users", "email"), (7, 1, "users", "mail")], "table_id int, column_no int, table_name string, real_name string")
+    assert [r["path"] for r in labels.column_lineage_lookup(cols, known, "o", "pg", "db").collect()] == ["email"]
+
+
+def test_no_proposal_is_lost(spark):
+    wide = spark.range(3).select("id", *[F.concat(F.lit("user"), F.col("id").cast("string"), F.lit("@example.com")).alias(f"f{i}") for i in range(520)])
+    current = table(spark, dict(field_path="x", seq=1), seq=False).filter("false")
+    history = spark.createDataFrame([], "object string, last_scanned timestamp")
+    out = jobs.propose_labels({"wide": wide}, "o", "spark", "db", current, history, F.lit(T0), order_by={"wide": ["id"]})
+    assert out.count() == 520
 
 
 def test_latest_and_dismissed(spark):

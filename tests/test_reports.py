@@ -128,7 +128,10 @@ def test_yaml_rules():
 
 def test_reads_and_sinks(spark):
     df = spark.range(2000)
-    assert tables.capped_read(df).count() == 1000 and tables.capped_read(df, 5).count() == 5
+    assert tables.capped_read(df, None).count() == 2000 and tables.capped_read(df, 5).count() == 5
+    with pytest.raises(ValueError):
+        tables.capped_read(df, 0)
+    assert tables.document_read(df).count() == 2000
     assert tables.document_read(df, F.col("id") > 10, limit=50, max_rows=20).count() == 20
     assert tables.document_read(df, None, limit=7).count() == 7
     one = spark.createDataFrame([(1, None, 2.5, True, (1, "x"), ["a"])], "i int, s string, d double, b boolean, st struct<p:int,q:string>, l array<string>")
