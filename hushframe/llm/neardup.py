@@ -4,7 +4,7 @@ Documents are sets of hashed shingles of five consecutive words (letters, digits
 A-Z lower-cased; fewer words are one shingle). Texts with the same words are one class; everything after that works
 on classes. Every class has a label in each of `TREES` prefix tries, a sequence of MinHash values. Matched prefixes
 begin at `DEEPEST` values and are shortened value by value until two documents at the threshold share one in some
-trie with the target recall; with the defaults that is four values and a recall of 0.9997. The nodes of the tries
+trie with the target recall; with the defaults that is three values and a recall of 0.9999994. The nodes of the tries
 at that depth are the candidates' groups. Each group is dealt to pairs of chunks of bounded size, so a hot group is
 spread over many tasks; a pair of classes is taken in the first trie in which it meets only, and its shingle sets are
 compared exactly. Tasks give link counts and spanning links, never pairs; components come from repeated joins.
@@ -32,9 +32,9 @@ from hushframe.llm.decontaminate import words
 
 SHINGLE = 5
 THRESHOLD = 0.8
-TREES = 16
+TREES = 20
 DEEPEST = 8
-RECALL = 0.9995
+RECALL = 0.999999
 CHUNK_CLASSES = 1024
 CHUNK_SHINGLES = 2_000_000
 SIGNED = "struct<fp:string,n:long,label:binary>"
@@ -102,14 +102,17 @@ def _signed(depth: int, trees: int) -> object:
     return signed
 
 
-@F.arrow_udf("binary")
-def _shingle_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for column in batches:
-        out = []
-        for some in slices(column, 4 << 20):
-            _, hashes, counts = shingles(texts_of(some))
-            out += [np.unique(x).tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])]
-        yield pa.array(out, pa.binary())
+def _shingle_set(text: Column) -> Column:
+    @F.arrow_udf("binary")
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            out = []
+            for some in slices(column, 4 << 20):
+                _, hashes, counts = shingles(texts_of(some))
+                out += [np.unique(x).tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])]
+            yield pa.array(out, pa.binary())
+
+    return made(text)
 
 
 def _meetings(labels: np.ndarray, depth: int, tree: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +194,7 @@ def similar_classes(docs: DataFrame, doc_id: str, text: str, threshold: float, t
     wanted = pairs.select("fp").distinct().join(classes.select("fp", F.coalesce("least", F.lit(none)).alias("id")), "fp")
     texts = named.select(F.coalesce("doc_id", F.lit(none)).alias("id"), "text").join(wanted, "id").select("fp", "id", "text")
     # An id may have other texts too: only the text with the class's fingerprint counts.
-    texts = texts.select("fp", "text", _signed(1, 1)("text").alias("s")).where("fp = s.fp").select("fp", _shingle_set("text").alias("set"))
+    texts = texts.select("fp", "text", _signed(1, 1)("text").alias("s")).where("fp = s.fp").select("fp", _shingle_set(F.col("text")).alias("set"))
     sets = texts.groupBy("fp").agg(F.first("set").alias("set"))
 
     def verified(group: pa.Table) -> pa.Table:

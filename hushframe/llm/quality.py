@@ -57,22 +57,27 @@ def features(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([(x & np.uint64(width - 1)).astype(np.int32) for x in made], axis=1), sizes
 
 
-@F.arrow_udf(SPARSE)
-def sparse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for column in batches:
-        rows = []
-        for some in slices(column):
-            at, sizes = features(texts_of(some), WIDTH)
-            for part in np.split(at, np.cumsum(sizes)[:-1]):
-                number, count = np.unique(part, return_counts=True)
-                rows.append({"at": number.tolist(), "by": (count * (SCALE / max(1, len(part)))).tolist()})
-        yield pa.array(rows, pa.struct([("at", pa.list_(pa.int32())), ("by", pa.list_(pa.float32()))]))
+def sparse(text: Column) -> Column:
+    """Feature numbers and values of each text."""
+
+    @F.arrow_udf(SPARSE)
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            rows = []
+            for some in slices(column):
+                at, sizes = features(texts_of(some), WIDTH)
+                for part in np.split(at, np.cumsum(sizes)[:-1]):
+                    number, count = np.unique(part, return_counts=True)
+                    rows.append({"at": number.tolist(), "by": (count * (SCALE / max(1, len(part)))).tolist()})
+            yield pa.array(rows, pa.struct([("at", pa.list_(pa.int32())), ("by", pa.list_(pa.float32()))]))
+
+    return made(text)
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> np.ndarray:
     """Weights from the given labels; `sample` bounds the labelled rows that are used."""
     rows = labelled_sample(docs, settled_labels(labels, doc_id, label), sample, doc_id, text)
-    return fitted(rows.select("doc_id", "label", sparse("text").alias("x")), WIDTH, **OPTIONS)
+    return fitted(rows.select("doc_id", "label", sparse(F.col("text")).alias("x")), WIDTH, **OPTIONS)
 
 
 def score(spark, weights: np.ndarray, text: Column) -> Column:
