@@ -17,7 +17,12 @@ SPARSE = "struct<at:array<int>,by:array<float>>"
 
 
 def fit(rows, width: int, alpha: float, beta: float, l1: float, l2: float, epochs: int) -> np.ndarray:
-    """Weights, the bias last. Each row: label, feature numbers, feature values."""
+    """Weights, the bias last. Each row: label, feature numbers, feature values.
+
+    The log odds of the labels are an offset of every prediction, so that weights only tell what departs from them.
+    """
+    ones = sum(y for y, _, _ in rows)
+    offset = np.log((ones + 0.5) / (len(rows) - ones + 0.5)) if rows else 0.0
     z, n = np.zeros(width + 1), np.zeros(width + 1)
     order = np.random.default_rng(0)
     if not rows:
@@ -28,12 +33,14 @@ def fit(rows, width: int, alpha: float, beta: float, l1: float, l2: float, epoch
             zi, ni = z[at], n[at]
             root = np.sqrt(ni)
             w = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + root) / alpha + l2))
-            p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
+            p = 1 / (1 + np.exp(-np.clip(offset + w @ x, -35, 35)))
             g = (p - y) * x
             z[at] = zi + g - (np.sqrt(ni + g * g) - root) / alpha * w
             n[at] = ni + g * g
     root = np.sqrt(n)
-    return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + root) / alpha + l2))
+    weights = np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + root) / alpha + l2))
+    weights[width] += offset
+    return weights
 
 
 def fitted(sample: DataFrame, width: int, **options) -> np.ndarray:
