@@ -15,14 +15,15 @@ from hushframe.functions.text import let, strip
 NOISE = r"--[^\n]*|/\*[\s\S]*?(?:\*/|\z)|(')[^']*+(?:''[^']*+)*+(?:'|\z)"
 
 # Words and fragments that mark a write.
-SQL_WRITE_WORDS = (
-    "INSERT UPDATE DELETE DROP ALTER CREATE TRUNCATE GRANT REVOKE MERGE INTO CALL EXEC EXECUTE"
-).split()
+SQL_WRITE_WORDS = [
+    "INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "GRANT", "REVOKE", "MERGE", "INTO", "CALL",
+    "EXEC", "EXECUTE",
+]
 GRAPH_WRITE_WORDS = ["CREATE", "MERGE", "DELETE", "DETACH", "SET", "REMOVE", "DROP", r"LOAD\s+CSV"]
-DOC_WRITE_FRAGMENTS = (
-    ".insert .update .delete .remove .replace .save .drop .createindex .createcollection "
-    ".renamecollection .bulkwrite .findoneandupdate .findoneandreplace .findoneanddelete $out $merge"
-).split()
+DOC_WRITE_FRAGMENTS = [
+    ".insert", ".update", ".delete", ".remove", ".replace", ".save", ".drop", ".createindex", ".createcollection",
+    ".renamecollection", ".bulkwrite", ".findoneandupdate", ".findoneandreplace", ".findoneanddelete", "$out", "$merge",
+]
 
 SQL_WRITE = r"(?i)\b(?:" + "|".join(SQL_WRITE_WORDS) + r")\b"
 GRAPH_WRITE = r"(?i)\b(?:" + "|".join(GRAPH_WRITE_WORDS) + r")\b"
@@ -55,22 +56,22 @@ def write_flags(df: DataFrame, stmt_col: str, dialect: str = "sql") -> DataFrame
     return df.withColumn("is_write", F.coalesce(flag, F.lit(False)))
 
 
-# Rules of the two command lines.
+# Rules of the two command lines; below, the texts of the reasons are fixed as well.
 SHELL_FRAGMENTS = [";", "|", "&", "<", ">", "`", "$(", "${", "\\", "\n", "\r"]
-CLOUD_VALUE_FLAGS = (
-    "--region --output --profile --endpoint-url --query --ca-bundle --cli-read-timeout "
-    "--cli-connect-timeout --color --page-size --max-items --starting-token --cli-input-json "
-    "--cli-input-yaml"
-).split()
-CLOUD_READ_VERBS = "describe list get lookup search batch-get head scan query".split()
-CLOUD_SENSITIVE = (
-    "get-secret-value batch-get-secret-value get-login-password get-authorization-token "
-    "get-password-data get-session-token get-federation-token"
-).split()
+CLOUD_VALUE_FLAGS = [
+    "--region", "--output", "--profile", "--endpoint-url", "--query", "--ca-bundle", "--cli-read-timeout",
+    "--cli-connect-timeout", "--color", "--page-size", "--max-items", "--starting-token", "--cli-input-json",
+    "--cli-input-yaml",
+]
+CLOUD_READ_VERBS = ["describe", "list", "get", "lookup", "search", "batch-get", "head", "scan", "query"]
+CLOUD_SENSITIVE = [
+    "get-secret-value", "batch-get-secret-value", "get-login-password", "get-authorization-token",
+    "get-password-data", "get-session-token", "get-federation-token",
+]
 CLOUD_DENIED_FLAGS = ["--profile", "--endpoint-url"]
 CLOUD_DENIED_ARGS = ["--with-decryption"]
 CLUSTER_INTERACTIVE = ["exec", "attach", "cp", "port-forward"]
-CLUSTER_READ_VERBS = "get describe logs top explain version api-resources api-versions".split()
+CLUSTER_READ_VERBS = ["get", "describe", "logs", "top", "explain", "version", "api-resources", "api-versions"]
 MAX_CLOUD_BYTES = 1200
 MAX_CLUSTER_BYTES = 2000
 

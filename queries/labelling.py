@@ -204,19 +204,16 @@ def prompts(spark, sf):
 # fields of the documents: one per source and language, sampled by document number
 _DOC_VALUES = """dv AS (SELECT 'org1:spark:lake:' || source AS object_id, lang AS field_path, text AS value, doc_id FROM documents),
 dr AS (SELECT *, row_number() OVER (PARTITION BY object_id, field_path ORDER BY doc_id, value) AS rn FROM dv WHERE value IS NOT NULL),
-ds AS (SELECT object_id, field_path, list(value ORDER BY rn) AS samples,
-  field_path || chr(10) || string_agg(value, chr(10) ORDER BY rn) AS signal FROM dr WHERE rn <= 20 GROUP BY object_id, field_path),
-answered AS (SELECT object_id, field_path, len(samples) AS sample_count,
-  CASE WHEN regexp_matches(signal, '(?i)email') THEN 1 WHEN regexp_matches(signal, '(?i)ssn|social.?security') THEN 2
-    WHEN regexp_matches(signal, '(?i)phone|mobile|cell') THEN 3
-    WHEN regexp_matches(signal, '(?i)\\bdob\\b|date.?of.?birth|birth.?date') THEN 4
-    WHEN regexp_matches(signal, '\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b') THEN 5
-    WHEN regexp_matches(signal, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.-]+') THEN 6 ELSE 0 END AS rule FROM ds),
-accepted AS (SELECT object_id, field_path, sample_count,
-  CASE rule WHEN 1 THEN 'email_fields' WHEN 2 THEN 'ssn_fields' WHEN 3 THEN 'phone_fields' WHEN 4 THEN 'dob_fields'
-    WHEN 5 THEN 'ssn_fields' ELSE 'email_fields' END AS category,
-  (CASE rule WHEN 1 THEN 0.97 WHEN 2 THEN 0.95 WHEN 3 THEN 0.9 WHEN 4 THEN 0.88 WHEN 5 THEN 0.93 ELSE 0.92 END)::DOUBLE AS confidence
-  FROM answered WHERE rule > 0)"""
+ds AS (SELECT object_id, field_path, list(value ORDER BY rn) AS samples FROM dr WHERE rn <= 20 GROUP BY object_id, field_path),
+shares AS (SELECT object_id, field_path, samples, """ + ", ".join(
+    f"len(list_filter(samples, lambda s: regexp_matches(s, '{pattern}'))) / len(samples) AS {c}"
+    for c, pattern in sampling.VALUE_PATTERNS.items()
+) + """ FROM ds),
+accepted AS (SELECT object_id, field_path, len(samples) AS sample_count,
+  CASE WHEN email_fields >= greatest(ssn_fields, phone_fields) THEN 'email_fields' WHEN ssn_fields >= phone_fields THEN 'ssn_fields'
+    ELSE 'phone_fields' END AS category,
+  round(greatest(email_fields, ssn_fields, phone_fields) * 0.9::DOUBLE, 6) AS confidence FROM shares
+  WHERE greatest(email_fields, ssn_fields, phone_fields) > 0)"""
 
 
 def _doc_samples(spark, sf):
@@ -232,10 +229,10 @@ def _doc_samples(spark, sf):
 @query(
     "F8_accept_classification",
     f"""WITH {_DOC_VALUES} SELECT object_id, field_path, category, confidence, sample_count FROM accepted
-    WHERE category <> 'phone_fields' AND confidence >= 0.92 AND sample_count >= 2""",
+    WHERE category <> 'phone_fields' AND confidence >= 0.05 AND sample_count >= 2""",
 )
 def accepted(spark, sf):
-    out = sampling.classify_fields(_doc_samples(spark, sf), None, ["email_fields", "ssn_fields"], 2, 0.92)
+    out = sampling.classify_fields(_doc_samples(spark, sf), None, ["email_fields", "ssn_fields"], 2, 0.05)
     return out.select("object_id", "field_path", "category", "confidence", "sample_count")
 
 
@@ -259,7 +256,7 @@ def own_classifier(spark, sf):
 )
 def summary(spark, sf):
     fields = _doc_samples(spark, sf)
-    return sampling.classification_summary(fields, sampling.classify_fields(fields))
+    return sampling.classification_summary(fields, sampling.classify_fields(fields, min_confidence=0.0))
 
 
 @query(
@@ -279,7 +276,7 @@ def store(spark, sf):
     f"""WITH emails AS (SELECT event_id, 'user' || user_id || '@example.com' AS contact, event_type AS kind FROM events),
     first_rows AS (SELECT * FROM emails ORDER BY event_id LIMIT 20)
     SELECT 'org1:spark:app:people' AS object_id, 'contact' AS field_path, 'email_fields' AS category, 'full_redact' AS profile,
-      'proposed' AS source, 0.92::DOUBLE AS confidence, count(*) AS sample_count FROM first_rows""",
+      'proposed' AS source, 0.9::DOUBLE AS confidence, count(*) AS sample_count FROM first_rows""",
 )
 def proposals(spark, sf):
     t = Tables(spark, sf)

@@ -186,7 +186,7 @@ def test_classify(spark):
     rows = [(OBJ, "user_email", ["x"]), (OBJ, "n", ["my 123-45-6789"]), (OBJ, "m", ["a@x.io"]), (OBJ, "plain", ["x"]), (OBJ, "birth_date", ["1990"]), ("", "email", ["x"])]
     df = spark.createDataFrame(rows, "object_id string, field_path string, samples array<string>")
     got = {r["field_path"]: (r["category"], r["confidence"]) for r in sampling.classify_fields(df).collect()}
-    assert got == {"user_email": ("email_fields", 0.97), "n": ("ssn_fields", 0.93), "m": ("email_fields", 0.92), "birth_date": ("dob_fields", 0.88)}
+    assert got == {"user_email": ("email_fields", 0.6), "n": ("ssn_fields", 0.9), "m": ("email_fields", 0.9), "birth_date": ("dob_fields", 0.6)}
     assert sampling.classify_fields(df, min_samples=2).count() == 0
 
     def own(object_id, field_path, samples):
