@@ -1,7 +1,9 @@
 """Masking, counting, sampling and audits over streams.
 
 A stateful operator handles the rows of one key in one micro-batch together; bound the batch at the
-source (maxFilesPerTrigger, maxOffsetsPerTrigger). State leaves by its time to live.
+source (maxFilesPerTrigger, maxOffsetsPerTrigger). Batches are expected in time order; an event that is older than the
+window its key has open counts into that window. With `lateness` the state of a key leaves by event time, once the
+watermark has passed its window; Spark then also drops events that come later than that.
 """
 
 from __future__ import annotations
@@ -75,6 +77,29 @@ def stream_metrics(outcomes: DataFrame, ts: str, flush: str = "60 seconds", late
     )
 
 
+def stream_metric_batches(
+    outcomes: DataFrame, ts: str, path: str, checkpoint: str, flush: str = "60 seconds", every: str | None = None
+) -> StreamingQuery:
+    """Metric sums per flush interval without any state: each batch writes the sums of its own rows.
+
+    Nothing is held back for a watermark, so the last intervals come out when the stream stops. A batch that is run
+    again replaces its folder. An interval that two batches touch has a row of each: `flushed_metrics` adds them up.
+    """
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        sums = counts.masking_metrics(df, [F.window(F.col(ts), flush).alias("window")])
+        sums = sums.select(F.to_date("window.start").alias("day"), F.col("window.start").alias("flushed_from"), *counts.KEYS, *counts.COUNTS)
+        sums.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return _start(outcomes.writeStream.foreachBatch(batch), checkpoint, every)
+
+
+def flushed_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """What `stream_metric_batches` has written, one row per interval and bucket."""
+    keys = ["day", "flushed_from", *counts.KEYS]
+    return spark.read.parquet(path).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts.COUNTS])
+
+
 class _Sampler(StatefulProcessor):
     def __init__(self, n: int, ttl_ms: int | None):
         self.n, self.ttl_ms = n, ttl_ms
@@ -135,11 +160,32 @@ def _in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
 
 
-class _RateWindow(StatefulProcessor):
-    def __init__(self, limit: int, width: int, order: list[str], columns: list[str]):
-        self.limit, self.width, self.order, self.columns = limit, width, order, columns
+class _Expiring(StatefulProcessor):
+    """One value per key with the time its window began; gone when the watermark has passed the window."""
+
+    def expire(self, start: int) -> None:
+        if self.timed:
+            self.handle.registerTimer((start + self.width) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.held()
+        if held.exists() and (held.get()[0] + self.width) // 1000 < timerValues.getCurrentWatermarkInMs():
+            held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _RateWindow(_Expiring):
+    def __init__(self, limit: int, width: int, order: list[str], columns: list[str], timed: bool):
+        self.limit, self.width, self.order, self.columns, self.timed = limit, width, order, columns, timed
+
+    def held(self):
+        return self.window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.window = handle.getValueState("window", "start bigint, count bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -153,40 +199,45 @@ class _RateWindow(StatefulProcessor):
                 count += 1
             flagged.append(count > self.limit)
         self.window.update((start, count))
+        self.expire(start)
         out = pdf[self.columns].copy()
         out["flagged"] = flagged
         yield out
 
-    def close(self) -> None:
-        pass
-
 
 def _with_schema(df: DataFrame, *extra: T.StructField) -> T.StructType:
     return T.StructType([*df.schema.fields, *extra])
 
 
 def stream_rate_flags(
-    stream: DataFrame, key: str, ts: str, limit: int, window_seconds: int = 60, tie: Sequence[str] = ()
+    stream: DataFrame, key: str, ts: str, limit: int, window_seconds: int = 60, tie: Sequence[str] = (), lateness: str | None = None
 ) -> DataFrame:
-    """rate_flags on a stream whose batches arrive in time order."""
-    live = stream.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
+    """rate_flags on a stream whose batches arrive in time order; rows without a key are never flagged."""
     if limit <= 0:
         return stream.withColumn("flagged", F.lit(False))
+    live, free = _with_and_without_key(stream, key)
     timed = live.withColumn(EVENT_US, micros(live, ts))
-    processor = _RateWindow(limit, window_seconds * SECOND, [EVENT_US, *tie], stream.columns)
-    return timed.groupBy(key).transformWithStateInPandas(
+    if lateness:
+        timed = timed.withWatermark(ts, lateness)
+    processor = _RateWindow(limit, window_seconds * SECOND, [EVENT_US, *tie], stream.columns, lateness is not None)
+    flagged = timed.groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor,
         outputStructType=_with_schema(stream, T.StructField("flagged", T.BooleanType())),
         outputMode="append",
-        timeMode="None",
+        timeMode="EventTime" if lateness else "None",
     )
+    return flagged.unionByName(free.withColumn("flagged", F.lit(False)))
 
 
-class _Accepted(StatefulProcessor):
-    def __init__(self, ttl: int, order: list[str], columns: list[str]):
-        self.ttl, self.order, self.columns = ttl, order, columns
+class _Accepted(_Expiring):
+    def __init__(self, ttl: int, order: list[str], columns: list[str], timed: bool):
+        self.ttl, self.width, self.order, self.columns, self.timed = ttl, ttl, order, columns, timed
+
+    def held(self):
+        return self.entry
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.entry = handle.getValueState("entry", "start bigint, hash string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -200,28 +251,40 @@ class _Accepted(StatefulProcessor):
             else:
                 status.append("duplicate" if request == accepted else "conflict")
         self.entry.update((start, accepted))
+        self.expire(start)
         out = pdf[self.columns].copy()
         out["status"] = status
         yield out
 
-    def close(self) -> None:
-        pass
+
+def _with_and_without_key(stream: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    named = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
+    return stream.filter(named), stream.filter(~named)
 
 
 def stream_dedup(
-    stream: DataFrame, key: str, parts: Sequence[str], ts: str, ttl_seconds: int = 600, tie: Sequence[str] = ()
+    stream: DataFrame,
+    key: str,
+    parts: Sequence[str],
+    ts: str,
+    ttl_seconds: int = 600,
+    tie: Sequence[str] = (),
+    lateness: str | None = None,
 ) -> DataFrame:
-    """idempotent_dedup on a stream whose batches arrive in time order; rows without a key are left out."""
-    live = stream.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
-    hashed = live.withColumn("request_hash", request_hash(*[F.col(p).cast("string") for p in parts]))
-    timed = hashed.withColumn(EVENT_US, micros(hashed, ts))
-    processor = _Accepted(ttl_seconds * SECOND, [EVENT_US, *tie], hashed.columns)
-    return timed.groupBy(key).transformWithStateInPandas(
+    """idempotent_dedup on a stream whose batches arrive in time order; rows without a key are new."""
+    hashed = stream.withColumn("request_hash", request_hash(*[F.col(p).cast("string") for p in parts]))
+    live, free = _with_and_without_key(hashed, key)
+    timed = live.withColumn(EVENT_US, micros(live, ts))
+    if lateness:
+        timed = timed.withWatermark(ts, lateness)
+    processor = _Accepted(ttl_seconds * SECOND, [EVENT_US, *tie], hashed.columns, lateness is not None)
+    found = timed.groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor,
         outputStructType=_with_schema(hashed, T.StructField("status", T.StringType())),
         outputMode="append",
-        timeMode="None",
+        timeMode="EventTime" if lateness else "None",
     )
+    return found.unionByName(free.withColumn("status", F.lit("new")))
 
 
 def stream_first_of_key(stream: DataFrame, key: str, ts: str, ttl: str = "10 minutes") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hushframe.operators import labels as lab
 from hushframe.operators import sampling
 from hushframe.plans import jobs
+from queries.detection import EMAIL
 from queries.base import Tables, query
 from queries.derived import EVENT_PROPOSALS, PATH_LABELS, event_proposals, path_labels
 
@@ -207,7 +208,7 @@ dr AS (SELECT *, row_number() OVER (PARTITION BY object_id, field_path ORDER BY
 ds AS (SELECT object_id, field_path, list(value ORDER BY rn) AS samples FROM dr WHERE rn <= 20 GROUP BY object_id, field_path),
 shares AS (SELECT object_id, field_path, samples, """ + ", ".join(
     f"len(list_filter(samples, lambda s: regexp_matches(s, '{pattern}'))) / len(samples) AS {c}"
-    for c, pattern in sampling.VALUE_PATTERNS.items()
+    for c, pattern in {**sampling.VALUE_PATTERNS, "email_fields": EMAIL}.items()
 ) + """ FROM ds),
 accepted AS (SELECT object_id, field_path, len(samples) AS sample_count,
   CASE WHEN email_fields >= greatest(ssn_fields, phone_fields) THEN 'email_fields' WHEN ssn_fields >= phone_fields THEN 'ssn_fields'

@@ -72,12 +72,11 @@ def sampled(spark, sf):
 
 @query(
     "X4_stream_metrics",
-    """WITH edge AS (SELECT epoch_us(max(ts)) - 60000000 AS us FROM events),
-    m AS (SELECT time_bucket(INTERVAL 60 SECOND, ts) AS flushed_from, 'app__' || event_type AS connection_key,
+    """WITH m AS (SELECT time_bucket(INTERVAL 60 SECOND, ts) AS flushed_from, 'app__' || event_type AS connection_key,
       'UNSPECIFIED' AS entity_type, 'recognizer' AS detection_source, count(*) AS count_analyzed,
       count(*) FILTER (value > 50) AS count_masked, sum(CASE WHEN value > 50 THEN strlen(props) ELSE 0 END)::BIGINT AS bytes_masked
       FROM events GROUP BY ALL)
-    SELECT flushed_from::DATE AS day, m.* FROM m, edge WHERE epoch_us(flushed_from) + 60000000 <= edge.us""",
+    SELECT flushed_from::DATE AS day, m.* FROM m""",
 )
 def metered(spark, sf):
     hit = F.col("value") > 50
@@ -90,7 +89,9 @@ def metered(spark, sf):
         hit.cast("bigint").alias("count_masked"),
         F.when(hit, F.octet_length("props")).otherwise(0).cast("bigint").alias("bytes_masked"),
     )
-    stored = _read_back(spark, streams.stream_metrics(outcomes, "ts"))
+    out = shared_folder(spark, "metrics")
+    streams.stream_metric_batches(outcomes, "ts", out, shared_folder(spark, "checkpoint")).awaitTermination()
+    stored = streams.flushed_metrics(spark, out)
     return stored.withColumn("flushed_from", F.col("flushed_from").cast("timestamp_ntz"))
 
 
@@ -114,18 +115,22 @@ def first_of_key(spark, sf):
 
 @query(
     "X6_stream_proposals",
-    f"""WITH {EVENT_PROPOSALS}, {_MERGED} SELECT object_id, field_path, match_mode, category, source, confidence, sample_count
-    FROM merged""",
+    f"""WITH {EVENT_PROPOSALS}, last AS (SELECT *, row_number() OVER (PARTITION BY object_id, field_path ORDER BY seq DESC) AS rn
+      FROM props WHERE source <> 'proposed'), human AS (SELECT * FROM last WHERE rn = 1), {_MERGED}
+    SELECT object_id, field_path, coalesce(nullif(match_mode, ''), 'path') AS match_mode, category, source, confidence, sample_count
+    FROM human UNION ALL SELECT object_id, field_path, match_mode, category, source, confidence, sample_count FROM merged m
+    WHERE NOT EXISTS (SELECT 1 FROM human h WHERE h.object_id = m.object_id AND h.field_path = m.field_path)""",
 )
 def proposals(spark, sf):
     e = _events(spark, sf)
-    props = e.filter(F.col("value") <= 250).select(
+    source = F.when(F.col("value") > 300, "manual").when(F.col("value") > 250, "dismissed").otherwise("proposed")
+    props = e.select(
         F.concat(F.lit("org1:spark:app:"), F.col("event_type")).alias("object_id"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("field_path"),
         F.when(F.col("value") > 50, "key_any_depth").otherwise("").alias("match_mode"),
         F.when(F.col("value") > 20, "email_fields").otherwise("phone_fields").alias("category"),
         F.when(F.col("value") > 10, "full_redact").otherwise("").alias("profile"),
-        F.lit("proposed").alias("source"),
+        source.alias("source"),
         F.least(F.col("value") / 500, F.lit(1.0)).alias("confidence"),
         F.floor("value").cast("bigint").alias("sample_count"),
         F.col("ts").cast("timestamp").alias("last_observed_at"),

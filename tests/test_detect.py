@@ -134,3 +134,11 @@ def test_plugged_in_detector(spark):
             detect.detection_layer(df, Detection(detector=bad, strict=True)).collect()
     clean = detect.detection_layer(df, Detection(detector=lambda ts: [[] for _ in ts], strict=True))
     assert clean.count() == 2
+
+
+def test_long_local_parts_vanish_whole(values):
+    long = "a" * 200 + ".b+c@example.org"
+    cases = [long, f"x {long}, y", "one@example.org-two@example.org", "@example.org", "a" * 100_000, "a@b.com-x@y.org"]
+    out = values(cases, lambda c: detect.mask_text(c))
+    assert out[0] == "[redacted]" and out[1] == "x [redacted], y" and "@" not in out[2]
+    assert out[3] == cases[3] and out[4] == cases[4] and "@" not in out[5]

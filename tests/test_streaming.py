@@ -142,3 +142,13 @@ def test_sessions(spark, source):
 def test_first_of_key(spark, source):
     stream, _ = source("k string, ts timestamp", [("a", at(0)), ("a", at(1)), ("b", at(2))], [("a", at(3))])
     assert run(spark, streams.stream_first_of_key(stream, "k", "ts")).count() == 2
+
+
+def test_rows_without_key_and_expiry(spark, source):
+    data = [(i, None if i % 5 == 0 else "" if i % 5 == 1 else f"k{i % 2}", "q", at(7 * i)) for i in range(60)]
+    stream, whole = source("i int, k string, q string, ts timestamp", data[:20], data[20:40], data[40:])
+    for lateness in (None, "1 minute"):
+        got = run(spark, streams.stream_rate_flags(stream, "k", "ts", 3, 60, ["i"], lateness))
+        assert rows(got) == rows(windows.rate_flags(whole, "k", "ts", 3, 60, ["i"]))
+        got = run(spark, streams.stream_dedup(stream, "k", ["q"], "ts", 60, ["i"], lateness))
+        assert rows(got) == rows(windows.idempotent_dedup(whole, "k", ["q"], "ts", 60, ["i"]))
