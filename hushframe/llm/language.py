@@ -32,36 +32,49 @@ PROBES = 3
 SHARE = 0.2
 FLOOR = 2e-6
 SLICE = 1 << 14
+PART_BYTES = 4 << 20  # of text that a worker looks at at a time
 RESULT = "struct<lang:string,score:double>"
 
 
+class Grams:
+    """The n-grams of lower-cased chunks, one order at a time: hashes, and the chunk of each."""
+
+    def __init__(self, chunks: list[bytes]):
+        joined = " ".join(c.decode("utf-8", "replace") for c in chunks).lower()
+        points = np.frombuffer(f" {joined}      ".encode("utf-32-le"), np.uint32)
+        known, inverse = np.unique(points, return_inverse=True)
+        self.letter = np.array([chr(c).isalpha() for c in known], bool)[inverse]
+        self.chunk = (np.cumsum(points == 32) - 1).astype(np.int32)
+        self.points = np.where(self.letter, points, np.uint32(0))
+        has = np.zeros(len(chunks) + 8, bool)
+        has[self.chunk[self.letter]] = True
+        self.has_letter = has[: len(chunks)]
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for n in ORDERS:
+            last = len(self.points) - n + 1
+            inner = self.letter[1 : 1 + last].copy()
+            for j in range(2, n - 1):
+                inner &= self.letter[j : j + last]
+            at = np.flatnonzero(inner)
+            h = np.full(len(at), n, np.uint64)
+            for j in range(n):
+                h *= np.uint64(0x100000001B3)
+                h += self.points[at + j]
+            yield fmix(h), self.chunk[at + 1]
+
+
 def grams(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of the chunks, the chunk of each, and which chunks have a letter."""
-    joined = " ".join(c.decode("utf-8", "replace") for c in chunks).lower()
-    points = np.frombuffer(f" {joined}      ".encode("utf-32-le"), np.uint32)
-    known, inverse = np.unique(points, return_inverse=True)
-    letter = np.array([chr(c).isalpha() for c in known], bool)[inverse]
-    chunk = np.cumsum(points == 32) - 1
-    points = np.where(letter, points, 0).astype(np.uint64)
-    hashes, owners = [], []
-    for n in ORDERS:
-        last = len(points) - n + 1
-        inner = np.logical_and.reduce([letter[j : j + last] for j in range(1, n - 1)])
-        at = np.flatnonzero(inner)
-        h = np.full(len(at), n, np.uint64)
-        for j in range(n):
-            h = h * np.uint64(0x100000001B3) + points[at + j]
-        hashes.append(fmix(h))
-        owners.append(chunk[at + 1])
-    has = np.zeros(len(chunks) + 8, bool)
-    has[chunk[letter]] = True
-    return np.concatenate(hashes), np.concatenate(owners), has[: len(chunks)]
+    """All n-grams' hashes and chunks, and which chunks have a letter."""
+    found = Grams(chunks)
+    parts = list(found)
+    return np.concatenate([h for h, _ in parts]), np.concatenate([c for _, c in parts]), found.has_letter
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         first = 0
-        for some in slices(batch.column(0)):
+        for some in slices(batch.column(0), PART_BYTES):
             yield from _counts(texts_of(some), batch.column(1).slice(first, len(some)).to_pylist())
             first += len(some)
 
@@ -69,31 +82,41 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _counts(texts: list[bytes], langs: list[str]) -> Iterator[pa.RecordBatch]:
     lexicon = Lexicon()
     ids, sizes = numbered([t.split() for t in texts], lexicon)
-    hashes, owner, _ = grams(list(lexicon))
     names = sorted(set(langs))
     of = np.repeat(np.array([names.index(x) for x in langs], np.int64), sizes)
-    for k, name in enumerate(names):
-        times = np.bincount(ids[of == k], minlength=len(lexicon))[owner]
-        some = times > 0
-        gram, inverse = np.unique(hashes[some], return_inverse=True)
-        n = np.bincount(inverse, weights=times[some], minlength=len(gram)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(gram.view(np.int64)), pa.array([name] * len(gram), pa.string()), pa.array(n)], ["gram", "lang", "n"]
-        )
+    by_lang = [np.bincount(ids[of == k], minlength=len(lexicon)) for k in range(len(names))]
+    for hashes, owner in Grams(list(lexicon)):
+        for name, times in zip(names, by_lang):
+            some = times[owner] > 0
+            gram, inverse = np.unique(hashes[some], return_inverse=True)
+            n = np.bincount(inverse, weights=times[owner[some]], minlength=len(gram)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(gram.view(np.int64)), pa.array([name] * len(gram), pa.string()), pa.array(n)], ["gram", "lang", "n"]
+            )
 
 
 class Filter:
-    """The sliced filter: `slots[slot, word]` has 64 languages in each word."""
+    """The sliced filter: `slots[slot, word]` has one bit per language, 64 to a word; few languages take less."""
 
     def __init__(self, langs: list[str], prior: str, slots: np.ndarray):
+        for bits, kind in ((8, np.uint8), (16, np.uint16), (32, np.uint32)):
+            if len(langs) <= bits:
+                slots = slots.astype(kind)
+                break
         self.langs, self.prior, self.slots = langs, prior, slots
-        filled = [((slots[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(langs))]
+        filled = [_bit(slots, i).mean() for i in range(len(langs))]
         self.false = np.array(filled) ** PROBES
 
 
-def _probes(hashes: np.ndarray, slots: int) -> list[np.ndarray]:
+def _bit(masks: np.ndarray, language: int) -> np.ndarray:
+    """Which rows of masks have a language's bit."""
+    word = masks[:, language // 64]
+    return (word >> word.dtype.type(language % 64)) & word.dtype.type(1) == 1
+
+
+def _probes(hashes: np.ndarray, slots: int) -> Iterator[np.ndarray]:
     first, step = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32)
-    return [(first + np.uint64(j) * step) & np.uint64(slots - 1) for j in range(PROBES)]
+    return (((first + np.uint64(j) * step) & np.uint64(slots - 1)).astype(np.int64) for j in range(PROBES))
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filter:
@@ -143,19 +166,24 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filter:
 def decide(texts: list[bytes], f: Filter) -> tuple[list[str], np.ndarray]:
     lexicon = Lexicon()
     ids, sizes = numbered([t.split() for t in texts], lexicon)
-    hashes, owner, has = grams(list(lexicon))
-    letters = sums(has[ids].astype(np.int64), sizes) > 0
+    found = Grams(list(lexicon))
+    letters = sums(found.has_letter[ids].astype(np.int64), sizes) > 0
     if not f.langs:
         return ["und"] * len(texts), np.zeros(len(texts))
-    slots = _probes(hashes, len(f.slots))
-    masks = np.bitwise_and.reduce([f.slots[s] for s in slots])
     n = len(lexicon)
-    count = sums(np.bincount(owner, minlength=n)[ids], sizes)
+    count, hits = np.zeros(n, np.int64), np.zeros((len(f.langs), n), np.int64)
+    for hashes, owner in found:
+        masks = None
+        for slots in _probes(hashes, len(f.slots)):
+            masks = f.slots[slots] if masks is None else masks & f.slots[slots]
+        count += np.bincount(owner, minlength=n)
+        for i in range(len(f.langs)):
+            hits[i] += np.bincount(owner[_bit(masks, i)], minlength=n)
+    all_ = sums(count[ids], sizes)
     share = np.zeros((len(texts), len(f.langs)))
     for i in range(len(f.langs)):
-        bit = (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
-        hits = sums(np.bincount(owner[bit == 1], minlength=n)[ids], sizes)
-        share[:, i] = np.maximum(0, (hits / np.maximum(count, 1) - f.false[i]) / max(1e-9, 1 - f.false[i]))
+        rate = sums(hits[i][ids], sizes) / np.maximum(all_, 1)
+        share[:, i] = np.maximum(0, (rate - f.false[i]) / max(1e-9, 1 - f.false[i]))
     total = share.sum(axis=1)
     best = share.argmax(axis=1)
     score = share[np.arange(len(texts)), best] / np.where(total > 0, total, 1)
@@ -171,7 +199,7 @@ def identify(spark, f: Filter, text: Column) -> Column:
     def identified(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             names, scores = [], [np.zeros(0)]
-            for some in slices(column):
+            for some in slices(column, PART_BYTES):
                 found, score = decide(texts_of(some), sent.value)
                 names += found
                 scores.append(score)
