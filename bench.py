@@ -65,6 +65,8 @@ def build(spark: SparkSession) -> dict[str, tuple[DataFrame, int]]:
     )
     n = {k: v.count() for k, v in dict(o=orders, l=lineitem, d=documents, e=events, c=conversations).items()}
     return {
+        "control_scan_orders": (orders, n["o"]),
+        "control_scan_lineitem": (lineitem, n["l"]),
         "mask_orders_overlay": (jobs.mask_table(orders, overlay), n["o"]),
         "mask_lineitem_overlay": (jobs.mask_table(lineitem, overlay), n["l"]),
         "mask_orders_overlay_labels": (

@@ -32,9 +32,9 @@ def one_label(path_labels: DataFrame) -> DataFrame:
     """One label per object and path: a person's before the platform's, then the latest; the rest of the row breaks
     ties, so the choice is the same in every run. An aggregation with partial results."""
     rest = [c for c in path_labels.columns if c not in ("object_id", "field_path")]
-    none = F.lit(None)
-    times = [F.coalesce(F.col("updated_at").cast("double"), F.lit(float("-inf"))) if "updated_at" in rest else none.cast("double")]
-    order = F.struct((F.col("source") == "manual").alias("human"), times[0].alias("at"), F.to_json(F.struct(*rest)).alias("row"))
+    at = F.col("updated_at") if "updated_at" in rest else F.lit(0)
+    # a null time sorts first
+    order = F.struct((F.col("source") == "manual").alias("human"), at.isNotNull().alias("known"), at.alias("at"), F.to_json(F.struct(*rest)).alias("row"))
     return (
         path_labels.groupBy("object_id", "field_path")
         .agg(F.max_by(F.struct(*rest), order).alias("_row"))

@@ -47,7 +47,7 @@ def outcome_rows(df: DataFrame, policy: Policy, connection: Column) -> DataFrame
     for c in classify_columns(df.schema):
         if not c.text or (not c.free_text and c.kind is None):
             continue
-        label = cols.find_label(labels, c.name, c.name, policy.strict_match_mode)
+        label = cols.find_label(labels, policy.paths.get(c.name, c.name), c.name, policy.strict_match_mode)
         acts = label is not None and label.profile != "do_not_mask" and (
             c.free_text or cols.typed_placeholder(c.data_type, c.kind) is not None
         )

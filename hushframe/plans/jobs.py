@@ -29,11 +29,17 @@ def policy_layers(policy: Policy) -> list[cols.Layer]:
             out.append(lambda df: cols.overlay_mask(df, policy.overlay))
         elif name == "labels" and policy.object_id:
             out.append(
-                lambda df: cols.path_label_mask(df, policy.object_id, policy.labels, policy.strict_match_mode)
+                lambda df: cols.path_label_mask(df, policy.object_id, policy.labels, policy.strict_match_mode, policy.paths)
             )
     return out
 
 
+def real_names(resolved: DataFrame, object_id: str) -> dict[str, str]:
+    """`Policy.paths` from a resolved lineage (`column_lineage_lookup`): one entry per result column of the object."""
+    rows = resolved.filter(F.col("object_id") == object_id).select("name", "path").collect()
+    return {r["name"]: r["path"] for r in rows}
+
+
 def mask_table(df: DataFrame, policy: Policy, extra: Sequence[Masker] = ()) -> DataFrame:
     """Mask the flat columns of a table. Rows, columns and types stay; `extra` maskers run last."""
     plugged = [lambda d, m=m: m(d, policy) for m in extra]
@@ -56,7 +62,8 @@ def masking_report(df: DataFrame, policy: Policy, connection: Column, max_bucket
 def coverage_report(fields: DataFrame, policies: Mapping[str, Policy]) -> DataFrame:
     """Which layers have a rule for each field: object_id, field_path, covered_by ('none' when none).
 
-    `fields` comes from field_inventory. Content detection covers every field of its object.
+    `fields` comes from field_inventory, whose nested paths are texts. Content detection covers the fields named in
+    the policy's object; typed columns are left to labels.
     """
     key = F.lower(F.regexp_replace(F.substring_index("field_path", ".", -1), r"\[\]$", ""))
     names = F.array().cast("array<string>")

@@ -100,6 +100,8 @@ class Policy:
     detection: Detection | None = None
     order: Sequence[str] = ("detection", "overlay", "labels")
     strict_match_mode: bool = False
+    # shown column -> real name, for labels of columns that a query has renamed
+    paths: Mapping[str, str] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)

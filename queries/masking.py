@@ -215,17 +215,18 @@ def labelled(spark, sf):
 
 @query(
     "P6_labels_from_table",
-    f"""WITH {PATH_LABELS}, own AS (SELECT * FROM path_labels WHERE object_id = 'org1:spark:lake:src1'
-        AND source IN ('manual', 'platform'))
-    SELECT 'org1:spark:lake:src1' AS object_id, count(*) AS n_labels,
-      count(*) FILTER (profile = 'do_not_mask') AS n_kept FROM own""",
+    f"""WITH {PATH_LABELS}, own AS (SELECT field_path, arg_max(profile, (source = 'manual', updated_at, profile)) AS profile
+        FROM path_labels WHERE object_id = 'org1:spark:lake:src1' AND source IN ('manual', 'platform') GROUP BY field_path),
+      d AS (SELECT d.doc_id, d.lang, own.profile FROM documents d LEFT JOIN own ON own.field_path = 'f' || (d.doc_id % 40))
+    SELECT doc_id, CASE WHEN profile IS NULL OR profile = 'do_not_mask' THEN lang WHEN profile = 'partial_mask'
+      THEN {partial_sql('lang')} ELSE '[redacted]' END AS value FROM d""",
 )
 def labels_from_table(spark, sf):
-    own = labelling.confirmed_labels(path_labels(spark, sf), "org1:spark:lake:src1")
-    kept = F.col("profile") == "do_not_mask"
-    return own.agg(F.count(F.lit(1)).alias("n_labels"), F.count_if(kept).alias("n_kept")).select(
-        F.lit("org1:spark:lake:src1").alias("object_id"), "n_labels", "n_kept"
-    )
+    """Values of many fields, each masked by the label that the table has for it."""
+    t = Tables(spark, sf)
+    path = F.concat(F.lit("f"), (F.col("doc_id") % 40).cast("string"))
+    rows = t.documents.select("doc_id", F.lit("org1:spark:lake:src1").alias("object_id"), path.alias("path"), path.alias("key"), F.col("lang").alias("value"))
+    return labelling.mask_by_lookup(rows, path_labels(spark, sf), strict_match_mode=True).select("doc_id", "value")
 
 
 @query(
@@ -347,3 +348,25 @@ def own_masker(spark, sf):
 
     df = Tables(spark, sf).customer.select("c_custkey", "c_name", "c_mktsegment")
     return jobs.mask_table(df, Policy(overlay={"c_name": "[redacted]"}), extra=[lowered])
+
+
+@query(
+    "C1_mask_aliased",
+    f"""SELECT c_custkey AS k, '[redacted]' AS shown, {partial_sql('c_mktsegment')} AS part, c_acctbal AS balance FROM customer""",
+)
+def mask_aliased(spark, sf):
+    """A result whose columns have other names is masked by the labels of the columns behind them."""
+    t = Tables(spark, sf)
+    df = t.customer.selectExpr("c_custkey AS k", "c_name AS shown", "c_mktsegment AS part", "c_acctbal AS balance")
+    # which column of the table each result column shows
+    shown = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(a).alias("name"), F.lit(b).alias("real")) for i, (a, b) in enumerate((("shown", "c_name"), ("part", "c_mktsegment")), 1)])
+    each = t.region.filter("r_regionkey = 0").select(F.inline(shown))
+    columns = each.select(F.lit(1).alias("table_id"), F.col("no").alias("column_no"), "name")
+    known = each.select(F.lit(1).alias("table_id"), F.col("no").alias("column_no"), F.lit("customer").alias("table_name"), F.col("real").alias("real_name"))
+    resolved = labelling.column_lineage_lookup(columns, known, "org1", "spark", "tpch")
+    policy = Policy(
+        object_id="org1:spark:tpch:customer",
+        labels=[PathLabel("c_name"), PathLabel("c_mktsegment", "partial_mask")],
+        paths=jobs.real_names(resolved, "org1:spark:tpch:customer"),
+    )
+    return jobs.mask_table(df, policy)
