@@ -178,6 +178,8 @@ def verbatim_matches(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that share no window with the benchmark, with the columns they came with."""
-    name = "matches_" + "_".join(docs.columns)
+    name = "matches"
+    while name in docs.columns:
+        name += "_"
     found = verbatim_matches(docs, benchmark, text, result=name, **options)
     return found.where(F.col(name)["n_hit"] == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
