@@ -8,7 +8,7 @@ from hushframe.functions.text import query_path
 from hushframe.operators import documents as docs
 from hushframe.operators import labels as labelling
 from hushframe.plans import jobs
-from hushframe.plans.policy import OverlayRule, PathLabel, Policy
+from hushframe.plans.policy import Detection, OverlayRule, PathLabel, Policy
 from queries.base import Tables, partial_sql, query
 from queries.derived import ORDER_LEAVES, ORDERS_JOINED, order_documents
 
@@ -264,3 +264,53 @@ def mask_rows(spark, sf):
     leaves = docs.doc_walk(order_documents(spark, sf), "doc_id", "doc").filter(~F.col("is_key"))
     masked = labelling.mask_by_lookup(leaves.withColumn("object_id", F.lit(OBJ)), _order_labels(t))
     return masked.groupBy("path", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _deep(spark, sf):
+    """Documents of every depth up to the limit."""
+    n = (F.pmod(F.col("n_chars"), F.lit(100)) + 1).cast("int")
+    body = F.concat(F.repeat(F.lit('{"k":'), n), F.lit('"'), F.col("lang"), F.lit('"'), F.repeat(F.lit("}"), n))
+    return Tables(spark, sf).documents.select("doc_id", body.alias("body"))
+
+
+@query(
+    "N1_doc_walk_depths",
+    """SELECT doc_id, repeat('k.', (n_chars % 100)::INTEGER) || 'k' AS path, lang AS value, (n_chars % 100 + 1) AS n_keys FROM documents""",
+)
+def walk_depths(spark, sf):
+    leaves = docs.doc_walk(_deep(spark, sf), "doc_id", "body")
+    return leaves.groupBy("doc_id").agg(
+        F.max(F.when(~F.col("is_key"), F.col("path"))).alias("path"),
+        F.max(F.when(~F.col("is_key"), F.col("value"))).alias("value"),
+        F.count_if("is_key").alias("n_keys"),
+    )
+
+
+@query(
+    "N2_doc_mask_depths",
+    """SELECT doc_id, repeat('{"k":', (n_chars % 100 + 1)::INTEGER) || '"[k]"' || repeat('}', (n_chars % 100 + 1)::INTEGER) AS body FROM documents""",
+)
+def mask_depths(spark, sf):
+    return docs.doc_mask(_deep(spark, sf), "body", Policy(object_id=OBJ, overlay={"K": "[k]"}))
+
+
+@query(
+    "N2_doc_mask_unread",
+    """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '{"email":"[mail]","n":1.50}' WHEN 1 THEN '{"email":"[redacted]", '
+      WHEN 2 THEN '[[[[[1]]]]]' WHEN 3 THEN lang || ' [redacted]' ELSE repeat('[', 150) || '"[redacted]"' END AS body,
+      CASE doc_id % 5 WHEN 0 THEN 'json' WHEN 1 THEN 'broken' WHEN 2 THEN 'json' WHEN 3 THEN 'text' ELSE 'broken' END AS state
+    FROM documents""",
+)
+def mask_unread(spark, sf):
+    """Repeated keys, broken and too deep documents, plain text: none passes with what it hides."""
+    kind, address = F.col("doc_id") % 5, F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("@example.org"))
+    body = (
+        F.when(kind == 0, F.concat(F.lit('{"email":"first","n":1.50,"email":"'), F.col("lang"), F.lit('"}')))
+        .when(kind == 1, F.concat(F.lit('{"email":"'), address, F.lit('", ')))
+        .when(kind == 2, F.lit("[[[[[1]]]]]"))
+        .when(kind == 3, F.concat_ws(" ", "lang", address))
+        .otherwise(F.concat(F.repeat(F.lit("["), F.lit(150)), F.lit('"'), address, F.lit('"')))
+    )
+    df = docs.doc_state(Tables(spark, sf).documents.select("doc_id", body.alias("body")), "body")
+    masked = docs.doc_mask(df, "body", Policy(object_id=OBJ, overlay={"email": "[mail]"}, detection=Detection()))
+    return masked.select("doc_id", "body", F.col("doc_state").alias("state"))

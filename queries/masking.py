@@ -35,15 +35,21 @@ def mask_customer(spark, sf):
     "S1_capped_read",
     "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000",
 )
-@query(
-    "T5_row_cap",
-    "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000",
-)
 def capped(spark, sf):
     df = Tables(spark, sf).orders.select("o_orderkey", "o_totalprice")
     return tables.capped_read(df, 1000, [F.col("o_totalprice").desc(), "o_orderkey"])
 
 
+@query(
+    "T5_row_cap",
+    "SELECT event_id, user_id, value FROM events WHERE event_type = 'view' ORDER BY value DESC, event_id LIMIT 250",
+)
+def row_cap(spark, sf):
+    """A cap over a filtered read."""
+    df = Tables(spark, sf).events.filter("event_type = 'view'").select("event_id", "user_id", "value")
+    return tables.capped_read(df, 250, [F.col("value").desc(), "event_id"])
+
+
 @query(
     "S2_document_read",
     "SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en' AND n_chars > 100 ORDER BY doc_id LIMIT 500",
