@@ -25,6 +25,8 @@ from hushframe.llm.common import slices, texts_of
 
 SIGN = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Distinct parts whose counts a task keeps.
+KEPT_PARTS = 1_500_000
 RESULT = "struct<n_tokens:long,score:double>"
 
 
@@ -48,32 +50,44 @@ class Counter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
+        self.known: dict[str, tuple[int, float]] = {}
         self.parts = all(SIGN not in p.lstrip(SIGN) for p, _ in pieces)
 
     def path(self, text: str) -> tuple[int, float]:
         """Pieces and score of the best path."""
         n = len(text)
-        best, count, stray, single = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1), [False] * n
-        matches: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, (length, score) in self.automaton.iter(text):
-            matches[last + 1].append((last + 1 - length, score))
-            if length == 1:
-                single[last] = True
-        for end in range(1, n + 1):
-            found = None
-            for start, score in sorted(matches[end]):
-                total = best[start] + score
-                if found is None or total > found:
-                    found, count[end], stray[end] = total, count[start] + 1, False
-            if not single[end - 1]:
+        best, count, stray = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        done, single, found = 0, False, None
+
+        def close(end: int) -> None:
+            """The place is settled: a character without a piece of its own may be unknown."""
+            nonlocal found
+            if not single:
                 total = best[end - 1] + self.unknown
                 if found is None or total > found:
                     found, count[end], stray[end] = total, count[end - 1] + (not stray[end - 1]), True
             best[end] = found
+
+        # Matches come by their ends, at one end the longest first: the order of the tie rule.
+        for last, (length, score) in self.automaton.iter(text):
+            while done < last:
+                done += 1
+                close(done)
+                single, found = False, None
+            total = best[last + 1 - length] + score
+            if found is None or total > found:
+                found, count[last + 1], stray[last + 1] = total, count[last + 1 - length] + 1, False
+            single = single or length == 1
+        while done < n:
+            done += 1
+            close(done)
+            single, found = False, None
         return count[n], best[n]
 
     def counts(self, texts: list[bytes]) -> tuple[list[int], list[float]]:
-        known: dict[str, tuple[int, float]] = {}
+        known = self.known
+        if len(known) > KEPT_PARTS:  # the memory of a task stays bounded
+            known.clear()
         numbers, scores = [], []
         for raw in texts:
             text = raw.decode("utf-8", "replace").replace(" ", SIGN)
