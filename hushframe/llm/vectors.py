@@ -1,11 +1,13 @@
 """Near-duplicate embeddings by sorted projection passes.
 
 In each pass every vector gets 64 signs of random projections; vectors are sorted by them as one lexicographic key
-and compared with the `WINDOW` vectors behind it. A vector within the threshold is in the window if the leading
-signs agree, as many as it takes to tell windows apart; the number of passes follows from that, the number of vectors
-and the wanted recall, so recall stays the same when the table grows. Verified pairs are united over all passes.
-Windows limit what a pass compares; the rest is made up for exactly: inside every component that the passes found,
-all pairs are compared in chunks of bounded size, which gives the links. Tasks give counts and spanning links only.
+and compared with the `WINDOW` vectors behind it. Vectors whose leading signs agree form a run; runs longer than the
+window are compared in full, in chunks of bounded size, so two vectors within the threshold meet in every pass in
+which those signs agree, however many others lie around them. That probability does not depend on the data, and the
+number of passes follows from it and the wanted recall. How many signs a run has only decides about the work: it is
+chosen by the angles inside a sample of the vectors. The vectors are not centred, as angles around a mean have no
+bound. Verified pairs are united over all passes; inside every component that they give, all pairs are compared in
+chunks as well, which gives the links. Tasks give counts and spanning links only.
 
 Equal vectors are one class. Cosines are computed in double precision.
 
@@ -34,14 +36,30 @@ WINDOW = 256
 RECALL = 0.999
 CHUNK = 2048
 ROW = "turn int, dim int, key binary, fp string, vec binary"
+RUN = "turn int, dim int, prefix long, fp string"
 SCANNED = "border long, turn int, dim int, key binary, fp string, vec binary, other string"
+SAMPLE = 1024  # vectors whose angles are looked at
+MOST_SIGNS = 48
 
 
-def passes_for(vectors: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Passes after which a pair at the threshold has met with the wanted probability."""
-    signs = max(1.0, math.log2(max(2, vectors) / window) + 1)
+def passes_for(signs: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """Passes after which a pair at the threshold has agreed in its first signs with the wanted probability."""
     once = (1 - math.acos(threshold) / math.pi) ** signs
-    return max(4, math.ceil(math.log(1 - recall) / math.log(1 - once)))
+    return max(4, math.ceil(math.log(1 - recall) / math.log1p(-once)))
+
+
+def signs_for(vectors: int, sample: list[np.ndarray], threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
+    """The leading signs of a run with the least work over all passes. `sample` has one matrix for each length."""
+    agree, pairs = [np.zeros(0)], sum(map(len, sample)) * max(1, sum(map(len, sample)) - 1)
+    for x in sample:
+        near = 1 - np.arccos(np.clip(_cosines(x, x), -1, 1)) / math.pi
+        agree.append(near[~np.eye(len(x), dtype=bool)])
+    agree = np.concatenate(agree)
+
+    def work(signs: int) -> float:
+        return passes_for(signs, threshold, recall) * (window + vectors * float((agree**signs).sum()) / max(1, pairs))
+
+    return min(range(1, MOST_SIGNS + 1), key=work)
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -99,6 +117,10 @@ def _classed():
     return classed
 
 
+def _signs(x: np.ndarray, turn: int) -> np.ndarray:
+    return x @ np.random.default_rng([x.shape[1], turn]).standard_normal((x.shape[1], 64)) > 0
+
+
 def _keys(passes: int):
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,8 +129,7 @@ def _keys(passes: int):
                 rows = batch.take(pa.array(np.flatnonzero(dims == dim)))
                 x = matrix(rows.column("vec"))
                 for k in range(passes):
-                    signs = x @ np.random.default_rng([int(dim), k]).standard_normal((int(dim), 64)) > 0
-                    bits = np.packbits(signs, axis=1)
+                    bits = np.packbits(_signs(x, k), axis=1)
                     n = len(x)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([k] * n, pa.int32()), rows.column("dim"), pa.array([r.tobytes() for r in bits], pa.binary()), rows.column("fp"), rows.column("vec")],
@@ -118,8 +139,64 @@ def _keys(passes: int):
     return keyed
 
 
+def _runs(passes: int, signs: int):
+    """The first signs of every vector in every pass, as a number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                rows = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                x = matrix(rows.column("vec"))
+                for k in range(passes):
+                    prefix = _signs(x, k)[:, :signs] @ (1 << np.arange(signs, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k] * len(x), pa.int32()), rows.column("dim"), pa.array(prefix, pa.int64()), rows.column("fp")],
+                        [c.split()[0] for c in RUN.split(", ")],
+                    )
+
+    return run
+
+
+def _dealt(members: DataFrame, sizes: DataFrame, group: list[str]) -> DataFrame:
+    """Members (group, fp) for every pair (x, y) of the group's chunks that needs them; `sizes` has the chunks."""
+    members = members.join(sizes, group).withColumn("chunk", F.pmod(F.xxhash64("fp"), "chunks"))
+    dealt = members.select(*group, "fp", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    return dealt.select(*group, "fp", "chunk", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"))
+
+
+def _linked(threshold: float):
+    """Spanning links between two chunks of a run."""
+
+    def linked(group: pa.Table) -> pa.Table:
+        chunk, x, y = group.column("chunk").to_numpy(), group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        left, right = np.flatnonzero(chunk == x), np.flatnonzero(chunk == y)
+        v = matrix(group.column("vec"))
+        a, b = np.nonzero(_cosines(v[left], v[right]) >= threshold)
+        root = _roots(len(v), left[a], right[b])
+        some, fp = np.flatnonzero(root != np.arange(len(root))), group.column("fp")
+        return pa.table({"a": fp.take(pa.array(some)), "b": fp.take(pa.array(root[some]))})
+
+    return linked
+
+
+def _borders(tails: dict[int, int], window: int) -> list[tuple[int, int]]:
+    """The borders (behind a partition) that each partition's last rows go to: further ones over short partitions.
+
+    `tails` has the rows of each partition that has any, at most `window`.
+    """
+    last, out = max(tails, default=-1), []
+    for part in tails:
+        between, border = 0, part
+        while border < last and between < window:
+            out.append((part, border))
+            border += 1
+            between += tails.get(border, 0)
+    return out
+
+
 def _scan(window: int, threshold: float):
-    """Links inside a sorted partition, and its first and last rows, which meet those of its neighbours."""
+    """Links inside a sorted partition, and its first and last rows (border: the partition, other: which of both)."""
     names = [c.split()[0] for c in SCANNED.split(", ")]
 
     def out(table: pa.Table, border: int | None, other: pa.Array | None) -> pa.RecordBatch:
@@ -130,6 +207,9 @@ def _scan(window: int, threshold: float):
             made[3] = made[5] = pa.nulls(n, pa.binary())
         return pa.RecordBatch.from_arrays(made, names)
 
+    def side(held: pa.Table, name: str) -> pa.Array:
+        return pa.array([name] * min(len(held), window), pa.string())
+
     def linked(table: pa.Table) -> Iterator[pa.RecordBatch]:
         groups = table.column("turn").to_numpy().astype(np.int64) << 32 | table.column("dim").to_numpy()
         cuts = np.flatnonzero(np.diff(groups)) + 1
@@ -148,15 +228,15 @@ def _scan(window: int, threshold: float):
             held = now if held is None else pa.concat_tables([held, now])
             if first and len(held) >= window or len(held) >= 8 * window:
                 if first:
-                    yield out(held.slice(0, window), part - 1, None)
+                    yield out(held.slice(0, window), part, side(held, "first"))
                     first = False
                 yield from linked(held)
                 held = held.slice(max(0, len(held) - window))
         if held is not None and len(held):
             if first:
-                yield out(held.slice(0, window), part - 1, None)
+                yield out(held.slice(0, window), part, side(held, "first"))
             yield from linked(held)
-            yield out(held.slice(max(0, len(held) - window)), part, None)
+            yield out(held.slice(max(0, len(held) - window)), part, side(held, "last"))
 
     return scan
 
@@ -170,6 +250,7 @@ def near_duplicate_vectors(
     recall: float = RECALL,
 ) -> DataFrame:
     """Per row: vec_id, n_links, component_id (least id of its component), kept (its id names the component)."""
+    spark = vectors.sparkSession
     named = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"))
     rows = written(named.select("vec_id", _classed()("e").alias("c")).select("vec_id", "c.fp", "c.dim", "c.vec"), "vectors")
     valid = rows.where("fp is not null")
@@ -177,7 +258,13 @@ def near_duplicate_vectors(
         valid.groupBy("fp").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("dim").alias("dim"), F.first("vec").alias("vec")),
         "vectors",
     )
-    passes = passes_for(classes.count(), threshold, window, recall)
+    # Fingerprints are random: the least are a sample of bounded size.
+    seen: dict[int, list[bytes]] = {}
+    for r in classes.orderBy("fp").select("dim", "vec").limit(SAMPLE).collect():
+        seen.setdefault(r["dim"], []).append(bytes(r["vec"]))
+    sample = [matrix(pa.array(x, pa.binary())) for x in seen.values()]
+    signs = signs_for(classes.count(), sample, threshold, window, recall)
+    passes = passes_for(signs, threshold, recall)
     keyed = classes.select("dim", "fp", "vec").mapInArrow(_keys(passes), ROW)
     order = ["turn", "dim", "key", "fp"]
     ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -196,14 +283,23 @@ def near_duplicate_vectors(
         return pa.table({"a": pa.array(left, pa.string()), "b": pa.array(right, pa.string())})
 
     links = scanned.where("border is null").select(F.col("fp").alias("a"), F.col("other").alias("b"))
-    borders = scanned.where("border is not null").select("border", "turn", "dim", "key", "fp", "vec")
+    edges = scanned.where("border is not null").withColumnRenamed("border", "part")
+    tails = {r["part"]: r["n"] for r in edges.where("other = 'last'").groupBy("part").agg(F.count("*").alias("n")).collect()}
+    goals = spark.createDataFrame(_borders(tails, window), "part long, border long")
+    meet = ["border", "turn", "dim", "key", "fp", "vec"]
+    borders = edges.where("other = 'last'").join(goals, "part").select(*meet)
+    borders = borders.union(edges.where("other = 'first'").withColumn("border", F.col("part") - 1).select(*meet))
     links = links.union(borders.groupBy("border").applyInArrow(at_border, "a string, b string"))
+
+    run = ["turn", "dim", "prefix"]
+    runs = written(classes.select("dim", "fp", "vec").mapInArrow(_runs(passes, signs), RUN), "vectors")
+    long = runs.groupBy(*run).agg(F.count("*").alias("n")).where(F.col("n") > window).select(*run, F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    crowd = _dealt(runs, long, run).join(classes.select("fp", "vec"), "fp").select(*run, "x", "y", "chunk", "fp", "vec")
+    links = links.union(crowd.groupBy(*run, "x", "y").applyInArrow(_linked(threshold), "a string, b string"))
     parts = written(components(links), "vectors")
 
     sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    members = parts.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
-    dealt = members.select("component", "node", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.select("component", F.col("node").alias("fp"), "chunk", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"))
+    dealt = _dealt(parts.select("component", F.col("node").alias("fp")), sizes, ["component"])
 
     def counted(group: pa.Table) -> pa.Table:
         chunk, x, y = group.column("chunk").to_numpy(), group.column("x")[0].as_py(), group.column("y")[0].as_py()

@@ -452,5 +452,28 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     assert vectors.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_a_dense_cluster(spark):
+    """A third of the rows points one way without being linked; pairs at 0.952 in it are all found."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    axis = unit(rng.normal(size=64))
+    cluster = unit(0.95 * axis + 0.312 * unit(rng.normal(size=(1000, 64))))
+    across = rng.normal(size=(60, 64))
+    base = cluster[:60]
+    across = unit(across - (across * base).sum(axis=1, keepdims=True) * base)
+    x = np.concatenate([cluster, 0.952 * base + math.sqrt(1 - 0.952**2) * across, unit(rng.normal(size=(2000, 64)))])
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert 60 <= near.sum() / 2 < 200
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicate_vectors(df, window=4).collect()}
+    assert [got[i] for i in range(len(x))] == near.sum(axis=1).tolist()
+
+
+def test_vectors_meet_over_short_partitions():
+    assert sorted(vectors._borders({0: 4, 1: 1, 3: 2, 4: 4}, 4)) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 1), (1, 2), (1, 3), (3, 3)]
+    assert vectors._borders({}, 4) == []
+
+
 def test_hash_of_ids_is_the_contracts():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
