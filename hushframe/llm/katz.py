@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from hushframe.llm.common import Lexicon, fmix, numbered, slices, sums, texts_of, word_hashes, written
 
-ORDER = 2
+ORDER = 3
 DEPTH = 5
 BLOCK_TOKENS = 1 << 21
 BUCKET_ENTRIES = 1 << 20

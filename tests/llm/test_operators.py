@@ -117,6 +117,17 @@ def test_katz_against_counts(spark, docs, empty):
     assert tuple(unlearned) == (0.0, 0.0, 0)
 
 
+def test_katz_query_uses_trigrams(spark, monkeypatch):
+    """The middle word is the same in both texts, so only the word before it tells what follows."""
+    from hushframe.llm import op1
+
+    texts = ["red cat runs", "big cat sits"] * 20
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000, "red cat runs"), (1001, "red cat sits")]
+    monkeypatch.setattr(op1, "table", lambda *_: spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["score"] for r in op1.op1_katz(spark, "").collect()}
+    assert got[1000] > got[1001] + 0.5
+
+
 # 2
 
 
