@@ -13,8 +13,8 @@ compute the same integers.
 
 Defined cases: null and empty texts consist of the end id; null sources are a queue of their own; repeated rows are
 packed once each; targets of absent sources are left out and sources without a target come last, in one round-robin
-of their own shares; more than `MAX_QUEUES` sources are dealt to that many queues by a hash of their name; an empty
-table gives no pieces.
+of their own shares; of more than `MAX_QUEUES` sources those with a target keep their queues and the others are dealt
+to that many queues by a hash of their name; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.llm.tokens import token_blocks, unpacked
@@ -100,6 +100,12 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return of, first[of] + np.arange(len(of)) - (np.cumsum(count) - count)[of]
 
 
+def _dealt(queue: Column, targets: dict[str, float]) -> Column:
+    """The queue of a source when there are too many: its own if it has a target, else one by its hash."""
+    own = F.coalesce(queue.isin([x for x in targets if x is not None]), F.lit(None in targets))
+    return F.when(own, F.concat(F.lit("="), queue)).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64(queue), F.lit(MAX_QUEUES))))
+
+
 def pack(
     docs: DataFrame,
     path: str,
@@ -119,15 +125,15 @@ def pack(
         .agg(F.sum("d.sizes").alias("n"))
     )
     sums = by_part.groupBy("queue").agg(F.sum("n").alias("n"))
-    most = sums.limit(MAX_QUEUES + 1).count()  # the targets name few sources; a table of them is small or is hashed
-    key = F.col("queue") if most <= MAX_QUEUES else F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)))
+    hashed, wanted = sums.limit(MAX_QUEUES + 1).count() > MAX_QUEUES, targets or {}
+    key = _dealt(F.col("queue"), wanted) if hashed else F.col("queue")
     sums = sums.groupBy(key.alias("queue")).agg(F.sum("n").alias("n")).orderBy(F.col("queue").asc_nulls_first()).collect()
     names, totals = [r["queue"] for r in sums], [r["n"] for r in sums]
-    wanted = targets or {}
+    if hashed:
+        wanted = {x if x is None else "=" + x: share for x, share in wanted.items()}
     plan = Schedule(totals, [wanted.get(x, 0.0) if targets else float(n) for x, n in zip(names, totals)], window)
     number = {x: i for i, x in enumerate(names)}
     state = spark.sparkContext.broadcast((totals, plan.start, plan.base, plan.quantum, number))
-    hashed = most > MAX_QUEUES
 
     by_part = by_part.select("part", key.alias("queue"), "n").groupBy("part", "queue").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,7 +152,7 @@ def pack(
         .groupBy("part", "block")
         .agg(F.collect_list(F.struct("queue", "n")).alias("inner"))
     )
-    queues = F.transform("queues", lambda x: F.concat(F.lit("#"), F.pmod(F.xxhash64(x), F.lit(MAX_QUEUES)))) if hashed else F.col("queues")
+    queues = F.transform("queues", lambda x: _dealt(x, targets or {})) if hashed else F.col("queues")
     placed = blocks.withColumn("queues", queues).join(inner.join(offsets, "part"), ["part", "block"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

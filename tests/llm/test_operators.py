@@ -230,6 +230,22 @@ def test_packing_keeps_the_mixture(spark):
     assert all(shares[i]["small"] == 0 for i in range(len(shares) - 3, len(shares)))  # that source ran dry
 
 
+def test_targets_hold_with_more_sources_than_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 2)
+    rng = random.Random(6)
+    names = ["big", "big", "small", None, "#0", "c", "d"]
+    rows = [(i, prose(rng, 300), names[i % 7]) for i in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for targets in ({"big": 0.25, "small": 0.75}, {"#0": 0.5, None: 0.5}):
+        shares, every = {}, Counter()
+        for p in packing.pack(df, TOKENIZER, window=256, targets=targets).collect():
+            shares.setdefault(p["sequence_id"], Counter())[names[p["doc_id"] % 7]] += p["length"]
+            every[p["doc_id"]] += p["length"]
+            assert p["doc_tokens"] >= every[p["doc_id"]]
+        assert all(abs(shares[i][x] - 256 * t) <= 2 for i in range(5) for x, t in targets.items())
+        assert set(every) == set(range(70))
+
+
 def test_schedule_sums_to_all(spark):
     plan = packing.Schedule([10_000, 3, 500_000], [1.0, 1.0, 5.0], 64)
     last = int(plan.start[-1]) + 20_000
