@@ -12,9 +12,6 @@ from hushframe.llm.decontaminate import decontaminate
 from hushframe.llm.neardup import representatives
 from hushframe.llm.packing import pack
 
-#: A document stays if its language has at least this share of the evidence.
-LANGUAGE_SHARE = 0.35
-
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It learns from the labels of op6_quality."""
@@ -27,7 +24,7 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents whose language can be told. The filters learn from what came in."""
     learned = language.train(docs.where(remainder(F.col("doc_id"), 5) != 0))
     told = language.identify(spark, learned, F.col("text"))
-    return docs.where((told["lang"] != "und") & (told["score"] >= LANGUAGE_SHARE))
+    return docs.where(told["told"])
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,16 +1,17 @@
 """Language identification with bit-sliced Bloom filters of n-grams.
 
 One filter serves all languages: every slot holds one bit per language, so the bitwise AND of an n-gram's slots gives
-all languages that contain it. A language contains an n-gram if its rate there is at least `SHARE` of the sum of its
-rates over all languages. Only n-grams with a rate of at least `FLOOR` in some language enter, so that their number,
-and the size of the filter that the tasks get, is at most 1 / FLOOR per language however large the corpus is.
-A text's n-grams are counted per language (popcounts), the counts are corrected for the filter's false positives
-(the share of set slots to the power of the probes), and the largest corrected share decides.
+all languages that contain it. Every n-gram of a language's texts is in, however rare it is and however many others
+use it; the filter has eight slots or more for each and is sent to the tasks whole.
+A text's n-grams are counted per language, each divided by how many languages it has (popcounts). The part of the hits
+that the filter's false positives explain (the share of set slots to the power of the probes) is taken off, and the
+largest share decides. `told` says if that language's own n-grams are more than false positives explain (three
+standard deviations); other languages, related or not, have no part in it.
 
 N-grams have 3 to 5 characters of one lower-cased word and its ends. Counts are taken over all texts with a language.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; a text of unknown n-grams only gets the
-most frequent language with score 0; ties go to the language that sorts first; null languages are not learned;
+most frequent language with score 0 and is not told; ties go to the language that sorts first; null languages are not learned;
 without any learned language all are `und`; repeated rows count as they stand; all columns of the documents are kept.
 """
 
@@ -29,11 +30,9 @@ from hushframe.llm.common import Lexicon, fmix, numbered, slices, sums, texts_of
 
 ORDERS = (3, 4, 5)
 PROBES = 3
-SHARE = 0.2
-FLOOR = 2e-6
 SLICE = 1 << 14
 PART_BYTES = 4 << 20  # of text that a worker looks at at a time
-RESULT = "struct<lang:string,score:double>"
+RESULT = "struct<lang:string,score:double,told:boolean>"
 
 
 class Grams:
@@ -130,13 +129,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filter:
         return Filter([], "und", np.zeros((SLICE, 1), np.uint64))
     prior = max(langs, key=lambda x: totals[x])
     number = F.create_map(*[F.lit(v) for i, x in enumerate(langs) for v in (x, i)])
-    total = F.create_map(*[F.lit(v) for x in langs for v in (x, float(totals[x]))])
-    rates = counts.select("gram", number[F.col("lang")].alias("i"), (F.col("n") / total[F.col("lang")]).alias("rate"))
-    sets = rates.groupBy("gram").agg(F.sum("rate").alias("all"), F.max("rate").alias("most"), F.collect_list(F.struct("i", "rate")).alias("by"))
-    sets = sets.where(F.col("most") >= FLOOR).select(
-        "gram", F.transform(F.filter("by", lambda x: x["rate"] >= SHARE * F.col("all")), lambda x: x["i"]).alias("i")
-    )
-    sets = written(sets, "language")
+    sets = written(counts.groupBy("gram").agg(F.collect_list(number[F.col("lang")]).alias("i")), "language")
     slots = max(SLICE, 1 << math.ceil(math.log2(8 * max(1, sets.count()))))
     low, high = F.col("gram").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("gram", 32)
     probes = F.array(*[(low + j * high).bitwiseAND(slots - 1) for j in range(PROBES)])
@@ -163,46 +156,54 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filter:
     return Filter(langs, prior, table)
 
 
-def decide(texts: list[bytes], f: Filter) -> tuple[list[str], np.ndarray]:
+def decide(texts: list[bytes], f: Filter) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and `told` of each text."""
     lexicon = Lexicon()
     ids, sizes = numbered([t.split() for t in texts], lexicon)
     found = Grams(list(lexicon))
     letters = sums(found.has_letter[ids].astype(np.int64), sizes) > 0
     if not f.langs:
-        return ["und"] * len(texts), np.zeros(len(texts))
+        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
     n = len(lexicon)
-    count, hits = np.zeros(n, np.int64), np.zeros((len(f.langs), n), np.int64)
+    count, hits, parts = np.zeros(n, np.int64), np.zeros((len(f.langs), n), np.int64), np.zeros((len(f.langs), n))
     for hashes, owner in found:
         masks = None
         for slots in _probes(hashes, len(f.slots)):
             masks = f.slots[slots] if masks is None else masks & f.slots[slots]
         count += np.bincount(owner, minlength=n)
+        part = 1 / np.maximum(1, np.bitwise_count(masks).sum(axis=1, dtype=np.int64))
         for i in range(len(f.langs)):
-            hits[i] += np.bincount(owner[_bit(masks, i)], minlength=n)
+            some = np.flatnonzero(_bit(masks, i))
+            hits[i] += np.bincount(owner[some], minlength=n)
+            parts[i] += np.bincount(owner[some], part[some], minlength=n)
     all_ = sums(count[ids], sizes)
-    share = np.zeros((len(texts), len(f.langs)))
+    share, told = np.zeros((len(texts), len(f.langs))), np.zeros((len(texts), len(f.langs)), bool)
     for i in range(len(f.langs)):
-        rate = sums(hits[i][ids], sizes) / np.maximum(all_, 1)
-        share[:, i] = np.maximum(0, (rate - f.false[i]) / max(1e-9, 1 - f.false[i]))
+        hit, false = sums(hits[i][ids], sizes), f.false[i]
+        true = np.maximum(0, (hit - all_ * false) / max(1e-9, 1 - false))
+        share[:, i] = sums(parts[i][ids], sizes) * true / np.maximum(hit, 1)
+        told[:, i] = hit > all_ * false + 3 * np.sqrt(all_ * false * (1 - false))
     total = share.sum(axis=1)
     best = share.argmax(axis=1)
     score = share[np.arange(len(texts)), best] / np.where(total > 0, total, 1)
     names = [f.langs[b] if t > 0 else f.prior for b, t in zip(best, total)]
-    return [x if ok else "und" for x, ok in zip(names, letters)], np.where(letters, score, 0.0)
+    told = told[np.arange(len(texts)), best] & letters
+    return [x if ok else "und" for x, ok in zip(names, letters)], np.where(letters, score, 0.0), told
 
 
 def identify(spark, f: Filter, text: Column) -> Column:
-    """A struct of the language and the score for each text."""
+    """A struct of the language, the score and `told` for each text."""
     sent = spark.sparkContext.broadcast(SimpleNamespace(**vars(f)))
 
     @F.arrow_udf(RESULT)
     def identified(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            names, scores = [], [np.zeros(0)]
+            names, scores, told = [], [np.zeros(0)], [np.zeros(0, bool)]
             for some in slices(column, PART_BYTES):
-                found, score = decide(texts_of(some), sent.value)
+                found, score, ok = decide(texts_of(some), sent.value)
                 names += found
                 scores.append(score)
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang", "score"])
+                told.append(ok)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(told))], ["lang", "score", "told"])
 
     return identified(text)

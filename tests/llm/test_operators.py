@@ -410,6 +410,28 @@ def test_language(spark, docs, empty):
     assert {r[0]["lang"] for r in docs.select(language.identify(spark, nothing, F.col("text"))).collect()} == {"und"}
 
 
+def test_filter_holds_shared_and_rare_grams(spark):
+    """Eight languages share most words; a word used once among many is still its language's."""
+    rng = random.Random(8)
+    shared = [prose(rng, 30) for _ in range(8)]
+    langs = list("abcdefgh")
+    rows = [(" ".join(shared) + f" zq{x}", x) for x in langs] + [(prose(rng, 100) * 500, "a"), ("xyxyx " + "ka " * 300_000, "h")]
+    f = language.train(spark.createDataFrame(rows, "text string, lang string"))
+
+    def held(text):
+        some, _, _ = language.grams(text.encode().split())
+        return np.bitwise_and.reduce([f.slots[s] for s in language._probes(np.unique(some), len(f.slots))])
+
+    masks = held(" ".join(shared))
+    assert all(language._bit(masks, i).all() for i in range(8))
+    assert all(language._bit(held(f"zq{x}"), i).all() for i, x in enumerate(langs))
+    assert language._bit(held("xyxyx"), 7).all()
+    text = spark.createDataFrame([(" ".join(shared),), ("xyxyx",), ("wvwvwvwv",)], "text string")
+    got = [r[0] for r in text.coalesce(1).select(language.identify(spark, f, F.col("text"))).collect()]
+    assert got[0]["told"] and got[0]["score"] < 0.35  # eight languages alike, each with all the evidence
+    assert got[1]["told"] and got[1]["lang"] == "h" and not got[2]["told"]
+
+
 def test_filter_holds_all_and_few_others(spark):
     rng = random.Random(4)
     df = spark.createDataFrame([(prose(rng, 400), "a"), (prose(rng, 400)[::-1], "b")], "text string, lang string")
