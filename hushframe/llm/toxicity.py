@@ -1,8 +1,8 @@
 """Toxicity with noisy-channel deobfuscation.
 
 A word that looks disguised becomes a lattice over its characters: look-alikes (leetspeak) read as letters, signs
-between letters drop out, runs of a character shrink to one or two; single characters apart from each other are first
-put together. Viterbi decoding finds the reading that is likeliest under a character model (interpolated 4-grams of
+between letters drop out, runs of a character shrink to one or two. Single characters apart from each other are one
+lattice, in which every space drops out or ends a word. Viterbi decoding finds the reading that is likeliest under a character model (interpolated 4-grams of
 all words of the corpus) and the channel's costs. The restored words are scored by a logistic regression on the
 presence of words and of their beginnings, fitted by follow-the-regularised-leader updates.
 
@@ -96,15 +96,19 @@ def letter_model(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def disguised(core: str) -> bool:
-    """Has a letter and a sign or digit inside, or a character three times in a row."""
+    """Has a letter and a sign or digit inside, a letter twice in a row, characters apart, or look-alikes only."""
+    if " " in core:
+        return True
     letters = sum(c.isalpha() for c in core)
     if letters and letters < len(core):
         return any(c in LOOKS or c in BETWEEN for c in core) and letters + sum(c in LOOKS for c in core) >= 3
-    return bool(letters) and re.search(r"(.)\1\1", core) is not None
+    if not letters:
+        return len(core) >= 3 and all(c in LOOKS or c in BETWEEN for c in core) and sum(c in LOOKS for c in core) >= 3
+    return re.search(r"(.)\1", core) is not None
 
 
 def decode(word: str, cost: np.ndarray) -> str:
-    """The likeliest reading of a word's lattice."""
+    """The likeliest reading of a word's lattice; a space is read as nothing or as the end of a word."""
     states = {(EDGE, EDGE, EDGE): (0.0, None)}  # context: cost and the way back
     at = {0: states}
     n = len(word)
@@ -117,7 +121,9 @@ def decode(word: str, cost: np.ndarray) -> str:
             run += 1
         first = i == 0 or word[i - 1] != c
         edges: list[tuple[int, str, float]] = []  # next place, letters, cost
-        for letter in (c, *LOOKS.get(c, "")):
+        if c == " ":
+            edges = [(i + 1, "", 0.0), (i + 1, " ", 0.0)]
+        for letter in (c, *LOOKS.get(c, "")) if c != " " else ():
             base = 0.0 if letter == c and c.isalpha() else LOOK_COST if letter != c else KEEP_COST
             edges.append((i + 1, letter, base))
             if run >= 2 and first:
@@ -127,13 +133,13 @@ def decode(word: str, cost: np.ndarray) -> str:
         if c in BETWEEN:
             edges.append((i + 1, "", DROP_COST))
         for to, letters, price in edges:
-            symbols = _symbols(letters)
+            symbols = [EDGE] if letters == " " else _symbols(letters)
             target = at.setdefault(to, {})
             for context, (so_far, back) in here.items():
                 total, k = so_far + price, context
                 for s in symbols:
                     total += float(cost[((k[0] * BASE + k[1]) * BASE + k[2]) * BASE + s])
-                    k = (k[1], k[2], s)
+                    k = (k[1], k[2], s) if s != EDGE else (EDGE, EDGE, EDGE)
                 if k not in target or total < target[k][0]:
                     target[k] = (total, (letters, back))
     best = min(
@@ -148,22 +154,26 @@ def decode(word: str, cost: np.ndarray) -> str:
 
 def core_of(chunk: str) -> str:
     """A word without the punctuation around it; signs that begin or end it and may be letters stay."""
+    if len(chunk) >= 3 and all(c in LOOKS for c in chunk):
+        return chunk
     core = chunk.lower().lstrip("\"#%&'*,-./:;<=>?[\\]^_`}~").rstrip("\"#%&'()*,-./:;<=>?[\\]^_`{|}~!")
     trailing = re.search(r"([$@!|+])\1*$", core)
     return core[: trailing.start()] if trailing and len(trailing[0]) > 1 else core
 
 
 def joined(words: list[bytes]) -> list[bytes]:
-    """The words, with runs of three or more single characters put together."""
-    if sum(len(w) == 1 for w in words) < 3:
+    """The words; runs of single characters, three or more of them no mere signs, are one item with spaces."""
+    if sum(len(w) <= 2 for w in words) < 3:
         return words
-    out, run = [], []
+    out, run, count = [], [], 0
     for w in (*words, b""):
-        if len(w) == 1 and (w.isalnum() or w.decode("latin-1") in LOOKS):
+        c = w.decode("utf-8", "replace") if 1 <= len(w) <= 4 else ""
+        if len(c) == 1 and (c.isalnum() or c in LOOKS or c in BETWEEN):
             run.append(w)
+            count += c.isalnum() or c in LOOKS
             continue
-        out += [b"".join(run)] if len(run) >= 3 else run
-        run = []
+        out += [b" ".join(run)] if count >= 3 else run
+        run, count = [], 0
         if w:
             out.append(w)
     return out
@@ -173,12 +183,19 @@ def restored(texts: list[bytes], cost: np.ndarray) -> tuple[list[str], np.ndarra
     """Distinct restored words; each text's distinct ones as numbers, one text after another, and how many."""
     chunks, cores = Lexicon(), Lexicon()
     ids, sizes = numbered([joined(t.split()) for t in texts], chunks)
-    number = []
+    number, length = [], []
     for chunk in chunks:
-        core = core_of(chunk.decode("utf-8", "replace"))
-        number.append(cores[decode(core, cost) if disguised(core) else core])
-    words = np.array(number, np.int64)[ids] if len(ids) else ids
-    doc = np.repeat(np.arange(len(texts)), sizes)
+        core = core_of(chunk.decode("utf-8", "replace")).strip()
+        read = decode(core, cost) if disguised(core) else core
+        made = read.split() if " " in core else [read]
+        number += [cores[x] for x in made]
+        length.append(len(made))
+    # An item of characters apart may be several words.
+    flat, length = np.array(number, np.int64), np.array(length, np.int64)
+    count = length[ids]
+    at = np.repeat((np.cumsum(length) - length)[ids] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    words = flat[at]
+    doc = np.repeat(np.repeat(np.arange(len(texts)), sizes), count)
     pairs = np.unique(doc * max(1, len(cores)) + words)
     return list(cores), pairs % max(1, len(cores)), np.bincount(pairs // max(1, len(cores)), minlength=len(texts))
 

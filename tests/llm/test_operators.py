@@ -370,6 +370,23 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.letter_model(empty).shape == (toxicity.BASE**4,)
 
 
+def test_toxicity_of_spaced_words(spark):
+    text = "you are a stupid idiot with a big ass and that is what you are " * 20
+    cost = toxicity.letter_model(spark.createDataFrame([(text,)], "text string"))
+
+    def read(text):
+        words, ids, _ = toxicity.restored([text.encode()], cost)
+        return {words[i] for i in ids}
+
+    assert read("a s t u p i d") == {"a", "stupid"}
+    assert read("y o u i d i o t") == {"you", "idiot"}
+    assert read("s t u p i d i d i o t") == {"stupid", "idiot"}
+    assert read("s . t . u . p . i . d") == {"stupid"}
+    assert read("@$$") == read("455") == {"ass"}
+    assert read("idiiot") == {"idiot"} and read("stuupid") == {"stupid"}
+    assert read("you are") == {"you", "are"} and read("") == set()
+
+
 def test_decoding_is_the_cheapest_path(spark):
     """Against all readings of short words."""
     train, _ = labelled(spark)
