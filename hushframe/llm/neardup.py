@@ -1,11 +1,11 @@
-"""N-gram Jaccard self-join of documents with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard self-join of documents with MinHash banding and exact verification.
 
 Documents are sets of hashed shingles of five consecutive words (letters, digits and all characters beyond ASCII,
 A-Z lower-cased; fewer words are one shingle). Texts with the same words are one class; everything after that works
-on classes. Every class has a label in each of `TREES` prefix tries, a sequence of MinHash values. Matched prefixes
-begin at `DEEPEST` values and are shortened value by value until two documents at the threshold share one in some
-trie with the target recall; with the defaults that is three values and a recall of 0.9999994. The nodes of the tries
-at that depth are the candidates' groups. Each group is dealt to pairs of chunks of bounded size, so a hot group is
+on classes. Every class has a label in each of `TREES` bands (`tree`), a sequence of MinHash values of a length that is
+fixed beforehand: the longest, up to `DEEPEST`, at which two documents at the threshold share one with the target
+recall; with the defaults that is three values and a recall of 0.9999994. It is no LSH forest: no tries are built and
+nothing is shortened by what matched. Equal labels in a band are the candidates' groups. Each group is dealt to pairs of chunks of bounded size, so a hot group is
 spread over many tasks; a pair of classes is taken in the first trie in which it meets only, and its shingle sets are
 compared exactly. Tasks give link counts and spanning links, never pairs; components come from repeated joins.
 
