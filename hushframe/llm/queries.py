@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from hushframe.llm import op1, op10, op2, op3, op4, op5, op6, op7, op8, op9  # noqa: F401
+from hushframe.llm import op1, op10, op11, op12, op13, op2, op3, op4, op5, op6, op7, op8, op9  # noqa: F401
 from hushframe.llm.registry import QUERIES, SQL  # noqa: F401
