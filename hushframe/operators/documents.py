@@ -63,6 +63,11 @@ def _text_of(df: DataFrame, doc_col: str) -> Column:
     return col if isinstance(df.schema[doc_col].dataType, T.StringType) else F.to_json(col)
 
 
+def _walk_column(df: DataFrame, doc_col: str, max_depth: int = MAX_DEPTH) -> Column:
+    """A VARIANT may be a bare value; a text that is one is plain text."""
+    return walked(_text_of(df, doc_col), max_depth, scalars=isinstance(df.schema[doc_col].dataType, T.VariantType))
+
+
 def depth_guard(df: DataFrame, doc_col: str, max_depth: int = MAX_DEPTH, strict: bool = False) -> DataFrame:
     """Add `too_deep`; in strict mode such a document stops the job."""
     deep = F.coalesce(json_depth(_text_of(df, doc_col)) - 1 > max_depth, F.lit(False))
@@ -73,7 +78,7 @@ def depth_guard(df: DataFrame, doc_col: str, max_depth: int = MAX_DEPTH, strict:
 
 def doc_state(df: DataFrame, doc_col: str, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Add `doc_state`: json, text (plain text), broken (begins like a document), deep, or null."""
-    return df.withColumn("doc_state", walked(_text_of(df, doc_col), max_depth)["state"])
+    return df.withColumn("doc_state", _walk_column(df, doc_col, max_depth)["state"])
 
 
 def _leaf(path: Column, key: Column, value: Column, is_key: bool) -> Column:
@@ -116,7 +121,7 @@ def _typed_leaves(node: Column, kind: T.DataType, path: Column, at: str = "") ->
         own = F.array(_leaf(path, _last_segment(path), node, False))
         return F.when(node.isNull(), _no_leaves()).otherwise(own)
     if _through_json(kind):
-        return F.coalesce(_plain_leaves(walked(F.to_json(node), prefix=at)), _no_leaves())
+        return F.coalesce(_plain_leaves(walked(F.to_json(node), prefix=at, scalars=True)), _no_leaves())
     if isinstance(kind, T.ArrayType):
         inner = F.concat(path, F.lit("[]"))
         if _typed_leaves(F.lit(None), kind.elementType, inner) is None:
@@ -152,12 +157,12 @@ def _raise_unread(state: Column) -> Column:
 def doc_walk(df: DataFrame, id_col: str, doc_col: str, max_depth: int = MAX_DEPTH, strict: bool = False) -> DataFrame:
     """Every string value and every key of each document: id, path, key, value, is_key.
 
-    A struct names all its fields as keys. Text that cannot be read has no leaves (`doc_state` tells it), or stops
+    A struct names all its fields as keys. A bare JSON string is one leaf without a path. Text that cannot be read has no leaves (`doc_state` tells it), or stops
     the job when strict.
     """
     kind = df.schema[doc_col].dataType
     if isinstance(kind, (T.StringType, T.VariantType)):
-        df = df.select(id_col, walked(_text_of(df, doc_col), max_depth).alias("_walked"))
+        df = df.select(id_col, walked(_text_of(df, doc_col), max_depth, scalars=True).alias("_walked"))
         if strict:
             df = df.filter(_raise_unread(F.col("_walked.state")))
         leaves = _plain_leaves(F.col("_walked"))
@@ -338,7 +343,7 @@ def _new_values(leaves: Column, rules: _LeafRules) -> Column:
 
 def _mask_as_json(node: Column, kind: T.DataType, path: str, rules: _LeafRules) -> Column:
     text = F.to_json(node)
-    found = walked(text, prefix=path)
+    found = walked(text, prefix=path, scalars=True)
     masked = rebuilt(found, _masked_leaves(found["leaves"], _strings(found["leaves"]), rules.policy))
     back = F.parse_json(masked) if isinstance(kind, T.VariantType) else F.from_json(masked, kind)
     return F.when(node.isNull(), node).otherwise(back)
@@ -368,10 +373,21 @@ def _masked_leaves(leaves: Column, texts: Column, policy: Policy) -> Column:
     return let(both, lambda b: _new_values(b["leaves"], _LeafRules(policy, b["detected"])))
 
 
+def _rebuilt_if_changed(text: Column, found: Column, values: Column) -> Column:
+    """The document with new values; the very text where no rule hit and no repeated key hides a value."""
+
+    def shown(b: Column) -> Column:
+        same = F.forall(F.zip_with(b["found"]["leaves"], b["new"], lambda x, v: x["value"].eqNullSafe(v)), lambda x: x)
+        return F.when(same & b["found"]["once"], b["text"]).otherwise(rebuilt(b["found"], b["new"]))
+
+    return let(F.struct(text.alias("text"), found.alias("found"), values.alias("new")), shown)
+
+
 def doc_mask(df: DataFrame, doc_col: str, policy: Policy, max_depth: int = MAX_DEPTH, strict: bool | None = None) -> DataFrame:
     """Mask the leaves of a document column in place, each by its own path.
 
-    JSON text comes back as JSON text and VARIANT as VARIANT; plain text only goes through content detection.
+    JSON text comes back as JSON text and VARIANT as VARIANT, the very same where no rule hits; plain text, bare
+    numbers and strings among it, only goes through content detection.
     Typed leaves (numbers, flags, times) change only when a confirmed label asks for it. A text that begins like a
     document and cannot be read is masked as plain text, or replaced without content detection; when `strict`
     (default: that of the detection) it stops the job.
@@ -382,9 +398,9 @@ def doc_mask(df: DataFrame, doc_col: str, policy: Policy, max_depth: int = MAX_D
     if strict is None:
         strict = policy.detection is not None and policy.detection.strict
     text = _text_of(df, doc_col)
-    found = walked(text, max_depth)
+    found = _walk_column(df, doc_col, max_depth)
     state, leaves = found["state"], found["leaves"]
-    new = rebuilt(found, _masked_leaves(leaves, _strings(leaves), policy))
+    new = _rebuilt_if_changed(text, found, _masked_leaves(leaves, _strings(leaves), policy))
     if strict:
         unread = F.when(_raise_unread(state), text)
         unread = mask_text(unread, policy.detection) if _detects(policy) and policy.detection.detector is None else unread
@@ -467,7 +483,7 @@ def doc_replace(
     kind = df.schema[doc_col].dataType
     if isinstance(kind, (T.StringType, T.VariantType)):
         names = df.columns
-        df = df.withColumn("_text", _text_of(df, doc_col)).withColumn("_walked", walked(F.col("_text")))
+        df = df.withColumn("_text", _text_of(df, doc_col)).withColumn("_walked", _walk_column(df, doc_col))
         wanted = "key" if keys else "string"
 
         def hit(x: Column) -> Column:
@@ -475,7 +491,7 @@ def doc_replace(
 
         leaves = F.col("_walked.leaves")
         new = F.transform(leaves, lambda x: F.when(hit(x), replace(x["value"])).otherwise(x["value"]))
-        put = filled(F.col("_text"), F.col("_new"))
+        put = filled(F.col("_text"), F.col("_new"), scalars=isinstance(kind, T.VariantType))
         back = put if isinstance(kind, T.StringType) else F.parse_json(put)
         count = F.when(F.col("_walked.state") == "json", F.size(F.filter(leaves, hit))).otherwise(0)
         df = df.withColumns({"replaced": count.cast("bigint"), "_new": new})

@@ -7,7 +7,9 @@ they were written with.
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -19,7 +21,10 @@ MAX_DEPTH = 100
 SECRET = "***redacted***"
 LEAF = "struct<path:string,key:string,value:string,kind:string,before:string>"
 # states: json; text (does not begin like a document), broken (begins like one), deep (too many levels), null
-WALKED = f"struct<state:string,leaves:array<{LEAF}>,rest:string>"
+# once: no object of the document has a key twice
+WALKED = f"struct<state:string,once:boolean,leaves:array<{LEAF}>,rest:string>"
+OPENINGS = ("{", "[")
+BLANKS = " \t\r\n\ufeff"
 
 
 class Number(str):
@@ -30,22 +35,31 @@ def _refuse(name: str) -> Any:
     raise ValueError(f"{name} is not JSON")
 
 
+class Repeated(dict):
+    """An object in which a key came more than once."""
+
+
+def _object(pairs: list[tuple[str, Any]]) -> dict:
+    node = dict(pairs)
+    return node if len(node) == len(pairs) else Repeated(node)
+
+
 def parse(text: str) -> Any:
     """The document, or ValueError; RecursionError far beyond any allowed depth."""
-    node = json.loads(text, parse_int=Number, parse_float=Number, parse_constant=_refuse)
+    node = json.loads(text, parse_int=Number, parse_float=Number, parse_constant=_refuse, object_pairs_hook=_object)
     text.encode("utf-8")
     return node
 
 
-def depth_of(node: Any) -> int:
-    """Levels of containers, found without recursion."""
-    top, todo = 0, [(node, 0)]
+def depth_of(node: Any) -> tuple[int, bool]:
+    """Levels of containers, and whether no object repeats a key; found without recursion."""
+    top, once, todo = 0, True, [(node, 0)]
     while todo:
         here, level = todo.pop()
         if isinstance(here, (dict, list)):
-            top = max(top, level + 1)
+            top, once = max(top, level + 1), once and not isinstance(here, Repeated)
             todo += [(x, level + 1) for x in (here.values() if isinstance(here, dict) else here)]
-    return top
+    return top, once
 
 
 def _last(path: str) -> str:
@@ -101,37 +115,42 @@ def fill(node: Any, values: Iterator[str | None]) -> str:
     return json.dumps(new or "", ensure_ascii=False)
 
 
-def read(text: str | None, max_depth: int) -> tuple[str, Any]:
-    """State and document of a text."""
+def read(text: str | None, max_depth: int, scalars: bool = False) -> tuple[str, Any, bool]:
+    """State and document of a text, and whether no key is repeated. A bare number, word or string is a plain text
+    unless `scalars` are documents too."""
     if text is None:
-        return "null", None
+        return "null", None, True
+    begins = text.lstrip(BLANKS)[:1] in OPENINGS
+    if not begins and not scalars:
+        return "text", None, True
     try:
         node = parse(text)
     except RecursionError:
-        return "deep", None
+        return "deep", None, True
     except ValueError:
-        return ("broken" if text.lstrip(" \t\r\n﻿")[:1] in ("{", "[") else "text"), None
-    return ("deep", None) if depth_of(node) - 1 > max_depth else ("json", node)
+        return ("broken" if begins else "text"), None, True
+    depth, once = depth_of(node)
+    return ("deep", None, once) if depth - 1 > max_depth else ("json", node, once)
 
 
-def walked(text: Column, max_depth: int = MAX_DEPTH, prefix: str = "") -> Column:
+def walked(text: Column, max_depth: int = MAX_DEPTH, prefix: str = "", scalars: bool = False) -> Column:
     """State and leaves of each JSON text; paths begin with `prefix`."""
 
     @F.arrow_udf(WALKED)
     def walk(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = ("path", "key", "value", "kind", "before")
-        kind = pa.struct([("state", pa.string()), ("leaves", pa.list_(pa.struct([(n, pa.string()) for n in names]))), ("rest", pa.string())])
+        kind = pa.struct([("state", pa.string()), ("once", pa.bool_()), ("leaves", pa.list_(pa.struct([(n, pa.string()) for n in names]))), ("rest", pa.string())])
         for column in batches:
             out = []
             for x in column.to_pylist():
-                state, node = read(x, max_depth)
+                state, node, once = read(x, max_depth, scalars)
                 rest: list[str] = []
                 found = [dict(zip(names, leaf)) for leaf in leaves_of(node, rest, prefix)] if state == "json" else []
                 try:
                     "".join([*rest, *(v for leaf in found for v in leaf.values())]).encode()
                 except UnicodeEncodeError:  # half a surrogate pair cannot be stored as text
                     state, found, rest = "broken", [], []
-                out.append({"state": state, "leaves": found, "rest": "".join(rest)})
+                out.append({"state": state, "once": once, "leaves": found, "rest": "".join(rest)})
             yield pa.array(out, kind)
 
     return walk(text)
@@ -148,7 +167,7 @@ def rebuilt(found: Column, values: Column) -> Column:
     return F.concat(F.array_join(F.zip_with(found["leaves"], values, shown), ""), found["rest"])
 
 
-def filled(text: Column, values: Column, max_depth: int = MAX_DEPTH) -> Column:
+def filled(text: Column, values: Column, max_depth: int = MAX_DEPTH, scalars: bool = False) -> Column:
     """Each JSON text with new values of its leaves, in the order of `walked`; null where that found no document."""
 
     @F.arrow_udf("string")
@@ -156,7 +175,7 @@ def filled(text: Column, values: Column, max_depth: int = MAX_DEPTH) -> Column:
         for texts, news in batches:
             out = []
             for x, new in zip(texts.to_pylist(), news.to_pylist()):
-                state, node = read(x, max_depth)
+                state, node, _ = read(x, max_depth, scalars)
                 out.append(fill(node, iter(new)) if state == "json" and new is not None else None)
             yield pa.array(out, pa.string())
 
@@ -191,46 +210,66 @@ def _dump(node: Any) -> str:
     return str(node) if isinstance(node, Number) else json.dumps(node, ensure_ascii=False)
 
 
-def _hide_yaml(text: str) -> str | None:
-    """A YAML stream with its secrets hidden; None when it cannot be read. Texts without secrets stay as they are."""
+@functools.cache
+def _yaml_loader():
+    """A safe loader that refuses repeated keys; None without the package."""
     try:
         import yaml
     except ImportError:
         return None
+
+    class Loader(yaml.SafeLoader):
+        def construct_mapping(self, node, deep=False):
+            keys = [k.value for k, _ in node.value if isinstance(k, yaml.ScalarNode) and k.tag != "tag:yaml.org,2002:merge"]
+            if len(keys) > len(set(keys)):
+                raise yaml.constructor.ConstructorError(None, None, "repeated key", node.start_mark)
+            return super().construct_mapping(node, deep)
+
+    return Loader
+
+
+def _hide_yaml(text: str) -> str | None:
+    """A YAML stream with its secrets hidden; None when it cannot be read. Texts without secrets stay as they are."""
+    loader = _yaml_loader()
+    if loader is None:
+        return None
+    import yaml
+
     try:
-        parts = list(yaml.safe_load_all(text))
+        parts = list(yaml.load_all(text, loader))
         hidden = [_hide(p) for p in parts]
-    except (yaml.YAMLError, RecursionError, ValueError):
+        return text if hidden == parts else yaml.safe_dump_all(hidden, sort_keys=False, allow_unicode=True)
+    except (yaml.YAMLError, RecursionError, ValueError, TypeError, AttributeError):
         return None
-    if not any(isinstance(p, (dict, list)) for p in parts):
-        return None
-    return text if hidden == parts else yaml.safe_dump_all(hidden, sort_keys=False, allow_unicode=True)
+
+
+# Ways to spell a word with other signs in quotes.
+ESCAPES = re.compile(r"\\(?:[xuU]|\r?\n)")
 
 
 def hide_secrets(text: str | None) -> str | None:
-    if text is None or "secret" not in text.lower() and "\\u" not in text:
+    """The manifest with the data of its secrets hidden. What may hold a secret and cannot be read is hidden whole."""
+    if text is None:
+        return text
+    low = text.lower()
+    escaped = ESCAPES.search(text) is not None
+    if "secret" not in low and not escaped:
         return text
-    opening = text.lstrip(" \t\r\n﻿")[:1]
-    if opening in ("{", "["):
+    begins = text.lstrip(BLANKS)[:1] in OPENINGS
+    if begins:
         try:
             node = parse(text)
             hidden = _hide(node)
             # A repeated key may have hidden a first value: what is shown is what was read.
-            out = text if hidden == node and text.lower().count("kind") <= 1 else _dump(hidden)
+            out = text if hidden == node and depth_of(node)[1] else _dump(hidden)
             out.encode("utf-8")
             return out
         except (ValueError, RecursionError):
-            return SECRET  # what might hold a secret and cannot be read is not passed on
-    kind = any(_names_secret(line) for line in text.splitlines())
-    if not kind:
-        return text
+            pass  # flow style of YAML begins like this too
     shown = _hide_yaml(text)
-    return SECRET if shown is None and any(line.strip().lower().startswith(("data:", "stringdata:")) for line in text.splitlines()) else (text if shown is None else shown)
-
-
-def _names_secret(line: str) -> bool:
-    name, _, value = line.strip().removeprefix("- ").partition(":")
-    return name.strip().strip("'\"") == "kind" and value.split("#")[0].strip().strip("'\"").lower() == "secret"
+    if shown is not None:
+        return shown
+    return SECRET if begins or "data" in low else text
 
 
 def secrets_hidden(text: Column) -> Column:

@@ -43,6 +43,7 @@ class PathLabel:
     source: str = "manual"
     match_mode: str = "path"
     object_id: str = ""
+    updated_at: Any = None
 
 
 @dataclass(frozen=True)
@@ -169,15 +170,17 @@ def overlay_rules(rules: Mapping[str, OverlayRule | str]) -> dict[str, OverlayRu
 def resolve_labels(
     labels: DataFrame | Sequence[PathLabel], object_id: str
 ) -> dict[str, PathLabel]:
-    """Confirmed labels of one object by path.
+    """Confirmed labels of one object by path; of several labels of one path the one that `one_label` takes.
 
     Only the rows of this object reach the driver: one per labelled field of one schema.
     """
     if not object_id:
         return {}
     if isinstance(labels, DataFrame):
+        from hushframe.operators.labels import one_label
+
         own = labels.filter((F.col("object_id") == object_id) & F.col("source").isin(*CONFIRMED))
-        rows = own.select("field_path", "profile", "category", "source", "match_mode").collect()
+        rows = one_label(own).select("field_path", "profile", "category", "source", "match_mode").collect()
         found = [
             PathLabel(
                 r["field_path"],
@@ -190,9 +193,9 @@ def resolve_labels(
             for r in rows
         ]
     else:
-        found = [
-            l for l in labels if l.object_id in ("", object_id) and l.source in CONFIRMED
-        ]
+        found = [l for l in labels if l.object_id in ("", object_id) and l.source in CONFIRMED]
+        # the last one of a path stands: a person's before the platform's, then the latest
+        found.sort(key=lambda l: (l.source == "manual", l.updated_at is not None, l.updated_at or 0, l.profile, l.category, l.match_mode))
     return {l.field_path: l for l in found}
 
 

@@ -314,3 +314,36 @@ def mask_unread(spark, sf):
     df = docs.doc_state(Tables(spark, sf).documents.select("doc_id", body.alias("body")), "body")
     masked = docs.doc_mask(df, "body", Policy(object_id=OBJ, overlay={"email": "[mail]"}, detection=Detection()))
     return masked.select("doc_id", "body", F.col("doc_state").alias("state"))
+
+
+@query(
+    "N2_doc_mask_untouched",
+    """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN ' {"z": "' || lang || '", "a": [1 , 2.50]} ' WHEN 1 THEN '[redacted]' WHEN 2 THEN '"[redacted]"'
+      WHEN 3 THEN '{"a":"[redacted]","b":"' || lang || '"}' ELSE '12' END AS body FROM documents""",
+)
+def mask_untouched(spark, sf):
+    """Documents without a hit come back as they were written; bare numbers and strings are texts like any other."""
+    kind = F.col("doc_id") % 5
+    body = (
+        F.when(kind == 0, F.concat(F.lit(' {"z": "'), "lang", F.lit('", "a": [1 , 2.50]} ')))
+        .when(kind == 1, F.lit("4111111111111111"))
+        .when(kind == 2, F.lit('"4111111111111111"'))
+        .when(kind == 3, F.concat(F.lit('{"b" : "'), "lang", F.lit('", "a":"x@example.org"}')))
+        .otherwise(F.lit("12"))
+    )
+    df = Tables(spark, sf).documents.select("doc_id", body.alias("body"))
+    return docs.doc_mask(df, "body", Policy(object_id=OBJ, detection=Detection()))
+
+
+@query(
+    "N6_secret_manifest_yaml",
+    """SELECT c_custkey, c_custkey % 8 < 6 AS hidden, c_custkey % 8 IN (4, 5) AS hidden_whole FROM customer""",
+)
+def yaml_secrets(spark, sf):
+    """YAML spellings of a secret, one that cannot be read, one with repeated keys, and a map that is none."""
+    kinds = ["Secret", "&k sEcret", ">-\n  Secret", '"\\x53ecret"', "Secret\nkind: ConfigMap", "[Secret", "ConfigMap # no secret", "ConfigMap"]
+    kind = F.get(F.array(*map(F.lit, kinds)), (F.col("c_custkey") % 8).cast("int"))
+    body = F.concat(F.lit("metadata: {name: x}\nkind: "), kind, F.lit("\ndata:\n  k: "), "c_name", F.lit("\n"))
+    df = Tables(spark, sf).customer.select("c_custkey", "c_name", body.alias("body"))
+    shown = docs.secret_manifest_mask(df, "body")
+    return shown.select("c_custkey", (~F.contains("body", F.col("c_name"))).alias("hidden"), (F.col("body") == docs.SECRET).alias("hidden_whole"))

@@ -139,7 +139,7 @@ def rescan(spark, sf):
     e = Tables(spark, sf).events.withColumn("object", F.concat(F.lit("user"), F.col("user_id").cast("string")))
     scanned = e.filter((F.col("event_type") == "purchase") & (F.col("value") > 100))
     history = scanned.select("object", F.col("ts").alias("last_scanned"))
-    return lab.rescan_selection(e.select("object"), history, F.expr("TIMESTAMP_NTZ'2024-01-30 00:00:00'"))
+    return lab.rescan_selection(e.select("object"), history, F.expr("TIMESTAMP_NTZ'2024-01-30 00:00:00'"), max_objects=50)
 
 
 _VALUES = """vals AS (SELECT 'text' AS field_path, text AS value, conv_id, turn FROM conversations

@@ -376,3 +376,35 @@ def mask_aliased(spark, sf):
         paths=jobs.real_names(resolved, "org1:spark:tpch:customer"),
     )
     return jobs.mask_table(df, policy)
+
+
+_DISAGREEING = """
+  SELECT CASE n_regionkey WHEN 0 THEN 'c_name' WHEN 1 THEN 'c_mktsegment' WHEN 2 THEN 'c_acctbal' ELSE 'other' END AS field_path,
+    CASE n_nationkey % 3 WHEN 0 THEN 'do_not_mask' WHEN 1 THEN 'partial_mask' ELSE 'full_redact' END AS profile,
+    CASE WHEN n_nationkey % 4 = 1 AND n_regionkey <> 2 THEN 'manual' ELSE 'platform' END AS source, n_nationkey AS seen FROM nation"""
+
+
+@query(
+    "C1_labels_disagree",
+    f"""WITH l AS ({_DISAGREEING}), own AS (SELECT field_path, arg_max(profile, (source = 'manual', seen)) AS profile FROM l GROUP BY field_path),
+      p AS (SELECT max(profile) FILTER (field_path = 'c_name') AS a, max(profile) FILTER (field_path = 'c_mktsegment') AS b,
+        max(profile) FILTER (field_path = 'c_acctbal') AS c FROM own)
+    SELECT c_custkey, CASE WHEN a IS NULL OR a = 'do_not_mask' THEN c_name WHEN a = 'partial_mask' THEN {partial_sql("c_name")} ELSE '[redacted]' END AS c_name,
+      CASE WHEN b IS NULL OR b = 'do_not_mask' THEN c_mktsegment WHEN b = 'partial_mask' THEN {partial_sql("c_mktsegment")} ELSE '[redacted]' END AS c_mktsegment,
+      CASE WHEN c IS NULL OR c = 'do_not_mask' THEN c_acctbal ELSE 0.0 END AS c_acctbal FROM customer, p""",
+)
+def labels_disagree(spark, sf):
+    """Several confirmed labels of one column: a person's counts before the platform's, then the latest."""
+    t = Tables(spark, sf)
+    region, nation = F.col("n_regionkey"), F.col("n_nationkey")
+    table = t.nation.select(
+        F.lit(CUSTOMER_ID).alias("object_id"),
+        F.when(region == 0, "c_name").when(region == 1, "c_mktsegment").when(region == 2, "c_acctbal").otherwise("other").alias("field_path"),
+        F.when(nation % 3 == 0, "do_not_mask").when(nation % 3 == 1, "partial_mask").otherwise("full_redact").alias("profile"),
+        F.lit("x").alias("category"),
+        F.when((nation % 4 == 1) & (region != 2), "manual").otherwise("platform").alias("source"),
+        F.lit("path").alias("match_mode"),
+        nation.alias("updated_at"),
+    )
+    df = t.customer.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    return jobs.mask_table(df, Policy(object_id=CUSTOMER_ID, labels=table))

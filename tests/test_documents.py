@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushframe.operators import documents as docs
+from hushframe.operators.json_docs import hide_secrets
 from hushframe.plans.policy import Detection, OverlayRule, PathLabel, Policy
 
 OBJ = "org:mongo:db:c"
@@ -265,3 +266,27 @@ def test_variant_inside_typed_document(spark):
     out = docs.doc_mask(df, "d", policy(labels=[PathLabel("raw.l[].k")], detection=Detection()))
     shown = [r[0] for r in out.orderBy("id").select(F.to_json("d.raw")).collect()]
     assert json.loads(shown[0]) == {"email": "[redacted]", "l": [{"k": "[redacted]"}]} and shown[1] is None
+
+
+def test_documents_without_a_hit_stay(spark):
+    card = "4111111111111111"
+    rows = [' {"z":1,"a":[ 1 , 2]}', card, f'"{card}"', "true", '{"a":"x", "a":"y"}', f'{{"n": 1,"c":"{card}"}}', "[]", f"  {card} ", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, j string")
+    policy = Policy(object_id="o", detection=Detection())
+    got = [r["j"] for r in docs.doc_mask(df, "j", policy).orderBy("id").collect()]
+    assert got == [rows[0], "[redacted]", '"[redacted]"', "true", '{"a":"y"}', '{"c":"[redacted]","n":1}', "[]", "  [redacted] ", None]
+    assert [r["doc_state"] for r in docs.doc_state(df, "j").orderBy("id").collect()] == ["json", "text", "text", "text", "json", "json", "json", "text", "null"]
+    bare = df.where("id in (1, 2)").withColumn("j", F.try_parse_json("j"))  # a VARIANT may be a bare value
+    assert [r["j"].toJson() for r in docs.doc_mask(bare, "j", policy).orderBy("id").collect()] == [card, '"[redacted]"']
+
+
+@pytest.mark.parametrize(
+    "kind, hidden",
+    [("Secret", 1), ("&k Secret", 1), (">-\n  Secret", 1), ("!!str sEcret", 1), ('"\\x53ecret"', 1), ('"Sec\\\n  ret"', 1), ("Secret\nkind: Pod", 2), ("[Secret", 2), ("Pod # secret", 0)],
+)
+def test_spellings_of_secrets(kind, hidden):
+    text = f"kind: {kind}\ndata:\n  k: value\n"
+    shown = hide_secrets(text)
+    assert ("value" in shown) == (not hidden) and (shown == docs.SECRET) == (hidden == 2) and (shown == text) == (not hidden)
+    assert "value" not in hide_secrets(f"? kind\n: {kind}\ndata: {{k: value}}") or hidden == 0 or kind.count("\n")
+    assert hide_secrets("my secret data is here") == "my secret data is here"

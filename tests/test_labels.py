@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from hushframe.operators import labels, sampling
 from hushframe.plans import jobs
+from hushframe.plans.policy import PathLabel, resolve_labels
 
 T0 = dt.datetime(2024, 1, 1)
 OBJ = "o:spark:db:t"
@@ -216,3 +217,11 @@ def test_propose_jobs(spark):
     own = jobs.propose_labels({"people": people}, "o", "spark", "db", current, history, now,
                               sampler=lambda df, n: df.select(F.lit("dob").alias("field_path"), F.array("email").alias("samples")))
     assert "dob" in by_path(own)
+
+
+def test_labels_of_one_path_that_disagree(spark):
+    found = [("email", "full_redact", "manual", 1), ("email", "do_not_mask", "platform", 9), ("name", "partial_mask", "manual", 1), ("name", "do_not_mask", "manual", 2)]
+    given = [PathLabel(f, p, source=s, updated_at=t) for f, p, s, t in found]
+    table = spark.createDataFrame([("o", f, p, "c", s, "path", t) for f, p, s, t in found], "object_id string, field_path string, profile string, category string, source string, match_mode string, updated_at int")
+    for rows in (given, given[::-1], table, table.orderBy(F.desc("updated_at"))):
+        assert {k: v.profile for k, v in resolve_labels(rows, "o").items()} == {"email": "full_redact", "name": "do_not_mask"}
