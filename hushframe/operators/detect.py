@@ -380,7 +380,7 @@ def detector_over(detector: Detector, texts: Column, min_len: int = 4) -> Column
     """Run a plugged-in detector on arrays of texts, one call per Arrow batch; one entry per text."""
 
     def run(arrays: pd.Series) -> pd.Series:
-        flat = [t for a in arrays for t in (a if a is not None else ())]
+        flat = [t for a in arrays for t in (a if a is not None else ()) if t]
         try:
             found = list(detector(flat)) if flat else []
             failed = len(found) != len(flat)
@@ -390,6 +390,9 @@ def detector_over(detector: Detector, texts: Column, min_len: int = 4) -> Column
         for a in arrays:
             entries = []
             for text in a if a is not None else ():
+                if not text:
+                    entries.append({"spans": [], "failed": failed})
+                    continue
                 spans = [] if failed else [
                     {"entity_type": s["entity_type"], "start": int(s["start"]), "end": int(s["end"]), "score": float(s["score"]), "text": text[int(s["start"]) : int(s["end"])]}
                     for s in found[at]
@@ -416,6 +419,30 @@ def masked_texts(texts: Column, d: Detection) -> Column:
     return F.zip_with(texts, detector_over(d.detector, texts, d.min_len), spliced)
 
 
+FOUND = "struct<text:string,looked:boolean,spans:array<struct<entity_type:string,size:int>>>"
+
+
+def found_texts(texts: Column, d: Detection, text: bool = True) -> Column:
+    """For every text of an array what detection makes of it (null unless `text`), whether it was long enough to be
+    looked at, and its spans with their sizes: all of one scan, by the plugged-in detector where there is one."""
+
+    def entry(value: Column, spans: Column, masked: Column) -> Column:
+        sizes = F.transform(spans, lambda s: F.struct(s["entity_type"], (s["end"] - s["start"]).alias("size")))
+        shown = masked if text else F.lit(None).cast("string")
+        return F.struct(shown.alias("text"), eligible(value, d.min_len).alias("looked"), sizes.alias("spans"))
+
+    if d.detector is None:
+        return F.transform(texts, lambda v: let(span_array(v, d), lambda s: entry(v, s, splice(v, s, d.anonymizers))))
+
+    def answered(value: Column, answer: Column) -> Column:
+        failed = answer["failed"] & eligible(value, d.min_len)
+        on_failure = F.raise_error(F.lit("detector unavailable")).cast("string") if d.strict else value
+        spans = F.when(failed, F.array().cast(SPANS)).otherwise(filter_spans(answer["spans"], d))
+        return let(_order_spans(spans), lambda s: entry(value, s, F.when(failed, on_failure).otherwise(splice(value, s, d.anonymizers))))
+
+    return F.zip_with(texts, detector_over(d.detector, texts, d.min_len), answered)
+
+
 def filter_spans(spans: Column, d: Detection) -> Column:
     """Entity list, threshold and allow list on spans a plugged-in detector gave."""
     wanted = tuple(d.entities or DEFAULT_ENTITIES)

@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 
 from hushframe.functions.text import inline_rows, let, partial_mask
 from hushframe.operators import columns as cols
-from hushframe.operators.detect import mask_text, masked_texts
+from hushframe.operators.detect import FOUND, found_texts, mask_text, masked_texts
 from hushframe.operators.json_docs import MAX_DEPTH, SECRET, filled, rebuilt, secrets_hidden, walked
+from hushframe.operators.outcomes import no_outcomes, of_detection, of_label
 from hushframe.plans.policy import (
     REDACTED,
     ColumnPolicy,
@@ -179,22 +180,24 @@ class _LeafRules:
     """The layers of a policy for leaves whose path is only known per row or per schema.
 
     `detected` is a map from the texts of a document to what content detection makes of them; without it every
-    leaf carries the patterns itself.
+    leaf carries the patterns itself. With `counted` the map has entries of `found_texts`.
     """
 
-    def __init__(self, policy: Policy, detected: Column | None = None):
+    def __init__(self, policy: Policy, detected: Column | None = None, counted: bool = False):
         self.policy = policy
         self.overlay = overlay_rules(policy.overlay)
         self.roles = {r: overlay_rules(rules) for r, rules in (policy.role_rules or {}).items() if r} if policy.role_col else {}
         self.labels = resolve_labels(policy.labels, policy.object_id)
         self.detected = detected
+        self.counted = counted
 
     def _detect(self, value: Column) -> Column:
         if self.policy.detection is None:
             return value
         if self.detected is None:
             return mask_text(value, self.policy.detection)
-        return F.coalesce(F.try_element_at(self.detected, value), value)
+        found = F.try_element_at(self.detected, value)
+        return F.coalesce(found["text"] if self.counted else found, value)
 
     def by_name(self, value: Column, name: str) -> Column:
         """Overlay rules of a name that is known while planning."""
@@ -243,15 +246,18 @@ class _LeafRules:
 
     def _profile(self, path: Column, key: Column) -> Column:
         """Profile of the label in force, null when there is none."""
+        return self._in_force(path, key, lambda l: l.profile)
+
+    def _in_force(self, path: Column, key: Column, part: Callable[[PathLabel], str]) -> Column:
         if not self.labels:
             return F.lit(None).cast("string")
-        by_path = [x for l in self.labels.values() for x in (F.lit(l.field_path), F.lit(l.profile))]
+        by_path = [x for l in self.labels.values() for x in (F.lit(l.field_path), F.lit(part(l)))]
         loose = [
             l
             for l in self.labels.values()
             if l.match_mode == "key_any_depth" or not self.policy.strict_match_mode
         ]
-        by_key = [x for l in loose for x in (F.lit(l.field_path), F.lit(l.profile))]
+        by_key = [x for l in loose for x in (F.lit(l.field_path), F.lit(part(l)))]
         exact = F.try_element_at(F.create_map(*by_path), path)
         if not by_key:
             return exact
@@ -277,6 +283,23 @@ class _LeafRules:
                 out = self._by_label(out, path, key)
         return out
 
+    def counts(self, leaf: Column) -> Column:
+        """Outcomes of masking a leaf (path, key, value, kind), by the layers in their order."""
+        value, path, key, text = leaf["value"], leaf["path"], leaf["key"], leaf["kind"] == "string"
+        out, parts = value, []
+        for layer in self.policy.order:
+            if layer == "detection" and self.detected is not None:
+                found = F.try_element_at(self.detected, value)
+                parts.append(F.when(text & found.isNotNull(), of_detection(found)).otherwise(no_outcomes()))
+                out = F.when(text, self._detect(out)).otherwise(out)
+            elif layer == "overlay" and (self.overlay or self.roles):
+                out = F.when(text, self._by_overlay(out, key)).otherwise(out)
+            elif layer == "labels" and self.policy.object_id:
+                profile = self._profile(path, key)
+                acts = profile.isNotNull() & (profile != "do_not_mask")
+                parts.append(of_label(out, acts, self._in_force(path, key, lambda l: l.category)))
+        return F.concat(*parts) if parts else no_outcomes()
+
     def typed(self, value: Column, path: Column, key: Column, zero: Column) -> Column:
         """A leaf that is not a string, with a path that is data."""
         if not self.labels:
@@ -431,6 +454,109 @@ def _mask_schema(col: Column, kind: T.DataType, policy: Policy) -> Column:
     return let(both, lambda b: _mask_typed(b["doc"], kind, "", _LeafRules(policy, b["detected"])))
 
 
+def _all_leaves(node: Column, kind: T.DataType, path: Column, at: str = "") -> Column | None:
+    """Every leaf that a rule can mask (path, key, value as text, kind); None for a type that holds none."""
+    shape = "array<struct<path:string,key:string,value:string,kind:string>>"
+    none = F.array().cast(shape)
+    if _through_json(kind):
+        found = walked(F.to_json(node), prefix=at, scalars=True)
+        some = F.filter(found["leaves"], lambda x: x["kind"] != "key")
+        return F.coalesce(F.transform(some, lambda x: F.struct(*[x[n].alias(n) for n in ("path", "key", "value", "kind")])), none)
+    if isinstance(kind, T.StructType):
+        parts = [
+            _all_leaves(node.getField(f.name), f.dataType, _join(path, F.lit(f.name)), f"{at}.{f.name}" if at else f.name) for f in kind.fields
+        ]
+        parts = [p for p in parts if p is not None]
+        return F.when(node.isNull(), none).otherwise(F.concat(*parts)) if parts else None
+    if isinstance(kind, T.ArrayType):
+        inner = F.concat(path, F.lit("[]"))
+        if _all_leaves(F.lit(None), kind.elementType, inner, f"{at}[]") is None:
+            return None
+        return F.coalesce(F.flatten(F.transform(node, lambda x: _all_leaves(x, kind.elementType, inner, f"{at}[]"))), none)
+    if isinstance(kind, T.MapType):
+        if _all_leaves(F.lit(None), kind.valueType, path, at) is None:
+            return None
+        parts = F.transform(F.map_entries(node), lambda e: _all_leaves(e["value"], kind.valueType, _join(path, e["key"]), at))
+        return F.coalesce(F.flatten(parts), none)
+    if isinstance(kind, T.StringType):
+        shown, name = node, "string"
+    elif isinstance(kind, T.BinaryType) or cols.typed_placeholder(kind) is None:
+        return None
+    else:
+        shown, name = node.cast("string"), "typed"
+    leaf = F.struct(path.alias("path"), _last_segment(path).alias("key"), shown.alias("value"), F.lit(name).alias("kind"))
+    return F.when(node.isNull(), none).otherwise(F.array(leaf)).cast(shape)
+
+
+def _found(texts: Column, policy: Policy) -> Column:
+    """A map from distinct texts to what `found_texts` says of them."""
+    if not _detects(policy):
+        return F.create_map().cast(f"map<string,{FOUND}>")
+    distinct = F.array_distinct(F.filter(texts, lambda x: x.isNotNull()))
+    if policy.detection.detector is not None:
+        return F.map_from_arrays(distinct, found_texts(distinct, policy.detection))
+    return let(distinct, lambda d: F.map_from_arrays(d, found_texts(d, policy.detection)))
+
+
+def doc_mask_counted(
+    df: DataFrame, doc_col: str, policy: Policy, into: str, max_depth: int = MAX_DEPTH, strict: bool | None = None
+) -> DataFrame:
+    """`doc_mask`, with what masking the leaves looked at and masked appended to the array `into`.
+
+    Texts and counts come from one list of leaves and one scan of its distinct texts. Text that is no document counts
+    as one value without a path: content detection sees it, labels do not.
+    """
+    kind, col = df.schema[doc_col].dataType, F.col(doc_col)
+    if strict is None:
+        strict = policy.detection is not None and policy.detection.strict
+    if not isinstance(kind, (T.StringType, T.VariantType)):
+        leaves = _all_leaves(col, kind, F.lit(""))
+        if leaves is None:
+            return df
+        if _has_variant(kind) and _detects(policy) and policy.detection.detector is not None:
+            raise ValueError("a plugged-in detector cannot look into VARIANT parts of typed documents; give them a column of their own")
+        # VARIANT parts are walked by a function in Python, which no lambda may hold: their leaves are a column first
+        staged = df.withColumn("_leaves", leaves) if _has_variant(kind) else df
+        leaves = F.col("_leaves") if _has_variant(kind) else leaves
+        both = F.struct(_found(_strings(leaves), policy).alias("found"), leaves.alias("leaves"), col.alias("doc"))
+
+        def typed(b: Column) -> Column:
+            rules = _LeafRules(policy, b["found"] if _detects(policy) else None, counted=True)
+            counts = F.flatten(F.transform(b["leaves"], rules.counts)).alias("counts")
+            return F.struct(counts) if _has_variant(kind) else F.struct(_mask_typed(b["doc"], kind, "", rules).alias("doc"), counts)
+
+        staged = staged.withColumn("_done", let(both, typed))
+    else:
+        staged = df.withColumn("_text", _text_of(df, doc_col)).withColumn("_walked", _walk_column(df, doc_col, max_depth))
+        walk, text = F.col("_walked"), F.col("_text")
+        unread = F.when(walk["state"].isin("text", "broken", "deep"), text)
+        texts = F.concat(_strings(walk["leaves"]), F.array(unread))
+        both = F.struct(_found(texts, policy).alias("found"), walk.alias("walk"), text.alias("text"), unread.alias("unread"))
+
+        def walked_through(b: Column) -> Column:
+            rules = _LeafRules(policy, b["found"] if _detects(policy) else None, counted=True)
+            state, leaves = b["walk"]["state"], b["walk"]["leaves"]
+            json = _rebuilt_if_changed(b["text"], b["walk"], _new_values(leaves, rules))
+            if _detects(policy):
+                whole = F.coalesce(F.try_element_at(b["found"], b["unread"])["text"], b["unread"])
+                count = F.when(b["unread"].isNotNull(), of_detection(F.try_element_at(b["found"], b["unread"]))).otherwise(no_outcomes())
+            else:
+                whole, count = F.when(state == "text", b["text"]).otherwise(F.lit(REDACTED)), no_outcomes()
+            if strict:
+                whole = F.when(_raise_unread(state), whole)
+            if isinstance(kind, T.VariantType):
+                whole = F.lit(f'"{REDACTED}"')
+            own = F.filter(leaves, lambda x: x["kind"] != "key")
+            counts = F.when(state == "json", F.flatten(F.transform(own, rules.counts))).otherwise(count)
+            return F.struct(F.when(state == "json", json).when(state == "null", b["text"]).otherwise(whole).alias("doc"), counts.alias("counts"))
+
+        staged = staged.withColumn("_done", let(both, walked_through))
+    masked = _mask_schema(col, kind, policy) if _has_variant(kind) and not isinstance(kind, T.VariantType) else F.col("_done.doc")
+    if isinstance(kind, T.VariantType):
+        masked = F.when(col.isNull(), col).otherwise(F.parse_json(masked))
+    return cols.replace_columns(staged, {doc_col: masked, into: F.concat(into, "_done.counts")}).select(*[F.col(f"`{n}`") for n in df.columns])
+
+
 # --- rewriting -----------------------------------------------------------------------------------
 
 

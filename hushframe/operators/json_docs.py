@@ -7,7 +7,6 @@ they were written with.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from collections.abc import Iterator
@@ -66,33 +65,74 @@ def _last(path: str) -> str:
     return path.rsplit(".", 1)[-1].removesuffix("[]")
 
 
-def leaves_of(node: Any, text: list[str], path: str = "") -> Iterator[tuple[str, str, str, str, str]]:
-    """(path, key, value, kind, before) in document order; `fill` takes new values in the same order.
+NAMES = ("path", "key", "value", "kind", "before")
 
-    `before` is the JSON text between the value before and this one; what is left of it stays in `text`.
+
+class Leaves:
+    """Leaves of many documents as flat columns, each document's in its order; `fill` takes new values in the same order.
+
+    `before` is the JSON text between the value before and this one; what is left of it is the document's `rest`.
     """
-    if isinstance(node, dict):
-        text.append("{")
-        for i, k in enumerate(sorted(node)):
-            yield path, k, k, "key", ""
-            text.append(("," if i else "") + json.dumps(k, ensure_ascii=False) + ":")
-            yield from leaves_of(node[k], text, f"{path}.{k}" if path else k)
-        text.append("}")
-    elif isinstance(node, list):
-        text.append("[")
-        for i, x in enumerate(node):
-            if i:
-                text.append(",")
-            yield from leaves_of(x, text, f"{path}[]")
-        text.append("]")
-    elif node is None:
-        text.append("null")
-    else:
-        kind = "bool" if isinstance(node, bool) else "number" if isinstance(node, Number) else "string"
-        value = str(node).lower() if kind == "bool" else str(node)
-        before = "".join(text)
-        text.clear()
-        yield path, _last(path), value, kind, before
+
+    def __init__(self) -> None:
+        self.columns: tuple[list[str], ...] = ([], [], [], [], [])
+        self.text: list[str] = []
+        self.quoted: dict[str, str] = {}
+
+    def _key(self, key: str) -> str:
+        if key not in self.quoted:
+            if len(self.quoted) > 50_000:  # keys may be data
+                self.quoted.clear()
+            self.quoted[key] = json.dumps(key, ensure_ascii=False)
+        return self.quoted[key]
+
+    def add(self, node: Any, path: str, key: str) -> None:
+        text = self.text
+        if isinstance(node, dict):
+            sign = "{"
+            for k in sorted(node):
+                self._leaf(path, k, k, "key", "")
+                text.append(f"{sign}{self._key(k)}:")
+                sign = ","
+                self.add(node[k], f"{path}.{k}" if path else k, k.rsplit(".", 1)[-1].removesuffix("[]"))
+            text.append("}" if node else "{}")
+        elif isinstance(node, list):
+            text.append("[")
+            inner = path + "[]"
+            for i, x in enumerate(node):
+                if i:
+                    text.append(",")
+                self.add(x, inner, key)
+            text.append("]")
+        elif node is None:
+            text.append("null")
+        else:
+            kind = "bool" if isinstance(node, bool) else "number" if isinstance(node, Number) else "string"
+            before = "".join(text)
+            text.clear()
+            self._leaf(path, key, str(node).lower() if kind == "bool" else str(node), kind, before)
+
+    def _leaf(self, *values: str) -> None:
+        a, b, c, d, e = self.columns
+        a.append(values[0])
+        b.append(values[1])
+        c.append(values[2])
+        d.append(values[3])
+        e.append(values[4])
+
+    def document(self, node: Any, prefix: str) -> str | None:
+        """Adds a document; its rest, or None (and nothing added) if it holds half a surrogate pair."""
+        first = len(self.columns[0])
+        self.text.clear()
+        self.add(node, prefix, _last(prefix))
+        rest = "".join(self.text)
+        try:
+            "".join([rest, *(v for c in self.columns for v in c[first:])]).encode()
+        except UnicodeEncodeError:
+            for c in self.columns:
+                del c[first:]
+            return None
+        return rest
 
 
 def fill(node: Any, values: Iterator[str | None]) -> str:
@@ -138,20 +178,20 @@ def walked(text: Column, max_depth: int = MAX_DEPTH, prefix: str = "", scalars:
 
     @F.arrow_udf(WALKED)
     def walk(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names = ("path", "key", "value", "kind", "before")
-        kind = pa.struct([("state", pa.string()), ("once", pa.bool_()), ("leaves", pa.list_(pa.struct([(n, pa.string()) for n in names]))), ("rest", pa.string())])
         for column in batches:
-            out = []
+            found, states, onces, rests, ends = Leaves(), [], [], [], [0]
             for x in column.to_pylist():
                 state, node, once = read(x, max_depth, scalars)
-                rest: list[str] = []
-                found = [dict(zip(names, leaf)) for leaf in leaves_of(node, rest, prefix)] if state == "json" else []
-                try:
-                    "".join([*rest, *(v for leaf in found for v in leaf.values())]).encode()
-                except UnicodeEncodeError:  # half a surrogate pair cannot be stored as text
-                    state, found, rest = "broken", [], []
-                out.append({"state": state, "once": once, "leaves": found, "rest": "".join(rest)})
-            yield pa.array(out, kind)
+                rest = found.document(node, prefix) if state == "json" else ""
+                if rest is None:  # half a surrogate pair cannot be stored as text
+                    state, rest = "broken", ""
+                states.append(state)
+                onces.append(once)
+                rests.append(rest)
+                ends.append(len(found.columns[0]))
+            leaves = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in found.columns], NAMES)
+            parts = [pa.array(states), pa.array(onces), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), leaves), pa.array(rests, pa.string())]
+            yield pa.StructArray.from_arrays(parts, ("state", "once", "leaves", "rest"))
 
     return walk(text)
 
@@ -210,7 +250,6 @@ def _dump(node: Any) -> str:
     return str(node) if isinstance(node, Number) else json.dumps(node, ensure_ascii=False)
 
 
-@functools.cache
 def _yaml_loader():
     """A safe loader that refuses repeated keys; None without the package."""
     try:
@@ -228,9 +267,8 @@ def _yaml_loader():
     return Loader
 
 
-def _hide_yaml(text: str) -> str | None:
+def _hide_yaml(text: str, loader: type | None) -> str | None:
     """A YAML stream with its secrets hidden; None when it cannot be read. Texts without secrets stay as they are."""
-    loader = _yaml_loader()
     if loader is None:
         return None
     import yaml
@@ -247,7 +285,7 @@ def _hide_yaml(text: str) -> str | None:
 ESCAPES = re.compile(r"\\(?:[xuU]|\r?\n)")
 
 
-def hide_secrets(text: str | None) -> str | None:
+def hide_secrets(text: str | None, loader: type | None) -> str | None:
     """The manifest with the data of its secrets hidden. What may hold a secret and cannot be read is hidden whole."""
     if text is None:
         return text
@@ -266,7 +304,7 @@ def hide_secrets(text: str | None) -> str | None:
             return out
         except (ValueError, RecursionError):
             pass  # flow style of YAML begins like this too
-    shown = _hide_yaml(text)
+    shown = _hide_yaml(text, loader)
     if shown is not None:
         return shown
     return SECRET if begins or "data" in low else text
@@ -275,7 +313,8 @@ def hide_secrets(text: str | None) -> str | None:
 def secrets_hidden(text: Column) -> Column:
     @F.arrow_udf("string")
     def hide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        loader = _yaml_loader()
         for column in batches:
-            yield pa.array([hide_secrets(x) for x in column.to_pylist()], pa.string())
+            yield pa.array([hide_secrets(x, loader) for x in column.to_pylist()], pa.string())
 
     return hide(text)

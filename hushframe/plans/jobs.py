@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hushframe.operators import columns as cols
@@ -53,12 +53,36 @@ def mask_documents(df: DataFrame, doc_cols: Sequence[str], policy: Policy, stric
     return df
 
 
-def masking_report(df: DataFrame, policy: Policy, connection: Column, max_buckets: int = metrics.MAX_BUCKETS) -> DataFrame:
-    """What masking `df` under `policy` looks at and masks, largest buckets first kept apart."""
-    counted = metrics.masking_metrics(metrics.outcome_rows(df, policy, connection))
+def masking_report(
+    df: DataFrame, policy: Policy, connection: Column, max_buckets: int = metrics.MAX_BUCKETS, doc_cols: Sequence[str] = ()
+) -> DataFrame:
+    """What masking `df` under `policy` looks at and masks, largest buckets first kept apart.
+
+    With `doc_cols` the leaves of those documents are counted instead of the flat columns.
+    """
+    counted = metrics.masking_metrics(metrics.outcome_rows(df, policy, connection, doc_cols))
     return metrics.metrics_overflow(counted, max_buckets)
 
 
+def mask_and_report(
+    df: DataFrame,
+    policy: Policy,
+    connection: str,
+    write: Callable[[DataFrame], None],
+    doc_cols: Sequence[str] = (),
+    entities: Sequence[str] = (),
+) -> DataFrame:
+    """Mask, hand the masked rows to `write`, and return the counts of that very pass: the input is read once.
+
+    `write` runs one action over the rows it is given (`df.write...`). The counts are kept per entity of the policy and
+    per name in `entities` (what a plugged-in detector may answer); all others come under OTHER.
+    """
+    counted = metrics.mask_documents_counted(df, doc_cols, policy) if doc_cols else metrics.mask_counted(df, policy)
+    keys, observation = metrics.known_keys(policy, entities), Observation()
+    write(metrics.observe_outcomes(counted, observation, keys))
+    return metrics.observed_metrics(df.sparkSession, observation, keys, connection)
+
+
 def coverage_report(fields: DataFrame, policies: Mapping[str, Policy]) -> DataFrame:
     """Which layers have a rule for each field: object_id, field_path, covered_by ('none' when none).
 

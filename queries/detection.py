@@ -318,3 +318,38 @@ def proposed(spark, sf):
     now = F.timestamp_seconds(F.lit(0))
     found = jobs.propose_from_values(df, "org1:spark:lake:documents", now, order_by=["doc_id"])
     return found.select("object_id", "field_path", "category", "confidence", "sample_count", "source")
+
+
+@query(
+    "A1_own_detector",
+    f"""WITH m AS (SELECT source, regexp_extract_all(text, '[^ \n\t]*@mail[^ \n\t]*')[1] AS w FROM documents WHERE strlen(text) >= 4),
+    l AS (SELECT source FROM documents WHERE strlen(lang) >= 4 UNION ALL SELECT source FROM documents WHERE strlen(source) >= 4 UNION ALL SELECT source FROM m)
+    SELECT 'spark__' || source AS connection_key, 'UNSPECIFIED' AS entity_type, 'recognizer' AS detection_source, count(*) AS count_analyzed,
+      0::BIGINT AS count_masked, 0::BIGINT AS bytes_masked FROM l GROUP BY source
+    UNION ALL SELECT 'spark__' || source, 'EMAIL_ADDRESS', 'recognizer', 0, count(*), sum(length(w))::BIGINT FROM m WHERE w IS NOT NULL GROUP BY source""",
+)
+def own_detector_counts(spark, sf):
+    """What a plugged-in detector found is counted like what the patterns find."""
+    df = Tables(spark, sf).documents.select("source", "text", "lang")
+    policy = Policy(detection=Detection(detector=_words))
+    return metrics.masking_metrics(metrics.outcome_rows(df, policy, connection_key(F.lit("spark"), F.col("source"))))
+
+
+@query(
+    "A1_role_rules",
+    """WITH t AS (SELECT role, CASE role WHEN 'user' THEN '[user text]' WHEN 'assistant' THEN text ELSE '[default]' END AS text FROM conversations)
+    SELECT 'spark__' || role AS connection_key, 'UNSPECIFIED' AS entity_type, 'field_rule' AS detection_source, count(text)::BIGINT + 3 * count(*) AS count_analyzed,
+      0::BIGINT AS count_masked, 0::BIGINT AS bytes_masked FROM t GROUP BY role
+    UNION ALL SELECT 'spark__' || role, 'text_fields', 'field_rule', 0, count(text), sum(strlen(text))::BIGINT FROM t GROUP BY role""",
+)
+def role_counts(spark, sf):
+    """Labels are measured on what the rules of the row's role left."""
+    df = Tables(spark, sf).conversations.select("conv_id", "turn", "role", "text")
+    policy = Policy(
+        object_id="org1:spark:lake:conversations",
+        overlay={"text": "[default]"},
+        role_col="role",
+        role_rules={"user": {"TEXT": "[user text]"}, "assistant": {"other": "x"}},
+        labels=[PathLabel("text", "partial_mask", "text_fields")],
+    )
+    return metrics.masking_metrics(metrics.outcome_rows(df, policy, connection_key(F.lit("spark"), F.col("role"))))

@@ -8,7 +8,8 @@ from hushframe.functions.text import query_path
 from hushframe.operators import documents as docs
 from hushframe.operators import labels as labelling
 from hushframe.plans import jobs
-from hushframe.plans.policy import Detection, OverlayRule, PathLabel, Policy
+from hushframe.plans.policy import Detection, OverlayRule, PathLabel, Policy, Recognizer
+from hushframe.session import shared_folder
 from queries.base import Tables, partial_sql, query
 from queries.derived import ORDER_LEAVES, ORDERS_JOINED, order_documents
 
@@ -347,3 +348,69 @@ def yaml_secrets(spark, sf):
     df = Tables(spark, sf).customer.select("c_custkey", "c_name", body.alias("body"))
     shown = docs.secret_manifest_mask(df, "body")
     return shown.select("c_custkey", (~F.contains("body", F.col("c_name"))).alias("hidden"), (F.col("body") == docs.SECRET).alias("hidden_whole"))
+
+
+COUNTED = Policy(
+    object_id=OBJ,
+    overlay={"SEGMENT": OverlayRule(partial=True)},
+    labels=[
+        PathLabel("customer.name", category="name_fields"),
+        PathLabel("lines[].flag", "partial_mask", "flag_fields"),
+        PathLabel("customer.balance", category="balance_fields"),
+        PathLabel("segment", "partial_mask", " "),
+        PathLabel("priority", "do_not_mask", "priority_fields"),
+    ],
+    detection=Detection(recognizers=[Recognizer("CUSTOMER_NO", "#[0-9]+", 0.8)]),
+)
+
+
+def _counts_sql(connection: str, looked: str, dated: bool) -> str:
+    """Counts over the order documents. Names are masked by content before their label measures them."""
+    name = "regexp_replace(c_name, '#[0-9]+', '[redacted]')"
+    return f"""WITH {ORDERS_JOINED}, parts AS (
+      SELECT 'UNSPECIFIED' AS entity_type, 'recognizer' AS detection_source,
+        count(*) FILTER (strlen(c_name) >= 4) + count(*) FILTER (strlen(c_mktsegment) >= 4) + count(*) FILTER (strlen(o_orderpriority) >= 4)
+          + {'count(o_orderdate)' if dated else '0'} AS count_analyzed, 0 AS count_masked, 0 AS bytes_masked FROM o
+      UNION ALL SELECT 'CUSTOMER_NO', 'recognizer', 0, count(*), sum(length(regexp_extract(c_name, '#[0-9]+'))) FROM o WHERE c_name LIKE '%#%'
+      UNION ALL SELECT 'UNSPECIFIED', 'field_rule', {looked}, count(c_mktsegment), sum(strlen(c_mktsegment)) FROM o
+      UNION ALL SELECT 'UNSPECIFIED', 'field_rule', 3 * count(*), 0, 0 FROM li
+      UNION ALL SELECT 'name_fields', 'field_rule', 0, count(c_name), sum(strlen({name})) FROM o
+      UNION ALL SELECT 'balance_fields', 'field_rule', 0, count(c_acctbal), sum(strlen(c_acctbal::VARCHAR)) FROM o
+      UNION ALL SELECT 'flag_fields', 'field_rule', 0, count(l_returnflag), sum(strlen(l_returnflag)) FROM li)
+    SELECT '{connection}' AS connection_key, entity_type, detection_source, sum(count_analyzed)::BIGINT AS count_analyzed,
+      sum(count_masked)::BIGINT AS count_masked, sum(bytes_masked)::BIGINT AS bytes_masked FROM parts GROUP BY entity_type, detection_source"""
+
+
+_LOOKED = "count(c_name) + count(c_mktsegment) + count(c_acctbal) + count(o_orderdate) + count(o_orderpriority) + count(o_orderstatus) + count(o_totalprice)"
+
+
+@query("C5_report_of_documents", _counts_sql("mongo__reader", _LOOKED, dated=False))
+def count_documents(spark, sf):
+    """Leaves of documents with a schema, counted by all layers."""
+    return jobs.masking_report(order_documents(spark, sf), COUNTED, F.lit("mongo__reader"), doc_cols=["doc"])
+
+
+@query("C5_mask_and_report", _counts_sql("mongo__writer", _LOOKED, dated=True))
+def mask_and_count(spark, sf):
+    """JSON documents are masked and written; the counts come from that very pass, as observed metrics."""
+    path = shared_folder(spark, "masked")
+    return jobs.mask_and_report(_json_documents(spark, sf), COUNTED, "mongo__writer", lambda rows: rows.write.parquet(path), doc_cols=["doc"])
+
+
+@query(
+    "C2_documents_of_the_pass",
+    f"""SELECT o_orderkey AS doc_id, '[redacted]' AS name, {partial_sql(partial_sql('c_mktsegment'))} AS segment, 0::BIGINT AS balance,
+      o_orderpriority AS priority FROM orders JOIN customer ON o_custkey = c_custkey""",
+)
+def mask_counted(spark, sf):
+    """The documents that the counting pass writes."""
+    path = shared_folder(spark, "masked")
+    jobs.mask_and_report(_json_documents(spark, sf), COUNTED, "mongo__writer", lambda rows: rows.write.parquet(path), doc_cols=["doc"])
+    got = lambda path: F.get_json_object("doc", f"$.{path}")
+    return spark.read.parquet(path).select(
+        "doc_id",
+        got("customer.name").alias("name"),
+        got("customer.segment").alias("segment"),
+        got("customer.balance").cast("bigint").alias("balance"),
+        got("priority").alias("priority"),
+    )

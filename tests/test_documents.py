@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushframe.operators import documents as docs
-from hushframe.operators.json_docs import hide_secrets
+from hushframe.operators.json_docs import _yaml_loader, hide_secrets
 from hushframe.plans.policy import Detection, OverlayRule, PathLabel, Policy
 
 OBJ = "org:mongo:db:c"
@@ -286,7 +286,7 @@ def test_documents_without_a_hit_stay(spark):
 )
 def test_spellings_of_secrets(kind, hidden):
     text = f"kind: {kind}\ndata:\n  k: value\n"
-    shown = hide_secrets(text)
+    shown = hide_secrets(text, _yaml_loader())
     assert ("value" in shown) == (not hidden) and (shown == docs.SECRET) == (hidden == 2) and (shown == text) == (not hidden)
-    assert "value" not in hide_secrets(f"? kind\n: {kind}\ndata: {{k: value}}") or hidden == 0 or kind.count("\n")
-    assert hide_secrets("my secret data is here") == "my secret data is here"
+    assert "value" not in hide_secrets(f"? kind\n: {kind}\ndata: {{k: value}}", _yaml_loader()) or hidden == 0 or kind.count("\n")
+    assert hide_secrets("my secret data is here", _yaml_loader()) == "my secret data is here"

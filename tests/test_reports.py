@@ -1,3 +1,4 @@
+import dataclasses
 import datetime as dt
 
 import pytest
@@ -164,3 +165,115 @@ def test_mask_table_keeps_everything_else(spark):
     assert jobs.mask_table(df, Policy()).collect() == df.collect()
     wide = jobs.mask_table(df.select("id", F.col("note").alias("a"), F.col("note").alias("b"), F.col("note").alias("c")), Policy(detection=Detection()))
     assert tuple(wide.filter("id = 3").first()) == (3, "[redacted]", "[redacted]", "[redacted]")
+
+
+@pytest.fixture(scope="module")
+def shout():
+    def found(texts):
+        """Every word in capitals."""
+        import re
+
+        return [[{"entity_type": "LOUD", "start": m.start(), "end": m.end(), "score": 1.0} for m in re.finditer("[A-Z]{2,}", t)] for t in texts]
+
+    return found
+
+
+@pytest.fixture(scope="module")
+def broken():
+    def found(texts):
+        raise ConnectionError
+
+    return found
+
+
+def test_own_detector_is_counted(spark, shout, broken):
+    df = spark.createDataFrame([("say HELLO to ABC", "XY"), ("quiet", None), (None, "LONGER")], "a string, b string")
+    policy = Policy(detection=Detection(detector=shout))
+    got = sums(metrics.masking_metrics(metrics.outcome_rows(df, policy, F.lit("c"))))
+    assert got == {("UNSPECIFIED", "recognizer"): (3, 0, 0), ("LOUD", "recognizer"): (0, 3, 5 + 3 + 6)}  # "XY" is too short
+    down = Policy(detection=Detection(detector=broken))
+    assert sums(metrics.masking_metrics(metrics.outcome_rows(df, down, F.lit("c")))) == {("UNSPECIFIED", "recognizer"): (3, 0, 0)}
+    rows = metrics.mask_counted(df, policy).drop(metrics.HIDDEN)
+    assert rows.collect() == jobs.mask_table(df, policy).collect()
+
+
+def test_role_rules_settle_what_labels_measure(spark):
+    df = spark.createDataFrame([("admin", "secret text"), ("user", "secret text"), (None, None)], "role string, note string")
+    policy = Policy(object_id=OBJ, overlay={"note": "[note]"}, role_col="role", role_rules={"admin": {"other": "x"}}, labels=[PathLabel("note", "", "notes")])
+    got = sums(metrics.masking_metrics(metrics.outcome_rows(df, policy, F.lit("c"))))
+    assert got == {("UNSPECIFIED", "field_rule"): (4, 0, 0), ("notes", "field_rule"): (0, 2, 11 + 6)}
+
+
+DOC = '{"mail":"jane@example.com","n":12345,"tags":["ok 10.0.0.1","x"],"deep":{"ok":true,"note":"free text"}}'
+
+
+@pytest.fixture(scope="module")
+def document_policy():
+    labels = [PathLabel("mail", "partial_mask", "mails"), PathLabel("n", "", "numbers"), PathLabel("deep.ok", category="flags"), PathLabel("note", "do_not_mask", "notes")]
+    return Policy(object_id=OBJ, detection=Detection(), overlay={"mail": "[m]"}, labels=labels)
+
+
+WANT = {
+    ("UNSPECIFIED", "recognizer"): (3, 0, 0),
+    ("EMAIL_ADDRESS", "recognizer"): (0, 1, 16),
+    ("IP_ADDRESS", "recognizer"): (0, 1, 8),
+    ("UNSPECIFIED", "field_rule"): (6, 0, 0),
+    ("mails", "field_rule"): (0, 1, 3),
+    ("numbers", "field_rule"): (0, 1, 5),
+    ("flags", "field_rule"): (0, 1, 4),
+}
+
+
+def test_leaves_are_counted(spark, document_policy):
+    typed = "struct<mail:string,n:int,tags:array<string>,deep:struct<ok:boolean,note:string>>"
+    text = spark.createDataFrame([(1, DOC), (2, None)], "id int, doc string")
+    forms = {"text": text, "variant": text.withColumn("doc", F.parse_json("doc")), "typed": text.withColumn("doc", F.from_json("doc", typed))}
+    forms["part"] = text.select("id", F.when(F.col("doc").isNotNull(), F.struct(F.parse_json("doc").alias("v"))).alias("doc"))
+    for name, df in forms.items():
+        if name == "part":  # paths begin below the field that holds the VARIANT
+            labels = [dataclasses.replace(l, field_path=f"v.{l.field_path}" if l.field_path != "note" else "note") for l in document_policy.labels]
+            policy = dataclasses.replace(document_policy, labels=labels)
+        else:
+            policy = document_policy
+        got = metrics.masking_metrics(metrics.outcome_rows(df, policy, F.lit("c"), doc_cols=["doc"]))
+        assert sums(got) == WANT, name
+        both = metrics.mask_documents_counted(df, ["doc"], policy).drop(metrics.HIDDEN)
+        shown = F.col("doc") if name == "text" else F.to_json("doc")
+        assert both.select("id", shown).collect() == jobs.mask_documents(df, ["doc"], policy).select("id", shown).collect(), name
+
+
+def test_unread_documents_are_counted_as_texts(spark, document_policy):
+    rows = [(1, "plain jane@example.com"), (2, '{"broken": "jane@example.com'), (3, "4111111111111111"), (4, "[" * 150)]
+    df = spark.createDataFrame(rows, "id int, doc string")
+    got = sums(metrics.masking_metrics(metrics.outcome_rows(df, document_policy, F.lit("c"), doc_cols=["doc"])))
+    assert got == {("UNSPECIFIED", "recognizer"): (4, 0, 0), ("EMAIL_ADDRESS", "recognizer"): (0, 2, 32), ("CREDIT_CARD", "recognizer"): (0, 1, 16)}
+    both = metrics.mask_documents_counted(df, ["doc"], document_policy).drop(metrics.HIDDEN)
+    assert both.collect() == jobs.mask_documents(df, ["doc"], document_policy).collect()
+    no_detection = dataclasses.replace(document_policy, detection=None)
+    both = metrics.mask_documents_counted(df, ["doc"], no_detection).drop(metrics.HIDDEN)
+    assert both.collect() == jobs.mask_documents(df, ["doc"], no_detection).collect()
+    with pytest.raises(Exception, match="cannot be read"):
+        metrics.mask_documents_counted(df, ["doc"], document_policy, strict=True).collect()
+
+
+def test_report_of_the_masking_pass(spark, document_policy, shout, tmp_path):
+    rows = [(i, DOC, f"note {i} of 10.0.0.{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, doc string, note string").repartition(4)
+    out = str(tmp_path / "masked")
+    report = jobs.mask_and_report(df, document_policy, "c", lambda d: d.write.parquet(out), doc_cols=["doc"])
+    assert sums(report) == {k: tuple(40 * n for n in v) for k, v in WANT.items()}
+    back = spark.read.parquet(out)
+    assert back.columns == df.columns and back.orderBy("id").collect() == jobs.mask_documents(df, ["doc"], document_policy).orderBy("id").collect()
+    # flat columns, with a detector whose answers are only partly named beforehand
+    policy = Policy(detection=Detection(detector=shout))
+    flat = spark.createDataFrame([("HELLO you",), ("ABC",)], "t string")
+    asked = jobs.mask_and_report(flat, policy, "c", lambda d: d.write.format("noop").mode("overwrite").save(), entities=["LOUD"])
+    assert sums(asked) == {("UNSPECIFIED", "recognizer"): (1, 0, 0), ("LOUD", "recognizer"): (0, 1, 5)}
+    other = jobs.mask_and_report(flat, policy, "c", lambda d: d.write.format("noop").mode("overwrite").save())
+    assert sums(other) == {("UNSPECIFIED", "recognizer"): (1, 0, 0), ("OTHER", "recognizer"): (0, 1, 5)}
+    nothing = jobs.mask_and_report(flat, Policy(), "c", lambda d: d.write.format("noop").mode("overwrite").save())
+    assert nothing.count() == 0
+    # one scan, no shuffle
+    counted = metrics.mask_documents_counted(df, ["doc"], document_policy)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and plan.count("Exchange") == 1  # the repartition above
