@@ -10,6 +10,7 @@ import json
 import os
 import sys
 import time
+from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -35,7 +36,7 @@ def session() -> SparkSession:
     return spark
 
 
-def build(spark: SparkSession) -> dict[str, tuple[DataFrame, int]]:
+def build(spark: SparkSession) -> dict[str, tuple[DataFrame | Callable[[], DataFrame], int]]:
     """Query name -> (result, rows of the input)."""
     from hushframe.operators import detect, metrics, sampling, windows
     from hushframe.operators.documents import doc_walk
@@ -91,13 +92,15 @@ def build(spark: SparkSession) -> dict[str, tuple[DataFrame, int]]:
         ),
         "merge_proposals": (merge_proposed(event_proposals(spark, FOLDER)), n["e"]),
         "sample_fields": (sampling.sample_fields(orders, "o", 20, ["o_orderkey"]), n["o"]),
-        "rate_flags": (windows.rate_flags(events, "user_id", "ts", 3, 86_400, ["event_id"]), n["e"]),
+        # part of the work runs when the result is asked for: it is built inside the timer
+        "rate_flags": (lambda: windows.rate_flags(events, "user_id", "ts", 3, 86_400, ["event_id"]), n["e"]),
         "transcript_cap": (windows.transcript_cap(conversations, "conv_id", "turn", "text", 4000), n["c"]),
     }
 
 
-def run(df: DataFrame) -> float:
+def run(made: DataFrame | Callable[[], DataFrame]) -> float:
     start = time.perf_counter()
+    df = made if isinstance(made, DataFrame) else made()
     df.write.format("noop").mode("overwrite").save()
     return time.perf_counter() - start
 

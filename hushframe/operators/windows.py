@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushframe.functions.text import inline_rows, request_hash
+from hushframe.functions.text import request_hash
+from hushframe.operators.ordered import BLOCK_ROWS, windows_in_order
 
 SECOND = 1_000_000
 
@@ -119,145 +118,13 @@ def transcript_cap(
 # --- windows that open at an event -----------------------------------------------------------------
 
 
-def _chain_table(ts: np.ndarray, low: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each time from which a new window may open, the start of the last window of the block.
-
-    A window carried into the block ends within its first `width`, so only events up to the first one
-    behind that point can be first to open a window here.
-    """
-    last = np.searchsorted(ts, low + width, side="left")
-    at = np.arange(min(last + 1, len(ts)))
-    upto = ts[at]
-    while True:
-        nxt = np.searchsorted(ts, ts[at] + width, side="left")
-        moving = nxt < len(ts)
-        if not moving.any():
-            break
-        at = np.where(moving, np.minimum(nxt, len(ts) - 1), at)
-    ends = ts[at]
-    # later entries never leave earlier, so equal ends lie side by side
-    keep = np.append(ends[1:] != ends[:-1], True)
-    return upto[keep], ends[keep]
-
-
-def _starts_from(ts: np.ndarray, carried: int, width: int) -> list[int]:
-    """Starts of the windows in force in a block, the carried one first."""
-    starts = [] if carried == NONE else [carried]
-    at = 0 if carried == NONE else int(np.searchsorted(ts, carried + width, side="left"))
-    while at < len(ts):
-        start = int(ts[at])
-        starts.append(start)
-        at = int(np.searchsorted(ts, start + width, side="left"))
-    return starts
-
-
-# No window has opened yet.
-NONE = np.iinfo(np.int64).min
-
-
-def _cut(sizes, upto, ends) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Split the tables of consecutive blocks, stored end to end."""
-    stops = np.cumsum(sizes)
-    upto, ends = np.asarray(upto, dtype=np.int64), np.asarray(ends, dtype=np.int64)
-    return [(upto[stop - n : stop], ends[stop - n : stop]) for n, stop in zip(sizes, stops)]
-
-
-def _then(starts: np.ndarray, table: tuple[np.ndarray, np.ndarray], width: int) -> np.ndarray:
-    """Carry windows that start at `starts` through one block; without a later event they stay."""
-    upto, ends = table
-    at = np.searchsorted(upto, starts + width, side="left")
-    return np.where(at < len(upto), ends[np.minimum(at, len(upto) - 1)], starts)
-
-
-def _compose(tables: list[tuple[np.ndarray, np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The tables of consecutive blocks as one table."""
-    upto, ends = tables[0]
-    if len(tables) > 1:
-        # a window that outlasts the events of the first block ends before the second one
-        upto = np.append(upto, np.iinfo(np.int64).max)
-        ends = np.append(ends, tables[1][1][0])
-    for i, table in enumerate(tables[1:]):
-        moved = _then(ends, table, width)
-        ends = np.append(moved[:-1], ends[-1]) if i == 0 else moved
-    keep = np.append(ends[1:] != ends[:-1], True)
-    return upto[keep], ends[keep]
-
-
-def _follow(tables: list[tuple[np.ndarray, np.ndarray]], width: int, carried: int) -> np.ndarray:
-    """The start of the window carried into each block, in order."""
-    out = np.empty(len(tables), dtype=np.int64)
-    for i, (upto, ends) in enumerate(tables):
-        out[i] = carried
-        at = 0 if carried == NONE else int(np.searchsorted(upto, carried + width, side="left"))
-        if at < len(upto):
-            carried = int(ends[at])
-    return out
-
-
-def anchored_windows(
-    df: DataFrame, keys: Sequence[str], ts: str, width: int, block_widths: int = 8, group_blocks: int = 128
-) -> DataFrame:
+def anchored_windows(df: DataFrame, keys: Sequence[str], ts: str, width: int, block_rows: int = BLOCK_ROWS, partitions: int | None = None) -> DataFrame:
     """Add `window_start`: a window opens at the first event of a key, lasts `width`, and the next event
-    at or after its end opens the next one. `ts` and `width` are whole numbers of one unit.
-
-    Each key is cut into blocks of `block_widths` windows; the distinct times of one block fit a task. Per block a short table says where the last
-    window starts for every time a carried window may end; windows soon fall into step, so the table of
-    `group_blocks` blocks put together is shorter still. Only those are followed in order per key, then
-    the blocks inside each group, then the events inside each block.
+    at or after its end opens the next one. `ts` and `width` are whole numbers of one unit. See `ordered`.
     """
-    length = width * block_widths
-    keys = list(keys)
-    with_block = df.withColumn("_block", bucket(F.col(ts), length))
-    group = bucket(F.col("_block"), group_blocks).alias("_group")
-
-    @F.pandas_udf("upto array<bigint>, ends array<bigint>")
-    def tables(block: pd.Series, at: pd.Series) -> pd.DataFrame:
-        made = [_chain_table(np.asarray(t, dtype=np.int64), int(b) * length, width) for b, t in zip(block, at)]
-        return pd.DataFrame({"upto": [m[0] for m in made], "ends": [m[1] for m in made]})
-
-    @F.pandas_udf("upto array<bigint>, ends array<bigint>")
-    def compose(sizes: pd.Series, upto: pd.Series, ends: pd.Series) -> pd.DataFrame:
-        made = [_compose(_cut(*row), width) for row in zip(sizes, upto, ends)]
-        return pd.DataFrame({"upto": [m[0] for m in made], "ends": [m[1] for m in made]})
-
-    @F.pandas_udf("array<bigint>")
-    def follow(sizes: pd.Series, upto: pd.Series, ends: pd.Series, carried: pd.Series) -> pd.Series:
-        return pd.Series([_follow(_cut(*row), width, c) for *row, c in zip(sizes, upto, ends, carried)])
-
-    @F.pandas_udf("array<bigint>")
-    def starts(carried: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series([_starts_from(np.asarray(t, dtype=np.int64), c, width) for c, t in zip(carried, at)])
-
-    def in_order(rows: DataFrame, by: Sequence[str], no: str) -> DataFrame:
-        """The tables of consecutive blocks of each `by`, stored end to end."""
-        row = F.struct(F.col(no).alias("no"), F.col("_t.upto"), F.col("_t.ends"))
-        listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-        return listed.select(
-            *by,
-            F.col("_rows.no").alias("_nos"),
-            F.transform("_rows", lambda r: F.size(r["upto"])).alias("_sizes"),
-            F.flatten("_rows.upto").alias("_upto"),
-            F.flatten("_rows.ends").alias("_ends"),
-        )
-
-    def entries(rows: DataFrame, carried: Column, no: str) -> DataFrame:
-        staged = rows.withColumn("_into", follow("_sizes", "_upto", "_ends", carried))
-        pair = F.zip_with("_nos", "_into", lambda n, c: F.struct(n.alias("no"), c.alias("carried")))
-        return inline_rows(staged, keys, pair, "no").withColumnRenamed("no", no)
-
-    # at most one block of distinct times per array, one group of tables per array
-    times = with_block.groupBy(*keys, "_block").agg(F.sort_array(F.collect_set(ts)).alias("_times"))
-    per_block = times.select(*keys, "_block", group, tables("_block", "_times").alias("_t"))
-    per_group = in_order(per_block, [*keys, "_group"], "_block")
-    short = per_group.select(*keys, "_group", compose("_sizes", "_upto", "_ends").alias("_t"))
-    into_group = entries(in_order(short, keys, "_group"), F.lit(int(NONE)).cast("bigint"), "_group")
-    into_block = entries(join_on(per_group, into_group, [*keys, "_group"]), F.col("carried"), "_block")
-    known = join_on(times, into_block, [*keys, "_block"]).select(
-        *keys, "_block", starts("carried", "_times").alias("_starts")
-    )
-    start = F.array_max(F.filter("_starts", lambda s: s <= F.col(ts)))
-    joined = join_on(with_block, known, [*keys, "_block"])
-    return joined.withColumn("window_start", start).drop("_block", "_starts")
+    key = F.to_json(F.struct(*[F.col(f"`{k}`") for k in keys]), {"ignoreNullFields": "false"})
+    placed = windows_in_order(df, key, F.col(ts), width, block_rows=block_rows, partitions=partitions)
+    return placed.select(*df.columns, F.col("_start").alias("window_start"))
 
 
 def rate_flags(
@@ -274,18 +141,9 @@ def rate_flags(
     """
     if limit <= 0:
         return df.withColumn("flagged", F.lit(False))
-    width = window_seconds * SECOND
     live = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
-    timed = df.withColumn("_us", micros(df, ts))
-    placed = anchored_windows(timed.filter(live), [key], "_us", width)
-    ranked = running_total(
-        placed,
-        [key, "window_start"],
-        [F.col("_us"), *[F.col(c) for c in tie]],
-        {"_rank": F.lit(1).cast("bigint")},
-        F.floor((F.col("_us") - F.col("window_start")) * 16 / width),
-    )
-    on = ranked.select(*df.columns, (F.col("_rank") > limit).alias("flagged"))
+    placed = windows_in_order(df.filter(live), F.col(key), micros(df, ts), window_seconds * SECOND, tie)
+    on = placed.select(*df.columns, (F.col("_rank") > limit).alias("flagged"))
     off = df.filter(~live).withColumn("flagged", F.lit(False))
     return on.unionByName(off)
 
@@ -305,21 +163,16 @@ def idempotent_dedup(
     """
     live = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
     hashed = df.withColumn("request_hash", request_hash(*[F.col(p).cast("string") for p in parts]))
-    timed = hashed.withColumn("_us", micros(df, ts))
     # an entry still holds at the very end of its time
-    placed = anchored_windows(timed.filter(live), [key], "_us", ttl_seconds * SECOND + 1)
-    order = F.struct("_us", *tie)
-    first = placed.groupBy(key, "window_start").agg(
-        F.min_by("request_hash", order).alias("_hash"), F.min(order).alias("_order")
-    )
-    joined = join_on(placed, first, [key, "window_start"])
+    width = ttl_seconds * SECOND + 1
+    placed = windows_in_order(hashed.filter(live), F.col(key), micros(df, ts), width, tie, tag=F.unhex("request_hash"))
     status = (
-        F.when(order == F.col("_order"), F.lit("new"))
-        .when(F.col("request_hash") == F.col("_hash"), F.lit("duplicate"))
+        F.when(F.col("_rank") == 1, F.lit("new"))
+        .when(F.unhex("request_hash") == F.col("_first_tag"), F.lit("duplicate"))
         .otherwise(F.lit("conflict"))
     )
     columns = [*df.columns, "request_hash"]
-    on = joined.select(*columns, status.alias("status"))
+    on = placed.select(*columns, status.alias("status"))
     return on.unionByName(hashed.filter(~live).select(*columns, F.lit("new").alias("status")))
 
 
