@@ -42,12 +42,19 @@ LOOK_COST, DROP_COST, RUN_COST, PAIR_COST, KEEP_COST = 0.7, 0.7, 1.0, 5.0, 4.0
 #: Letters of the character model; accents are taken off, everything else is one symbol.
 SYMBOLS = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
 OTHER, EDGE, BASE = 27, 0, 32
+LAST_THREE = BASE**3 - 1
 FOLD = str.maketrans("àáâãäåçèéêëìíîïñòóôõöùúûüýÿß", "aaaaaaceeeeiiiinooooouuuuyys")
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+TWICE = re.compile(r"(.)\1")
+_CHARACTER = rb"(?:[\x21-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})"
+#: Three characters apart from each other: only then a text has to be walked word by word.
+APART = re.compile(rb"(?<!\S)" + _CHARACTER + rb"\s+" + _CHARACTER + rb"\s+" + _CHARACTER + rb"(?!\S)")
+
+
 def _symbols(text: str) -> list[int]:
-    return [SYMBOLS.get(c, OTHER) for c in text.translate(FOLD)]
+    return [SYMBOLS.get(c, OTHER) for c in (text if text.isascii() else text.translate(FOLD))]
 
 
 def count_letters(words: list[bytes], times: np.ndarray) -> np.ndarray:
@@ -56,7 +63,13 @@ def count_letters(words: list[bytes], times: np.ndarray) -> np.ndarray:
     plain = [(w.decode("utf-8", "replace").lower().strip(EDGES), n) for w, n in zip(words, times.tolist())]
     plain = [(w, n) for w, n in plain if w.isalpha()]
     if plain:
-        flat = np.array([s for w, _ in plain for s in (EDGE, EDGE, EDGE, *_symbols(w), EDGE)], np.int64)
+        # all words as one text, their ends as NUL
+        line = "".join(f"\0\0\0{w}\0" for w, _ in plain).translate(FOLD)
+        points = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+        known = np.full(128, OTHER, np.int64)
+        known[0] = EDGE
+        known[[ord(c) for c in SYMBOLS]] = list(SYMBOLS.values())
+        flat = known[np.where(points < 128, points, 127)]
         weight = np.repeat([n for _, n in plain], [len(w) + 4 for w, _ in plain])
         four = ((flat[:-3] * BASE + flat[1:-2]) * BASE + flat[2:-1]) * BASE + flat[3:]
         # A window is inside one word if it does not end in that word's first two edges.
@@ -64,7 +77,7 @@ def count_letters(words: list[bytes], times: np.ndarray) -> np.ndarray:
         ends = np.cumsum([len(w) + 4 for w, _ in plain])[:-1]
         for j in (1, 2, 3):
             ok[ends - j] = False
-        np.add.at(table, four[ok], weight[:-3][ok])
+        table += np.bincount(four[ok], weight[:-3][ok], len(table))
     return table
 
 
@@ -99,52 +112,69 @@ def disguised(core: str) -> bool:
     """Has a letter and a sign or digit inside, a letter twice in a row, characters apart, or look-alikes only."""
     if " " in core:
         return True
+    if core.isalpha():
+        return TWICE.search(core) is not None
     letters = sum(c.isalpha() for c in core)
     if letters and letters < len(core):
         return any(c in LOOKS or c in BETWEEN for c in core) and letters + sum(c in LOOKS for c in core) >= 3
     if not letters:
         return len(core) >= 3 and all(c in LOOKS or c in BETWEEN for c in core) and sum(c in LOOKS for c in core) >= 3
-    return re.search(r"(.)\1", core) is not None
+    return TWICE.search(core) is not None
+
+
+def run_lengths(word: str) -> list[int]:
+    """How many equal characters follow from each place on, its own counted."""
+    out = [1] * len(word)
+    for i in range(len(word) - 2, -1, -1):
+        if word[i] == word[i + 1]:
+            out[i] = out[i + 1] + 1
+    return out
 
 
 def decode(word: str, cost: np.ndarray) -> str:
-    """The likeliest reading of a word's lattice; a space is read as nothing or as the end of a word."""
-    states = {(EDGE, EDGE, EDGE): (0.0, None)}  # context: cost and the way back
-    at = {0: states}
-    n = len(word)
-    for i in range(n):
+    """The likeliest reading of a word's lattice; a space is read as nothing or as the end of a word.
+
+    A context is a number of three symbols; the cost of one more is looked up at context and symbol together.
+    """
+    costs = cost.data  # plain numbers come faster out of a buffer
+    at: dict[int, dict[int, tuple]] = {0: {0: (0.0, None)}}  # place, context: cost and the way back
+    n, runs, read = len(word), run_lengths(word), {}
+    for i, c in enumerate(word):
         here = at.pop(i, None)
         if not here:
             continue
-        c, run = word[i], 1
-        while i + run < n and word[i + run] == c:
-            run += 1
-        first = i == 0 or word[i - 1] != c
         edges: list[tuple[int, str, float]] = []  # next place, letters, cost
         if c == " ":
             edges = [(i + 1, "", 0.0), (i + 1, " ", 0.0)]
-        for letter in (c, *LOOKS.get(c, "")) if c != " " else ():
-            base = 0.0 if letter == c and c.isalpha() else LOOK_COST if letter != c else KEEP_COST
-            edges.append((i + 1, letter, base))
-            if run >= 2 and first:
-                edges.append((i + run, letter, base + (RUN_COST if run >= 3 else PAIR_COST)))
+        else:
+            run = runs[i] if i == 0 or word[i - 1] != c else 1
+            for letter in (c, *LOOKS.get(c, "")):
+                base = 0.0 if letter == c and c.isalpha() else LOOK_COST if letter != c else KEEP_COST
+                edges.append((i + 1, letter, base))
+                if run >= 2:
+                    edges.append((i + run, letter, base + (RUN_COST if run >= 3 else PAIR_COST)))
                 if run >= 3:
                     edges.append((i + run, letter * 2, base + RUN_COST))
-        if c in BETWEEN:
-            edges.append((i + 1, "", DROP_COST))
+            if c in BETWEEN:
+                edges.append((i + 1, "", DROP_COST))
+        states = list(here.items())
         for to, letters, price in edges:
-            symbols = [EDGE] if letters == " " else _symbols(letters)
-            target = at.setdefault(to, {})
-            for context, (so_far, back) in here.items():
-                total, k = so_far + price, context
+            symbols = read.get(letters)
+            if symbols is None:
+                symbols = read[letters] = [EDGE] if letters == " " else _symbols(letters)
+            target = at.get(to)
+            if target is None:
+                target = at[to] = {}
+            for k, (so_far, back) in states:
+                total = so_far + price
                 for s in symbols:
-                    total += float(cost[((k[0] * BASE + k[1]) * BASE + k[2]) * BASE + s])
-                    k = (k[1], k[2], s) if s != EDGE else (EDGE, EDGE, EDGE)
-                if k not in target or total < target[k][0]:
+                    k = k << 5 | s
+                    total += costs[k]
+                    k = k & LAST_THREE if s else 0
+                found = target.get(k)
+                if found is None or total < found[0]:
                     target[k] = (total, (letters, back))
-    best = min(
-        at[n].items(), key=lambda x: x[1][0] + float(cost[((x[0][0] * BASE + x[0][1]) * BASE + x[0][2]) * BASE + EDGE])
-    )
+    best = min(at[n].items(), key=lambda x: x[1][0] + costs[x[0] * BASE])
     out, back = [], best[1][1]
     while back:
         out.append(back[0])
@@ -154,6 +184,8 @@ def decode(word: str, cost: np.ndarray) -> str:
 
 def core_of(chunk: str) -> str:
     """A word without the punctuation around it; signs that begin or end it and may be letters stay."""
+    if chunk.isalpha():
+        return chunk.lower()
     if len(chunk) >= 3 and all(c in LOOKS for c in chunk):
         return chunk
     core = chunk.lower().lstrip("\"#%&'*,-./:;<=>?[\\]^_`}~").rstrip("\"#%&'()*,-./:;<=>?[\\]^_`{|}~!")
@@ -161,9 +193,10 @@ def core_of(chunk: str) -> str:
     return core[: trailing.start()] if trailing and len(trailing[0]) > 1 else core
 
 
-def joined(words: list[bytes]) -> list[bytes]:
-    """The words; runs of single characters, three or more of them no mere signs, are one item with spaces."""
-    if sum(len(w) <= 2 for w in words) < 3:
+def joined(text: bytes) -> list[bytes]:
+    """The words of a text; runs of single characters, three or more of them no mere signs, are one item with spaces."""
+    words = text.split()
+    if APART.search(text) is None:
         return words
     out, run, count = [], [], 0
     for w in (*words, b""):
@@ -179,15 +212,27 @@ def joined(words: list[bytes]) -> list[bytes]:
     return out
 
 
-def restored(texts: list[bytes], cost: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct restored words; each text's distinct ones as numbers, one text after another, and how many."""
+#: Distinct items that a worker keeps the reading of: its copy of a broadcast lives through its tasks.
+KEPT_ITEMS = 400_000
+
+
+def restored(texts: list[bytes], cost: np.ndarray, known: dict[bytes, list[str]] | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct restored words; each text's distinct ones as numbers, one text after another, and how many.
+
+    `known` keeps what was read before.
+    """
+    known = {} if known is None else known
+    if len(known) > KEPT_ITEMS:
+        known.clear()
     chunks, cores = Lexicon(), Lexicon()
-    ids, sizes = numbered([joined(t.split()) for t in texts], chunks)
+    ids, sizes = numbered([joined(t) for t in texts], chunks)
     number, length = [], []
     for chunk in chunks:
-        core = core_of(chunk.decode("utf-8", "replace")).strip()
-        read = decode(core, cost) if disguised(core) else core
-        made = read.split() if " " in core else [read]
+        made = known.get(chunk)
+        if made is None:
+            core = core_of(chunk.decode("utf-8", "replace")).strip()
+            read = decode(core, cost) if disguised(core) else core
+            made = known[chunk] = read.split() if " " in core else [read]
         number += [cores[x] for x in made]
         length.append(len(made))
     # An item of characters apart may be several words.
@@ -209,10 +254,11 @@ def features(words: list[str]) -> np.ndarray:
 def _sparse(sent):
     @F.arrow_udf(SPARSE)
     def sparse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        cost, known = sent.value
         for column in batches:
             rows = []
             for some in slices(column):
-                words, ids, sizes = restored(texts_of(some), sent.value)
+                words, ids, sizes = restored(texts_of(some), cost, known)
                 at = features(words)
                 for part in np.split(ids, np.cumsum(sizes)[:-1]):
                     number, count = np.unique(at[part], return_counts=True)
@@ -224,22 +270,22 @@ def _sparse(sent):
 
 def train(docs: DataFrame, labels: DataFrame, cost: np.ndarray, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> np.ndarray:
     """Weights from the given labels; `sample` bounds the labelled rows that are used."""
-    sent = docs.sparkSession.sparkContext.broadcast(cost)
+    sent = docs.sparkSession.sparkContext.broadcast((cost, {}))
     rows = labelled_sample(docs, settled_labels(labels, doc_id, label), sample, doc_id, text)
     return fitted(rows.select("doc_id", "label", _sparse(sent)("text").alias("x")), WIDTH, **OPTIONS)
 
 
 def score(spark, cost: np.ndarray, weights: np.ndarray, text: Column) -> Column:
     """Probability of label 1 for each text."""
-    sent = spark.sparkContext.broadcast((cost, weights))
+    sent = spark.sparkContext.broadcast((cost, weights, {}))
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cost, weights = sent.value
+        cost, weights, known = sent.value
         for column in batches:
             made = [np.zeros(0)]
             for some in slices(column):
-                words, ids, sizes = restored(texts_of(some), cost)
+                words, ids, sizes = restored(texts_of(some), cost, known)
                 each = weights.astype(np.float64)[features(words)].sum(axis=1)
                 total = sums(each[ids], sizes) + weights[-1]
                 made.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
