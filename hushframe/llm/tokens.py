@@ -22,7 +22,7 @@ BLOCKS = "part long, block long, at long, doc_ids array<long>, queues array<stri
 
 #: A word of letters whose small forms and compositions are plain, with the punctuation behind it.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-#: Distinct parts that a task keeps the ids of.
+#: Distinct parts that a worker keeps the ids of.
 KEPT_PARTS = 1_500_000
 
 
@@ -31,13 +31,12 @@ def chunk_encoder(spec: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarra
 
     The tokenizer drops white space and never joins what it parts, so the distinct runs of other characters are
     encoded once, and of plain words the letters and the punctuation apart, as the tokenizer parts them too.
-    Special tokens' strings in a text are ordinary text.
+    The strings of added tokens in a text are those tokens, as the library reads them.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(spec)
-    tokenizer.encode_special_tokens = True
     known: dict[str, bytes] = {"": b""}
 
     suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
@@ -61,7 +60,7 @@ def chunk_encoder(spec: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarra
             known[word] = data[4 * first : 4 * last]
 
     def encode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(known) > KEPT_PARTS:  # the memory of a task stays bounded
+        if len(known) > KEPT_PARTS:  # the memory of a worker stays bounded
             known.clear()
             known[""] = b""
         texts = pc.fill_null(column, "").cast(pa.large_string())
@@ -125,10 +124,14 @@ def token_blocks(docs: DataFrame, doc_id: Column, queue: Column, text: Column, p
     `at` counts the partition's ids before the block. A block has at least `BLOCK_IDS` ids or is the last of its partition; a longer document is a block by itself.
     """
     with open(path, encoding="utf-8") as file:
-        spec = docs.sparkSession.sparkContext.broadcast(file.read())
+        # a worker keeps its copy of a broadcast, and with it the encoder and the words it knows, through its tasks
+        spec = docs.sparkSession.sparkContext.broadcast((file.read(), {}))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = chunk_encoder(spec.value), TaskContext.get().partitionId()
+        text, kept = spec.value
+        if "encode" not in kept:
+            kept["encode"] = chunk_encoder(text)
+        encode, part = kept["encode"], TaskContext.get().partitionId()
         block, at, held = 0, 0, []
 
         def out() -> pa.RecordBatch:

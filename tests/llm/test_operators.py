@@ -41,6 +41,7 @@ def corpus():
     rows += [(200, base[3], None, None), (200, base[3], None, None), (201, base[3].upper() + " !", "xx", "s1")]
     rows += [(300, None, None, None), (301, "", "xx", "s1"), (302, " \n\t ", "xx", "s1"), (303, "one", None, "s2"), (None, "no id here", "xx", None)]
     rows += [(400, prose(rng, 6000), "yy", "long"), (401, "Ärger über Öl, don't!! 12,5 % … “q”", "yy", "s1"), (402, "1234 --- 5678", "yy", "s1")]
+    rows += [(404, "one<|endoftext|>two <|startoftext|> <|ENDOFTEXT|>. <|end oftext|>", "yy", "s1")]
     rows += [(403, "tie tie tie tie tie tie tie", None, "s1"), (403, "another text under the same id", None, "s1")]
     return rows
 
@@ -194,7 +195,6 @@ def test_components(spark):
 
 def encoded(end):
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     return [np.array(tokenizer.encode(text_of(r), add_special_tokens=False).ids + [end], "<u4") for r in corpus()]
 
 
