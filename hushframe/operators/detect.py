@@ -35,6 +35,9 @@ CARD = r"\b[0-9](?:[ -]?[0-9]){12,18}\b"
 SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
 IPV4 = r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"
 IPV6 = r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b"
+# A run of letters, digits, colons and dots with two colons; `short_ipv6_ok` reads it.
+IPV6_SHORT = r"(?:\G|(?<![0-9A-Za-z.:]))[0-9A-Za-z.]*+:(?:[0-9A-Za-z.]*+:)++(?:[0-9A-Za-z]++(?:\.[0-9A-Za-z]++)*+)?+"
+PHONE_ABROAD = r"\+[1-9][0-9]{0,3}(?:[ ./-]?(?:\(0\))?[ ]?(?:\([0-9]+\)|[0-9]+)){1,7}"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,3})?\b"
 CRYPTO = r"\b(?:[13][1-9A-HJ-NP-Za-km-z]{25,34}|bc1[02-9ac-hj-np-z]{11,71})\b"
 
@@ -52,6 +55,8 @@ def _ipv6_gate(text: Column) -> Column:
 BUILT_IN = (
     Recognizer("EMAIL_ADDRESS", EMAIL, 1.0, gate=lambda t: F.contains(t, F.lit("@"))),
     Recognizer("IP_ADDRESS", IPV6, 0.6, gate=_ipv6_gate),
+    Recognizer("IP_ADDRESS", IPV6_SHORT, 0.6, checks.short_ipv6_ok, lambda t: F.contains(t, F.lit("::"))),
+    Recognizer("PHONE_NUMBER", PHONE_ABROAD, 0.4, checks.international_phone_ok, lambda t: F.contains(t, F.lit("+")) & t.rlike("[+][1-9]")),
     Recognizer("PHONE_NUMBER", PHONE, 0.4, gate=lambda t: t.rlike("[0-9]{3}[ .-][0-9]{4}"), numeric=True),
     Recognizer(
         "CREDIT_CARD", CARD, 1.0, checks.luhn_ok, lambda t: t.rlike("[0-9](?:[ -]?[0-9]){12}"), numeric=True
@@ -196,7 +201,8 @@ def span_array(text: Column, d: Detection | None = None) -> Column:
             found,
             lambda s: F.when(F.size(s) > 0, F.filter(s, lambda x: ~_allowed(x["text"], d))).otherwise(s),
         )
-    ordered = let(found, lambda s: F.when(F.size(s) > 1, _order_spans(s)).otherwise(s))
+    # two patterns of one entity may find the same
+    ordered = let(found, lambda s: F.when(F.size(s) > 1, _order_spans(F.array_distinct(s))).otherwise(s))
     return F.when(eligible(text, d.min_len), ordered).otherwise(none)
 
 

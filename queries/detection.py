@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hushframe.functions import checks
 from hushframe.functions.text import connection_key
 from hushframe.operators import detect, metrics
 from hushframe.plans import jobs
@@ -16,7 +17,14 @@ from queries.base import Tables, query
 # Crypto addresses need a base-58 checksum, which has no short SQL form; the tables hold no candidate.
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_PHONE_DIGITS = "regexp_replace(replace(m, '(0)', ''), '[^0-9]', '', 'g')"
+_CODE = f"""CASE WHEN {_PHONE_DIGITS}[1] IN ('1', '7') THEN 1 WHEN {_PHONE_DIGITS}[1:2] IN ({", ".join(f"'{c}'" for c in checks.TWO_DIGIT_CODES)}) THEN 2 ELSE 3 END"""
+_PLANS = "MAP {" + ", ".join(f"'{c}': [{a}, {b}]" for c, (a, b) in checks.NATIONAL_DIGITS.items()) + "}"
 _CHECKS = {
+    "PHONE_ABROAD": f"""length({_PHONE_DIGITS}) BETWEEN 8 AND 15 AND length({_PHONE_DIGITS}) - {_CODE} BETWEEN
+        coalesce({_PLANS}[{_PHONE_DIGITS}[1:{_CODE}]][1], 4) AND coalesce({_PLANS}[{_PHONE_DIGITS}[1:{_CODE}]][2], 15 - {_CODE})""",
+    "IPV6_SHORT": f"""regexp_matches(m, '{checks.IPV6_FORM}') AND len(list_filter(string_split(m, ':'), lambda g: g <> '')) + (CASE WHEN m LIKE '%.%' THEN 1 ELSE 0 END)
+        BETWEEN 1 AND 7 AND (m NOT LIKE '%.%' OR list_max(list_transform(string_split(regexp_extract(m, '[0-9.]*$'), '.'), lambda c: TRY_CAST(c AS INT))) <= 255)""",
     "CREDIT_CARD": f"""list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i:
         CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN c::INT * 2 - 9 ELSE c::INT * 2 END)) % 10 = 0""",
     "US_SSN": "NOT regexp_matches(m, '^(?:000|666|9[0-9]{2})|-00-|-0000$')",
@@ -27,6 +35,7 @@ _CHECKS = {
 }
 # The same addresses for a matcher that never goes back.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}"
+IPV6_SHORT = r"[0-9A-Za-z.]*:(?:[0-9A-Za-z.]*:)+(?:[0-9A-Za-z]+(?:\.[0-9A-Za-z]+)*)?"
 _RULES = [
     ("EMAIL_ADDRESS", EMAIL, 1.0, None),
     ("PHONE_NUMBER", detect.PHONE, 0.4, None),
@@ -34,6 +43,8 @@ _RULES = [
     ("US_SSN", detect.SSN, 0.5, "US_SSN"),
     ("IP_ADDRESS", detect.IPV4, 0.6, "IPV4"),
     ("IP_ADDRESS", detect.IPV6, 0.6, None),
+    ("IP_ADDRESS", IPV6_SHORT, 0.6, "IPV6_SHORT"),
+    ("PHONE_NUMBER", detect.PHONE_ABROAD, 0.4, "PHONE_ABROAD"),
     ("IBAN_CODE", detect.IBAN, 1.0, "IBAN_CODE"),
 ]
 
@@ -52,7 +63,7 @@ def spans_sql(source: str, keys: str, text: str, rules=None, min_len: int = 4) -
         FROM {source} WHERE strlen({text}) >= {min_len}), generate_series(1, len(ms)) AS g(k))
       WHERE {_CHECKS.get(check, 'true')}"""
         )
-    union = "\n UNION ALL ".join(parts)
+    union = "\n UNION ".join(parts)
     return f"""found AS ({union}),
 spans AS (SELECT *, (row_number() OVER (PARTITION BY {keys} ORDER BY start, "end" DESC, score DESC, entity_type) - 1)::INTEGER
   AS span_no FROM found)"""
@@ -87,6 +98,30 @@ def page_spans(spark, sf):
     return detect.detect_spans(Tables(spark, sf).pages, "page_id", "html")
 
 
+# One of these stands in each document of the two queries below; half of them are no numbers or addresses.
+_WRITTEN = (
+    "+49 30 901820", "+44 (0)20 7946 0958", "+33 1 42 68 53 00", "+1 5551234567", "+999 12", "+48 12 345", "+351 912 345 678", "+971501234567",
+    "2001:db8::1", "::1", "fe80::1ff:fe23:4567:890a", "::ffff:192.0.2.128", "1::2::3", "12:30:45", "::", "::ffff:192.0.2.999", "std::vector", "a:b:c:d:e:f:0::1",
+)
+_WRITTEN_SQL = f"""src AS (SELECT doc_id, lang || ' (' || [{", ".join(f"'{w}'" for w in _WRITTEN)}][1 + doc_id % {len(_WRITTEN)}] || '), ' || source AS text FROM documents)"""
+
+
+def _written(spark, sf):
+    literal = F.get(F.array(*map(F.lit, _WRITTEN)), (F.col("doc_id") % len(_WRITTEN)).cast("int"))
+    return Tables(spark, sf).documents.select("doc_id", F.concat("lang", F.lit(" ("), literal, F.lit("), "), "source").alias("text"))
+
+
+@query("D1_abroad_and_short_ipv6", f"WITH {_WRITTEN_SQL}, {spans_sql('src', 'doc_id', 'text')} SELECT {SPAN_COLUMNS} FROM spans")
+def abroad(spark, sf):
+    """International numbers by their numbering plan, shortened addresses by their grammar."""
+    return detect.detect_spans(_written(spark, sf), "doc_id", "text")
+
+
+@query("D5_abroad_and_short_ipv6", f"WITH {_WRITTEN_SQL}, {spans_sql('src', 'doc_id', 'text')}, {masked_sql('src', 'doc_id', 'text')} SELECT doc_id, masked_text FROM masked")
+def abroad_masked(spark, sf):
+    return _written(spark, sf).select("doc_id", detect.mask_text(F.col("text")).alias("masked_text"))
+
+
 OWN = Recognizer("MAIL_HOST", r"mail[0-9]\.example\.(?:com|org)", 0.7)
 
 

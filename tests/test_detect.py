@@ -142,3 +142,29 @@ def test_long_local_parts_vanish_whole(values):
     out = values(cases, lambda c: detect.mask_text(c))
     assert out[0] == "[redacted]" and out[1] == "x [redacted], y" and "@" not in out[2]
     assert out[3] == cases[3] and out[4] == cases[4] and "@" not in out[5]
+
+
+ABROAD = {
+    "+49 30 901820": True, "+44 (0)20 7946 0958": True, "+33 1 42 68 53 00": True, "+15551234567": True, "+971501234567": True,
+    "+351 912 345 678": True, "+48 12 345": False, "+999 12": False, "+1 55512345": False, "+49": False, "+0 123 456 789": False,
+}
+SHORT = {
+    "2001:db8::1": True, "::1": True, "fe80::1ff:fe23:4567:890a": True, "::ffff:192.0.2.128": True, "1:2:3:4:5:6:7::": True, "a::": True,
+    "1::2::3": False, "::": False, "12:30:45": False, "::ffff:192.0.2.999": False, "std::vector": False, "1:2:3:4:5:6:7:8::": False, ":::1": False,
+    "12345::1": False,
+}
+
+
+@pytest.mark.parametrize("entity, cases", [("PHONE_NUMBER", ABROAD), ("IP_ADDRESS", SHORT)])
+def test_numbers_from_abroad_and_short_addresses(spark, entity, cases):
+    df = spark.createDataFrame([(k, f"at ({k}), and {k}.") for k in cases], "k string, t string")
+    got = {k: [] for k in cases}
+    for r in detect.detect_spans(df, "k", "t", Detection(entities=[entity])).collect():
+        got[r["k"]].append(r["text"])
+    # parts of them may be found too: overlapping spans are all kept
+    assert {k: v.count(k) == 2 for k, v in got.items()} == cases
+
+
+def test_long_runs_cost_linear_time(spark):
+    df = spark.createDataFrame([(1, "a" * 300_000 + " x::y " + "+1" * 100_000 + " " + "1" * 300_000)], "k int, t string")
+    assert detect.detect_spans(df, "k", "t", Detection(entities=["IP_ADDRESS", "PHONE_NUMBER"])).count() == 0
