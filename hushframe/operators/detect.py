@@ -67,6 +67,13 @@ BUILT_IN = (
     Recognizer("CRYPTO", CRYPTO, 1.0, checks.crypto_ok, lambda t: t.rlike("[13][0-9A-Za-z]{11}"), numeric=True),
 )
 
+#: A context word among so many words before a match raises its score by `CONTEXT_BOOST`, to `CONTEXT_LEAST` at least and
+#: 1 at most. Words are runs of letters and digits, compared in lower case; those before the fifth-last match of the same
+#: recognizer do not count.
+CONTEXT_WORDS = 5
+CONTEXT_BOOST = 0.35
+CONTEXT_LEAST = 0.4
+
 _BLOCK = 64
 
 
@@ -131,6 +138,8 @@ def _spans_of(hit: Column, recognizers: Sequence[Recognizer]) -> Column:
         )
 
     spans = F.zip_with(hit["matches"], starts, span)
+    if any(r.context for r in recognizers):
+        spans = _raise_by_context(hit, spans, recognizers)
     by_check: dict[Callable, list[int]] = {}
     for no, r in enumerate(recognizers):
         if r.check is not None:
@@ -147,6 +156,34 @@ def _spans_of(hit: Column, recognizers: Sequence[Recognizer]) -> Column:
     return F.filter(spans, holds)
 
 
+def _raise_by_context(hit: Column, spans: Column, recognizers: Sequence[Recognizer]) -> Column:
+    """Spans with a context word shortly before them get a higher score."""
+    lists = F.array(*[F.array(*[F.lit(w.lower()) for w in r.context]).cast("array<string>") for r in recognizers])
+
+    def nearest(k: Column) -> Column:
+        pieces = F.transform(
+            F.sequence(F.greatest(k - CONTEXT_WORDS + 1, F.lit(0)), k),
+            lambda j: F.concat(F.when(j > 0, F.get(hit["matches"], j - 1)).otherwise(F.lit("")), F.get(hit["gaps"], j)),
+        )
+        words = F.regexp_extract_all(F.lower(F.array_join(pieces, "")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+        return let(words, lambda w: F.slice(w, F.greatest(F.size(w) - CONTEXT_WORDS + 1, F.lit(1)), F.lit(CONTEXT_WORDS)))
+
+    def raised(context: Column) -> Column:
+        return F.transform(
+            spans,
+            lambda s, k: F.when(
+                F.arrays_overlap(nearest(k), context),
+                s.withField("score", F.least(F.lit(1.0), F.greatest(s["score"] + CONTEXT_BOOST, F.lit(CONTEXT_LEAST)))),
+            ).otherwise(s),
+        )
+
+    return let(F.get(lists, hit["no"]), lambda context: F.when(F.size(context) > 0, raised(context)).otherwise(spans))
+
+
+def _best_score(r: Recognizer) -> float:
+    return min(1.0, max(r.score + CONTEXT_BOOST, CONTEXT_LEAST)) if r.context else r.score
+
+
 def active_recognizers(d: Detection) -> list[Recognizer]:
     """Built-in and own recognizers that the settings leave in force."""
     wanted = set(d.entities or DEFAULT_ENTITIES)
@@ -154,7 +191,8 @@ def active_recognizers(d: Detection) -> list[Recognizer]:
     own = [r for r in d.recognizers if not d.entities or r.entity in wanted]
     built_in = [r for r in BUILT_IN if r.entity in wanted]
     limit = d.threshold if d.threshold and d.threshold > 0 else None
-    return [r for r in built_in + own if limit is None or r.score >= limit]
+    spoken = [r for r in built_in + own if not r.language or not d.language or r.language == d.language]
+    return [r for r in spoken if limit is None or _best_score(r) >= limit]
 
 
 def _allowed(span_text: Column, d: Detection) -> Column:
@@ -196,6 +234,8 @@ def span_array(text: Column, d: Detection | None = None) -> Column:
             F.size(hs) > 0, F.flatten(F.transform(hs, lambda h: _spans_of(h, active)))
         ).otherwise(none),
     )
+    if d.threshold and any(r.context and r.score < d.threshold for r in active):
+        found = F.filter(found, lambda x: x["score"] >= d.threshold)
     if d.allow_list:
         found = let(
             found,

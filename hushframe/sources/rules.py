@@ -47,7 +47,9 @@ def recognizers_from_text(inline: str = "", file_text: str = "") -> list[Recogni
     text = inline or file_text
     found = (_parse(text) or {}).get("recognizers", []) if text else []
     return [
-        Recognizer(r["supported_entity"], p["regex"], float(p["score"]))
+        Recognizer(
+            r["supported_entity"], p["regex"], float(p["score"]), context=tuple(r.get("context") or ()), language=r.get("supported_language")
+        )
         for r in found
         for p in r.get("patterns", [])
     ]

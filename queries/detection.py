@@ -10,7 +10,7 @@ from hushframe.operators import detect, metrics
 from hushframe.plans import jobs
 from hushframe.plans.policy import Anonymizer, Detection, PathLabel, Policy, Recognizer
 from hushframe.session import shared_folder
-from hushframe.sources import sinks
+from hushframe.sources import rules, sinks
 from queries.base import Tables, query
 
 # --- the same rules in SQL -------------------------------------------------------------------------
@@ -134,6 +134,29 @@ def own_spans(spark, sf):
     return detect.detect_spans(Tables(spark, sf).documents, "doc_id", "text", Detection(recognizers=[OWN]))
 
 
+_CONTEXT_RULES = """{"recognizers": [
+  {"supported_entity": "LONG_WORD", "supported_language": "en", "patterns": [{"name": "long", "regex": "[a-z]{11,}", "score": 0.3}], "context": ["The", "de", "der"]},
+  {"supported_entity": "PLAIN_WORD", "patterns": [{"name": "plain", "regex": "[A-Z][a-z]{8,}", "score": 0.6}]},
+  {"supported_entity": "WORD_OF_OTHERS", "supported_language": "fr", "patterns": [{"name": "other", "regex": "[a-z]+", "score": 1.0}]}]}"""
+_CONTEXT_SPANS = spans_sql("documents", "doc_id", "text", [("LONG_WORD", "[a-z]{11,}", 0.3, None), ("PLAIN_WORD", "[A-Z][a-z]{8,}", 0.6, None)])
+
+
+@query(
+    "D2_context_words",
+    f"""WITH {_CONTEXT_SPANS}, raised AS (SELECT s.*, list_has_any(regexp_extract_all(lower(d.text[:s.start]), '[\\p{{L}}\\p{{N}}]+')[-5:], ['the', 'de', 'der']) AS near
+      FROM spans s JOIN documents d USING (doc_id)),
+    scored AS (SELECT doc_id, entity_type, start, "end", text, CASE WHEN entity_type = 'LONG_WORD' AND near THEN least(1, greatest(score + 0.35::DOUBLE, 0.4::DOUBLE))
+      ELSE score END AS score FROM raised)
+    SELECT * FROM scored WHERE score >= 0.5""",
+)
+def context_spans(spark, sf):
+    """Recognizers of a rule file: words near a match lift it over the threshold, other languages' rules are off."""
+    d = Detection(
+        entities=["LONG_WORD", "PLAIN_WORD", "WORD_OF_OTHERS"], recognizers=rules.recognizers_from_text(_CONTEXT_RULES), threshold=0.5, language="en"
+    )
+    return detect.detect_spans(Tables(spark, sf).documents, "doc_id", "text", d).drop("span_no")
+
+
 @query(
     "D3_span_filters",
     f"""WITH {spans_sql('documents', 'doc_id', 'text', [r for r in _RULES if r[0] in ('EMAIL_ADDRESS', 'IP_ADDRESS')])}

@@ -1,3 +1,5 @@
+import dataclasses
+
 import pytest
 
 from hushframe.operators import detect
@@ -168,3 +170,25 @@ def test_numbers_from_abroad_and_short_addresses(spark, entity, cases):
 def test_long_runs_cost_linear_time(spark):
     df = spark.createDataFrame([(1, "a" * 300_000 + " x::y " + "+1" * 100_000 + " " + "1" * 300_000)], "k int, t string")
     assert detect.detect_spans(df, "k", "t", Detection(entities=["IP_ADDRESS", "PHONE_NUMBER"])).count() == 0
+
+
+def test_context_words_raise_scores(spark):
+    own = [Recognizer("ACCOUNT", r"AC-[0-9]{4}", 0.3, context=("Account", "konto")), Recognizer("OTHER", r"ZZ[0-9]+", 0.3, language="fr")]
+    texts = {
+        "AC-0001": 0.3,
+        "your account no. AC-0001": 0.65,
+        "KONTO: AC-0001": 0.65,
+        "account a b c d AC-0001": 0.65,
+        "account a b c d e AC-0001": 0.3,  # the sixth word before
+        "AC-0001 account": 0.3,
+        "accounts AC-0001": 0.3,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    d = Detection(entities=["ACCOUNT", "OTHER"], recognizers=own, language="en")
+    assert {r["t"]: round(r["score"], 9) for r in detect.detect_spans(df, "t", "t", d).collect()} == texts
+    sure = {r["t"] for r in detect.detect_spans(df, "t", "t", dataclasses.replace(d, threshold=0.5)).collect()}
+    assert sure == {t for t, s in texts.items() if s > 0.5}
+    many = "konto AC-0001 " + "AC-0001 " * 6
+    got = detect.detect_spans(spark.createDataFrame([(many,)], "t string"), "t", "t", d).orderBy("start").collect()
+    assert [round(r["score"], 2) for r in got] == [0.65, 0.65, 0.65, 0.3, 0.3, 0.3, 0.3]  # each find is two words
+    assert detect.detect_spans(spark.createDataFrame([("ZZ1",)], "t string"), "t", "t", dataclasses.replace(d, language="fr", min_len=1)).count() == 1
