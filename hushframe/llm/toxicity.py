@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import Lexicon, numbered, settled_labels, slices, sums, texts_of, word_hashes
+from hushframe.llm.common import Lexicon, settled_labels, slices, sums, texts_of, word_hashes
 from hushframe.llm.ftrl import SPARSE, fitted, labelled_sample
 
 WIDTH = 1 << 18
@@ -88,9 +89,9 @@ def letter_model(docs: DataFrame, text: str = "text") -> np.ndarray:
         total = np.zeros(BASE**4)
         for batch in batches:
             for some in slices(batch.column(0)):
-                lexicon = Lexicon()
-                ids, _ = numbered([t.split() for t in texts_of(some)], lexicon)
-                total += count_letters(list(lexicon), np.bincount(ids, minlength=len(lexicon)))
+                words = pc.ascii_split_whitespace(pc.fill_null(some, "").cast(pa.large_string())).flatten().dictionary_encode()
+                times = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+                total += count_letters(words.dictionary.cast(pa.large_binary()).to_pylist(), times)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["at", "n"])
 
@@ -216,7 +217,7 @@ def joined(text: bytes) -> list[bytes]:
 KEPT_ITEMS = 400_000
 
 
-def restored(texts: list[bytes], cost: np.ndarray, known: dict[bytes, list[str]] | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+def restored(texts: list[bytes], cost: np.ndarray, known: dict[str, list[str]] | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct restored words; each text's distinct ones as numbers, one text after another, and how many.
 
     `known` keeps what was read before.
@@ -224,13 +225,28 @@ def restored(texts: list[bytes], cost: np.ndarray, known: dict[bytes, list[str]]
     known = {} if known is None else known
     if len(known) > KEPT_ITEMS:
         known.clear()
-    chunks, cores = Lexicon(), Lexicon()
-    ids, sizes = numbered([joined(t) for t in texts], chunks)
-    number, length = [], []
+    # items with characters apart keep together by a sign that is no white space
+    apart: dict[bytes, None] = {}
+    lines = []
+    for text in texts:
+        if APART.search(text) is not None:
+            items = joined(text)
+            apart |= {x.replace(b" ", b"\0"): None for x in items if b" " in x}
+            text = b"\n".join(items).replace(b" ", b"\0")
+        lines.append(text)
+    spaced = {x.decode(): None for x in apart}
+    lists = pc.ascii_split_whitespace(pa.array(lines, pa.large_binary()).cast(pa.large_string()))
+    coded = lists.flatten().dictionary_encode()
+    ids, of = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    chunks = coded.dictionary.to_pylist()
+    if "" in chunks:
+        some = ids != chunks.index("")
+        ids, of = ids[some], of[some]
+    cores, number, length = Lexicon(), [], []
     for chunk in chunks:
         made = known.get(chunk)
         if made is None:
-            core = core_of(chunk.decode("utf-8", "replace")).strip()
+            core = core_of(chunk.replace("\0", " ") if chunk in spaced else chunk).strip()
             read = decode(core, cost) if disguised(core) else core
             made = known[chunk] = read.split() if " " in core else [read]
         number += [cores[x] for x in made]
@@ -240,7 +256,7 @@ def restored(texts: list[bytes], cost: np.ndarray, known: dict[bytes, list[str]]
     count = length[ids]
     at = np.repeat((np.cumsum(length) - length)[ids] - (np.cumsum(count) - count), count) + np.arange(count.sum())
     words = flat[at]
-    doc = np.repeat(np.repeat(np.arange(len(texts)), sizes), count)
+    doc = np.repeat(of, count)
     pairs = np.unique(doc * max(1, len(cores)) + words)
     return list(cores), pairs % max(1, len(cores)), np.bincount(pairs // max(1, len(cores)), minlength=len(texts))
 

@@ -232,3 +232,30 @@ def test_columns(spark, run):
         "op13_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
     }
     assert ", ".join(f"{n} {t}" for n, t in run(spark, FOLDER).dtypes) == want[run.__name__]
+
+
+# 8
+
+
+def test_long_runs_are_decoded_in_linear_time():
+    from hushframe.llm import toxicity
+
+    cost = np.random.default_rng(0).random(toxicity.BASE**4).astype(np.float32)
+    assert toxicity.decode("a" * 200_000 + "b", cost) in ("ab", "aab")
+    assert toxicity.run_lengths("aabccc") == [2, 1, 1, 3, 2, 1] and toxicity.run_lengths("") == []
+
+
+def test_readings_do_not_depend_on_what_a_worker_knows():
+    from hushframe.llm import toxicity
+
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("aAsStuiIdD$@!0145.-é☃\0") for _ in range(rng.choice([1, 1, 1, 2, 4, 9]))) for _ in range(rng.randrange(30))).encode() for _ in range(300)]
+    cost = np.random.default_rng(0).random(toxicity.BASE**4).astype(np.float32)
+    known: dict = {}
+
+    def words(part, kept):
+        names, ids, sizes = toxicity.restored(part, cost, kept)
+        return [sorted(names[i] for i in x) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+    whole = words(texts, known)
+    assert whole == words(texts, known) == [w for t in texts for w in words([t], {})]
