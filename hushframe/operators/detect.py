@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hushframe.functions import checks
 from hushframe.functions.text import eligible, let
 from hushframe.operators.columns import replace_columns
+from hushframe.operators.rule_sets import matches_any, rule_spans
 from hushframe.plans.policy import (
     DEFAULT_ENTITIES,
     Anonymizer,
@@ -320,21 +321,44 @@ def detect_spans(
     text_col: str,
     detection: Detection | None = None,
     allow_list: DataFrame | None = None,
+    recognizers: DataFrame | None = None,
+    allow_patterns: DataFrame | None = None,
 ) -> DataFrame:
     """One row per span: id, span_no, entity_type, start, end, score, text.
 
-    `allow_list` is a table with a column `text`, for lists too long to write into a plan.
+    `allow_list` is a table with a column `text`, for lists too long to write into a plan; `allow_patterns` the same for
+    patterns. `recognizers` is a table of further ones (entity, regex, score), see `rule_sets`.
     """
-    found = df.select(id_col, span_array(F.col(text_col), detection).alias("_spans"))
+    if recognizers is None:
+        found = df.select(id_col, span_array(F.col(text_col), detection).alias("_spans"))
+    else:
+        found = df.select(id_col, spans_with_rules(F.col(text_col), recognizers, detection).alias("_spans"))
     # the outer form: see inline_rows
     each = found.select(id_col, F.posexplode_outer("_spans").alias("span_no", "_s"))
     out = each.filter(F.col("span_no").isNotNull()).select(id_col, "span_no", "_s.*")
     if allow_list is not None:
         entries = allow_list.select("text").distinct()
         out = out.join(entries, "text", "left_anti")
+    if allow_patterns is not None:
+        out = out.filter(~matches_any(allow_patterns, F.col("text")))
     return out.select(id_col, "span_no", "entity_type", "start", "end", "score", "text")
 
 
+def spans_with_rules(text: Column, recognizers: DataFrame, detection: Detection | None = None) -> Column:
+    """The spans of the patterns in force and of a table of recognizers, in their common order."""
+    d = detection or Detection()
+    own = filter_spans(rule_spans(recognizers, text, d.min_len), d)
+    return _order_spans(F.array_distinct(F.concat(span_array(text, d), own)))
+
+
+def mask_by_rules(df: DataFrame, text_cols: Sequence[str], recognizers: DataFrame, detection: Detection | None = None) -> DataFrame:
+    """Mask text columns by the patterns in force and by a table of recognizers."""
+    d = detection or Detection()
+    staged = df.withColumns({f"_spans_{i}": spans_with_rules(F.col(f"`{c}`"), recognizers, d) for i, c in enumerate(text_cols)})
+    masked = {c: splice(F.col(f"`{c}`"), F.col(f"_spans_{i}"), d.anonymizers) for i, c in enumerate(text_cols)}
+    return replace_columns(staged, masked).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def anonymize(
     df: DataFrame,
     id_col: str,

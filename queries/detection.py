@@ -157,6 +157,44 @@ def context_spans(spark, sf):
     return detect.detect_spans(Tables(spark, sf).documents, "doc_id", "text", d).drop("span_no")
 
 
+# One rule per word of the benchmark's items, as a person might list product names: the word and what it begins.
+_RULE_TABLE = r"""rules AS (SELECT DISTINCT 'TERM' || (length(w) % 3) AS entity, CASE length(w) % 2 WHEN 0 THEN w ELSE w || '[a-z]*' END AS regex
+  FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{9,}')) AS w FROM benchmark))"""
+
+
+def _rule_table(spark, sf):
+    words = Tables(spark, sf).benchmark.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{9,}"), F.lit(0))).alias("w")).distinct()
+    regex = F.when(F.length("w") % 2 == 0, F.col("w")).otherwise(F.concat("w", F.lit("[a-z]*")))
+    return words.select(F.concat(F.lit("TERM"), (F.length("w") % 3).cast("string")).alias("entity"), regex.alias("regex"), F.lit(0.5).alias("score"))
+
+
+@query(
+    "D2_rules_as_data",
+    f"""WITH {_RULE_TABLE}, {DOC_SPANS}, found_terms AS (SELECT doc_id, entity, unnest(regexp_extract_all(text, regex)) AS t FROM documents, rules
+      WHERE contains(text, replace(regex, '[a-z]*', '')))
+    SELECT doc_id, entity AS entity_type, t AS text, count(*) AS n FROM found_terms GROUP BY ALL
+    UNION ALL SELECT doc_id, entity_type, text, count(*) FROM spans GROUP BY ALL""",
+)
+def rules_as_data(spark, sf):
+    """A table of recognizers beside the patterns of the plan. Two rules may find the same place: it counts once."""
+    found = detect.detect_spans(Tables(spark, sf).documents, "doc_id", "text", recognizers=_rule_table(spark, sf))
+    return found.groupBy("doc_id", "entity_type", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "D4_patterns_as_data",
+    f"""WITH {DOC_SPANS}, allowed AS (SELECT DISTINCT '^' || split_part(text, '@', 1) || '@' AS p FROM spans WHERE entity_type = 'EMAIL_ADDRESS' AND doc_id % 2 = 0)
+    SELECT doc_id, entity_type, start, text FROM spans WHERE NOT EXISTS (SELECT 1 FROM allowed WHERE starts_with(spans.text, p[2:]))""",
+)
+def patterns_as_data(spark, sf):
+    """Finds that a table of patterns allows: here all addresses of mailboxes named in even documents."""
+    docs = Tables(spark, sf).documents
+    mails = detect.detect_spans(docs, "doc_id", "text").filter("entity_type = 'EMAIL_ADDRESS' AND doc_id % 2 = 0")
+    box = F.regexp_replace(F.substring_index("text", "@", 1), r"([.+])", r"\\$1")
+    patterns = mails.select(F.concat(F.lit("^"), box, F.lit("@")).alias("text")).distinct()
+    return detect.detect_spans(docs, "doc_id", "text", allow_patterns=patterns).select("doc_id", "entity_type", "start", "text")
+
+
 @query(
     "D3_span_filters",
     f"""WITH {spans_sql('documents', 'doc_id', 'text', [r for r in _RULES if r[0] in ('EMAIL_ADDRESS', 'IP_ADDRESS')])}
