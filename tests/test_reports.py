@@ -1,5 +1,6 @@
 import dataclasses
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -277,3 +278,17 @@ def test_report_of_the_masking_pass(spark, document_policy, shout, tmp_path):
     counted = metrics.mask_documents_counted(df, ["doc"], document_policy)
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan") == 1 and plan.count("Exchange") == 1  # the repartition above
+
+
+@pytest.mark.parametrize("p", [0.0, 0.5, 0.99, 1.0])
+def test_percentiles_by_counted_values(spark, p):
+    rng = random.Random(3)
+    inf = float("inf")
+    groups = {"many": [rng.gauss(0, 100) for _ in range(3000)], "same": [7.0] * 50, "one": [-3.5], "two": [1.0, 2.0], "far": [-inf, 1e-300, 1e300, inf], "nan": [1.0, 2.0, float("nan")], "none": [None, None]}
+    groups[None] = [float(rng.randrange(20)) for _ in range(500)] + [None]
+    rows = [(k, v) for k, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(4)
+    got = {r["k"]: r["v"] for r in ser.grouped_percentile(df, ["k"], "x", p).collect()}
+    want = {r["k"]: r["v"] for r in df.groupBy("k").agg(F.percentile("x", F.lit(p)).alias("v")).collect() if r["v"] is not None}
+    assert {k: repr(v) for k, v in got.items()} == {k: repr(v) for k, v in want.items()}
+    assert ser.grouped_percentile(df.limit(0), ["k"], "x", p).count() == 0
