@@ -76,6 +76,7 @@ CONTEXT_BOOST = 0.35
 CONTEXT_LEAST = 0.4
 
 _BLOCK = 64
+_PIECES = 32
 
 
 def _offsets(lengths: Column) -> Column:
@@ -249,7 +250,6 @@ def span_array(text: Column, d: Detection | None = None) -> Column:
 
 def resolve_overlaps(spans: Column) -> Column:
     """Walk ordered spans and keep one only if it starts at or after the end of the last kept."""
-    start = F.struct(F.lit(0).alias("end"), F.array().cast(SPANS).alias("kept"))
 
     def step(acc: Column, s: Column) -> Column:
         free = s["start"] >= acc["end"]
@@ -258,9 +258,23 @@ def resolve_overlaps(spans: Column) -> Column:
             F.when(free, F.concat(acc["kept"], F.array(s))).otherwise(acc["kept"]).alias("kept"),
         )
 
-    return F.when(F.size(spans) < 2, spans).otherwise(
-        F.aggregate(spans, start, step, lambda acc: acc["kept"])
+    def walk(part: Column, end: Column) -> Column:
+        return F.aggregate(part, F.struct(end.alias("end"), F.array().cast(SPANS).alias("kept")), step)
+
+    def join(acc: Column, b: Column) -> Column:
+        # arrays only grow inside a block; blocks are put side by side
+        def joined(new: Column) -> Column:
+            return F.struct(new["end"].alias("end"), F.concat(acc["kept"], F.array(new["kept"])).alias("kept"))
+
+        return let(walk(F.slice(spans, b * _BLOCK + 1, F.lit(_BLOCK)), acc["end"]), joined)
+
+    first = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{SPANS}>").alias("kept"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / _BLOCK).cast("int"))
+    free = F.forall(
+        F.transform(spans, lambda s, i: (i == 0) | (s["start"] >= F.get(spans, i - 1)["end"])),
+        lambda x: x,
     )
+    return F.when((F.size(spans) < 2) | free, spans).otherwise(F.aggregate(blocks, first, join, lambda acc: F.flatten(acc["kept"])))
 
 
 def rewrite(value: Column, how: Anonymizer) -> Column:
@@ -293,18 +307,29 @@ def splice(text: Column, spans: Column, anonymizers: Mapping[str, Anonymizer] |
     rules = anonymizers or {}
 
     def build(kept: Column) -> Column:
-        pieces = F.transform(
-            kept,
-            lambda s, i: F.concat(
-                let(
-                    F.when(i == 0, 0).otherwise(F.get(kept, i - 1)["end"]),
-                    lambda at: F.substr(text, at + 1, s["start"] - at),
+        # cutting from a text costs its length: blocks of spans are cut from the text, spans from their block
+        def block(b: Column) -> Column:
+            part = F.slice(kept, b * _PIECES + 1, F.lit(_PIECES))
+            at = F.when(b == 0, 0).otherwise(F.get(kept, b * _PIECES - 1)["end"])
+            cut = F.struct(part.alias("part"), at.alias("at"))
+            return let(
+                cut,
+                lambda c: let(
+                    F.struct(F.substr(text, c["at"] + 1, F.element_at(c["part"], -1)["end"] - c["at"]).alias("text"), c["part"].alias("part"), c["at"].alias("at")),
+                    pieces,
                 ),
-                _replacement(s, rules),
-            ),
-        )
+            )
+
+        def pieces(c: Column) -> Column:
+            def piece(s: Column, i: Column) -> Column:
+                before = F.when(i == 0, c["at"]).otherwise(F.get(c["part"], i - 1)["end"])
+                return F.concat(let(before, lambda at: F.substr(c["text"], at - c["at"] + 1, s["start"] - at)), _replacement(s, rules))
+
+            return F.array_join(F.transform(c["part"], piece), "")
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(kept) - 1) / _PIECES).cast("int"))
         rest = F.substr(text, F.element_at(kept, -1)["end"] + 1)
-        return F.concat(F.array_join(pieces, ""), rest)
+        return F.concat(F.array_join(F.transform(blocks, block), ""), rest)
 
     return F.when(F.size(spans) > 0, let(resolve_overlaps(spans), build)).otherwise(text)
 

@@ -1,6 +1,7 @@
 import dataclasses
 
 import pytest
+from pyspark.sql import functions as F
 
 from hushframe.operators import detect
 from hushframe.plans.policy import Anonymizer, Detection, Recognizer
@@ -192,3 +193,14 @@ def test_context_words_raise_scores(spark):
     got = detect.detect_spans(spark.createDataFrame([(many,)], "t string"), "t", "t", d).orderBy("start").collect()
     assert [round(r["score"], 2) for r in got] == [0.65, 0.65, 0.65, 0.3, 0.3, 0.3, 0.3]  # each find is two words
     assert detect.detect_spans(spark.createDataFrame([("ZZ1",)], "t string"), "t", "t", dataclasses.replace(d, language="fr", min_len=1)).count() == 1
+
+
+def test_many_spans_in_one_text(spark):
+    """Masking costs about the length of a text, however many spans it has and whether they overlap."""
+    own = [Recognizer("A", "x[0-9]", 0.9), Recognizer("B", "[0-9]y", 0.8), Recognizer("C", "x[0-9]y", 0.7)]
+    d = Detection(entities=["A", "B", "C"], recognizers=own, anonymizers={"A": Anonymizer(new_value="<a>"), "C": Anonymizer(new_value="<c>")})
+    lengths = (0, 1, 31, 32, 33, 63, 64, 65, 200, 3000)
+    rows = [(n, " ".join(("x1y é", "x2", "-3y")[i % 3] for i in range(n)) + " end") for n in lengths]
+    got = {r["n"]: r["t"] for r in spark.createDataFrame(rows, "n int, t string").select("n", detect.mask_text(F.col("t"), d).alias("t")).collect()}
+    # the longer of two that begin together, then whatever begins behind it
+    assert got == {n: " ".join(("<c> é", "<a>", "-[redacted]")[i % 3] for i in range(n)) + " end" for n in lengths}
