@@ -22,8 +22,9 @@ BLOCKS = "part long, block long, at long, doc_ids array<long>, queues array<stri
 
 #: A word of letters whose small forms and compositions are plain, with the punctuation behind it.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-#: Distinct parts that a worker keeps the ids of.
-KEPT_PARTS = 1_500_000
+#: Distinct parts and distinct whole runs that a worker keeps the ids of.
+KEPT_PARTS = 1_000_000
+KEPT_RUNS = 400_000
 
 
 def chunk_encoder(spec: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
@@ -38,6 +39,7 @@ def chunk_encoder(spec: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarra
 
     tokenizer = Tokenizer.from_str(spec)
     known: dict[str, bytes] = {"": b""}
+    runs: dict[str, bytes] = {}
 
     suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
     ends = np.zeros(tokenizer.get_vocab_size(), bool)
@@ -63,16 +65,21 @@ def chunk_encoder(spec: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarra
         if len(known) > KEPT_PARTS:  # the memory of a worker stays bounded
             known.clear()
             known[""] = b""
+        if len(runs) > KEPT_RUNS:
+            runs.clear()
         texts = pc.fill_null(column, "").cast(pa.large_string())
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         chunks = coded.dictionary.to_pylist()
-        parts = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(c)) else (c, "") for c in chunks]
+        each = list(map(runs.get, chunks))
+        unseen = [i for i, x in enumerate(each) if x is None]
+        parts = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(chunks[i])) else (chunks[i], "") for i in unseen]
         new = {x for both in parts for x in both if x not in known}
         words = [x for x in new if (m := PLAIN.fullmatch(x)) and not m[2]]
         learn_words(words)
         learn(list(new.difference(words)))
-        each = [known[w] + known[p] for w, p in parts]
+        for i, (w, p) in zip(unseen, parts):
+            each[i] = runs[chunks[i]] = known[w] + known[p]
         store = np.frombuffer(b"".join(each), np.uint32)
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         words = coded.indices.to_numpy()
