@@ -227,33 +227,35 @@ def similar_classes(docs: DataFrame, doc_id: str, text: str, threshold: float, t
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
-    """Per row: doc_id, n_links (other rows linked to it), component_id (least id of its component), kept, fp.
+    """Per row: doc_id, n_links (other rows linked to it), component_id (least id of its component), kept, fp, root.
 
     Links are between rows with a similarity of `threshold` or more, copies included. `kept` holds for the rows
-    whose id names their component. `fp` tells texts of the same words, null without words.
+    whose id names their component. `fp` tells texts of the same words, `root` components; null without words.
     """
     rows, classes, found = similar_classes(docs, doc_id, text, threshold, trees, recall)
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("fp").alias("a"), F.col("root").alias("b")))
     parts = parts.join(classes.select(F.col("fp").alias("node"), "least"), "node")
     names = parts.groupBy("component").agg(F.min("least").alias("name"))
-    named = parts.join(names, "component").select(F.col("node").alias("fp"), "name")
+    named = parts.join(names, "component").select(F.col("node").alias("fp"), "name", F.col("component").alias("root"))
     by_class = classes.select("fp", "copies", "least").join(links, "fp", "left").join(named, "fp", "left")
     by_class = by_class.select(
-        "fp", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("name", "least").alias("component_id")
+        "fp", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("name", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")
     )
-    out = rows.where("fp is not null").select("doc_id", "fp").join(by_class, "fp").select("doc_id", "n_links", "component_id", "fp")
-    out = out.union(rows.where("fp is null").select("doc_id", F.lit(0).cast("long"), "doc_id", "fp"))
-    return out.select("doc_id", "n_links", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "fp")
+    out = rows.where("fp is not null").select("doc_id", "fp").join(by_class, "fp").select("doc_id", "n_links", "component_id", "fp", "root")
+    out = out.union(rows.where("fp is null").select("doc_id", F.lit(0).cast("long"), "doc_id", "fp", "fp"))
+    return out.select("doc_id", "n_links", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "fp", "root")
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each component, with the columns it came with; texts without words all stay.
 
-    Rows without an id stay only in components without any id, one for each of their texts.
+    It is a row of the least id (a row without an id only where no row has one), of its texts the one with the least
+    fingerprint, and of equal rows any.
     """
     kept = near_duplicates(docs, doc_id, text, **options).where("kept and fp is not null")
-    kept = kept.groupBy(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).agg(F.count("*").alias("_n"))
+    kept = kept.groupBy("root", F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).agg(F.count("*").alias("_n"))
+    kept = kept.groupBy("root").agg(F.min(F.struct("_fp", "_id", "_n")).alias("_k")).select("_k.*")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     named = docs.select(F.struct(*columns).alias("_row"), F.col(doc_id).cast("long").alias("_of"), _signed(1, 1)(F.col(text)).alias("_s"))
     named = written(named.select("_row", "_of", F.col("_s.fp").alias("_print")), "neardup")

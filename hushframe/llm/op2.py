@@ -8,4 +8,4 @@ from hushframe.llm.registry import query, table
 
 @query("op2_jaccard_join")
 def op2_jaccard_join(spark, folder):
-    return near_duplicates(table(spark, folder, "documents").select("doc_id", "text")).drop("fp")
+    return near_duplicates(table(spark, folder, "documents").select("doc_id", "text")).drop("fp", "root")

@@ -29,7 +29,6 @@ WIDTH = 1 << 18
 SAMPLE = 6000
 SCALE = 10.0
 THRESHOLD = 0.3
-KINDS = (("[A-ZÀ-ÖØ-Þ]{2,}", "AA"), ("[a-zß-öø-ÿ]{2,}", "aa"), ("[0-9]{2,}", "99"))
 OPTIONS = {"alpha": 0.3, "beta": 1.0, "l1": 0.05, "l2": 0.1, "epochs": 4}
 
 

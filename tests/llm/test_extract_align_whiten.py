@@ -259,3 +259,19 @@ def test_readings_do_not_depend_on_what_a_worker_knows():
 
     whole = words(texts, known)
     assert whole == words(texts, known) == [w for t in texts for w in words([t], {})]
+
+
+# 2
+
+
+def test_one_row_of_each_component_stays(spark):
+    from hushframe.llm.neardup import representatives
+
+    base = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*base[:30], f"changed{k}", *base[31:]])
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(None, near(1)), (None, near(2)), (None, near(3)), (2, other), (2, other + " tail"), (2, other + " tail"), (5, "x y z"), (5, "a b c"), (7, ""), (7, None), (8, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("root", F.lit("x"))
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in representatives(df).collect())
+    assert [g for g in got if g[0] not in ("None", "2")] == [("5", "a b c"), ("5", "x y z"), ("7", ""), ("7", "None")]
+    assert sum(g[0] == "None" for g in got) == 1 and sum(g[0] == "2" for g in got) == 1
