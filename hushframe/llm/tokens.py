@@ -73,11 +73,21 @@ def chunk_encoder(spec: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarra
         chunks = coded.dictionary.to_pylist()
         each = list(map(runs.get, chunks))
         unseen = [i for i, x in enumerate(each) if x is None]
-        parts = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(chunks[i])) else (chunks[i], "") for i in unseen]
-        new = {x for both in parts for x in both if x not in known}
-        words = [x for x in new if (m := PLAIN.fullmatch(x)) and not m[2]]
-        learn_words(words)
-        learn(list(new.difference(words)))
+        parts, words, others = [], set(), set()
+        for i in unseen:
+            if m := PLAIN.fullmatch(chunks[i]):
+                word, signs = m[1].lower(), m[2]
+                if word not in known:
+                    words.add(word)
+                if signs not in known:
+                    others.add(signs)
+                parts.append((word, signs))
+            else:
+                if chunks[i] not in known:
+                    others.add(chunks[i])
+                parts.append((chunks[i], ""))
+        learn_words(list(words))
+        learn(list(others))
         for i, (w, p) in zip(unseen, parts):
             each[i] = runs[chunks[i]] = known[w] + known[p]
         store = np.frombuffer(b"".join(each), np.uint32)
