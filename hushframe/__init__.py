@@ -4,6 +4,7 @@ from hushframe.plans.policy import Detection, OverlayRule, PathLabel, Policy
 from hushframe.plans.jobs import (
     mask_documents,
     mask_table,
+    mask_and_report,
     masking_report,
     propose_from_values,
     propose_labels,
@@ -16,6 +17,7 @@ __all__ = [
     "Policy",
     "mask_documents",
     "mask_table",
+    "mask_and_report",
     "masking_report",
     "propose_from_values",
     "propose_labels",

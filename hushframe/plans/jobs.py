@@ -86,7 +86,7 @@ def mask_and_report(
 def coverage_report(fields: DataFrame, policies: Mapping[str, Policy]) -> DataFrame:
     """Which layers have a rule for each field: object_id, field_path, covered_by ('none' when none).
 
-    `fields` comes from field_inventory, whose nested paths are texts. Content detection covers the fields named in
+    `fields` comes from field_inventory, whose nested paths are texts. A rule of any role covers its field. Content detection covers the fields named in
     the policy's object; typed columns are left to labels.
     """
     key = F.lower(F.regexp_replace(F.substring_index("field_path", ".", -1), r"\[\]$", ""))
@@ -95,7 +95,8 @@ def coverage_report(fields: DataFrame, policies: Mapping[str, Policy]) -> DataFr
         layers = []
         if policy.detection is not None:
             layers.append(F.lit("detection"))
-        overlay = list(cols.overlay_rules(policy.overlay))
+        by_role = policy.role_rules.values() if policy.role_col else ()
+        overlay = sorted({name for rules in (policy.overlay, *by_role) for name in cols.overlay_rules(rules)})
         if overlay:
             layers.append(F.when(key.isin(*overlay), F.lit("overlay")))
         labelled = list(cols.resolve_labels(policy.labels, object_id))

@@ -292,3 +292,11 @@ def test_percentiles_by_counted_values(spark, p):
     want = {r["k"]: r["v"] for r in df.groupBy("k").agg(F.percentile("x", F.lit(p)).alias("v")).collect() if r["v"] is not None}
     assert {k: repr(v) for k, v in got.items()} == {k: repr(v) for k, v in want.items()}
     assert ser.grouped_percentile(df.limit(0), ["k"], "x", p).count() == 0
+
+
+def test_rules_of_roles_cover_their_fields(spark):
+    fields = spark.createDataFrame([(OBJ, "note"), (OBJ, "mail"), (OBJ, "other")], "object_id string, field_path string")
+    policy = Policy(overlay={"mail": "[m]"}, role_col="role", role_rules={"admin": {"Note": "[n]"}})
+    covered = lambda p: {r["field_path"]: r["covered_by"] for r in jobs.coverage_report(fields, {OBJ: p}).collect()}
+    assert covered(policy) == {"note": "overlay", "mail": "overlay", "other": "none"}
+    assert covered(dataclasses.replace(policy, role_col=None)) == {"note": "none", "mail": "overlay", "other": "none"}
