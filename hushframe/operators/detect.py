@@ -128,7 +128,8 @@ def _spans_of(hit: Column, recognizers: Sequence[Recognizer]) -> Column:
         lambda m, k: F.char_length(F.get(hit["gaps"], k))
         + F.when(k > 0, F.char_length(F.get(hit["matches"], k - 1))).otherwise(0),
     )
-    starts = let(steps, lambda s: F.zip_with(_offsets(s), s, lambda a, b: a + b))
+    many = let(steps, lambda s: F.zip_with(_offsets(s), s, lambda a, b: a + b))
+    starts = F.when(F.size(hit["matches"]) == 1, F.array(F.char_length(F.get(hit["gaps"], F.lit(0))))).otherwise(many)
 
     def span(m: Column, at: Column) -> Column:
         return F.struct(
@@ -331,7 +332,11 @@ def splice(text: Column, spans: Column, anonymizers: Mapping[str, Anonymizer] |
         rest = F.substr(text, F.element_at(kept, -1)["end"] + 1)
         return F.concat(F.array_join(F.transform(blocks, block), ""), rest)
 
-    return F.when(F.size(spans) > 0, let(resolve_overlaps(spans), build)).otherwise(text)
+    def one(s: Column) -> Column:
+        return F.concat(F.substr(text, F.lit(1), s["start"]), _replacement(s, rules), F.substr(text, s["end"] + 1))
+
+    many = F.when(F.size(spans) > 1, let(resolve_overlaps(spans), build)).otherwise(text)
+    return F.when(F.size(spans) == 1, let(F.get(spans, F.lit(0)), one)).otherwise(many)
 
 
 def mask_text(text: Column, d: Detection | None = None) -> Column:

@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushframe.functions.text import inline_rows, let, partial_mask
+from hushframe.functions.text import inline_rows, let, lowered, partial_mask
 from hushframe.operators import columns as cols
 from hushframe.operators.detect import FOUND, found_texts, mask_text, masked_texts
 from hushframe.operators.json_docs import MAX_DEPTH, SECRET, filled, rebuilt, secrets_hidden, walked
-from hushframe.operators.outcomes import no_outcomes, of_detection, of_label
+from hushframe.operators.outcomes import FIELD_RULE, RECOGNIZER, looked_at, no_outcomes, of_detection, outcome
 from hushframe.plans.policy import (
     REDACTED,
     ColumnPolicy,
@@ -163,14 +163,13 @@ def doc_walk(df: DataFrame, id_col: str, doc_col: str, max_depth: int = MAX_DEPT
     """
     kind = df.schema[doc_col].dataType
     if isinstance(kind, (T.StringType, T.VariantType)):
-        df = df.select(id_col, walked(_text_of(df, doc_col), max_depth, scalars=True).alias("_walked"))
+        df = df.select(id_col, walked(_text_of(df, doc_col), max_depth, scalars=True, plain=True).alias("_walked"))
         if strict:
             df = df.filter(_raise_unread(F.col("_walked.state")))
-        leaves = _plain_leaves(F.col("_walked"))
-    else:
-        leaves = _typed_leaves(F.col(doc_col), kind, F.lit(""))
-        leaves = _no_leaves() if leaves is None else leaves
-    return inline_rows(df, [id_col], leaves, "is_key")
+        rows = inline_rows(df, [id_col], F.col("_walked.leaves"), "kind")
+        return rows.select(id_col, "path", "key", "value", (F.col("kind") == "key").alias("is_key"))
+    leaves = _typed_leaves(F.col(doc_col), kind, F.lit(""))
+    return inline_rows(df, [id_col], _no_leaves() if leaves is None else leaves, "is_key")
 
 
 # --- masking -------------------------------------------------------------------------------------
@@ -234,7 +233,7 @@ class _LeafRules:
             out = F.when(F.lit(False), value)
             for name, rule in rules.items():
                 token = F.when(value.isNotNull(), F.lit(rule.token))
-                out = out.when(F.lower(key) == name, cols.overlay_value(value, rule) if partial else token)
+                out = out.when(lowered(key) == name, cols.overlay_value(value, rule) if partial else token)
             return out.otherwise(value)
 
         if not self.roles:
@@ -261,7 +260,7 @@ class _LeafRules:
         exact = F.try_element_at(F.create_map(*by_path), path)
         if not by_key:
             return exact
-        return F.coalesce(exact, F.try_element_at(F.create_map(*by_key), F.lower(F.trim(key))))
+        return F.coalesce(exact, F.try_element_at(F.create_map(*by_key), lowered(F.trim(key))))
 
     def _by_label(self, value: Column, path: Column, key: Column) -> Column:
         return let(
@@ -283,21 +282,39 @@ class _LeafRules:
                 out = self._by_label(out, path, key)
         return out
 
-    def counts(self, leaf: Column) -> Column:
-        """Outcomes of masking a leaf (path, key, value, kind), by the layers in their order."""
-        value, path, key, text = leaf["value"], leaf["path"], leaf["key"], leaf["kind"] == "string"
-        out, parts = value, []
+    def counts(self, leaves: Column) -> Column:
+        """Outcomes of masking leaves (path, key, value, kind), by the layers in their order; those that only looked are
+        one outcome with their number. No layer makes a value null or a null a value."""
+        parts, done = [], []
+
+        def before(leaf: Column) -> Column:
+            out, text = leaf["value"], leaf["kind"] == "string"
+            for layer in done:
+                new = self._detect(out) if layer == "detection" else self._by_overlay(out, leaf["key"])
+                out = F.when(text, new).otherwise(out)
+            return out
+
+        def found(leaf: Column) -> Column:
+            return F.try_element_at(self.detected, leaf["value"])
+
+        def spans(leaf: Column) -> Column:
+            return F.transform(found(leaf)["spans"], lambda s: outcome(s["entity_type"], RECOGNIZER, 0, 1, s["size"]))
+
+        def hit(leaf: Column, out: Column) -> Column:
+            category = self._in_force(leaf["path"], leaf["key"], lambda l: l.category)
+            return outcome(category, FIELD_RULE, 0, 1, F.octet_length(out.cast("string")))
+
         for layer in self.policy.order:
             if layer == "detection" and self.detected is not None:
-                found = F.try_element_at(self.detected, value)
-                parts.append(F.when(text & found.isNotNull(), of_detection(found)).otherwise(no_outcomes()))
-                out = F.when(text, self._detect(out)).otherwise(out)
+                looked = F.filter(leaves, lambda x: (x["kind"] == "string") & F.coalesce(found(x)["looked"], F.lit(False)))
+                parts.append(let(looked, lambda l: F.concat(looked_at(RECOGNIZER, F.size(l)), F.flatten(F.transform(l, spans)))))
+                done.append(layer)
             elif layer == "overlay" and (self.overlay or self.roles):
-                out = F.when(text, self._by_overlay(out, key)).otherwise(out)
+                done.append(layer)
             elif layer == "labels" and self.policy.object_id:
-                profile = self._profile(path, key)
-                acts = profile.isNotNull() & (profile != "do_not_mask")
-                parts.append(of_label(out, acts, self._in_force(path, key, lambda l: l.category)))
+                acts = lambda x: x["value"].isNotNull() & (F.coalesce(self._profile(x["path"], x["key"]), F.lit("do_not_mask")) != "do_not_mask")
+                hits = F.transform(F.filter(leaves, acts), lambda x: hit(x, before(x)))
+                parts.append(F.concat(looked_at(FIELD_RULE, F.size(F.filter(leaves, lambda x: x["value"].isNotNull()))), hits))
         return F.concat(*parts) if parts else no_outcomes()
 
     def typed(self, value: Column, path: Column, key: Column, zero: Column) -> Column:
@@ -488,73 +505,65 @@ def _all_leaves(node: Column, kind: T.DataType, path: Column, at: str = "") -> C
     return F.when(node.isNull(), none).otherwise(F.array(leaf)).cast(shape)
 
 
-def _found(texts: Column, policy: Policy) -> Column:
-    """A map from distinct texts to what `found_texts` says of them."""
+def _with_found(df: DataFrame, texts: Column, policy: Policy) -> DataFrame:
+    """Adds `_found`, a map from distinct texts to what `found_texts` says of them, if content is detected."""
     if not _detects(policy):
-        return F.create_map().cast(f"map<string,{FOUND}>")
-    distinct = F.array_distinct(F.filter(texts, lambda x: x.isNotNull()))
-    if policy.detection.detector is not None:
-        return F.map_from_arrays(distinct, found_texts(distinct, policy.detection))
-    return let(distinct, lambda d: F.map_from_arrays(d, found_texts(d, policy.detection)))
+        return df
+    df = df.withColumn("_texts", F.array_distinct(F.filter(texts, lambda x: x.isNotNull())))
+    return df.withColumn("_found", F.map_from_arrays("_texts", found_texts(F.col("_texts"), policy.detection)))
 
 
 def doc_mask_counted(
-    df: DataFrame, doc_col: str, policy: Policy, into: str, max_depth: int = MAX_DEPTH, strict: bool | None = None
+    df: DataFrame, doc_col: str, policy: Policy, into: str, max_depth: int = MAX_DEPTH, strict: bool | None = None, only_counts: bool = False
 ) -> DataFrame:
     """`doc_mask`, with what masking the leaves looked at and masked appended to the array `into`.
 
     Texts and counts come from one list of leaves and one scan of its distinct texts. Text that is no document counts
-    as one value without a path: content detection sees it, labels do not.
+    as one value without a path: content detection sees it, labels do not. With `only_counts` documents stay as they
+    are, unless strict masking may stop the job.
     """
     kind, col = df.schema[doc_col].dataType, F.col(doc_col)
     if strict is None:
         strict = policy.detection is not None and policy.detection.strict
+    detects = _detects(policy)
+    rules = _LeafRules(policy, F.col("_found") if detects else None, counted=True)
+    # What several expressions read is a column of its own: only columns are computed once and by compiled code.
     if not isinstance(kind, (T.StringType, T.VariantType)):
         leaves = _all_leaves(col, kind, F.lit(""))
         if leaves is None:
             return df
-        if _has_variant(kind) and _detects(policy) and policy.detection.detector is not None:
+        if _has_variant(kind) and detects and policy.detection.detector is not None:
             raise ValueError("a plugged-in detector cannot look into VARIANT parts of typed documents; give them a column of their own")
-        # VARIANT parts are walked by a function in Python, which no lambda may hold: their leaves are a column first
-        staged = df.withColumn("_leaves", leaves) if _has_variant(kind) else df
-        leaves = F.col("_leaves") if _has_variant(kind) else leaves
-        both = F.struct(_found(_strings(leaves), policy).alias("found"), leaves.alias("leaves"), col.alias("doc"))
-
-        def typed(b: Column) -> Column:
-            rules = _LeafRules(policy, b["found"] if _detects(policy) else None, counted=True)
-            counts = F.flatten(F.transform(b["leaves"], rules.counts)).alias("counts")
-            return F.struct(counts) if _has_variant(kind) else F.struct(_mask_typed(b["doc"], kind, "", rules).alias("doc"), counts)
-
-        staged = staged.withColumn("_done", let(both, typed))
+        staged = df.withColumn("_leaves", leaves)
+        staged = _with_found(staged, _strings(F.col("_leaves")), policy)
+        staged = staged.withColumn("_counts", rules.counts(F.col("_leaves")))
+        masked = _mask_schema(col, kind, policy) if _has_variant(kind) else _mask_typed(col, kind, "", rules)
     else:
         staged = df.withColumn("_text", _text_of(df, doc_col)).withColumn("_walked", _walk_column(df, doc_col, max_depth))
-        walk, text = F.col("_walked"), F.col("_text")
-        unread = F.when(walk["state"].isin("text", "broken", "deep"), text)
-        texts = F.concat(_strings(walk["leaves"]), F.array(unread))
-        both = F.struct(_found(texts, policy).alias("found"), walk.alias("walk"), text.alias("text"), unread.alias("unread"))
-
-        def walked_through(b: Column) -> Column:
-            rules = _LeafRules(policy, b["found"] if _detects(policy) else None, counted=True)
-            state, leaves = b["walk"]["state"], b["walk"]["leaves"]
-            json = _rebuilt_if_changed(b["text"], b["walk"], _new_values(leaves, rules))
-            if _detects(policy):
-                whole = F.coalesce(F.try_element_at(b["found"], b["unread"])["text"], b["unread"])
-                count = F.when(b["unread"].isNotNull(), of_detection(F.try_element_at(b["found"], b["unread"]))).otherwise(no_outcomes())
-            else:
-                whole, count = F.when(state == "text", b["text"]).otherwise(F.lit(REDACTED)), no_outcomes()
-            if strict:
-                whole = F.when(_raise_unread(state), whole)
-            if isinstance(kind, T.VariantType):
-                whole = F.lit(f'"{REDACTED}"')
-            own = F.filter(leaves, lambda x: x["kind"] != "key")
-            counts = F.when(state == "json", F.flatten(F.transform(own, rules.counts))).otherwise(count)
-            return F.struct(F.when(state == "json", json).when(state == "null", b["text"]).otherwise(whole).alias("doc"), counts.alias("counts"))
-
-        staged = staged.withColumn("_done", let(both, walked_through))
-    masked = _mask_schema(col, kind, policy) if _has_variant(kind) and not isinstance(kind, T.VariantType) else F.col("_done.doc")
-    if isinstance(kind, T.VariantType):
-        masked = F.when(col.isNull(), col).otherwise(F.parse_json(masked))
-    return cols.replace_columns(staged, {doc_col: masked, into: F.concat(into, "_done.counts")}).select(*[F.col(f"`{n}`") for n in df.columns])
+        walk, text, unread = F.col("_walked"), F.col("_text"), F.col("_unread")
+        state, leaves = walk["state"], walk["leaves"]
+        staged = staged.withColumn("_unread", F.when(state.isin("text", "broken", "deep"), text))
+        staged = _with_found(staged, F.concat(_strings(leaves), F.array(unread)), policy)
+        if detects:
+            found = F.try_element_at("_found", unread)
+            whole = F.coalesce(found["text"], unread)
+            count = F.when(unread.isNotNull(), of_detection(found)).otherwise(no_outcomes())
+        else:
+            whole, count = F.when(state == "text", text).otherwise(F.lit(REDACTED)), no_outcomes()
+        if strict:
+            whole = F.when(_raise_unread(state), whole)
+        if isinstance(kind, T.VariantType):
+            whole = F.lit(f'"{REDACTED}"')
+        staged = staged.withColumn("_own", F.filter(leaves, lambda x: x["kind"] != "key"))
+        staged = staged.withColumn("_counts", F.when(state == "json", rules.counts(F.col("_own"))).otherwise(count))
+        json = _rebuilt_if_changed(text, walk, _new_values(leaves, rules))
+        masked = F.when(state == "json", json).when(state == "null", text).otherwise(whole)
+        if isinstance(kind, T.VariantType):
+            masked = F.when(col.isNull(), col).otherwise(F.parse_json(masked))
+    new = {into: F.concat(into, "_counts")}
+    if not only_counts or strict:
+        new[doc_col] = masked
+    return cols.replace_columns(staged, new).select(*[F.col(f"`{n}`") for n in df.columns])
 
 
 # --- rewriting -----------------------------------------------------------------------------------

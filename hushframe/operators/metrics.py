@@ -81,19 +81,22 @@ def mask_counted(df: DataFrame, policy: Policy, only_counts: bool = False) -> Da
     return out
 
 
-def mask_documents_counted(df: DataFrame, doc_cols: Sequence[str], policy: Policy, strict: bool | None = None) -> DataFrame:
+def mask_documents_counted(
+    df: DataFrame, doc_cols: Sequence[str], policy: Policy, strict: bool | None = None, only_counts: bool = False
+) -> DataFrame:
     """The same for the leaves of document columns; flat columns are neither masked nor counted."""
     out = df.withColumn(HIDDEN, no_outcomes())
     for name in doc_cols:
-        out = documents.doc_mask_counted(out, name, policy, HIDDEN, strict=strict)
+        out = documents.doc_mask_counted(out, name, policy, HIDDEN, strict=strict, only_counts=only_counts)
     return out
 
 
 def outcome_rows(df: DataFrame, policy: Policy, connection: Column, doc_cols: Sequence[str] = ()) -> DataFrame:
-    """One row per outcome of masking `df` under `policy`: its flat columns, or the named document columns."""
+    """One row per outcome of masking `df` under `policy`: its flat columns, or the named document columns, where the
+    leaves of a document that were only looked at are one row with their number."""
     keyed = df.withColumn("_connection", connection)
     if doc_cols:
-        counted = mask_documents_counted(keyed, doc_cols, policy)
+        counted = mask_documents_counted(keyed, doc_cols, policy, only_counts=True)
     else:
         # the key is no column of the table: no rule sees it
         counted = mask_counted(df.withColumn("_connection", F.struct(connection.alias("key"))), policy, only_counts=True)
@@ -136,7 +139,7 @@ def observe_outcomes(counted: DataFrame, observation: Observation, keys: Sequenc
     def totals(slotted: Column) -> Column:
         def of(k: Column) -> Column:
             own = F.filter(slotted, lambda o: o["slot"] == k)
-            return let(own, lambda rows: F.struct(*[total(rows, c).alias(c) for c in COUNTS]))
+            return let(own, lambda rows: F.when(F.size(rows) > 0, F.struct(*[total(rows, c).alias(c) for c in COUNTS])))
 
         return F.transform(F.sequence(F.lit(1), F.lit(len(keys))), of)
 

@@ -12,7 +12,7 @@ FIELD_RULE = "field_rule"
 OUTCOMES = "array<struct<entity_type:string,detection_source:string,count_analyzed:bigint,count_masked:bigint,bytes_masked:bigint>>"
 
 
-def outcome(entity: Column, source: str, analyzed: int, masked: int, size: Column) -> Column:
+def outcome(entity: Column, source: str, analyzed: Column | int, masked: int, size: Column) -> Column:
     return F.struct(
         entity.alias("entity_type"),
         F.lit(source).alias("detection_source"),
@@ -26,8 +26,10 @@ def no_outcomes() -> Column:
     return F.array().cast(OUTCOMES)
 
 
-def looked_at(source: str) -> Column:
-    return F.array(outcome(F.lit(UNSPECIFIED), source, 1, 0, F.lit(0)))
+def looked_at(source: str, values: Column | int = 1) -> Column:
+    """One outcome for so many values; none for no value."""
+    one = F.array(outcome(F.lit(UNSPECIFIED), source, values, 0, F.lit(0)))
+    return one if isinstance(values, int) else F.when(values > 0, one).otherwise(no_outcomes())
 
 
 def of_detection(found: Column) -> Column:

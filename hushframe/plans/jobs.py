@@ -11,6 +11,7 @@ from hushframe.operators import columns as cols
 from hushframe.operators import detect, documents, labels, metrics, sampling
 from hushframe.operators.labels import LABEL_SCHEMA
 from hushframe.plans.policy import Detection, Policy, classify_columns, make_object_id
+from hushframe.session import shared_folder
 from hushframe.sources.tables import field_inventory
 
 # A plugged-in masker: same columns out, null stays null.
@@ -58,10 +59,13 @@ def masking_report(
 ) -> DataFrame:
     """What masking `df` under `policy` looks at and masks, largest buckets first kept apart.
 
-    With `doc_cols` the leaves of those documents are counted instead of the flat columns.
+    With `doc_cols` the leaves of those documents are counted instead of the flat columns. The sums, which the choice
+    of buckets reads twice, are written to the shared folder first: `df` is scanned once.
     """
     counted = metrics.masking_metrics(metrics.outcome_rows(df, policy, connection, doc_cols))
-    return metrics.metrics_overflow(counted, max_buckets)
+    path = shared_folder(df.sparkSession, "counted")
+    counted.write.parquet(path)
+    return metrics.metrics_overflow(df.sparkSession.read.schema(counted.schema).parquet(path), max_buckets)
 
 
 def mask_and_report(
