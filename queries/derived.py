@@ -86,9 +86,11 @@ def order_documents(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_linenumber").alias("no"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")
     )
     lines = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(
-        lines, F.col("o_orderkey") == F.col("l_orderkey"), "left"
-    )
+    # What is done with a document costs far more than its bytes: it lies over all partitions, which adaptive execution
+    # would merge by size.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).repartition(parts, "o_orderkey")
+    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     doc = F.struct(
         F.struct(
             F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance")

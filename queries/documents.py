@@ -17,12 +17,14 @@ OBJ = "org1:mongo:shop:orders"
 
 
 def _summary(leaves):
-    return leaves.groupBy("path", "key", "is_key").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_distinct("value").alias("n_values"),
+    """Equal leaves are counted first, by hash: smallest and largest texts are found by sorting, then of distinct ones."""
+    distinct = leaves.groupBy("path", "key", "is_key", "value").agg(F.count(F.lit(1)).alias("n"))
+    return distinct.groupBy("path", "key", "is_key").agg(
+        F.sum("n").alias("n"),
+        F.count("value").alias("n_values"),
         F.min("value").alias("first_value"),
         F.max("value").alias("last_value"),
-        F.sum(F.length("value")).cast("bigint").alias("chars"),
+        F.sum(F.length("value") * F.col("n")).alias("chars"),
     )
 
 
