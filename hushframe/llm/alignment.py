@@ -40,8 +40,9 @@ from pyspark.sql import functions as F
 
 from hushframe.llm.common import slices, written
 
-BLOCK_BYTES = 16 << 20
-KEPT_STRETCHES = 600_000
+BLOCK_BYTES = 4 << 20
+KEPT_STRETCHES = 250_000
+LEARNED_AT_ONCE = 10_000
 HOT = 10_000
 BLOCKS = (
     "part long, block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, hashes array<string>, "
@@ -170,8 +171,8 @@ class Stretches:
         coded = pieces.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         new = [x for x in distinct if x not in self.known]
-        for i in range(0, len(new), 50_000):
-            self.learn(new[i : i + 50_000])
+        for i in range(0, len(new), LEARNED_AT_ONCE):
+            self.learn(new[i : i + LEARNED_AT_ONCE])
         numbers = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
         counts = np.zeros(len(size), np.int64)
         counts[size > 0] = np.diff(np.searchsorted(places, starts))
