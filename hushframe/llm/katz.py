@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,15 +105,15 @@ class Block:
                 before = np.roll(sequence, 1)
                 keys, number = np.unique(before[self.places], return_inverse=True)
                 self.context_keys.append(keys)
-                self.context_number.append(number)
+                self.context_number.append(number.astype(np.int32))
                 sequence = fmix(before * np.uint64(0x9E3779B97F4A7C15) + line)
             else:
                 self.context_keys.append(None)
                 self.context_number.append(None)
             keys, first_at, number = np.unique(sequence[self.places], return_index=True, return_inverse=True)
             self.keys.append(keys)
-            self.number.append(number)
-            self.count.append(np.bincount(number[learned], minlength=len(keys)))
+            self.number.append(number.astype(np.int32))
+            self.count.append(np.bincount(number[learned], minlength=len(keys)).astype(np.int32))
             self.context.append(self.context_number[-1][first_at] if n > 1 else None)
 
 
@@ -191,46 +192,57 @@ def _block(row: dict, order: int) -> Block:
     return Block(row["train"], row["sizes"], np.frombuffer(row["hashes"], np.uint64), ids, order)
 
 
-def _answers(replies: pa.Table, kind: str, order: int) -> list[list[bytes]]:
+def _rows(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
+    """The rows one by one: a row may hold a whole block."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _answers(replies: pa.Table, kind: str, order: int) -> Iterator[list[bytes]]:
     """The answers to a block of one kind and order, by bucket."""
-    rows = [r for r in replies.to_pylist() if r["kind"] == kind and r["order"] == order]
-    return [parted(r["data"]) for r in sorted(rows, key=lambda r: r["bucket"])]
+    own = np.flatnonzero(np.array(pc.and_(pc.equal(replies["kind"], kind), pc.equal(replies["order"], order))))
+    buckets = replies["bucket"].to_numpy()[own]
+    for i in own[np.argsort(buckets, kind="stable")]:
+        yield parted(replies["data"][int(i)].as_py())
 
 
 class Known:
-    """What a block knows after its n-grams (and contexts) were answered."""
+    """What a block knows after its n-grams (and contexts) were answered; read from the answers when asked for."""
 
-    def __init__(self, replies: pa.Table, order: int, stats: dict, levels: int):
-        self.total, self.own, self.weight = [], [], [None]
-        for n in range(1, order + 1):
-            both = np.concatenate([expand(x[0], np.int64) for x in _answers(replies, "counts", n)])
-            self.total.append(both >> 1)
-            self.own.append(both & 1 == 1)
-        for n in range(2, levels + 1):
-            parts = _answers(replies, "weights", n)
-            self.weight.append(tuple(np.concatenate([expand(x[k], np.float64) for x in parts]) for k in (0, 1)))
-        self.stats = stats
-
-    def probability(self, b: Block, n: int) -> np.ndarray:
+    def __init__(self, replies: pa.Table, stats: dict):
+        self.replies, self.stats = replies, stats
+
+    def counts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Totals of the block's n-grams, and which ones it owns."""
+        both = np.concatenate([expand(x[0], np.int64) for x in _answers(self.replies, "counts", n)])
+        return both >> 1, both & 1 == 1
+
+    def weights(self, n: int, k: int) -> np.ndarray:
+        """Divisors (0) or backoff weights (1) of the contexts of order `n`."""
+        return np.concatenate([expand(x[k], np.float64) for x in _answers(self.replies, "weights", n)])
+
+    def probability(self, b: Block, n: int, total: np.ndarray) -> np.ndarray:
         """P of each of the block's distinct n-grams of order `n` that were seen, 0 for the others."""
-        d = discounted(self.total[n - 1], self.stats[n]["rule"])
+        d = discounted(total, self.stats[n]["rule"])
         if n == 1:
             return d / max(1, self.stats[1]["tokens"])
-        below = self.weight[n - 1][0][b.context[n - 1]]
+        below = self.weights(n, 0)[b.context[n - 1]]
         return d / np.where(below > 0, below, 1.0)
 
 
 def _send_counts(order: int, buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                b, rows = _block(row, order), {"bucket": [], "block": [], "order": [], "data": []}
+            for row in _rows(batch):
+                b = _block(row, order)
+                b.number, b.context, b.context_keys, b.context_number = [], [], [], []  # not read here
                 for n in range(1, order + 1):
+                    rows = {"bucket": [], "block": [], "order": [], "data": []}
                     for bucket, part in cuts(b.keys[n - 1], buckets):
                         keys = np.diff(b.keys[n - 1][part], prepend=np.uint64(0))
                         for name, value in zip(rows, (bucket, row["block"], n, joined(squeeze(keys), squeeze(b.count[n - 1][part].astype(np.int64))))):
                             rows[name].append(value)
-                yield from table(rows, PIECE).to_batches()
+                    yield from table(rows, PIECE).to_batches()
 
     return send
 
@@ -267,16 +279,16 @@ def _add_counts(group: pa.Table) -> pa.Table:
 def _send_sums(order: int, n: int, buckets: int, sent):
     def send(blocks: pa.Table, replies: pa.Table) -> pa.Table:
         rows = {"bucket": [], "block": [], "order": [], "data": []}
-        for row in blocks.to_pylist():
+        for row in _rows(blocks):
             b = _block(row, order)
-            known = Known(replies, order, sent.value, n - 1)
-            own = known.own[n - 1]
+            known = Known(replies, sent.value)
+            total, own = known.counts(n)
             size, context = len(b.context_keys[n - 1]), b.context[n - 1][own]
-            total = known.total[n - 1][own]
+            total = total[own]
             # the lower order's n-gram of each n-gram: through one place where it stands
-            place = np.zeros(len(b.keys[n - 1]), np.int64)
+            place = np.zeros(len(b.keys[n - 1]), np.int32)
             place[b.number[n - 1]] = np.arange(len(b.places))
-            lower = known.probability(b, n - 1)[b.number[n - 2][place]][own]
+            lower = known.probability(b, n - 1, known.counts(n - 1)[0])[b.number[n - 2][place]][own]
             sums_ = [
                 np.bincount(context, total, size),
                 np.bincount(context, discounted(total, known.stats[n]["rule"]), size),
@@ -313,14 +325,17 @@ def _settle(group: pa.Table) -> pa.Table:
 def _score(order: int, sent):
     def score(blocks: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
-        for row in blocks.to_pylist():
+        for row in _rows(blocks):
             b, stats = _block(row, order), sent.value
-            known = Known(replies, order, stats, order)
-            seen = known.total[0][b.number[0]]
-            p = np.where(seen > 0, known.probability(b, 1)[b.number[0]], stats[1]["unknown"])
+            b.keys, b.context_keys, b.count = [], [], []  # not read here
+            known = Known(replies, stats)
+            total = known.counts(1)[0]
+            seen = total[b.number[0]]
+            p = np.where(seen > 0, known.probability(b, 1, total)[b.number[0]], stats[1]["unknown"])
             for n in range(2, order + 1):
-                exact = known.probability(b, n)[b.number[n - 1]]
-                p = np.where(known.total[n - 1][b.number[n - 1]] > 0, exact, known.weight[n - 1][1][b.context_number[n - 1]] * p)
+                total = known.counts(n)[0]
+                exact = known.probability(b, n, total)[b.number[n - 1]]
+                p = np.where(total[b.number[n - 1]] > 0, exact, known.weights(n, 1)[b.context_number[n - 1]] * p)
             base = np.log10((seen + 1) / (stats[1]["tokens"] + stats[1]["types"] + 1))
             made = {
                 "doc_id": row["doc_ids"], "train": row["train"], "n_tokens": b.sizes, "n_known": sums((seen > 0).astype(np.int64), b.sizes),
