@@ -1,8 +1,10 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from hushframe.operators import labels, windows
 from hushframe.operators.metrics import masking_metrics
@@ -152,3 +154,46 @@ def test_rows_without_key_and_expiry(spark, source):
         assert rows(got) == rows(windows.rate_flags(whole, "k", "ts", 3, 60, ["i"]))
         got = run(spark, streams.stream_dedup(stream, "k", ["q"], "ts", 60, ["i"], lateness))
         assert rows(got) == rows(windows.idempotent_dedup(whole, "k", ["q"], "ts", 60, ["i"]))
+
+
+def test_keys_share_groups_of_state(spark, source):
+    # a group per key costs milliseconds per key
+    data = [(i, f"k{i % 50}", "q", at(i)) for i in range(200)]
+    stream, whole = source("i int, k string, q string, ts timestamp", data[:100], data[100:])
+    fields = stream.select(F.lit("o").alias("object_id"), F.col("k").alias("field_path"), F.col("i").cast("string").alias("value"))
+    made = [streams.stream_dedup(stream, "k", ["q"], "ts", 60, ["i"], buckets=4), streams.stream_rate_flags(stream, "k", "ts", 1, 60, ["i"], buckets=4), streams.stream_sampler(fields, 3, buckets=4)]
+    for df in made:
+        out = shared_folder(spark, "out")
+        query = streams.write_stream(df, out, shared_folder(spark, "cp"))
+        query.awaitTermination()
+        assert 1 <= query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+        got = spark.read.schema(df.schema).parquet(out)
+        if df is made[0]:
+            assert rows(got) == rows(windows.idempotent_dedup(whole, "k", ["q"], "ts", 60, ["i"]))
+        elif df is made[1]:
+            assert rows(got) == rows(windows.rate_flags(whole, "k", "ts", 1, 60, ["i"]))
+        else:
+            numbers = sorted((r["field_path"], r["sample_no"]) for r in got.collect())
+            assert numbers == sorted((f"k{k}", n) for k in range(50) for n in range(3))
+
+
+def test_long_numbers_beside_missing_ones(spark, source):
+    big = (1 << 53) + 1
+    data = [(big, 7, "q", at(0)), (None, 7, "q", at(1)), (big + 2, 7, "q", at(1)), (big + 1, 7, "q", at(1))]
+    stream, _ = source("i bigint, k bigint, q string, ts timestamp", data)
+    got = run(spark, streams.stream_dedup(stream, "k", ["q"], "ts", 60, ["i"], buckets=1))
+    assert {r["i"] for r in got.collect()} == {big, big + 1, big + 2, None}
+    got = run(spark, streams.stream_rate_flags(stream, "k", "ts", 2, 60, ["i"], buckets=1))
+    assert {r["i"] for r in got.collect() if r["flagged"]} == {big + 2, None}
+
+
+def test_kept_values_leave_after_their_time():
+    # run by hand: with a time to live Spark never ends a query that only takes what is there
+    sample, value, seen = streams._sample(2, 1000), None, []
+    for now in (5, 905, 1005, 1904):
+        state = GroupState(value, now, -1, "ProcessingTimeTimeout", False, False, value is not None, False, False, -1, b"", None)
+        rows_in = pd.DataFrame({"object_id": ["o"], "field_path": ["f"], "value": [str(now)]})
+        for pdf in sample((0,), iter([rows_in]), state):
+            seen += [(r.sample_no, r.value) for r in pdf.itertuples()]
+        value = state.get
+    assert seen == [(0, "5"), (1, "905"), (1, "1005")]
