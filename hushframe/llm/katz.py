@@ -217,16 +217,28 @@ class Known:
         both = np.concatenate([expand(x[0], np.int64) for x in _answers(self.replies, "counts", n)])
         return both >> 1, both & 1 == 1
 
-    def weights(self, n: int, k: int) -> np.ndarray:
-        """Divisors (0) or backoff weights (1) of the contexts of order `n`."""
-        return np.concatenate([expand(x[k], np.float64) for x in _answers(self.replies, "weights", n)])
+    def asked(self, b: Block, n: int, total: np.ndarray) -> np.ndarray:
+        """Which contexts of order `n` back off in the block: they stand before an n-gram that was not seen."""
+        out = np.zeros(len(b.context_keys[n - 1]), np.int64)
+        out[b.context[n - 1][total == 0]] = 1
+        return out
+
+    def divisors(self, n: int) -> np.ndarray:
+        return np.concatenate([expand(x[0], np.float64) for x in _answers(self.replies, "weights", n)])
+
+    def weights(self, b: Block, n: int, total: np.ndarray) -> np.ndarray:
+        """Backoff weights of the contexts of order `n`, 1 for those that were not asked for."""
+        asked = self.asked(b, n, total) == 1
+        out = np.ones(len(asked))
+        out[asked] = np.concatenate([expand(x[1], np.float64) for x in _answers(self.replies, "weights", n)])
+        return out
 
     def probability(self, b: Block, n: int, total: np.ndarray) -> np.ndarray:
         """P of each of the block's distinct n-grams of order `n` that were seen, 0 for the others."""
         d = discounted(total, self.stats[n]["rule"])
         if n == 1:
             return d / max(1, self.stats[1]["tokens"])
-        below = self.weights(n, 0)[b.context[n - 1]]
+        below = self.divisors(n)[b.context[n - 1]]
         return d / np.where(below > 0, below, 1.0)
 
 
@@ -282,9 +294,9 @@ def _send_sums(order: int, n: int, buckets: int, sent):
         for row in _rows(blocks):
             b = _block(row, order)
             known = Known(replies, sent.value)
-            total, own = known.counts(n)
+            every, own = known.counts(n)
             size, context = len(b.context_keys[n - 1]), b.context[n - 1][own]
-            total = total[own]
+            total = every[own]
             # the lower order's n-gram of each n-gram: through one place where it stands
             place = np.zeros(len(b.keys[n - 1]), np.int32)
             place[b.number[n - 1]] = np.arange(len(b.places))
@@ -293,6 +305,7 @@ def _send_sums(order: int, n: int, buckets: int, sent):
                 np.bincount(context, total, size),
                 np.bincount(context, discounted(total, known.stats[n]["rule"]), size),
                 np.bincount(context, lower, size),
+                known.asked(b, n, every),
             ]
             for bucket, part in cuts(b.context_keys[n - 1], buckets):
                 keys = np.diff(b.context_keys[n - 1][part], prepend=np.uint64(0))
@@ -304,7 +317,7 @@ def _send_sums(order: int, n: int, buckets: int, sent):
 
 
 def _settle(group: pa.Table) -> pa.Table:
-    """Divisors and backoff weights of one bucket's contexts, for each block."""
+    """Divisors of one bucket's contexts for each block, and the backoff weights it asked for."""
     rows = {"bucket": [], "block": [], "order": [], "data": []}
     pieces = sorted(group.to_pylist(), key=lambda r: r["block"])
     parts = [parted(r["data"]) for r in pieces]
@@ -314,9 +327,10 @@ def _settle(group: pa.Table) -> pa.Table:
     below = np.where((count > 0) & (count - mass <= 1e-9 * count), count + 1, count)
     weight = np.where(count > 0, (1 - mass / np.where(count > 0, below, 1)) / np.maximum(1e-300, 1 - lower), 1.0)
     at = 0
-    for r, k in zip(pieces, keys):
+    for r, k, p in zip(pieces, keys, parts):
         here = inverse[at : at + len(k)]
-        for name, value in zip(rows, (r["bucket"], r["block"], r["order"], joined(squeeze(below[here]), squeeze(weight[here])))):
+        asked = here[expand(p[4], np.int64) == 1]
+        for name, value in zip(rows, (r["bucket"], r["block"], r["order"], joined(squeeze(below[here]), squeeze(weight[asked])))):
             rows[name].append(value)
         at += len(k)
     return table(rows, PIECE)
@@ -327,7 +341,7 @@ def _score(order: int, sent):
         out = []
         for row in _rows(blocks):
             b, stats = _block(row, order), sent.value
-            b.keys, b.context_keys, b.count = [], [], []  # not read here
+            b.keys, b.count = [], []  # not read here
             known = Known(replies, stats)
             total = known.counts(1)[0]
             seen = total[b.number[0]]
@@ -335,7 +349,7 @@ def _score(order: int, sent):
             for n in range(2, order + 1):
                 total = known.counts(n)[0]
                 exact = known.probability(b, n, total)[b.number[n - 1]]
-                p = np.where(total[b.number[n - 1]] > 0, exact, known.weights(n, 1)[b.context_number[n - 1]] * p)
+                p = np.where(total[b.number[n - 1]] > 0, exact, known.weights(b, n, total)[b.context_number[n - 1]] * p)
             base = np.log10((seen + 1) / (stats[1]["tokens"] + stats[1]["types"] + 1))
             made = {
                 "doc_id": row["doc_ids"], "train": row["train"], "n_tokens": b.sizes, "n_known": sums((seen > 0).astype(np.int64), b.sizes),

@@ -1,10 +1,11 @@
 """Steps whose cost must not grow faster than their input."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hushframe.llm import katz
+from hushframe.llm import common, katz
 from hushframe.operators import documents as docs
 from hushframe.operators import json_docs, metrics
 from hushframe.plans import jobs
@@ -64,3 +65,24 @@ def test_both_yaml_readers_hide_the_same():
 def test_numbers_of_a_block_take_four_bytes():
     b = katz.Block([True, False], [2, 1], np.array([7, 9], np.uint64), np.array([0, 1, 0]), 3)
     assert {x.dtype for x in (*b.number, *b.count, *b.context_number[1:], *b.context[1:])} == {np.dtype(np.int32)}
+
+
+def test_backoff_weights_are_sent_where_asked_for():
+    keys, ones = np.array([5, 9, 12], np.uint64), np.ones(3)
+    sums = [ones * 2, ones, ones / 4, np.array([0, 1, 0])]
+    row = {"bucket": 0, "block": 3, "order": 3, "data": katz.joined(katz.squeeze(np.diff(keys, prepend=np.uint64(0))), *map(katz.squeeze, sums))}
+    divisors, weights = katz.parted(katz._settle(pa.Table.from_pylist([row]))["data"][0].as_py())
+    assert katz.expand(divisors, np.float64).tolist() == [2, 2, 2]
+    assert katz.expand(weights, np.float64).tolist() == [0.5 / 0.75]
+
+
+def test_shuffles_leave_with_the_write(spark):
+    before = spark.conf.get(common.CLEANUP, None)
+    df = common.written(spark.range(1000).repartition(7, "id"), "cleaned")
+    assert df.count() == 1000 and spark.conf.get(common.CLEANUP, None) == before
+    seen = []
+    real = df.sparkSession.conf.set
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(spark.conf), "set", lambda self, k, v: (seen.append((k, v)), real(k, v))[1])
+        common.written(spark.range(10).repartition(2, "id"), "cleaned")
+    assert (common.CLEANUP, "true") in seen
