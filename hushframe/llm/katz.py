@@ -1,11 +1,12 @@
 """Katz backoff language model: Good-Turing discounted counts, exactly normalised backoff weights.
 
 Texts are split once into blocks: numbers of a block's words and the words' hashes, written to the shared folder.
-Blocks and tables of n-grams talk in both directions. A block sends its distinct n-grams of every order with their
-training counts, packed by ranges of their hash (buckets); a bucket adds up the counts and answers every block with
-the totals of just its n-grams, and the counts are kept as a table partitioned by order. One block is told to own
-each n-gram. For the backoff weights the owners add up discounted counts and lower-order probabilities per context,
-the contexts' buckets settle the weights, and answer again. Then each block scores its tokens by the recursion
+Blocks and tables of n-grams talk in both directions, one order after another. A block sends its distinct n-grams with
+their training counts, packed by ranges of their hash (buckets); a bucket adds up the counts and answers every block
+with the totals of just its n-grams. One block is told to own each n-gram, and whether it alone holds it: what is longer
+stands nowhere else either, so the block counts that by itself. For the backoff weights the owners add up discounted
+counts and lower-order probabilities per context. A context that one block alone holds is settled there; of the others
+the buckets settle the weights, and answer again. Then each block scores its tokens by the recursion
 
     P(w | h) = d(c) c(hw) / c(h)   if hw was seen,   else   a(h) P(w | shorter h).
 
@@ -39,6 +40,7 @@ DEPTH = 5
 BLOCK_TOKENS = 1 << 21
 BUCKET_ENTRIES = 1 << 20
 START, END = np.uint64(0x5AFE57A27), np.uint64(0x5AFEE4D)
+MIX = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = "block long, doc_ids array<long>, train array<boolean>, sizes array<long>, hashes binary, ids binary, n long"
 PIECE = "bucket long, block long, order int, data binary"
 SCORES = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
@@ -77,44 +79,68 @@ def table(rows: dict[str, list], schema: str) -> pa.Table:
     return pa.table({name: pa.array(rows[name], types[kind]) for name, kind in fields})
 
 
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in ascending order, the number of each key among them, and one place of each."""
+    order = np.argsort(keys)
+    line = keys[order]
+    fresh = np.ones(len(line), bool)
+    fresh[1:] = line[1:] != line[:-1]
+    number = np.empty(len(line), np.int32)
+    number[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return line[fresh], number, order[fresh].astype(np.int32)
+
+
 class Block:
     """Distinct n-grams of a block's tokens. Lists are by order, from 1 on."""
 
     def __init__(self, train: list[bool], sizes: list[int], hashes: np.ndarray, ids: np.ndarray, order: int):
-        sizes = np.array(sizes, np.int64)
-        pad = order - 1
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        # `order - 1` start signs, the words, the end sign for each text
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        line = np.full(total + len(sizes) * (pad + 1), START, np.uint64)
-        line[np.arange(total) + doc * (pad + 1) + pad] = hashes[ids]
-        at_end = ends + np.arange(1, len(sizes) + 1) * (pad + 1) - 1
-        line[at_end] = END
-        real = np.ones(len(line), bool)
-        first = at_end - sizes - pad
-        for j in range(pad):
-            real[first + j] = False
-        self.places = np.flatnonzero(real)
-        self.sizes = sizes + 1
+        # the words and the end sign of each text; before its first word stand start signs
+        self.sizes = np.array(sizes, np.int64) + 1
+        ends = np.cumsum(self.sizes)
+        self.first = ends - self.sizes
+        word = np.ones(int(ends[-1]) if len(ends) else 0, bool)
+        word[ends - 1] = False
+        code = np.full(len(word), len(hashes), np.int32)
+        code[word] = ids
+        line = np.append(hashes, END)[code]
         learned = np.repeat(np.array([bool(t) for t in train], bool), self.sizes)
-        self.keys, self.number, self.count, self.context, self.context_keys, self.context_number = [], [], [], [], [], []
-        sequence = fmix(line)
+        self.keys, self.number, self.place, self.count, self.starts = [], [], [], [], []
+        sequence, start = fmix(line), fmix(np.array([START]))
         for n in range(1, order + 1):
-            if n > 1:
-                before = np.roll(sequence, 1)
-                keys, number = np.unique(before[self.places], return_inverse=True)
-                self.context_keys.append(keys)
-                self.context_number.append(number.astype(np.int32))
-                sequence = fmix(before * np.uint64(0x9E3779B97F4A7C15) + line)
+            if n == 1:  # the words are distinct already
+                keys, rank, _ = ranked(fmix(np.append(hashes, END)))
+                number = rank[code]
+                place = np.empty(len(keys), np.int32)
+                place[number] = np.arange(len(number), dtype=np.int32)
             else:
-                self.context_keys.append(None)
-                self.context_number.append(None)
-            keys, first_at, number = np.unique(sequence[self.places], return_index=True, return_inverse=True)
+                before = np.empty_like(sequence)
+                before[1:] = sequence[:-1]
+                before[self.first] = start
+                self.starts.append(start)
+                start = fmix(start * MIX + START)
+                before *= MIX
+                before += line
+                sequence = fmix(before)
+                del before
+                keys, number, place = ranked(sequence)
             self.keys.append(keys)
-            self.number.append(number.astype(np.int32))
+            self.number.append(number)
+            self.place.append(place)
             self.count.append(np.bincount(number[learned], minlength=len(keys)).astype(np.int32))
-            self.context.append(self.context_number[-1][first_at] if n > 1 else None)
+
+    def contexts(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the contexts of order `n`, the context of each place, and which n-gram of order `n - 1` each context
+        is; -1 for the one of start signs alone."""
+        keys, number, start = self.keys[n - 2], self.number[n - 2], self.starts[n - 2]
+        at = int(np.searchsorted(keys, start)[0])
+        context = np.empty_like(number)
+        context[1:] = (number + (number >= at))[:-1]
+        context[self.first] = at
+        used = np.zeros(len(keys) + 1, bool)
+        used[context] = True
+        shorter = np.insert(np.arange(len(keys), dtype=np.int32), at, -1)
+        dense = np.cumsum(used, dtype=np.int32) - 1
+        return np.insert(keys, at, start)[used], dense[context], shorter[used]
 
 
 def cuts(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
@@ -140,7 +166,11 @@ def discounts(n: list[int]) -> tuple[np.ndarray, float]:
 
 def discounted(count: np.ndarray, rule: tuple[np.ndarray, float]) -> np.ndarray:
     factors, off = rule
-    return np.where(count > 0, count * factors[np.minimum(np.maximum(count, 1), DEPTH + 1) - 1] - off, 0.0)
+    some = np.concatenate([[0.0], np.arange(1, DEPTH + 2) * factors - off])
+    out = some[np.minimum(count, DEPTH + 1)]
+    many = count > DEPTH + 1
+    out[many] = count[many] * factors[DEPTH] - off
+    return out
 
 
 def blocks_of(docs: DataFrame, doc_id: Column, train: Column, text: Column) -> DataFrame:
@@ -206,65 +236,150 @@ def _answers(replies: pa.Table, kind: str, order: int) -> Iterator[list[bytes]]:
         yield parted(replies["data"][int(i)].as_py())
 
 
-class Known:
-    """What a block knows after its n-grams (and contexts) were answered; read from the answers when asked for."""
+def settled(count: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Divisors of contexts: their counts, or one more where nothing was taken off."""
+    return np.where((count > 0) & (count - mass <= 1e-9 * count), count + 1, count)
 
-    def __init__(self, replies: pa.Table, stats: dict):
-        self.replies, self.stats = replies, stats
 
-    def counts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Totals of the block's n-grams, and which ones it owns."""
-        both = np.concatenate([expand(x[0], np.int64) for x in _answers(self.replies, "counts", n)])
-        return both >> 1, both & 1 == 1
+def backoff(count: np.ndarray, mass: np.ndarray, lower: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Backoff weights of contexts."""
+    return np.where(count > 0, (1 - mass / np.where(count > 0, below, 1)) / np.maximum(1e-300, 1 - lower), 1.0)
 
-    def asked(self, b: Block, n: int, total: np.ndarray) -> np.ndarray:
+
+class Known:
+    """What a block knows after its n-grams (and contexts) were answered; read from the answers when asked for.
+
+    What no other block holds stands nowhere else inside a longer n-gram or as a context: the block counts and settles
+    that by itself. Only the other n-grams and contexts are sent and answered."""
+
+    def __init__(self, b: Block, replies: pa.Table, stats: dict):
+        self.b, self.replies, self.stats = b, replies, stats
+        self.read: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.at, self.last, self.sums = 0, None, None  # the contexts that were last looked at
+
+    def counts(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Totals of the block's n-grams, which ones it owns, and which ones no other block holds."""
+        if n not in self.read:
+            sent = ~self.certain(n)
+            total = self.b.count[n - 1].astype(np.int64)
+            own, alone = total > 0, ~sent
+            x = np.concatenate([np.zeros(0, np.int64), *(expand(x[0], np.int64) for x in _answers(self.replies, "counts", n))])
+            total[sent], own[sent], alone[sent] = x >> 2, x & 2 == 2, x & 1 == 1
+            self.read[n] = total, own, alone
+        return self.read[n]
+
+    def certain(self, n: int) -> np.ndarray:
+        """Which n-grams begin or end with a shorter one that no other block holds."""
+        if n == 1:
+            return np.zeros(len(self.b.keys[0]), bool)
+        alone, place = self.counts(n - 1)[2][self.b.number[n - 2]], self.b.place[n - 1]
+        before = np.empty_like(alone)
+        before[1:] = alone[:-1]
+        before[self.b.first] = False  # start signs stand in every block
+        return (alone | before)[place]
+
+    def contexts(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the contexts of order `n`, the context of each place and of each n-gram, and which contexts no other
+        block holds."""
+        if n != self.at:
+            keys, number, shorter = self.b.contexts(n)
+            alone = self.counts(n - 1)[2][shorter] & (shorter >= 0)
+            self.at, self.last, self.sums = n, (keys, number, number[self.b.place[n - 1]], alone), None
+        return self.last
+
+    def totals(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and discounted counts of the contexts, over the n-grams that the block owns."""
+        keys, _, context, _ = self.contexts(n)
+        if self.sums is None:
+            total, own, _ = self.counts(n)
+            at, total = context[own], total[own]
+            self.sums = np.bincount(at, total, len(keys)), np.bincount(at, discounted(total, self.stats[n]["rule"]), len(keys))
+        return self.sums
+
+    def lower(self, n: int, below: np.ndarray) -> np.ndarray:
+        """Per context, the probability `below` of its followers after the shorter context, over the n-grams that the
+        block owns."""
+        keys, _, context, _ = self.contexts(n)
+        own = self.counts(n)[1]
+        return np.bincount(context[own], below[self.b.number[n - 2][self.b.place[n - 1][own]]], len(keys))
+
+    def asked(self, n: int) -> np.ndarray:
         """Which contexts of order `n` back off in the block: they stand before an n-gram that was not seen."""
-        out = np.zeros(len(b.context_keys[n - 1]), np.int64)
-        out[b.context[n - 1][total == 0]] = 1
+        keys, _, context, _ = self.contexts(n)
+        out = np.zeros(len(keys), bool)
+        out[context[self.counts(n)[0] == 0]] = True
         return out
 
-    def divisors(self, n: int) -> np.ndarray:
-        return np.concatenate([expand(x[0], np.float64) for x in _answers(self.replies, "weights", n)])
+    def answers(self, n: int, which: int) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(expand(x[which], np.float64) for x in _answers(self.replies, "weights", n))])
 
-    def weights(self, b: Block, n: int, total: np.ndarray) -> np.ndarray:
-        """Backoff weights of the contexts of order `n`, 1 for those that were not asked for."""
-        asked = self.asked(b, n, total) == 1
-        out = np.ones(len(asked))
-        out[asked] = np.concatenate([expand(x[1], np.float64) for x in _answers(self.replies, "weights", n)])
-        return out
-
-    def probability(self, b: Block, n: int, total: np.ndarray) -> np.ndarray:
+    def probability(self, n: int) -> np.ndarray:
         """P of each of the block's distinct n-grams of order `n` that were seen, 0 for the others."""
-        d = discounted(total, self.stats[n]["rule"])
+        d = discounted(self.counts(n)[0], self.stats[n]["rule"])
         if n == 1:
             return d / max(1, self.stats[1]["tokens"])
-        below = self.divisors(n)[b.context[n - 1]]
+        _, _, context, alone = self.contexts(n)
+        below = settled(*self.totals(n))
+        below[~alone] = self.answers(n, 0)
+        below = below[context]
         return d / np.where(below > 0, below, 1.0)
 
+    def weights(self, n: int, below: np.ndarray) -> np.ndarray:
+        """Backoff weights at each place for order `n`, 1 for contexts that were not asked for; `below`: the probabilities
+        of the shorter n-grams."""
+        _, number, _, alone = self.contexts(n)
+        asked = self.asked(n)
+        count, mass = self.totals(n)
+        out = np.where(asked, backoff(count, mass, self.lower(n, below), settled(count, mass)), 1.0)
+        out[asked & ~alone] = self.answers(n, 1)
+        return out[number]
 
-def _send_counts(order: int, buckets: int):
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch):
-                b = _block(row, order)
-                b.number, b.context, b.context_keys, b.context_number = [], [], [], []  # not read here
-                for n in range(1, order + 1):
-                    rows = {"bucket": [], "block": [], "order": [], "data": []}
-                    for bucket, part in cuts(b.keys[n - 1], buckets):
-                        keys = np.diff(b.keys[n - 1][part], prepend=np.uint64(0))
-                        for name, value in zip(rows, (bucket, row["block"], n, joined(squeeze(keys), squeeze(b.count[n - 1][part].astype(np.int64))))):
-                            rows[name].append(value)
-                    yield from table(rows, PIECE).to_batches()
+
+def facts(total: np.ndarray) -> np.ndarray:
+    """How many n-grams have which count, how many there are, and their occurrences."""
+    by_count = np.bincount(np.minimum(total, DEPTH + 2), minlength=DEPTH + 3)[1 : DEPTH + 2]
+    return np.array([*by_count, (total > 0).sum(), total.sum()], np.int64)
+
+
+def _send_counts(n: int, buckets: int):
+    def send(blocks: pa.Table, replies: pa.Table | None) -> pa.Table:
+        rows = {"bucket": [], "block": [], "order": [], "data": []}
+
+        def add(*values) -> None:
+            for name, value in zip(rows, values):
+                rows[name].append(value)
+
+        for row in _rows(blocks):
+            b = _block(row, n)
+            sure = Known(b, replies, {}).certain(n)
+            keys, count = b.keys[n - 1][~sure], b.count[n - 1][~sure].astype(np.int64)
+            for bucket, part in cuts(keys, buckets):
+                add(bucket, row["block"], n, joined(squeeze(np.diff(keys[part], prepend=np.uint64(0))), squeeze(count[part])))
+            add(row["block"] % buckets, -1, n, facts(b.count[n - 1][sure].astype(np.int64)).tobytes())
+        return table(rows, PIECE)
 
     return send
 
 
+def _send_words(buckets: int):
+    send = _send_counts(1, buckets)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from send(pa.Table.from_batches([batch.slice(i, 1)]), None).to_batches()
+
+    return sent
+
+
 def _add_counts(group: pa.Table) -> pa.Table:
-    """All blocks' n-grams of one bucket: totals for each block, and how many n-grams have which count."""
+    """All blocks' n-grams of one bucket: totals for each block, and the facts of them and of those counted before."""
     rows = {"bucket": [], "block": [], "order": [], "data": []}
-    pieces = sorted(group.to_pylist(), key=lambda r: (r["order"], r["block"]))
-    for n in sorted({r["order"] for r in pieces}):
-        own = [r for r in pieces if r["order"] == n]
+    pieces = sorted(group.to_pylist(), key=lambda r: r["block"])
+    counted = sum((np.frombuffer(r["data"], np.int64) for r in pieces if r["block"] == -1), np.zeros(DEPTH + 3, np.int64))
+    own = [r for r in pieces if r["block"] != -1]
+    bucket, n = pieces[0]["bucket"], pieces[0]["order"]
+    if own:
         parts = [parted(r["data"]) for r in own]
         keys = [np.cumsum(expand(p[0])) for p in parts]
         counts = np.concatenate([expand(p[1], np.int64) for p in parts])
@@ -276,40 +391,33 @@ def _add_counts(group: pa.Table) -> pa.Table:
         np.minimum.at(first, inverse[seen], seen)
         mine = np.zeros(len(inverse), np.int64)
         mine[first[first < len(inverse)]] = 1
-        answer, at = total[inverse] << 1 | mine, 0
+        alone = np.bincount(inverse, minlength=len(unique))[inverse] == 1
+        answer, at = total[inverse] << 2 | mine << 1 | alone, 0
         for r, k in zip(own, keys):
-            for name, value in zip(rows, (r["bucket"], r["block"], n, joined(squeeze(answer[at : at + len(k)])))):
+            for name, value in zip(rows, (bucket, r["block"], n, joined(squeeze(answer[at : at + len(k)])))):
                 rows[name].append(value)
             at += len(k)
-        by_count = np.bincount(np.minimum(total, DEPTH + 2), minlength=DEPTH + 3)[1 : DEPTH + 2]
-        facts = np.array([*by_count, (total > 0).sum(), total.sum()], np.int64)
-        for name, value in zip(rows, (own[0]["bucket"], -1, n, facts.tobytes())):
-            rows[name].append(value)
+        counted = counted + facts(total)
+    for name, value in zip(rows, (bucket, -1, n, counted.tobytes())):
+        rows[name].append(value)
     return table(rows, PIECE)
 
 
-def _send_sums(order: int, n: int, buckets: int, sent):
+def _send_sums(n: int, buckets: int, sent, turn: int, turns: int):
     def send(blocks: pa.Table, replies: pa.Table) -> pa.Table:
         rows = {"bucket": [], "block": [], "order": [], "data": []}
         for row in _rows(blocks):
-            b = _block(row, order)
-            known = Known(replies, sent.value)
-            every, own = known.counts(n)
-            size, context = len(b.context_keys[n - 1]), b.context[n - 1][own]
-            total = every[own]
-            # the lower order's n-gram of each n-gram: through one place where it stands
-            place = np.zeros(len(b.keys[n - 1]), np.int32)
-            place[b.number[n - 1]] = np.arange(len(b.places))
-            lower = known.probability(b, n - 1, known.counts(n - 1)[0])[b.number[n - 2][place]][own]
-            sums_ = [
-                np.bincount(context, total, size),
-                np.bincount(context, discounted(total, known.stats[n]["rule"]), size),
-                np.bincount(context, lower, size),
-                known.asked(b, n, every),
-            ]
-            for bucket, part in cuts(b.context_keys[n - 1], buckets):
-                keys = np.diff(b.context_keys[n - 1][part], prepend=np.uint64(0))
-                for name, value in zip(rows, (bucket, row["block"], n, joined(squeeze(keys), *(squeeze(x[part]) for x in sums_)))):
+            known = Known(_block(row, n), replies, sent.value)
+            known.b.keys[n - 1] = None  # not read here
+            below = known.probability(n - 1)
+            keys, _, _, alone = known.contexts(n)
+            sums_ = [*known.totals(n), known.lower(n, below), known.asked(n).astype(np.int64)]
+            keys, sums_ = keys[~alone], [x[~alone] for x in sums_]
+            for bucket, part in cuts(keys, buckets):
+                if bucket % turns != turn:
+                    continue
+                gaps = np.diff(keys[part], prepend=np.uint64(0))
+                for name, value in zip(rows, (bucket, row["block"], n, joined(squeeze(gaps), *(squeeze(x[part]) for x in sums_)))):
                     rows[name].append(value)
         return table(rows, PIECE)
 
@@ -324,9 +432,8 @@ def _settle(group: pa.Table) -> pa.Table:
     keys = [np.cumsum(expand(p[0])) for p in parts]
     unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     count, mass, lower = (np.bincount(inverse, np.concatenate([expand(p[k], np.float64) for p in parts]), len(unique)) for k in (1, 2, 3))
-    below = np.where((count > 0) & (count - mass <= 1e-9 * count), count + 1, count)
-    weight = np.where(count > 0, (1 - mass / np.where(count > 0, below, 1)) / np.maximum(1e-300, 1 - lower), 1.0)
-    at = 0
+    below = settled(count, mass)
+    weight, at = backoff(count, mass, lower, below), 0
     for r, k, p in zip(pieces, keys, parts):
         here = inverse[at : at + len(k)]
         asked = here[expand(p[4], np.int64) == 1]
@@ -341,15 +448,15 @@ def _score(order: int, sent):
         out = []
         for row in _rows(blocks):
             b, stats = _block(row, order), sent.value
-            b.keys, b.count = [], []  # not read here
-            known = Known(replies, stats)
-            total = known.counts(1)[0]
-            seen = total[b.number[0]]
-            p = np.where(seen > 0, known.probability(b, 1, total)[b.number[0]], stats[1]["unknown"])
+            b.keys[order - 1] = None  # not read here
+            known = Known(b, replies, stats)
+            seen = known.counts(1)[0][b.number[0]]
+            below = known.probability(1)
+            p = np.where(seen > 0, below[b.number[0]], stats[1]["unknown"])
             for n in range(2, order + 1):
-                total = known.counts(n)[0]
-                exact = known.probability(b, n, total)[b.number[n - 1]]
-                p = np.where(total[b.number[n - 1]] > 0, exact, known.weights(b, n, total)[b.context_number[n - 1]] * p)
+                p *= known.weights(n, below)
+                below = known.probability(n)
+                p = np.where(known.counts(n)[0][b.number[n - 1]] > 0, below[b.number[n - 1]], p)
             base = np.log10((seen + 1) / (stats[1]["tokens"] + stats[1]["types"] + 1))
             made = {
                 "doc_id": row["doc_ids"], "train": row["train"], "n_tokens": b.sizes, "n_known": sums((seen > 0).astype(np.int64), b.sizes),
@@ -368,33 +475,41 @@ def katz_scores(docs: DataFrame, train: Column, order: int = ORDER, doc_id: str
     spark = docs.sparkSession
     blocks = blocks_of(docs, F.col(doc_id), F.coalesce(train, F.lit(False)), F.col(text))
     tokens = blocks.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, min(1 << 31, -(-tokens * order // BUCKET_ENTRIES)))
-    pieces = blocks.mapInArrow(_send_counts(order, buckets), PIECE)
-    counted = written(pieces.groupBy("bucket").applyInArrow(_add_counts, PIECE), "katz", by="order")
-    stats = {n: {"by": [0] * (DEPTH + 1), "types": 0, "tokens": 0} for n in range(1, order + 1)}
-    facts = counted.where("block = -1").select("order", F.col("data"))
+    buckets = max(1, min(1 << 31, -(-tokens // BUCKET_ENTRIES)))
+    own = blocks.select("block", "doc_ids", "train", "sizes", "hashes", "ids")
+    each = [F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DEPTH + 3)]
+    stats, replies = {}, None
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [np.frombuffer(x, np.int64).tolist() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], ["order", "v"])
+            values = [np.frombuffer(x, np.int64).tolist() for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.int64()))], ["v"])
 
-    each = [F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DEPTH + 3)]
-    for r in facts.mapInArrow(added, "order int, v array<long>").groupBy("order").agg(*each).collect():
-        values = [r[f"v{i}"] for i in range(DEPTH + 3)]
-        stats[r["order"]] = {"by": values[: DEPTH + 1], "types": values[-2], "tokens": values[-1]}
-    for s in stats.values():
-        s["rule"] = discounts(s["by"])
-    words = stats[1]
-    factors, off = words["rule"]
-    taken = off * words["types"] + sum(n * r * (1 - factors[r - 1]) for r, n in enumerate(words["by"][:DEPTH], 1))
-    words["unknown"] = taken / words["tokens"] if words["tokens"] else 1.0
-    sent = spark.sparkContext.broadcast(stats)
-    replies = counted.where("block >= 0").select("block", "bucket", "order", F.lit("counts").alias("kind"), "data")
-    own = blocks.select("block", "doc_ids", "train", "sizes", "hashes", "ids")
-    for n in range(2, order + 1):
-        sums_ = own.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_send_sums(order, n, buckets, sent), PIECE)
-        weights = written(sums_.groupBy("bucket").applyInArrow(_settle, PIECE), "katz")
-        replies = replies.union(weights.select("block", "bucket", "order", F.lit("weights").alias("kind"), "data"))
+    def heard(kind: str, answers: DataFrame) -> DataFrame:
+        found = answers.where("block >= 0").select("block", "bucket", "order", F.lit(kind).alias("kind"), "data")
+        return replies.union(found) if replies is not None else found
+
+    for n in range(1, order + 1):
+        if n == 1:
+            pieces = own.mapInArrow(_send_words(buckets), PIECE)
+        else:
+            known = replies.where("kind = 'counts'")
+            pieces = own.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_send_counts(n, buckets), PIECE)
+        counted = written(pieces.groupBy("bucket").applyInArrow(_add_counts, PIECE), "katz")
+        replies = heard("counts", counted)
+        values = [x or 0 for x in counted.where("block = -1").select("data").mapInArrow(added, "v array<long>").agg(*each).first()]
+        stats[n] = {"by": values[: DEPTH + 1], "types": values[-2], "tokens": values[-1], "rule": discounts(values[: DEPTH + 1])}
+        if n == 1:
+            words = stats[1]
+            factors, off = words["rule"]
+            taken = off * words["types"] + sum(k * r * (1 - factors[r - 1]) for r, k in enumerate(words["by"][:DEPTH], 1))
+            words["unknown"] = taken / words["tokens"] if words["tokens"] else 1.0
+            continue
+        sent = spark.sparkContext.broadcast(dict(stats))
+        # Longer contexts are more: their buckets are settled in turns, so that the disks hold one turn's sums at a time.
+        known = own.groupBy("block").cogroup(replies.groupBy("block"))
+        for turn in range(n - 1):
+            sums_ = known.applyInArrow(_send_sums(n, buckets, sent, turn, n - 1), PIECE)
+            replies = heard("weights", written(sums_.groupBy("bucket").applyInArrow(_settle, PIECE), "katz"))
     scores = own.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(order, sent), SCORES)
     return scores.withColumn("train_tokens", F.lit(words["tokens"]).cast("long"))
