@@ -10,7 +10,7 @@ once, until nothing changes, and the token reached names the group.
 
 Both sides part a text before a space that follows a letter, digit or printable ASCII character: the byte-level pattern
 never holds such a space inside, and no piece has a word mark behind another character. So each distinct stretch between
-these places is encoded and aligned once per task. Stretches lie in blocks of at most `BLOCK_BYTES` of text (a longer
+these places is encoded and aligned once by a worker as long as it keeps them. Stretches lie in blocks of at most `BLOCK_BYTES` of text (a longer
 text is a block by itself), which are written to the shared folder without their texts:
 
 1. per block: results that need no corpus, stretches per document, the distinct id pairs of the block and their counts;
@@ -28,8 +28,8 @@ from __future__ import annotations
 
 import hashlib
 import os
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,7 @@ from hushframe.llm.common import slices, written
 BLOCK_BYTES = 4 << 20
 KEPT_STRETCHES = 250_000
 LEARNED_AT_ONCE = 10_000
+LINE = 100
 HOT = 10_000
 BLOCKS = (
     "part long, block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, hashes array<string>, "
@@ -87,6 +88,12 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return at[ascii_sign | two | three | four]
 
 
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all lists, one after another, and how many each has."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+
 class Stretches:
     """Aligned stretches of text: each one met is encoded once."""
 
@@ -108,6 +115,8 @@ class Stretches:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_lengths = np.fromiter(map(len, self.a_bytes), np.int64, size)
         self.b_lengths = np.fromiter(map(len, self.b_bytes), np.int64, self.b_size)
+        self.a_size = size
+        self.texts = [f"{i}{sign}" for n, sides in ((size, ",|"), (self.b_size, ",;")) for sign in sides for i in range(n)]
         self.mark = self.b.piece_to_id("▁")
         self.parts = not any("▁" in p.lstrip("▁") for p in pieces)  # else texts are taken whole
         self.clear()
@@ -119,32 +128,53 @@ class Stretches:
         self.numbers: list[np.ndarray] = []  # per stretch: tokens of both sides, groups, links
         self.pairs: list[np.ndarray] = []
 
+    def byte_ids(self, strings: list[str], data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte-level ids of the stretches, one after another, and how many each has. Stretches stand in one line as long
+        as each is parted from the next there too: many in one text cost less."""
+        parted = np.zeros(len(data) + 1, bool)
+        parted[cuts(np.append(data, np.uint8(0x20)))] = True
+        last = ~parted[ends]
+        last[LINE - 1 :: LINE] = last[-1:] = True
+        stops = (np.flatnonzero(last) + 1).tolist()
+        lines = ["".join(strings[i:j]) for i, j in zip([0, *stops], stops)]
+        flat = flattened([e.ids for e in self.a.encode_batch_fast(lines, add_special_tokens=False)])[0]
+        reached = np.cumsum(self.a_lengths[flat])
+        at = np.searchsorted(reached, ends)
+        if len(reached) and reached[-1] == ends[-1] and np.array_equal(reached[at], ends):
+            return flat, np.diff(at + 1, prepend=0)
+        return flattened([e.ids for e in self.a.encode_batch_fast(strings, add_special_tokens=False)])
+
     def learn(self, new: list[bytes]) -> None:
         """Encode and align stretches, each with its leading space."""
-        strings = [x.decode() for x in new]
-        a = [array("q", e.ids) for e in self.a.encode_batch_fast(strings, add_special_tokens=False)]
-        b = [array("q", ids) if len(s) > 1 else array("q", [self.mark]) for ids, s in zip(self.b.encode([s[1:] for s in strings], num_threads=1), strings)]
-        for i, x in enumerate(new):
-            good = b"".join(map(self.a_bytes.__getitem__, a[i])) == x == b"".join(map(self.b_bytes.__getitem__, b[i]))
-            self.good.append(good)
-            if not good:
-                a[i] = b[i] = array("q")
-            self.known[x] = len(self.known)
-        a_ids, b_ids = (np.frombuffer(b"".join(x.tobytes() for x in side), np.int64) for side in (a, b))
+        strings, whole = [x.decode() for x in new], b"".join(new)
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        a_ids, a_count = self.byte_ids(strings, np.frombuffer(whole, np.uint8), np.cumsum(sizes))
+        b = self.b.encode([s[1:] for s in strings], num_threads=1)
+        b_ids, b_count = flattened([x if len(s) > 1 else [self.mark] for x, s in zip(b, strings)])
+        good = (run_sums(self.a_lengths[a_ids], a_count) == sizes) & (run_sums(self.b_lengths[b_ids], b_count) == sizes)
+        a_parts, b_parts = list(map(self.a_bytes.__getitem__, a_ids.tolist())), list(map(self.b_bytes.__getitem__, b_ids.tolist()))
+        if not (good.all() and b"".join(a_parts) == whole == b"".join(b_parts)):
+            a_stop, b_stop = np.cumsum(a_count), np.cumsum(b_count)
+            for i in np.flatnonzero(good).tolist():
+                good[i] = b"".join(a_parts[a_stop[i] - a_count[i] : a_stop[i]]) == new[i] == b"".join(b_parts[b_stop[i] - b_count[i] : b_stop[i]])
+            a_ids, b_ids = a_ids[np.repeat(good, a_count)], b_ids[np.repeat(good, b_count)]
+            a_count, b_count = np.where(good, a_count, 0), np.where(good, b_count, 0)
+        self.good += good.tolist()
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         a_ends, b_ends = np.cumsum(self.a_lengths[a_ids]), np.cumsum(self.b_lengths[b_ids])
         a_groups, b_groups = group_labels(a_ends, b_ends)
         n_groups = int(b_groups[-1]) + 1 if len(b_groups) else 0
-        a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-        bounds = [np.searchsorted(g, np.arange(n_groups + 1)).tolist() for g in (a_groups, b_groups)]
-        spelled = [
-            (a_text[i] if j == i + 1 else ",".join(a_text[i:j])) + "|" + (b_text[k] if h == k + 1 else ",".join(b_text[k:h]))
-            for i, j, k, h in zip(bounds[0], bounds[0][1:], bounds[1], bounds[1][1:])
-        ]
-        a_last, b_last = (np.cumsum(np.fromiter(map(len, side), np.int64, len(new))) for side in (a, b))
+        a_last, b_last = np.cumsum(a_count), np.cumsum(b_count)
         group_last = np.where(b_last > 0, np.append(b_groups, 0)[b_last - 1] + 1, 0) if n_groups else np.zeros(len(new), np.int64)
-        limits = [0, *group_last.tolist()]
-        self.spelled += [";".join(spelled[i:j]) for i, j in zip(limits, limits[1:])]
-        ends = np.union1d(a_ends, b_ends)  # between two neighbours lies exactly one link
+        # per group the ids of both sides in turn, each with the sign behind it
+        signs = [np.append(g[1:] != g[:-1], True) if len(g) else np.zeros(0, bool) for g in (a_groups, b_groups)]
+        order = np.argsort(np.concatenate([2 * a_groups, 2 * b_groups + 1]), kind="stable")
+        codes = np.concatenate([a_ids + signs[0] * self.a_size, b_ids + signs[1] * self.b_size + 2 * self.a_size])[order]
+        spelled = list(map(self.texts.__getitem__, codes.tolist()))
+        limits = [0, *(a_last + b_last).tolist()]
+        self.spelled += ["".join(spelled[i:j])[:-1] for i, j in zip(limits, limits[1:])]
+        ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+        ends = ends[np.append(ends[1:] != ends[:-1], True)] if len(ends) else ends  # between two neighbours lies exactly one link
         pair = a_ids[np.searchsorted(a_ends, ends)] * self.b_size + b_ids[np.searchsorted(b_ends, ends)]
         stop = np.where(b_last > 0, np.append(b_ends, 0)[b_last - 1], 0)
         link_last = np.searchsorted(ends, stop, side="right")
@@ -164,8 +194,11 @@ class Stretches:
         whole = whole.filter(pa.array(size > 0))
         data = np.frombuffer(b"".join(whole.to_pylist()), np.uint8)
         starts = np.cumsum(np.append(0, size[size > 0] + 1))
-        places = np.union1d(starts[:-1], cuts(data)) if self.parts else starts[:-1]
-        places = np.setdiff1d(places, starts[-1:])
+        begins = np.zeros(len(data), bool)
+        begins[starts[:-1]] = True
+        if self.parts:
+            begins[cuts(data)] = True
+        places = np.flatnonzero(begins)
         offsets = np.append(places, len(data))
         pieces = pa.Array.from_buffers(pa.large_binary(), len(places), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
@@ -232,10 +265,14 @@ def align(docs: DataFrame, byte_bpe: str, piece_bpe: str, doc_id: Column | str =
     """One row per document; `groups` holds the groups' text if `spell`, else null."""
     spark = docs.sparkSession
     with open(byte_bpe, encoding="utf-8") as file, open(piece_bpe, "rb") as model:
-        specs = spark.sparkContext.broadcast((file.read(), model.read()))
+        # a worker keeps its copy of a broadcast, and with it the tokenizers and the stretches it knows, through its tasks
+        specs = spark.sparkContext.broadcast((file.read(), model.read(), {}))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part = Stretches(*specs.value), TaskContext.get().partitionId()
+        byte_spec, piece_model, kept = specs.value
+        if "known" not in kept:
+            kept["known"] = Stretches(byte_spec, piece_model)
+        known, part = kept["known"], TaskContext.get().partitionId()
         block, held, ids, parts = 0, 0, [], []
         for batch in batches:
             first = 0
@@ -254,7 +291,7 @@ def align(docs: DataFrame, byte_bpe: str, piece_bpe: str, doc_id: Column | str =
 
     columns = [F.col(c) if isinstance(c, str) else c for c in (doc_id, text)]
     blocks = written(docs.select(columns[0].cast("long"), columns[1].cast("string")).mapInArrow(made, BLOCKS), "alignment")
-    size = Stretches(*specs.value).b_size
+    size = Stretches(*specs.value[:2]).b_size
     pairs = blocks.select("part", "block", F.posexplode(F.arrays_zip("pairs", "counts")).alias("at", "x"))
     pairs = pairs.select("part", "block", "at", F.col("x.pairs").alias("pair"), F.col("x.counts").alias("n"))
     totals = written(pairs.groupBy("pair").agg(F.sum("n").alias("n"), F.count("*").alias("rows")), "alignment")

@@ -275,3 +275,30 @@ def test_one_row_of_each_component_stays(spark):
     got = sorted((str(r["doc_id"]), str(r["text"])) for r in representatives(df).collect())
     assert [g for g in got if g[0] not in ("None", "2")] == [("5", "a b c"), ("5", "x y z"), ("7", ""), ("7", "None")]
     assert sum(g[0] == "None" for g in got) == 1 and sum(g[0] == "2" for g in got) == 1
+
+
+def test_stretches_are_encoded_in_lines():
+    import pyarrow as pa
+
+    from hushframe.llm.alignment import Stretches
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as model:
+        known = Stretches(file.read(), model.read())
+    tokenizer, lines = known.a, []
+
+    class Counted:
+        def encode_batch_fast(self, strings, **options):
+            lines.extend(strings)
+            return tokenizer.encode_batch_fast(strings, **options)
+
+    known.a = Counted()
+    words = [f"w{i}x.é" for i in range(2000)] + ["日本", "a\u3000", "\tz", "don't", "😀"]
+    texts = [" ".join(words), " a  b ", "x\n y", "▁", ""]
+    numbers, counts = known.split(pa.array([x.encode() for x in texts], pa.large_binary()))
+    assert counts[0] > 2000 and len(lines) < 100
+    at = 0
+    for text, n in zip(texts, counts.tolist()):
+        want = tokenizer.encode(" " + text, add_special_tokens=False).ids if text and text != "▁" else []
+        spelled = [g.split("|")[0] for s in numbers[at : at + n] for g in known.spelled[s].split(";") if g]
+        assert [int(i) for g in spelled for i in g.split(",")] == want
+        at += n
