@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -21,10 +20,9 @@ BLOCKS = "part long, block long, at long, doc_ids array<long>, queues array<stri
 
 
 #: A word of letters whose small forms and compositions are plain, with the punctuation behind it.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-#: Distinct parts and distinct whole runs that a worker keeps the ids of.
+PLAIN = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[.,;:!?]*)$"
+#: Distinct parts that a worker keeps the ids of.
 KEPT_PARTS = 1_000_000
-KEPT_RUNS = 400_000
 
 
 def chunk_encoder(spec: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
@@ -38,8 +36,7 @@ def chunk_encoder(spec: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarra
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(spec)
-    known: dict[str, bytes] = {"": b""}
-    runs: dict[str, bytes] = {}
+    known: dict[str, bytes] = {}
 
     suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
     ends = np.zeros(tokenizer.get_vocab_size(), bool)
@@ -64,40 +61,31 @@ def chunk_encoder(spec: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarra
     def encode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(known) > KEPT_PARTS:  # the memory of a worker stays bounded
             known.clear()
-            known[""] = b""
-        if len(runs) > KEPT_RUNS:
-            runs.clear()
         texts = pc.fill_null(column, "").cast(pa.large_string())
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        each = list(map(runs.get, chunks))
-        unseen = [i for i, x in enumerate(each) if x is None]
-        parts, words, others = [], set(), set()
-        for i in unseen:
-            if m := PLAIN.fullmatch(chunks[i]):
-                word, signs = m[1].lower(), m[2]
-                if word not in known:
-                    words.add(word)
-                if signs not in known:
-                    others.add(signs)
-                parts.append((word, signs))
-            else:
-                if chunks[i] not in known:
-                    others.add(chunks[i])
-                parts.append((chunks[i], ""))
-        learn_words(list(words))
-        learn(list(others))
-        for i, (w, p) in zip(unseen, parts):
-            each[i] = runs[chunks[i]] = known[w] + known[p]
+        chunks = coded.dictionary
+        found = pc.extract_regex(chunks, PLAIN)
+        plain = found.is_valid()
+        # each run is a word of letters and its punctuation, or itself and nothing
+        words = pc.if_else(plain, pc.utf8_lower(pc.struct_field(found, "word")), chunks).dictionary_encode()
+        signs = pc.if_else(plain, pc.struct_field(found, "signs"), pa.scalar("", pa.large_string())).dictionary_encode()
+        first, second = words.indices.to_numpy(), signs.indices.to_numpy()
+        parts, behind = words.dictionary.to_pylist(), signs.dictionary.to_pylist()
+        letters = np.zeros(len(parts), bool)
+        letters[first[np.array(plain, bool)]] = True
+        new = [i for i, x in enumerate(parts) if x not in known]
+        learn_words([parts[i] for i in new if letters[i]])
+        learn([parts[i] for i in new if not letters[i]] + [x for x in behind if x not in known])
+        each = [known[x] for x in (*parts, *behind)]
         store = np.frombuffer(b"".join(each), np.uint32)
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        words = coded.indices.to_numpy()
-        starts, lengths = (np.cumsum(size) - size)[words], size[words]
+        both = np.stack([first, second + len(parts)], axis=1)[coded.indices.to_numpy()].reshape(-1)
+        starts, lengths = (np.cumsum(size) - size)[both], size[both]
         total = np.cumsum(lengths)
         flat = store[np.repeat(starts - (total - lengths), lengths) + np.arange(total[-1] if len(total) else 0)]
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        ends = np.concatenate([[0], total])[np.cumsum(counts)]
+        ends = np.concatenate([[0], total])[2 * np.cumsum(counts)]
         return flat, np.diff(ends, prepend=0)
 
     return encode
