@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,10 @@ SYMBOLS = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
 OTHER, EDGE, BASE = 27, 0, 32
 LAST_THREE = BASE**3 - 1
 FOLD = str.maketrans("àáâãäåçèéêëìíîïñòóôõöùúûüýÿß", "aaaaaaceeeeiiiinooooouuuuyys")
+#: The symbol of each character by its number; the last stands for all above.
+POINTS = np.full(257, OTHER, np.int64)
+POINTS[0] = EDGE
+POINTS[[*map(ord, SYMBOLS), *FOLD]] = [*SYMBOLS.values(), *(SYMBOLS[chr(c)] for c in FOLD.values())]
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -58,19 +63,16 @@ def _symbols(text: str) -> list[int]:
     return [SYMBOLS.get(c, OTHER) for c in (text if text.isascii() else text.translate(FOLD))]
 
 
-def count_letters(words: list[bytes], times: np.ndarray) -> np.ndarray:
+def count_letters(words: list[str], times: np.ndarray) -> np.ndarray:
     """Counts of the 4-grams of symbols in the words, with their ends."""
     table = np.zeros(BASE**4, np.float64)
-    plain = [(w.decode("utf-8", "replace").lower().strip(EDGES), n) for w, n in zip(words, times.tolist())]
-    plain = [(w, n) for w, n in plain if w.isalpha()]
+    lowered = "\n".join(words).lower().split("\n")  # words hold no white space
+    plain = [(w, n) for w, n in zip((x.strip(EDGES) for x in lowered), times.tolist()) if w.isalpha()]
     if plain:
         # all words as one text, their ends as NUL
-        line = "".join(f"\0\0\0{w}\0" for w, _ in plain).translate(FOLD)
+        line = "".join([f"\0\0\0{w}\0" for w, _ in plain])
         points = np.frombuffer(line.encode("utf-32-le"), np.uint32)
-        known = np.full(128, OTHER, np.int64)
-        known[0] = EDGE
-        known[[ord(c) for c in SYMBOLS]] = list(SYMBOLS.values())
-        flat = known[np.where(points < 128, points, 127)]
+        flat = POINTS[np.minimum(points, len(POINTS) - 1)]
         weight = np.repeat([n for _, n in plain], [len(w) + 4 for w, _ in plain])
         four = ((flat[:-3] * BASE + flat[1:-2]) * BASE + flat[2:-1]) * BASE + flat[3:]
         # A window is inside one word if it does not end in that word's first two edges.
@@ -91,7 +93,7 @@ def letter_model(docs: DataFrame, text: str = "text") -> np.ndarray:
             for some in slices(batch.column(0)):
                 words = pc.ascii_split_whitespace(pc.fill_null(some, "").cast(pa.large_string())).flatten().dictionary_encode()
                 times = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
-                total += count_letters(words.dictionary.cast(pa.large_binary()).to_pylist(), times)
+                total += count_letters(words.dictionary.to_pylist(), times)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["at", "n"])
 
@@ -132,6 +134,24 @@ def run_lengths(word: str) -> list[int]:
     return out
 
 
+@lru_cache(1 << 14)
+def edges(c: str, run: int) -> list[tuple[int, str, tuple[int, ...], float]]:
+    """The lattice's edges from a character that `run` equal ones begin with: length, letters, their symbols, cost."""
+    if c == " ":
+        return [(1, "", (), 0.0), (1, " ", (EDGE,), 0.0)]
+    out = []
+    for letter in (c, *LOOKS.get(c, "")):
+        base = 0.0 if letter == c and c.isalpha() else LOOK_COST if letter != c else KEEP_COST
+        out.append((1, letter, base))
+        if run >= 2:
+            out.append((run, letter, base + (RUN_COST if run >= 3 else PAIR_COST)))
+        if run >= 3:
+            out.append((run, letter * 2, base + RUN_COST))
+    if c in BETWEEN:
+        out.append((1, "", DROP_COST))
+    return [(size, letters, tuple(_symbols(letters)), price) for size, letters, price in out]
+
+
 def decode(word: str, cost: np.ndarray) -> str:
     """The likeliest reading of a word's lattice; a space is read as nothing or as the end of a word.
 
@@ -139,33 +159,27 @@ def decode(word: str, cost: np.ndarray) -> str:
     """
     costs = cost.data  # plain numbers come faster out of a buffer
     at: dict[int, dict[int, tuple]] = {0: {0: (0.0, None)}}  # place, context: cost and the way back
-    n, runs, read = len(word), run_lengths(word), {}
+    n, runs = len(word), run_lengths(word)
     for i, c in enumerate(word):
         here = at.pop(i, None)
         if not here:
             continue
-        edges: list[tuple[int, str, float]] = []  # next place, letters, cost
-        if c == " ":
-            edges = [(i + 1, "", 0.0), (i + 1, " ", 0.0)]
-        else:
-            run = runs[i] if i == 0 or word[i - 1] != c else 1
-            for letter in (c, *LOOKS.get(c, "")):
-                base = 0.0 if letter == c and c.isalpha() else LOOK_COST if letter != c else KEEP_COST
-                edges.append((i + 1, letter, base))
-                if run >= 2:
-                    edges.append((i + run, letter, base + (RUN_COST if run >= 3 else PAIR_COST)))
-                if run >= 3:
-                    edges.append((i + run, letter * 2, base + RUN_COST))
-            if c in BETWEEN:
-                edges.append((i + 1, "", DROP_COST))
+        run = runs[i] if i == 0 or word[i - 1] != c else 1
         states = list(here.items())
-        for to, letters, price in edges:
-            symbols = read.get(letters)
-            if symbols is None:
-                symbols = read[letters] = [EDGE] if letters == " " else _symbols(letters)
-            target = at.get(to)
+        for size, letters, symbols, price in edges(c, run):
+            target = at.get(i + size)
             if target is None:
-                target = at[to] = {}
+                target = at[i + size] = {}
+            if len(symbols) == 1 and symbols[0]:
+                s = symbols[0]
+                for k, (so_far, back) in states:
+                    k = k << 5 | s
+                    total = so_far + price + costs[k]
+                    k &= LAST_THREE
+                    found = target.get(k)
+                    if found is None or total < found[0]:
+                        target[k] = (total, (letters, back))
+                continue
             for k, (so_far, back) in states:
                 total = so_far + price
                 for s in symbols:
@@ -257,7 +271,8 @@ def restored(texts: list[bytes], cost: np.ndarray, known: dict[str, list[str]] |
     at = np.repeat((np.cumsum(length) - length)[ids] - (np.cumsum(count) - count), count) + np.arange(count.sum())
     words = flat[at]
     doc = np.repeat(of, count)
-    pairs = np.unique(doc * max(1, len(cores)) + words)
+    pairs = np.sort(doc * max(1, len(cores)) + words)
+    pairs = pairs[np.append(np.ones(min(1, len(pairs)), bool), pairs[1:] != pairs[:-1])]
     return list(cores), pairs % max(1, len(cores)), np.bincount(pairs // max(1, len(cores)), minlength=len(texts))
 
 

@@ -543,3 +543,84 @@ def test_vectors_meet_over_short_partitions():
 
 def test_hash_of_ids_is_the_contracts():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def _katz_rows(blocks):
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    from hushframe.llm.common import word_hashes
+
+    rows = []
+    for number, texts in enumerate(blocks):
+        words = sorted({w for x in texts for w in x.split()})
+        ids = np.array([words.index(w) for x in texts for w in x.split()], "<u4")
+        planes = np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T).tobytes()
+        sizes = [len(x.split()) for x in texts]
+        hashes = word_hashes([w.encode() for w in words]).tobytes()
+        rows.append({"block": number, "doc_ids": sizes, "train": [True] * len(texts), "sizes": sizes, "hashes": hashes, "ids": zstandard.compress(planes)})
+    return pa.Table.from_pylist(rows)
+
+
+def test_katz_sends_only_what_other_blocks_hold():
+    import pyarrow as pa
+
+    blocks = _katz_rows([["a b c d", "a b"], ["a b x y z", "c"]])
+    heard = [[], []]
+    # words: a b c d and the end; a b x y z c and the end. Pairs without d, x, y and z: start a, ab, bc, b end; start a, ab, start c, c end
+    for n, expected in ((1, 5 + 7), (2, 4 + 4)):
+        replies = [pa.table({c: [r[c] for r in x] for c in ("bucket", "block", "order", "kind", "data")}) for x in heard]
+        pieces = pa.concat_tables([katz._send_counts(n, 1)(blocks.slice(i, 1), replies[i]) for i in (0, 1)])
+        assert sum(len(katz.expand(katz.parted(r["data"])[0])) for r in pieces.to_pylist() if r["block"] >= 0) == expected
+        answers = katz._add_counts(pieces).to_pylist()
+        for r in answers:
+            if r["block"] >= 0:
+                heard[r["block"]].append({**r, "kind": "counts"})
+        # every occurrence is counted, sent or not
+        assert sum(np.frombuffer(r["data"], np.int64)[-1] for r in answers if r["block"] == -1) == 16
+
+
+def _calls(f, *args):
+    """How many built-in functions `f` calls."""
+    import sys
+
+    found = [0]
+
+    def seen(frame, event, arg):
+        found[0] += event == "c_call"
+
+    sys.setprofile(seen)
+    try:
+        out = f(*args)
+    finally:
+        sys.setprofile(None)
+    return out, found[0]
+
+
+def test_runs_are_parted_by_columns():
+    import pyarrow as pa
+
+    from hushframe.llm.tokens import chunk_encoder
+
+    with open(TOKENIZER, encoding="utf-8") as file:
+        spec = file.read()
+    encode, plain = chunk_encoder(spec), Tokenizer.from_str(spec)
+    stems = [a + b for a in SYLLABLES for b in SYLLABLES]
+    runs = [w + a + b + c for w in stems for a in ".,;:!" for b in ".,;:!?" for c in ",!?"]
+    texts = [" ".join(runs[i::50]) for i in range(50)] + ["Éa. ß! x.y 7, ._", "", None]
+    (flat, sizes), calls = _calls(encode, pa.array(texts))
+    assert calls < len(runs) / 2  # no call for each run
+    want = [plain.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert flat.tolist() == [i for x in want for i in x] and sizes.tolist() == list(map(len, want))
+
+
+def test_edges_of_a_character_are_made_once():
+    cost = np.full(toxicity.BASE**4, 3.0, np.float32)
+    toxicity.edges.cache_clear()
+    for word in ["st0p", "p0st", "t0ps", "s.t.o.p", "sttop"] * 50:
+        toxicity.decode(word, cost)
+    assert toxicity.edges.cache_info().misses <= 7  # s t 0 p . o, and t twice
+    words = ["Straße", "ÀÉ", "don't", "x", "ΣΑΣ."]
+    table = toxicity.count_letters(words, np.arange(1, 6))
+    assert table.sum() == 1 * 7 + 2 * 3 + 4 * 2 + 5 * 4
