@@ -4,7 +4,9 @@ Rows are range-partitioned by key, time and ties, so a hot key lies over many ta
 That one sorted pass settles every row but those of a task's first key, whose window may have opened in an earlier task.
 For these the pass gives a short table: if the window that comes in ends at this time, then this is the window that goes
 out. Tables are followed from task to task per key, then from block to block inside a task; what comes into a block settles
-its rows. Rows travel packed, in blocks of `BLOCK_ROWS`, written once to the shared folder.
+its rows. Rows travel packed, in blocks of `BLOCK_ROWS` that end early at `BLOCK_BYTES`, written once to the shared folder.
+A block is one large value, so blocks are compressed by the worker that packs them: every size that writer, reader and
+shuffle go by is then the size they hold. Files are cut into groups of `GROUP_BYTES`, since a reader takes a group as one.
 
 A table has at most one entry per distinct time in the first window's length of its rows, mostly far fewer: windows that
 open at different events soon fall into step.
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from hushframe.session import shared_folder
 
 BLOCK_ROWS = 65_536
+BLOCK_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
 #: No window has opened yet.
 NONE = int(np.iinfo(np.int64).min)
 
@@ -152,9 +156,13 @@ def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return us, tags
 
 
+def _settled(table: pa.Table, starts: np.ndarray, ranks: np.ndarray, of_first: np.ndarray) -> pa.Table:
+    return table.append_column("_start", pa.array(starts)).append_column("_rank", pa.array(ranks)).append_column("_first_tag", pa.array(of_first, pa.binary()))
+
+
 def _ipc(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -165,14 +173,22 @@ def _row(schema: pa.Schema, *values) -> pa.RecordBatch:
 
 _TYPES = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
 SCHEMA = [tuple(c.split()) for c in BLOCKS.split(", ")]
+# sizes are looked at from the first block on, not after a hundred; a block is no word of a dictionary
+WRITE = {
+    "compression": "uncompressed",
+    "parquet.block.size": str(GROUP_BYTES),
+    "parquet.block.size.row.check.min": "1",
+    "parquet.page.size.row.check.min": "1",
+    "parquet.enable.dictionary": "false",
+}
 
 
-def _packer(width: int, block_rows: int):
+def _packer(width: int, block_rows: int, names: Sequence[str]):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, _TYPES[t]) for n, t in SCHEMA])
         part, block = TaskContext.get().partitionId(), 0
         first_key, whole, summary, last = None, True, None, (None, NONE, 0, None)
-        held, size = [], 0
+        held, size, weight = [], 0, 0
 
         def emit(table: pa.Table) -> pa.RecordBatch:
             nonlocal first_key, whole, summary, last
@@ -199,17 +215,18 @@ def _packer(width: int, block_rows: int):
             if begins and end == n:
                 last = (last[0], NONE, 0, None)  # known once the window that comes in is
             if not begins:
-                table = table.append_column("_start", pa.array(starts)).append_column("_rank", pa.array(ranks)).append_column("_first_tag", pa.array(of_first, pa.binary()))
+                table = _settled(table, starts, ranks, of_first).select(names)
             return _row(schema, part, block, key, begins, *own, None, None, None, None, _ipc(table))
 
         for batch in batches:
             held.append(batch)
-            size += batch.num_rows
-            while size >= block_rows:
+            size, weight = size + batch.num_rows, weight + batch.nbytes
+            while size and (size >= block_rows or weight >= BLOCK_BYTES):
                 table = pa.Table.from_batches(held)
-                yield emit(table.slice(0, block_rows))
-                rest = table.slice(block_rows)
-                held, size, block = rest.combine_chunks().to_batches(), rest.num_rows, block + 1
+                taken = min(size, block_rows, max(1, size * BLOCK_BYTES // weight))
+                yield emit(table.slice(0, taken))
+                rest = table.slice(taken)
+                held, size, weight, block = rest.to_batches(), rest.num_rows, rest.nbytes, block + 1
         if size:
             yield emit(pa.Table.from_batches(held))
         if first_key is not None:
@@ -252,7 +269,8 @@ def windows_in_order(
     order = [F.col("_key"), F.col("_us"), *(F.col(f"`{c}`") for c in ties)]
     ranged = shown.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
     path = shared_folder(spark, "ordered")
-    ranged.mapInArrow(_packer(width, block_rows), BLOCKS).write.option("compression", "zstd").parquet(path)
+    names = [*df.columns, "_start", "_rank", "_first_tag"]
+    ranged.mapInArrow(_packer(width, block_rows, names), BLOCKS).write.options(**WRITE).parquet(path)
     blocks = spark.read.schema(BLOCKS).parquet(path)
 
     def across(rows: pa.Table) -> pa.Table:
@@ -284,20 +302,23 @@ def windows_in_order(
         return _states(found, ("part", "block", "start", "count", "tag"))
 
     first = tables.where("block >= 0 AND open").drop("key", "last_key", "last_start", "last_count", "last_tag")
-    carried = first.join(into, "part").groupBy("part").applyInArrow(inside, f"part long, block long, {STATE}")
-    names = [*df.columns, "_start", "_rank", "_first_tag"]
+    # a few numbers per block: written, so that the plan knows their size and need not shuffle the rows to join them
+    carry, states = shared_folder(spark, "carried"), f"part long, block long, {STATE}"
+    first.join(into, "part").groupBy("part").applyInArrow(inside, states).write.parquet(carry)
+    carried = spark.read.schema(states).parquet(carry)
     schema = df.withColumns({"_start": F.lit(0).cast("long"), "_rank": F.lit(0).cast("long"), "_first_tag": F.lit(None).cast("binary")}).select(*[F.col(f"`{n}`") for n in names]).schema
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                table = pa.ipc.open_stream(row["rows"]).read_all()
+            for i in range(batch.num_rows):
+                table = pa.ipc.open_stream(batch["rows"][i].as_buffer()).read_all()
+                row = batch.select(["open", "start", "count", "tag"]).slice(i, 1).to_pylist()[0]
                 if row["open"]:
                     us_, tags = _arrays(table)
                     firsts = _runs(table["_key"])
                     state = (row["start"], row["count"], row["tag"])
                     starts, ranks, of_first = settle(us_, firsts, successors(us_, firsts, width), tags, state, width)
-                    table = table.append_column("_start", pa.array(starts)).append_column("_rank", pa.array(ranks)).append_column("_first_tag", pa.array(of_first, pa.binary()))
+                    table = _settled(table, starts, ranks, of_first)
                 yield from table.select(names).combine_chunks().to_batches()
 
     packed = blocks.where("block >= 0").select("part", "block", "open", "rows")

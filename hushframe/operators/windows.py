@@ -162,10 +162,13 @@ def idempotent_dedup(
     without a key is always new.
     """
     live = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
-    hashed = df.withColumn("request_hash", request_hash(*[F.col(p).cast("string") for p in parts]))
+    request = request_hash(*[F.col(p).cast("string") for p in parts])
+    hashed = df.withColumn("request_hash", request)
     # an entry still holds at the very end of its time
     width = ttl_seconds * SECOND + 1
-    placed = windows_in_order(hashed.filter(live), F.col(key), micros(df, ts), width, tie, tag=F.unhex("request_hash"))
+    # rows travel with the tag, not with the hash as text beside it
+    lean = hashed if "request_hash" in (key, *tie) else df
+    placed = windows_in_order(lean.filter(live), F.col(key), micros(df, ts), width, tie, tag=F.unhex(request)).withColumn("request_hash", request)
     status = (
         F.when(F.col("_rank") == 1, F.lit("new"))
         .when(F.unhex("request_hash") == F.col("_first_tag"), F.lit("duplicate"))

@@ -2,10 +2,13 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from pyspark.sql import functions as F
 
+from hushframe.operators import ordered
 from hushframe.operators import windows as win
 from hushframe.operators.ordered import successors, windows_in_order
 
@@ -189,3 +192,21 @@ def test_sorted_pass_odd_rows(spark):
 def test_far_times_do_not_overflow():
     us = np.array([-(1 << 61), 0, 1 << 61, -5, 0, 5], np.int64)
     assert successors(us, np.array([0, 3]), 6).tolist() == [1, 2, 3, 5, 6, 6]
+
+
+def test_blocks_of_wide_rows_stay_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ordered, "shared_folder", lambda spark, name: f"{tmp_path}/{name}")
+    note = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(500)), lambda j: F.sha2(F.concat_ws("-", "id", j), 512)))
+    rows = spark.range(600).select(F.lit("k").alias("k"), F.col("id").alias("t"), note.alias("note"))
+    placed = windows_in_order(rows, F.col("k"), F.col("t"), 7, partitions=1)
+    # as many rows as a block may have, but 64 KB each: a block ends by its bytes
+    blocks = [pa.ipc.open_stream(r["rows"]).read_all() for r in spark.read.parquet(f"{tmp_path}/ordered").where("block >= 0").collect()]
+    assert sum(b.num_rows for b in blocks) == 600 and max(b.nbytes for b in blocks) < 5 << 20
+    # a reader takes a group of blocks as one
+    files = [pq.ParquetFile(f).metadata for f in tmp_path.glob("ordered/*.parquet")]
+    groups = [m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups)]
+    assert len(groups) > 1 and max(groups) < 12 << 20
+    # the rows are not shuffled once more to learn what comes into their block
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    assert placed.where("_start <> t - t % 7 OR _rank <> t % 7 + 1 OR length(note) <> 64000").count() == 0 and placed.count() == 600
