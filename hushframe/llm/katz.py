@@ -142,6 +142,16 @@ class Block:
         dense = np.cumsum(used, dtype=np.int32) - 1
         return np.insert(keys, at, start)[used], dense[context], shorter[used]
 
+    @property
+    def context_number(self) -> list[np.ndarray | None]:
+        """The context of each place, by order; made when asked for."""
+        return [None, *(self.contexts(n)[1] for n in range(2, len(self.keys) + 1))]
+
+    @property
+    def context(self) -> list[np.ndarray | None]:
+        """The context of each n-gram, by order; made when asked for."""
+        return [c if c is None else c[place] for c, place in zip(self.context_number, self.place)]
+
 
 def cuts(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
     """The buckets that sorted keys fall into, and where."""
